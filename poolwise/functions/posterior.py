@@ -79,7 +79,7 @@ def split_frequency(spec: FactorSpec, partitions: DataFrame, by: list[str] = (),
     cols, labels = [], []
     for i, name in enumerate(spec.names):
         for j in range(spec.bits[i]):
-            bit = F.shiftright("cut_mask", spec.offsets[i] + j).bitwiseAND(F.lit(1).cast("long"))
+            bit = F.expr(f"shiftright(cut_mask, {spec.offsets[i] + j}) & 1L")
             cols.append((F.sum(w * bit) / F.sum(w)).alias(f"_s{i}_{j}"))
             labels.append(F.struct(F.lit(name).alias("factor"), F.lit(j).alias("position"), F.col(f"_s{i}_{j}").alias("share")))
     wide = partitions.groupBy(*by).agg(*cols)
@@ -93,8 +93,7 @@ def factor_pooled_frequency(spec: FactorSpec, partitions: DataFrame, by: list[st
     for i, name in enumerate(spec.names):
         if spec.bits[i] == 0:
             continue
-        merged = (spec.factor_mask(i) != spec.full_mask(i)).cast("double")
-        cols.append(F.avg(merged).alias(f"_p{i}"))
+        cols.append(F.expr(f"avg(if({spec.factor_mask_sql(i)} != {spec.full_mask(i)}L, 1.0D, 0.0D)) as _p{i}"))
         labels.append(F.struct(F.lit(name).alias("factor"), F.col(f"_p{i}").alias("share")))
     wide = partitions.groupBy(*by).agg(*cols)
     return wide.select(*by, F.explode(F.array(*labels)).alias("_x")).select(*by, "_x.*")
@@ -111,19 +110,13 @@ def effects_vs_base(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, k
     keep, by = list(keep), list(by)
     spread = spec.mask_boxes(partitions.select(*by, "profile_id", "cut_mask", *keep))
     means = bounded(boxes.select(*by, "box_id", "mean_y"), spec.n_boxes)
-    volume = F.lit(1)
-    for i in range(spec.m):
-        volume = volume * F.size(spec.box_levels(i))
     steps = []
     for i, name in enumerate(spec.names):
-        first = spec.segment_codes(i)[0]
-        base = F.col("box_id") + (first - spec.box_code(i)) * F.lit(spec.box_strides[i]).cast("long")
-        levels = F.filter(spec.box_levels(i), lambda l: l > 1)
-        per_level = (volume / F.size(spec.box_levels(i))).cast("long")
-        steps.append(F.transform(levels, lambda l, name=name, base=base, per_level=per_level: F.struct(
-            F.lit(name).alias("factor"), l.alias("level"), base.alias("base_box"), per_level.alias("n_cells"))))
-    rows = (spread.withColumn("_x", F.explode(F.flatten(F.array(*steps))))
-            .select(*by, "profile_id", "cut_mask", *keep, "box_id", "_x.*"))
+        base = f"box_id + {spec.segments_sql(i)}[0] - {spec.box_code_sql(i)} * {spec.box_strides[i]}L"
+        cells = f"({spec.box_volume_sql()}) div {spec.box_width_sql(i)}"
+        steps.append(f"transform(filter({spec.box_levels_sql(i)}, l -> l > 1), l -> "
+                     f"named_struct('factor', '{name}', 'level', l, 'base_box', {base}, 'n_cells', {cells}))")
+    rows = spread.selectExpr(*by, "profile_id", "cut_mask", *keep, "box_id", f"inline(flatten(array({', '.join(steps)})))")
     base_means = means.select(*by, F.col("box_id").alias("base_box"), F.col("mean_y").alias("_base"))
     return (rows.join(means, by + ["box_id"], "left").join(base_means, by + ["base_box"], "left")
             .withColumn("effect", F.coalesce("mean_y", F.lit(0.0)) - F.coalesce("_base", F.lit(0.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poolwise.runtime import materialize
 from poolwise.spec import FactorSpec
 
 
@@ -23,6 +24,15 @@ def cell_moments(spec: FactorSpec, obs: DataFrame, y: str = "y", by: list[str] =
             .withColumn("profile_id", spec.profile_of_policy()))
 
 
+def cell_table(spec: FactorSpec, obs: DataFrame, y: str = "y", by: list[str] = ()) -> DataFrame:
+    """The same, written to the shared folder: use it when more than one step looks at the cells.
+
+    Centres, totals, bounds and boxes all read cells; with the table on disk
+    the facts are scanned exactly once, also when an executor is lost later.
+    """
+    return materialize(cell_moments(spec, obs, y, by), "cells")
+
+
 def complete_cells(spec: FactorSpec, cells: DataFrame) -> DataFrame:
     """All cells of the design; those without facts carry zeros and a null mean."""
     every = cells.sparkSession.range(spec.n_policies).withColumnRenamed("id", "policy_id")

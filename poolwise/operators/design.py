@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from poolwise.runtime import materialize, scalar
-from poolwise.spec import FactorSpec
+from poolwise.spec import FactorSpec, every_sum
 
 
 def policies(spark: SparkSession, spec: FactorSpec) -> DataFrame:
@@ -16,9 +16,8 @@ def policies(spark: SparkSession, spec: FactorSpec) -> DataFrame:
 
 def profiles(spark: SparkSession, spec: FactorSpec) -> DataFrame:
     """All activity patterns."""
-    flags = [spec.is_active(i).cast("int").alias(f"active_{n}") for i, n in enumerate(spec.names)]
-    return (spark.range(spec.n_profiles).select(F.col("id").cast("int").alias("profile_id"))
-            .select("profile_id", *flags))
+    flags = [f"cast({spec.active_sql(i)} as int) as active_{n}" for i, n in enumerate(spec.names)]
+    return spark.range(spec.n_profiles).selectExpr("cast(id as int) as profile_id").selectExpr("profile_id", *flags)
 
 
 def encode(spec: FactorSpec, obs: DataFrame) -> DataFrame:
@@ -31,11 +30,11 @@ def local_ids(spec: FactorSpec, policies_df: DataFrame) -> DataFrame:
 
     The row itself is the map back to global ids (D7).
     """
-    local = F.lit(0).cast("long")
+    df = policies_df.withColumn("local_id", F.lit(0).cast("long"))
     for i, r in enumerate(spec.levels):
-        lev = spec.level(i)
-        local = F.when(lev > 0, local * (r - 1) + lev - 1).otherwise(local)
-    return policies_df.withColumn("local_id", local)
+        lev = spec.level_sql(i)
+        df = df.withColumn("local_id", F.expr(f"if({lev} > 0, local_id * {r - 1} + {lev} - 1, local_id)"))
+    return df
 
 
 def subset_profile(spec: FactorSpec, obs: DataFrame, profile_id: int) -> DataFrame:
@@ -61,7 +60,7 @@ def without_factor(df: DataFrame, spec: FactorSpec, factor: str) -> DataFrame:
     i = spec.names.index(factor)
     rest = FactorSpec([n for n in spec.names if n != factor],
                       [r for j, r in enumerate(spec.levels) if j != i])
-    return df.withColumn("rest_id", rest.policy_id([F.col(n) for n in rest.names])).drop(factor)
+    return df.withColumn("rest_id", rest.policy_id()).drop(factor)
 
 
 def weakly_dominates(x: list[Column], y: list[Column]) -> Column:
@@ -84,11 +83,9 @@ def dominance(spark: SparkSession, spec: FactorSpec) -> DataFrame:
 
 def dominated_cells(spec: FactorSpec, df: DataFrame, policy: str = "policy_id") -> DataFrame:
     """Add ``dominated_id``: one row per cell that ``policy`` dominates."""
-    for i, r in enumerate(spec.levels):
-        lev = spec.level(i, policy)
-        df = df.withColumn(f"_d{i}", F.explode(F.sequence(F.least(lev, F.lit(1)), lev)))
-    df = df.withColumn("dominated_id", spec.policy_id([F.col(f"_d{i}") for i in range(spec.m)]))
-    return df.drop(*[f"_d{i}" for i in range(spec.m)])
+    below = [f"transform(sequence(least({lev}, 1), {lev}), l -> l * {w}L)"
+             for lev, w in zip(spec.levels_sql(policy), spec.strides)]
+    return df.selectExpr("*", f"explode({every_sum(below)}) as dominated_id")
 
 
 def dummy_totals(spec: FactorSpec, cells: DataFrame) -> DataFrame:
@@ -103,16 +100,11 @@ def dummy_totals(spec: FactorSpec, cells: DataFrame) -> DataFrame:
 
 def lattice_edges(spark: SparkSession, spec: FactorSpec, within_profile: bool = True) -> DataFrame:
     """Pairs of cells one level apart in one factor (D12), found by id offset."""
-    base = spark.range(spec.n_policies).withColumnRenamed("id", "src")
-    steps = []
-    for i, r in enumerate(spec.levels):
-        lev = spec.level(i, "src")
-        low = 1 if within_profile else 0
-        step = F.struct((F.col("src") + spec.strides[i]).alias("dst"), F.lit(i).alias("factor"),
-                        lev.alias("lower_level"))
-        steps.append(F.when((lev >= low) & (lev < r - 1), step))
-    return (base.withColumn("_e", F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())))
-            .select("src", "_e.dst", "_e.factor", "_e.lower_level")
+    low = 1 if within_profile else 0
+    steps = [f"if({lev} between {low} and {r - 2}, named_struct('dst', src + {w}L, 'factor', {i}, 'lower_level', {lev}), null)"
+             for i, (lev, r, w) in enumerate(zip(spec.levels_sql("src"), spec.levels, spec.strides))]
+    return (spark.range(spec.n_policies).withColumnRenamed("id", "src")
+            .selectExpr("src", f"inline(filter(array({', '.join(steps)}), s -> s is not null))")
             .withColumn("profile_id", spec.profile_of_policy("src")))
 
 
@@ -122,22 +114,13 @@ def surviving_edges(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
     ``partitions`` has (profile_id, cut_mask).  Each partition writes down the
     cells of its profile and, per cell, the steps that are not cut.
     """
-    df = partitions.select("profile_id", "cut_mask")
-    for i, r in enumerate(spec.levels):
-        levels = F.when(spec.is_active(i), F.sequence(F.lit(1), F.lit(r - 1))).otherwise(F.array(F.lit(0)))
-        df = df.withColumn(f"_l{i}", F.explode(levels))
-    lev = [F.col(f"_l{i}") for i in range(spec.m)]
-    df = df.withColumn("src", spec.policy_id(lev))
-    steps = []
-    for i, r in enumerate(spec.levels):
-        if spec.bits[i] == 0:
-            continue
-        position = F.least(F.greatest(lev[i] - 1, F.lit(0)), F.lit(spec.bits[i] - 1))
-        uncut = F.call_function("shiftright", spec.factor_mask(i), position.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 0
-        step = F.struct((F.col("src") + spec.strides[i]).alias("dst"), F.lit(i).alias("factor"))
-        steps.append(F.when((lev[i] >= 1) & (lev[i] < r - 1) & uncut, step))
-    return (df.withColumn("_e", F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())))
-            .select("profile_id", "cut_mask", "src", "_e.dst", "_e.factor"))
+    cells = [f"transform(if({spec.active_sql(i)}, sequence(1, {r - 1}), array(0)), l -> l * {w}L)"
+             for i, (r, w) in enumerate(zip(spec.levels, spec.strides))]
+    steps = [f"if({lev} between 1 and {r - 2} and (shiftright({spec.factor_mask_sql(i)}, {lev} - 1) & 1L) = 0, "
+             f"named_struct('dst', src + {w}L, 'factor', {i}), null)"
+             for i, (lev, r, w) in enumerate(zip(spec.levels_sql("src"), spec.levels, spec.strides)) if r > 2]
+    return (partitions.selectExpr("profile_id", "cut_mask", f"explode({every_sum(cells)}) as src")
+            .selectExpr("profile_id", "cut_mask", "src", f"inline(filter(array({', '.join(steps)}), s -> s is not null))"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] = (), every: int = 4) -> DataFrame:

@@ -9,9 +9,9 @@ has.  Nothing of size partitions x cells is formed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwise.runtime import bounded, materialize
+from poolwise.runtime import bounded
 from poolwise.spec import FactorSpec
 
 # Expand at most about this many intervals per row before the boxes are summed up.
@@ -35,31 +35,29 @@ def enumerate_partitions(spark: SparkSession, spec: FactorSpec, profile_id: int
     total = 1
     for s in sizes:
         total *= s
-    rest, profile, mask = F.col("id"), F.lit(0).cast("long"), F.lit(0).cast("long")
+    weight, profile, mask = 1, [], []
     for i in reversed(range(spec.m)):
-        digit = F.call_function("mod", rest, F.lit(sizes[i]).cast("long"))
-        rest = F.call_function("div", rest, F.lit(sizes[i]).cast("long"))
+        digit = f"((id div {weight}L) % {sizes[i]}L)"
+        weight *= sizes[i]
         if profile_id is None:
-            profile = profile + F.when(digit > 0, F.lit(1 << (spec.m - 1 - i))).otherwise(F.lit(0)).cast("long")
-            digit = F.greatest(digit - 1, F.lit(0).cast("long"))
-        mask = mask + digit * F.lit(1 << spec.offsets[i]).cast("long")
-    profile = F.lit(profile_id) if profile_id is not None else profile
-    return (spark.range(total).select(profile.cast("int").alias("profile_id"), mask.alias("cut_mask"))
-            .withColumn("h", spec.pool_count()))
+            profile.append(f"if({digit} > 0, {spec.profile_bit(i)}, 0)")
+            digit = f"greatest({digit} - 1, 0L)"
+        mask.append(f"{digit} * {1 << spec.offsets[i]}L")
+    profile = " + ".join(profile) if profile_id is None else str(profile_id)
+    return (spark.range(total).selectExpr(f"cast({profile} as int) as profile_id", f"{' + '.join(mask)} as cut_mask")
+            .selectExpr("profile_id", "cut_mask", f"{spec.pool_count_sql()} as h"))
 
 
-def maximal_split(spec: FactorSpec, factor: int, start: int, mask: str | Column = "cut_mask") -> Column:
-    """All cuts of a factor from a position on, other cuts as they are."""
-    col = F.col(mask) if isinstance(mask, str) else mask
+def maximal_split(spec: FactorSpec, factor: int, start: int, mask: str = "cut_mask") -> str:
+    """SQL: all cuts of a factor from a position on, other cuts as they are."""
     extra = (spec.full_mask(factor) >> start << start) << spec.offsets[factor]
-    return col.bitwiseOR(F.lit(extra).cast("long"))
+    return f"({mask} | {extra}L)"
 
 
-def minimal_split(spec: FactorSpec, factor: int, start: int, mask: str | Column = "cut_mask") -> Column:
-    """No cut of a factor from a position on: the fewest pools below that node."""
-    col = F.col(mask) if isinstance(mask, str) else mask
-    keep = ~((spec.full_mask(factor) >> start << start) << spec.offsets[factor])
-    return col.bitwiseAND(F.lit(keep & ((1 << 62) - 1)).cast("long"))
+def minimal_split(spec: FactorSpec, factor: int, start: int, mask: str = "cut_mask") -> str:
+    """SQL: no cut of a factor from a position on, i.e. the fewest pools below that node."""
+    drop = (spec.full_mask(factor) >> start << start) << spec.offsets[factor]
+    return f"({mask} & {((1 << 62) - 1) & ~drop}L)"
 
 
 def assign_pools(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
@@ -68,9 +66,8 @@ def assign_pools(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
     The cells of a profile are written down by arithmetic, so this is a narrow
     map over the partitions; use it for chosen partitions, not to score spaces.
     """
-    df = spec.mask_boxes(partitions)
-    df = spec.box_policies(df)
-    return df.withColumn("pool_id", spec.pool_id([spec.level(i) for i in range(spec.m)]))
+    df = spec.box_policies(spec.mask_boxes(partitions))
+    return df.withColumn("pool_id", F.expr(spec.pool_sql(spec.levels_sql())))
 
 
 def box_moments(spec: FactorSpec, cells: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -82,8 +79,8 @@ def box_moments(spec: FactorSpec, cells: DataFrame, by: list[str] = ()) -> DataF
     centre = cells.agg(F.sum("sum_y") / F.sum("n")).scalar()
     sums = ["n", "sum_y", "_s", "_ss", "ssw"]
     df = (cells.withColumn("_d", F.col("mean_y") - centre)
-          .select(*by, *spec.level_columns(), "n", "sum_y", "ssw", (F.col("n") * F.col("_d")).alias("_s"),
-                  (F.col("n") * F.col("_d") * F.col("_d")).alias("_ss")))
+          .selectExpr(*by, *[f"{x} as {n}" for x, n in zip(spec.levels_sql(), spec.names)], "n", "sum_y", "ssw",
+                      "n * _d as _s", "n * _d * _d as _ss"))
     return _finish_boxes(sum_over_boxes(spec, df, sums, by))
 
 
@@ -95,19 +92,17 @@ def sum_over_boxes(spec: FactorSpec, df: DataFrame, sums: list[str], by: list[st
     whatever the number of factors.
     """
     by = list(by)
-    df = df.withColumn("box_id", F.lit(0).cast("long"))
-    fanout = 1
+    base, factors, fanout = "0L", [], 1
     for i in range(spec.m):
         n = spec.levels[i] - 1
-        code = f"_c{i}"
-        df = (df.withColumn(code, F.explode(spec.covering_codes(i, F.col(spec.names[i]))))
-              .withColumn("box_id", F.col("box_id") + F.col(code) * F.lit(spec.box_strides[i]).cast("long"))
-              .drop(code, spec.names[i]))
+        factors.append(i)
         fanout *= max(1, (n + 1) * (n + 2) // 6)
         if fanout > STAGE_FANOUT or i == spec.m - 1:
             rest = list(spec.names[i + 1:])
-            df = df.groupBy(*by, *rest, "box_id").agg(*[F.sum(c).alias(c) for c in sums])
-            fanout = 1
+            codes = spec.covering_sql(factors, [spec.names[j] for j in factors])
+            df = (df.selectExpr(*by, *rest, *sums, f"{base} as _base", f"explode({codes}) as _code")
+                  .groupBy(*by, *rest, (F.col("_base") + F.col("_code")).alias("box_id")).agg(*[F.sum(c).alias(c) for c in sums]))
+            base, factors, fanout = "box_id", [], 1
     return df
 
 
@@ -120,8 +115,7 @@ def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by:
     by = list(by)
     centre = cells.agg(F.sum("sum_y") / F.sum("n")).scalar()
     moments = (cells.withColumn("_d", F.col("mean_y") - centre)
-               .select(*by, "policy_id", "n", "sum_y", "ssw", (F.col("n") * F.col("_d")).alias("_s"),
-                       (F.col("n") * F.col("_d") * F.col("_d")).alias("_ss")))
+               .selectExpr(*by, "policy_id", "n", "sum_y", "ssw", "n * _d as _s", "n * _d * _d as _ss"))
     spread = spec.box_policies(boxes.select(*by, "box_id").distinct())
     df = (spread.join(bounded(moments, spec.n_policies), by + ["policy_id"])
           .groupBy(*by, "box_id").agg(*[F.sum(c).alias(c) for c in ["n", "sum_y", "_s", "_ss", "ssw"]]))
@@ -129,9 +123,8 @@ def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by:
 
 
 def _finish_boxes(df: DataFrame) -> DataFrame:
-    between = F.greatest(F.col("_ss") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0))
-    return (df.withColumn("mean_y", F.col("sum_y") / F.col("n"))
-            .withColumn("sse", between + F.col("ssw")).drop("_s", "_ss", "ssw"))
+    keep = [c for c in df.columns if c not in ("_s", "_ss", "ssw")]
+    return df.selectExpr(*keep, "sum_y / n as mean_y", "greatest(_ss - _s * _s / n, 0.0D) + ssw as sse")
 
 
 def partition_errors(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, by: list[str] = (),
@@ -165,8 +158,7 @@ def score_partitions(spec: FactorSpec, partitions: DataFrame, cells: DataFrame,
         err = err.join(cells.groupBy(*by).agg(F.sum("n").alias("_total")), by)
     else:
         err = err.withColumn("_total", cells.agg(F.sum("n")).scalar())
-    return (err.withColumn("q", F.col("sse") / F.col("_total") + F.lit(float(reg)) * F.col("h"))
-            .select(*by, "profile_id", "cut_mask", "h", "sse", "q"))
+    return err.selectExpr(*by, "profile_id", "cut_mask", "h", "sse", f"sse / _total + {float(reg)!r}D * h as q")
 
 
 def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, factor: int, position: int, reg: float) -> DataFrame:
@@ -175,11 +167,9 @@ def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, facto
     The maximal split cuts ``factor`` from ``position`` on; the fewest pools
     merge it again after ``position``.
     """
-    few = minimal_split(spec, factor, position + 1, F.col("_split"))
-    nodes = (partitions.select("profile_id", F.col("cut_mask").alias("node_mask"))
-             .withColumn("_split", maximal_split(spec, factor, position, F.col("node_mask")))
-             .withColumn("h_min", spec.pool_count(few))
-             .withColumnRenamed("_split", "cut_mask"))
+    split = maximal_split(spec, factor, position)
+    few = minimal_split(spec, factor, position + 1, split)
+    nodes = partitions.selectExpr("profile_id", "cut_mask as node_mask", f"{split} as cut_mask", f"{spec.pool_count_sql(few)} as h_min")
     err = partition_errors(spec, nodes, box_moments(spec, cells), keep=["node_mask", "h_min"])
     total = cells.agg(F.sum("n")).scalar()
     return (err.withColumn("_total", total)

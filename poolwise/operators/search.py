@@ -47,30 +47,28 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
         start = start.join(theta_by_profile.select("profile_id", "theta"), "profile_id")
     else:
         start = start.withColumn("theta", F.lit(theta) if not isinstance(theta, Column) else theta)
-    nodes = start.withColumn("cut_mask", spec.full_mask_of_profile())
+    nodes = start.selectExpr("profile_id", f"{spec.full_mask_sql()} as cut_mask", "cast(theta as double) as theta", "sse")
 
-    budget = F.lit(True) if max_pools is None else F.col("h") <= max_pools
+    penalty = f"{float(reg)!r}D * h"
+    budget = "true" if max_pools is None else f"h <= {max_pools}"
     positions = [(i, j) for i in range(spec.m) for j in range(spec.bits[i])]
     for turn, (i, j) in enumerate(positions):
         bit = 1 << (spec.offsets[i] + j)
-        decided = (bit << 1) - 1
-        children = (nodes.withColumn("_merge", F.explode(F.when(spec.is_active(i), F.array(F.lit(False), F.lit(True)))
-                                                         .otherwise(F.array(F.lit(False)))))
-                    .withColumn("cut_mask", F.when(F.col("_merge"), F.col("cut_mask") - F.lit(bit)).otherwise(F.col("cut_mask")))
-                    .withColumn("h", spec.pool_count(F.col("cut_mask").bitwiseAND(F.lit(decided).cast("long"))))
-                    .where(budget & (F.lit(float(reg)) * F.col("h") <= F.col("theta"))))
-        spread = spec.mask_boxes(children, only=F.col("_merge"))
+        decided = f"(cut_mask & {(bit << 1) - 1}L)"
+        children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array(false, true), array(false))) as _merge")
+                    .selectExpr("profile_id", f"if(_merge, cut_mask - {bit}L, cut_mask) as cut_mask", "theta", "sse", "_merge")
+                    .selectExpr("*", f"{spec.pool_count_sql(decided)} as h")
+                    .where(f"{budget} and {penalty} <= theta"))
+        spread = spec.mask_boxes(children, only="_merge")
         nodes = (spread.join(side, "box_id", "left")
-                 .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", F.col("sse").alias("_parent"))
-                 .agg(F.coalesce(F.sum("_box_sse"), F.lit(0.0)).alias("_own"))
-                 .withColumn("sse", F.when(F.col("_merge"), F.col("_own")).otherwise(F.col("_parent")))
-                 .where(F.col("sse") / total + F.lit(float(reg)) * F.col("h") <= F.col("theta"))
-                 .select("profile_id", "cut_mask", "theta", "sse"))
+                 .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", "sse").agg(F.sum("_box_sse").alias("_own"))
+                 .selectExpr("profile_id", "cut_mask", "theta", "if(_merge, coalesce(_own, 0.0D), sse) as sse", "h")
+                 .where(f"sse / {total} + {penalty} <= theta").drop("h"))
         if (turn + 1) % ROUNDS_PER_CUT == 0 and turn + 1 < len(positions):
             nodes = materialize(nodes, "frontier")
-    out = nodes.withColumn("h", spec.pool_count()).where(budget)
-    return (out.withColumn("q", F.col("sse") / total + F.lit(float(reg)) * F.col("h"))
-            .where(F.col("q") <= F.col("theta")).select("profile_id", "cut_mask", "h", "sse", "q"))
+    return (nodes.selectExpr("*", f"{spec.pool_count_sql()} as h").where(budget)
+            .selectExpr("profile_id", "cut_mask", "h", "sse", f"sse / {total} + {penalty} as q", "theta")
+            .where("q <= theta").drop("theta"))
 
 
 def batch_scores(spec: FactorSpec, cells: DataFrame, key: str, values: list, reg: float,

@@ -112,8 +112,7 @@ def slope_scores(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, boxe
 def slope_lower_bounds(spec: FactorSpec, boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Error of one line per cell, per profile, over all rows (L4)."""
     total = cells.agg(F.sum("n")).scalar()
-    singles = cells.select("profile_id", spec.containing_box([spec.level(i) for i in range(spec.m)],
-                                                             spec.full_mask_of_profile()).alias("box_id"))
+    singles = cells.selectExpr("profile_id", f"{spec.containing_box_sql(spec.levels_sql(), spec.full_mask_sql())} as box_id")
     return (singles.join(bounded(boxes.select("box_id", "sse"), spec.n_boxes), "box_id")
             .groupBy("profile_id").agg(F.sum("sse").alias("_sse")).withColumn("lower_bound", F.col("_sse") / total).drop("_sse"))
 

@@ -47,16 +47,13 @@ def refinement(spec: FactorSpec, pairs: DataFrame, treatment: str) -> DataFrame:
     ``n_cells`` is the number of matched cell pairs in it.
     """
     ti = spec.names.index(treatment)
-    bit = treatment_bit(spec, treatment)
-    df = (pairs.withColumn("cut_mask", F.coalesce("mask_t", F.lit(0)).bitwiseOR(F.coalesce("mask_c", F.lit(0))).cast("long"))
-          .withColumn("profile_id", F.col("rest_profile")))
-    df = spec.mask_boxes(df).withColumnRenamed("box_id", "shared_box")
-    lows = [spec.box_low(i, "shared_box") for i in range(spec.m)]
+    shared = "(coalesce(mask_t, 0L) | coalesce(mask_c, 0L))"
+    df = spec.mask_boxes(pairs, shared, "rest_profile").withColumnRenamed("box_id", "shared_box")
     def side(level, mask):
-        cols = [F.lit(level) if i == ti else c for i, c in enumerate(lows)]
-        return F.when(F.col(mask).isNotNull(), spec.containing_box(cols, F.col(mask)))
-    return (df.withColumn("box_t", side(1, "mask_t")).withColumn("box_c", side(0, "mask_c"))
-            .withColumn("n_cells", spec.box_volume("shared_box")).drop("cut_mask", "profile_id"))
+        lows = [str(level) if i == ti else spec.box_low_sql(i, "shared_box") for i in range(spec.m)]
+        return f"if({mask} is not null, {spec.containing_box_sql(lows, mask)}, null)"
+    return df.selectExpr("*", f"{side(1, 'mask_t')} as box_t", f"{side(0, 'mask_c')} as box_c",
+                         f"{spec.box_volume_sql('shared_box')} as n_cells")
 
 
 def overlap(spec: FactorSpec, pairs: DataFrame, treatment: str) -> DataFrame:
@@ -68,12 +65,10 @@ def overlap(spec: FactorSpec, pairs: DataFrame, treatment: str) -> DataFrame:
 def can_merge(spec: FactorSpec, treatment: str) -> Column:
     """Both sides have a partition, and the control side is not a design of a single cell."""
     ti = spec.names.index(treatment)
-    actives = [F.when(spec.is_active(i, "rest_profile"), 1).otherwise(0) for i in range(spec.m) if i != ti]
-    wide = [F.when(spec.is_active(i, "rest_profile"), 1).otherwise(0) for i in range(spec.m)
-            if i != ti and spec.levels[i] > 2]
-    wide_count = sum(wide[1:], wide[0]) if wide else F.lit(0)
-    some = sum(actives[1:], actives[0])
-    return F.col("mask_t").isNotNull() & F.col("mask_c").isNotNull() & ((some >= 2) | (wide_count >= 1))
+    rest = [i for i in range(spec.m) if i != ti]
+    active = " + ".join(f"if({spec.active_sql(i, 'rest_profile')}, 1, 0)" for i in rest)
+    wide = " or ".join(spec.active_sql(i, "rest_profile") for i in rest if spec.levels[i] > 2) or "false"
+    return F.expr(f"mask_t is not null and mask_c is not null and (({active}) >= 2 or {wide})")
 
 
 def merge_costs(spec: FactorSpec, overlaps: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -191,10 +186,9 @@ def combine_treatment_sets(spec: FactorSpec, te_sets: DataFrame, treatment: str,
     """One merged pair per feature profile with total loss at most theta."""
     from poolwise.operators.models import combine
     ti = spec.names.index(treatment)
-    bits = [1 << (spec.m - 1 - i) for i in range(spec.m) if i != ti]
+    rest = [i for i in range(spec.m) if i != ti]
     # feature profiles are numbered without the treatment bit
-    slot = sum(((F.when(F.col("rest_profile").bitwiseAND(F.lit(b)) != 0, 1).otherwise(0) * (1 << (len(bits) - 1 - k)))
-                for k, b in enumerate(bits[1:], 1)), F.when(F.col("rest_profile").bitwiseAND(F.lit(bits[0])) != 0, 1 << (len(bits) - 1)).otherwise(0))
+    slot = F.expr(" + ".join(f"if({spec.active_sql(i, 'rest_profile')}, {1 << (len(rest) - 1 - k)}, 0)" for k, i in enumerate(rest)))
     merges = F.array_join(F.transform("merges", lambda m: F.concat_ws("~", m["box_t"].cast("string"), m["box_c"].cast("string"))), ",")
     name = F.concat_ws(":", F.col("rest_profile").cast("string"), F.coalesce(F.col("mask_t").cast("string"), F.lit("")),
                        F.coalesce(F.col("mask_c").cast("string"), F.lit("")), merges)

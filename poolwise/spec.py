@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from math import prod
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -87,159 +87,163 @@ class FactorSpec:
     def full_mask(self, i: int) -> int:
         return (1 << self.bits[i]) - 1
 
-    # ---- column expressions --------------------------------------------------------------
+    # ---- SQL expressions ------------------------------------------------------------------
+    #
+    # Arguments are SQL expressions, by default the column of that name.  Whole
+    # expressions are handed to the parser as text: one call per expression
+    # instead of one per operator keeps the driver out of the way.
 
-    def policy_id(self, cols: list[Column] | None = None) -> Column:
-        cols = cols or [F.col(n) for n in self.names]
-        return _weighted(cols, self.strides)
+    def policy_sql(self, levels: list[str] | None = None) -> str:
+        return _weighted(levels or list(self.names), self.strides)
 
-    def level(self, i: int, policy: str | Column = "policy_id") -> Column:
-        pid = F.col(policy) if isinstance(policy, str) else policy
-        return _digit(pid, self.strides[i], self.levels[i]).cast("int")
+    def level_sql(self, i: int, policy: str = "policy_id") -> str:
+        return f"cast({_digit(policy, self.strides[i], self.levels[i])} as int)"
 
-    def level_columns(self, policy: str | Column = "policy_id") -> list[Column]:
-        return [self.level(i, policy).alias(n) for i, n in enumerate(self.names)]
-
-    def profile_id(self, cols: list[Column] | None = None) -> Column:
-        cols = cols or [F.col(n) for n in self.names]
-        flags = [F.when(c > 0, 1).otherwise(0) for c in cols]
-        return _weighted(flags, [1 << (self.m - 1 - i) for i in range(self.m)]).cast("int")
+    def levels_sql(self, policy: str = "policy_id") -> list[str]:
+        return [self.level_sql(i, policy) for i in range(self.m)]
 
-    def profile_of_policy(self, policy: str | Column = "policy_id") -> Column:
-        return self.profile_id([self.level(i, policy) for i in range(self.m)])
+    def profile_sql(self, levels: list[str] | None = None) -> str:
+        flags = [f"if({c} > 0, {self.profile_bit(i)}, 0)" for i, c in enumerate(levels or self.names)]
+        return f"cast({' + '.join(flags)} as int)"
 
-    def is_active(self, i: int, profile: str | Column = "profile_id") -> Column:
-        pid = F.col(profile) if isinstance(profile, str) else profile
-        return pid.bitwiseAND(F.lit(1 << (self.m - 1 - i))) != 0
+    def profile_bit(self, i: int) -> int:
+        return 1 << (self.m - 1 - i)
 
-    def factor_mask(self, i: int, mask: str | Column = "cut_mask") -> Column:
-        col = F.col(mask) if isinstance(mask, str) else mask
-        return F.shiftright(col, self.offsets[i]).bitwiseAND(F.lit(self.full_mask(i)).cast("long"))
+    def active_sql(self, i: int, profile: str = "profile_id") -> str:
+        return f"(({profile}) & {self.profile_bit(i)}) != 0"
 
-    def full_mask_of_profile(self, profile: str | Column = "profile_id") -> Column:
-        """Every admissible cut of the profile set."""
-        parts = [F.when(self.is_active(i, profile), F.lit(self.full_mask(i) << self.offsets[i]))
-                 .otherwise(F.lit(0)) for i in range(self.m)]
-        return sum(parts[1:], parts[0]).cast("long")
+    def factor_mask_sql(self, i: int, mask: str = "cut_mask") -> str:
+        return f"(shiftright({mask}, {self.offsets[i]}) & {self.full_mask(i)}L)"
 
-    def cuts(self, mask: str | Column = "cut_mask") -> list[Column]:
-        return [F.bit_count(self.factor_mask(i, mask)) for i in range(self.m)]
+    def full_mask_sql(self, profile: str = "profile_id") -> str:
+        """Every admissible cut of the profile."""
+        parts = [f"if({self.active_sql(i, profile)}, {self.full_mask(i) << self.offsets[i]}L, 0L)" for i in range(self.m)]
+        return "(" + " + ".join(parts) + ")"
 
-    def pool_count(self, mask: str | Column = "cut_mask") -> Column:
+    def pool_count_sql(self, mask: str = "cut_mask") -> str:
         """Segments multiply over factors; inactive factors carry no bits and count once."""
-        return _product([c + 1 for c in self.cuts(mask)]).cast("long")
+        parts = [f"(1L + bit_count({self.factor_mask_sql(i, mask)}))" for i in range(self.m) if self.bits[i]]
+        return " * ".join(parts) or "1L"
 
-    def segment(self, i: int, level: Column, mask: str | Column = "cut_mask") -> Column:
+    def segment_sql(self, i: int, level: str, mask: str = "cut_mask") -> str:
         """Rank of the level's segment: the number of cuts below the level."""
-        return F.bit_count(self.factor_mask(i, mask).bitwiseAND(_low_bits(level - 1)))
+        return f"bit_count({self.factor_mask_sql(i, mask)} & (shiftleft(1L, greatest({level} - 1, 0)) - 1))"
 
-    def pool_id(self, level_cols: list[Column] | None = None, mask: str | Column = "cut_mask") -> Column:
-        cols = level_cols or [F.col(n) for n in self.names]
-        return _weighted([self.segment(i, c, mask) for i, c in enumerate(cols)], self.strides)
+    def pool_sql(self, levels: list[str] | None = None, mask: str = "cut_mask") -> str:
+        return _weighted([self.segment_sql(i, c, mask) for i, c in enumerate(levels or self.names)], self.strides)
 
-    def segment_codes(self, i: int, mask: str | Column = "cut_mask",
-                      profile: str | Column = "profile_id") -> Column:
-        """ARRAY<BIGINT> of the interval codes that the mask makes of factor ``i``."""
-        r, n = self.levels[i], self.levels[i] - 1
+    def segments_sql(self, i: int, mask: str = "cut_mask", profile: str = "profile_id") -> str:
+        """ARRAY<BIGINT> of the interval codes, times their radix weight, that the mask makes of factor ``i``."""
+        r, n, w = self.levels[i], self.levels[i] - 1, self.box_strides[i]
         if n == 1:
-            codes = F.array(F.lit(r + 1).cast("long"))
+            codes = f"array({(r + 1) * w}L)"
         else:
-            fm = self.factor_mask(i, mask)
-            every = F.sequence(F.lit(1), F.lit(n))
-            starts = F.filter(every, lambda l: (l == 1) | _bit(fm, l - 2))
-            ends = F.filter(every, lambda l: (l == n) | _bit(fm, l - 1))
-            codes = F.zip_with(starts, ends, lambda a, b: (a * r + b).cast("long"))
-        return F.when(self.is_active(i, profile), codes).otherwise(F.array(F.lit(0).cast("long")))
-
-    def covering_codes(self, i: int, level: Column) -> Column:
-        """ARRAY<BIGINT> of the codes of all intervals of factor ``i`` that hold the level."""
-        r, n = self.levels[i], self.levels[i] - 1
-        los = F.sequence(F.lit(1), F.greatest(level, F.lit(1)))
-        his = F.sequence(F.greatest(level, F.lit(1)), F.lit(n))
-        codes = F.flatten(F.transform(los, lambda a: F.transform(his, lambda b: (a * r + b).cast("long"))))
-        return F.when(level > 0, codes).otherwise(F.array(F.lit(0).cast("long")))
-
-    def containing_code(self, i: int, level: Column, mask: str | Column = "cut_mask") -> Column:
-        """Interval code of the segment that holds the level (0 for an inactive factor)."""
-        r, n = self.levels[i], self.levels[i] - 1
-        if n == 1:
-            return F.when(level > 0, F.lit(r + 1)).otherwise(F.lit(0)).cast("long")
-        fm = self.factor_mask(i, mask)
-        below = fm.bitwiseAND(_low_bits(level - 1))
-        above = F.call_function("shiftright", fm, F.greatest(level - 1, F.lit(0)).cast("int"))
-        lo = F.when(below == 0, F.lit(1)).otherwise(F.length(F.bin(below)) + 1)
-        hi = F.when(above == 0, F.lit(n)).otherwise(level + F.bit_count(above.bitwiseAND(-above) - 1))
-        return F.when(level > 0, lo * r + hi).otherwise(F.lit(0)).cast("long")
-
-    def containing_box(self, level_cols: list[Column], mask: str | Column = "cut_mask") -> Column:
-        """Box of the partition that holds the given cell."""
-        return _weighted([self.containing_code(i, c, mask) for i, c in enumerate(level_cols)], self.box_strides)
-
-    def box_low(self, i: int, box: str | Column = "box_id") -> Column:
+            fm, every = self.factor_mask_sql(i, mask), f"sequence(1, {n})"
+            starts = f"filter({every}, l -> l = 1 or (shiftright({fm}, greatest(l - 2, 0)) & 1L) = 1)"
+            ends = f"filter({every}, l -> l = {n} or (shiftright({fm}, l - 1) & 1L) = 1)"
+            codes = f"zip_with({starts}, {ends}, (a, b) -> (a * {r} + b) * {w}L)"
+        return f"if({self.active_sql(i, profile)}, {codes}, array(0L))"
+
+    def boxes_sql(self, mask: str = "cut_mask", profile: str = "profile_id") -> str:
+        """ARRAY<BIGINT> of all boxes of the partition."""
+        return every_sum([self.segments_sql(i, mask, profile) for i in range(self.m)])
+
+    def covering_sql(self, factors: list[int], level: list[str]) -> str:
+        """ARRAY<BIGINT> of the (partial) box ids over the given factors that hold the levels."""
+        parts = []
+        for i, c in zip(factors, level):
+            r, n, w = self.levels[i], self.levels[i] - 1, self.box_strides[i]
+            codes = (f"flatten(transform(sequence(1, greatest({c}, 1)), a -> "
+                     f"transform(sequence(greatest({c}, 1), {n}), b -> (a * {r} + b) * {w}L)))")
+            parts.append(f"if({c} > 0, {codes}, array(0L))")
+        return every_sum(parts)
+
+    def containing_box_sql(self, levels: list[str], mask: str = "cut_mask") -> str:
+        """Box of the partition that holds the cell with the given levels."""
+        out = []
+        for i, c in enumerate(levels):
+            r, n = self.levels[i], self.levels[i] - 1
+            if n == 1:
+                out.append(f"if({c} > 0, {r + 1}, 0)")
+                continue
+            fm = self.factor_mask_sql(i, mask)
+            below = f"({fm} & (shiftleft(1L, greatest({c} - 1, 0)) - 1))"
+            above = f"shiftright({fm}, greatest({c} - 1, 0))"
+            lo = f"if({below} = 0, 1, length(bin({below})) + 1)"
+            hi = f"if({above} = 0, {n}, {c} + bit_count(({above} & -{above}) - 1))"
+            out.append(f"if({c} > 0, {lo} * {r} + {hi}, 0)")
+        return _weighted(out, self.box_strides)
+
+    def box_code_sql(self, i: int, box: str = "box_id") -> str:
+        return _digit(box, self.box_strides[i], self.levels[i] ** 2)
+
+    def box_low_sql(self, i: int, box: str = "box_id") -> str:
         """Smallest level of factor ``i`` in the box."""
-        return F.floor(self.box_code(i, box) / self.levels[i]).cast("int")
+        return f"cast({self.box_code_sql(i, box)} div {self.levels[i]} as int)"
+
+    def box_levels_sql(self, i: int, box: str = "box_id") -> str:
+        """ARRAY<INT> of the levels of factor ``i`` inside the box."""
+        return f"sequence({self.box_low_sql(i, box)}, cast({self.box_code_sql(i, box)} % {self.levels[i]} as int))"
 
-    def box_volume(self, box: str | Column = "box_id") -> Column:
+    def box_width_sql(self, i: int, box: str = "box_id") -> str:
+        return f"(1L + {self.box_code_sql(i, box)} % {self.levels[i]} - {self.box_code_sql(i, box)} div {self.levels[i]})"
+
+    def box_volume_sql(self, box: str = "box_id") -> str:
         """Number of cells in the box."""
-        return _product([F.size(self.box_levels(i, box)) for i in range(self.m)])
+        return " * ".join(self.box_width_sql(i, box) for i in range(self.m))
 
-    def box_code(self, i: int, box: str | Column = "box_id") -> Column:
-        col = F.col(box) if isinstance(box, str) else box
-        return _digit(col, self.box_strides[i], self.levels[i] ** 2)
+    def box_policies_sql(self, box: str = "box_id") -> str:
+        """ARRAY<BIGINT> of the cells inside the box."""
+        return every_sum([f"transform({self.box_levels_sql(i, box)}, l -> l * {self.strides[i]}L)" for i in range(self.m)])
 
-    def box_levels(self, i: int, box: str | Column = "box_id") -> Column:
-        """ARRAY<INT> of the levels of factor ``i`` inside the box."""
-        code, r = self.box_code(i, box), self.levels[i]
-        return F.sequence(F.floor(code / r).cast("int"), (code % r).cast("int"))
+    # ---- columns and row expansions ---------------------------------------------------------
+
+    def policy_id(self, levels: list[str] | None = None) -> Column:
+        return F.expr(self.policy_sql(levels))
+
+    def profile_id(self, levels: list[str] | None = None) -> Column:
+        return F.expr(self.profile_sql(levels))
 
-    def box_policies(self, df, box: str = "box_id", out: str = "policy_id"):
-        """One row per (row, policy inside its box)."""
-        for i in range(self.m):
-            df = df.withColumn(f"_l{i}", F.explode(self.box_levels(i, box)))
-        df = df.withColumn(out, _weighted([F.col(f"_l{i}") for i in range(self.m)], self.strides))
-        return df.drop(*[f"_l{i}" for i in range(self.m)])
+    def profile_of_policy(self, policy: str = "policy_id") -> Column:
+        return F.expr(self.profile_sql(self.levels_sql(policy)))
 
-    def mask_boxes(self, df, mask: str = "cut_mask", profile: str = "profile_id", only: Column | None = None):
+    def level(self, i: int, policy: str = "policy_id") -> Column:
+        return F.expr(self.level_sql(i, policy))
+
+    def level_columns(self, policy: str = "policy_id") -> list[Column]:
+        return [self.level(i, policy).alias(n) for i, n in enumerate(self.names)]
+
+    def pool_count(self, mask: str = "cut_mask") -> Column:
+        return F.expr(self.pool_count_sql(mask))
+
+    def mask_boxes(self, df: DataFrame, mask: str = "cut_mask", profile: str = "profile_id", only: str | None = None) -> DataFrame:
         """One row per (row, box of its partition), in column ``box_id``.
 
         ``only`` limits the expansion: other rows pass once with a null box.
         """
-        none = F.array(F.lit(None).cast("long"))
-        for i in range(self.m):
-            codes = self.segment_codes(i, mask, profile)
-            if only is not None:
-                codes = F.when(only, codes).otherwise(none)
-            df = df.withColumn(f"_c{i}", F.explode(codes))
-        df = df.withColumn("box_id", _weighted([F.col(f"_c{i}") for i in range(self.m)], self.box_strides))
-        return df.drop(*[f"_c{i}" for i in range(self.m)])
-
-
-def _weighted(cols, weights) -> Column:
-    terms = [c.cast("long") * F.lit(w).cast("long") if w != 1 else c.cast("long")
-             for c, w in zip(cols, weights)]
-    return sum(terms[1:], terms[0])
-
-
-def _product(cols) -> Column:
-    out = cols[0].cast("long")
-    for c in cols[1:]:
-        out = out * c.cast("long")
-    return out
+        boxes = self.boxes_sql(mask, profile)
+        if only is not None:
+            boxes = f"if({only}, {boxes}, array(cast(null as bigint)))"
+        return df.selectExpr("*", f"explode({boxes}) as box_id")
 
-
-def _digit(col: Column, stride: int, base: int) -> Column:
-    # integral division stays exact where a floating quotient would not
-    q = col if stride == 1 else F.call_function("div", col, F.lit(stride).cast("long"))
-    return F.call_function("mod", q, F.lit(base).cast("long"))
+    def box_policies(self, df: DataFrame, box: str = "box_id", out: str = "policy_id") -> DataFrame:
+        """One row per (row, cell inside its box)."""
+        return df.selectExpr("*", f"explode({self.box_policies_sql(box)}) as {out}")
 
 
-def _shift_one(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+def _weighted(terms, weights) -> str:
+    return "(" + " + ".join(f"({t}) * {w}L" for t, w in zip(terms, weights)) + ")"
 
 
-def _low_bits(n: Column) -> Column:
-    return _shift_one(F.greatest(n, F.lit(0))) - 1
+def _digit(value: str, stride: int, base: int) -> str:
+    # integral division stays exact where a floating quotient would not
+    quotient = value if stride == 1 else f"({value} div {stride}L)"
+    return f"({quotient} % {base}L)"
 
 
-def _bit(mask: Column, position: Column) -> Column:
-    return mask.bitwiseAND(_shift_one(F.greatest(position, F.lit(0)))) != 0
+def every_sum(arrays: list[str]) -> str:
+    """Every sum of one element per array."""
+    out = arrays[0]
+    for k, x in enumerate(arrays[1:]):
+        out = f"flatten(transform({out}, s{k} -> transform({x}, t{k} -> s{k} + t{k})))"
+    return out
