@@ -123,7 +123,7 @@ def effects_vs_base(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, k
             .drop("mean_y", "_base"))
 
 
-def spreadattach(effects: DataFrame, by: list[str], count: str = "n_cells") -> DataFrame:
+def spread_of(effects: DataFrame, by: list[str], count: str = "n_cells") -> DataFrame:
     """Population standard deviation and mean of effects that stand for ``count`` cells each."""
     n = F.sum(count)
     mean = F.sum(F.col(count) * F.col("effect")) / n
@@ -143,7 +143,7 @@ def sigma_bin(effect: Column, sigma: Column, bins: int = 5) -> Column:
 def effect_histogram(effects: DataFrame, by: list[str], scale_by: list[str], weight: str = "weight",
                      count: str = "n_cells", bins: int = 5) -> DataFrame:
     """Share of weight in each sigma bin per group (B10), one column per bin."""
-    sigma = spreadattach(effects, scale_by, count)
+    sigma = spread_of(effects, scale_by, count)
     df = effects.join(sigma, scale_by).withColumn("_bin", sigma_bin(F.col("effect"), F.col("sigma"), bins))
     mass = F.col(weight) * F.col(count)
     total = F.sum(mass)
@@ -191,11 +191,11 @@ def approximation_error(scored: DataFrame, space_size: int, by: list[str] = (),
     the least of both and 1; ``hyperbola`` is 1 / mass - mass.
     """
     df = weights(scored, by=by).withColumn("_key", F.round("q", digits))
-    df = running(df, list(by), ["_key", "cut_mask"], position="rps_size").drop("_key")
-    df = df.withColumn("mass", F.col("weight") * F.col("rps_size"))
+    df = running(df, list(by), ["_key", "cut_mask"], position="set_size").drop("_key")
+    df = df.withColumn("mass", F.col("weight") * F.col("set_size"))
     df = attach(df, list(by), _best=F.min("q")).withColumn("epsilon", F.col("q") / F.col("_best") - 1).drop("_best")
     df = df.withColumn("error", 2 * (1 - F.col("mass")))
-    df = df.withColumn("error2", 2 * F.col("weight") * (F.lit(space_size) - F.col("rps_size")))
+    df = df.withColumn("error2", 2 * F.col("weight") * (F.lit(space_size) - F.col("set_size")))
     return (df.withColumn("error_best", F.least("error", "error2", F.lit(1.0)))
             .withColumn("hyperbola", 1 / F.col("mass") - F.col("mass")))
 

@@ -10,9 +10,12 @@ from poolwise.runtime import materialize, scalar
 from poolwise.spec import FactorSpec
 
 # Excess losses are cut into this many bands for the band join.
-BANDS = 64
-# Copies of the right side that split one heavy band over several tasks.
+BANDS = 16
+# Copies of the right side that split one heavy band over several tasks, and the pair count from which they pay.
 SALTS = 16
+SALT_FROM = 1_000_000
+# Merge rounds planned as one job.
+ROUNDS_PER_CUT = 2
 
 
 def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, max_pools: int | None = None,
@@ -43,66 +46,77 @@ def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, m
 def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None = None) -> DataFrame:
     """All choices of one item per slot whose losses sum to at most theta.
 
-    ``items`` has slot, q, h and members (an array).  Slots are merged in pairs,
-    so there are log2(n_slots) rounds, and all pairs of a round share one join.
+    ``items`` has slot, q, h and members (an array).  Slots with a single item
+    add a constant.  The others are merged in pairs, so there are log2 rounds.
     Measured from the best item of its slot, every item has an excess, and a
-    combination is feasible when the excesses sum to at most the slack.  The
-    join is an equi-join on (pair, band of excess): the left row lists the
+    combination is feasible when the excesses sum to at most the slack.  Each
+    round is an equi-join on (pair, band of excess): the left row lists the
     bands it can still afford, so rows that meet are feasible but for the last
     band, and each kept row extends to a full model.  A heavy band is split by
-    a salt.
+    a salt.  Nothing but one line of minima per slot reaches the driver.
     """
     spark = items.sparkSession
-    items = items.select("slot", "q", "h", "members")
-    size = 1
-    while size < n_slots:
-        size *= 2
-    if size > n_slots:
-        pad = (spark.range(n_slots, size).select(F.col("id").cast("int").alias("slot"), F.lit(0.0).alias("q"),
-                                                 F.lit(0).cast("long").alias("h"),
-                                                 F.expr("cast(array() as {})".format(items.schema["members"].dataType.simpleString())).alias("members")))
-        items = items.unionByName(pad)
-    items = materialize(items, "items")
-    while size > 1:
-        best = items.groupBy("slot").agg(F.min("q").alias("_best"), F.min("h").alias("_few"))
-        found, base, few = best.agg(F.count("*"), F.sum("_best"), F.sum("_few")).first()
-        if found < size:
-            return items.where(F.lit(False)).drop("slot")
-        slack = theta - base
-        if slack < 0:
-            return items.where(F.lit(False)).drop("slot")
-        width = slack / BANDS if slack > 0 else 1.0
-        sided = (items.join(F.broadcast(best), "slot")
-                 .withColumn("_excess", F.col("q") - F.col("_best"))
-                 .withColumn("_pair", F.floor(F.col("slot") / 2).cast("int"))
-                 .withColumn("_band", F.least(F.floor(F.col("_excess") / width), F.lit(BANDS)).cast("int"))
-                 .where(F.col("_excess") <= slack))
-        if max_pools is not None:
-            sided = sided.where(F.col("h") - F.col("_few") <= max_pools - few)
-        # one spare band on the reach keeps pairs whose division rounded the other way
-        reach = F.least(F.floor((F.lit(slack) - F.col("_excess")) / width) + 1, F.lit(BANDS)).cast("int")
-        left = (sided.where(F.col("slot") % 2 == 0)
-                .withColumn("_salt", F.pmod(F.xxhash64("members"), F.lit(SALTS)).cast("int"))
-                .withColumn("_band", F.explode(F.sequence(F.lit(0), reach)))
-                .select("_pair", "_band", "_salt", F.col("q").alias("q_l"), F.col("h").alias("h_l"),
-                        F.col("members").alias("m_l"), F.col("_excess").alias("e_l"), F.col("_few").alias("f_l")))
-        right = (sided.where(F.col("slot") % 2 == 1)
-                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-                 .select("_pair", "_band", "_salt", F.col("q").alias("q_r"), F.col("h").alias("h_r"),
-                         F.col("members").alias("m_r"), F.col("_excess").alias("e_r"), F.col("_few").alias("f_r")))
-        merged = (left.join(right, ["_pair", "_band", "_salt"])
-                  .where(F.col("e_l") + F.col("e_r") <= slack)
-                  .select(F.col("_pair").alias("slot"), (F.col("q_l") + F.col("q_r")).alias("q"),
-                          (F.col("h_l") + F.col("h_r")).alias("h"), F.concat("m_l", "m_r").alias("members"),
-                          (F.col("h_l") + F.col("h_r") - F.col("f_l") - F.col("f_r")).alias("_extra")))
-        if max_pools is not None:
-            merged = merged.where(F.col("_extra") <= max_pools - few)
-        items = materialize(merged.drop("_extra"), "merged")
-        size //= 2
-    out = items.where(F.col("q") <= theta)
-    if max_pools is not None:
-        out = out.where(F.col("h") <= max_pools)
-    return out.drop("slot")
+    items = materialize(items.select("slot", "q", "h", "members"), "items")
+    stats = items.groupBy("slot").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.min("h").alias("h")).collect()
+    tolerance = 1e-12  # losses are summed in another order than theta; the last filter is exact
+    slack = theta - sum(s.q for s in stats)
+    spare = None if max_pools is None else max_pools - sum(s.h for s in stats)
+    if len(stats) < n_slots or slack < -tolerance or (spare is not None and spare < 0):
+        return items.where(F.lit(False)).drop("slot")
+    slack = max(slack, 0.0) + tolerance
+
+    open_slots = sorted((s for s in stats if s.n > 1), key=lambda s: (s.n, s.slot))
+    fixed = [s for s in stats if s.n == 1]
+    places = [(s.slot, k, float(s.q), int(s.h)) for k, s in enumerate(open_slots)] + [(s.slot, -1, float(s.q), int(s.h)) for s in fixed]
+    placed = items.join(F.broadcast(spark.createDataFrame(places, "slot int, _place int, _low double, _few long")), "slot")
+    const = placed.where("_place < 0").agg(F.sum("q").alias("q"), F.sum("h").cast("long").alias("h"), F.flatten(F.collect_list("members")).alias("members"))
+    rows = placed.where("_place >= 0").selectExpr("_place as slot", "q", "h", "members", "q - _low as excess", "h - _few as extra")
+    rows = rows.where(F.col("excess") <= slack)
+    if spare is not None:
+        rows = rows.where(F.col("extra") <= spare)
+
+    pairs = 1
+    for s in open_slots:
+        pairs *= s.n
+    salts = SALTS if pairs >= SALT_FROM else 1
+    left_count, turn = len(open_slots), 0
+    while left_count > 1:
+        rows = _merge_pairs(rows, left_count, slack, spare, salts)
+        left_count, turn = (left_count + 1) // 2, turn + 1
+        if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
+            rows = materialize(rows, "merged")
+    if not open_slots:
+        out = const
+    elif fixed:
+        out = rows.select("q", "h", "members").withColumns({"_q": const.select("q").scalar(), "_h": const.select("h").scalar(), "_m": const.select("members").scalar()})
+        out = out.select((F.col("q") + F.col("_q")).alias("q"), (F.col("h") + F.col("_h")).alias("h"), F.concat("members", "_m").alias("members"))
+    else:
+        out = rows.select("q", "h", "members")
+    out = out.where(F.col("q") <= theta)
+    return out if max_pools is None else out.where(F.col("h") <= max_pools)
+
+
+def _merge_pairs(rows: DataFrame, n_slots: int, slack: float, spare: int | None, salts: int) -> DataFrame:
+    """One round: slots 2k and 2k + 1 become slot k; an odd last slot passes through."""
+    width = slack / BANDS
+    sided = rows.selectExpr("*", "slot div 2 as _pair", f"least(floor(greatest(excess, 0.0D) / {width!r}D), {BANDS}) as _band")
+    # one spare band on the reach keeps pairs whose division rounded the other way
+    reach = f"least(floor(({slack!r}D - excess) / {width!r}D) + 1, {BANDS})"
+    paired = n_slots // 2 * 2
+    left = (sided.where(f"slot % 2 = 0 and slot < {paired}")
+            .selectExpr("_pair", f"explode(sequence(0L, {reach})) as _band", f"pmod(xxhash64(members), {salts}) as _salt",
+                        "q as ql", "h as hl", "members as ml", "excess as el", "extra as xl"))
+    right = (sided.where(f"slot % 2 = 1 and slot < {paired}")
+             .selectExpr("_pair", "_band", f"explode(sequence(0L, {salts - 1}L)) as _salt",
+                         "q as qr", "h as hr", "members as mr", "excess as er", "extra as xr"))
+    merged = (left.join(right, ["_pair", "_band", "_salt"]).where(f"el + er <= {slack!r}D")
+              .selectExpr("cast(_pair as int) as slot", "ql + qr as q", "hl + hr as h", "concat(ml, mr) as members",
+                          "el + er as excess", "xl + xr as extra"))
+    if spare is not None:
+        merged = merged.where(f"extra <= {spare}")
+    if paired < n_slots:
+        merged = merged.unionByName(rows.where(f"slot = {paired}").withColumn("slot", F.lit(paired // 2)))
+    return merged
 
 
 def model_table(combined: DataFrame, slot_field: str = "profile_id") -> DataFrame:
@@ -114,9 +128,9 @@ def model_table(combined: DataFrame, slot_field: str = "profile_id") -> DataFram
 
 
 def near_optimal_models(spec: FactorSpec, cells: DataFrame, theta: float, reg: float,
-                        max_pools: int | None = None, adaptive: bool = False) -> DataFrame:
-    """The near-optimal models over all profiles."""
-    sets = materialize(profile_sets(spec, cells, theta, reg, max_pools, adaptive), "sets")
+                        max_pools: int | None = None, adaptive: bool = False, sets: DataFrame | None = None) -> DataFrame:
+    """The near-optimal models over all profiles (R21); ``sets`` may hand in the profile sets."""
+    sets = sets if sets is not None else profile_sets(spec, cells, theta, reg, max_pools, adaptive)
     items = sets.select(F.col("profile_id").alias("slot"), "q", "h",
                         F.array(F.struct(F.col("profile_id"), F.col("cut_mask"))).alias("members"))
     observed = cells.select(F.col("profile_id").alias("slot")).distinct()

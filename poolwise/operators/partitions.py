@@ -9,13 +9,15 @@ has.  Nothing of size partitions x cells is formed.
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolwise.runtime import bounded
+from poolwise.runtime import bounded, spread
 from poolwise.spec import FactorSpec
 
-# Expand at most about this many intervals per row before the boxes are summed up.
-STAGE_FANOUT = 1024
+# Sum up the boxes found so far when the next expansion would exceed this many rows.
+STAGE_ROWS = 2_000_000
 
 
 def enumerate_partitions(spark: SparkSession, spec: FactorSpec, profile_id: int | None = None) -> DataFrame:
@@ -88,21 +90,24 @@ def sum_over_boxes(spec: FactorSpec, df: DataFrame, sums: list[str], by: list[st
     """Sum additive cell columns over every box that holds data.
 
     Cells are spread over the intervals that cover them, a few factors at a
-    time with a sum in between, so that the fan-out of one step stays bounded
-    whatever the number of factors.
+    time with a sum in between: summing early keeps each expansion near the
+    size of its result instead of cells times all interval products.
     """
     by = list(by)
-    base, factors, fanout = "0L", [], 1
+    df = spread(df, *by, *spec.names)
+    base, factors, rows = "0L", [], spec.n_policies
     for i in range(spec.m):
         n = spec.levels[i] - 1
         factors.append(i)
-        fanout *= max(1, (n + 1) * (n + 2) // 6)
-        if fanout > STAGE_FANOUT or i == spec.m - 1:
+        rows = rows * max(1, (n + 1) * (n + 2) // 6)
+        m = spec.levels[i + 1] - 1 if i + 1 < spec.m else 0
+        if i + 1 == spec.m or rows * max(1, (m + 1) * (m + 2) // 6) > STAGE_ROWS:
             rest = list(spec.names[i + 1:])
             codes = spec.covering_sql(factors, [spec.names[j] for j in factors])
             df = (df.selectExpr(*by, *rest, *sums, f"{base} as _base", f"explode({codes}) as _code")
                   .groupBy(*by, *rest, (F.col("_base") + F.col("_code")).alias("box_id")).agg(*[F.sum(c).alias(c) for c in sums]))
-            base, factors, fanout = "box_id", [], 1
+            base, factors = "box_id", []
+            rows = prod(1 + (r - 1) * r // 2 for r in spec.levels[:i + 1]) * prod(spec.levels[i + 1:])
     return df
 
 
@@ -116,8 +121,8 @@ def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by:
     centre = cells.agg(F.sum("sum_y") / F.sum("n")).scalar()
     moments = (cells.withColumn("_d", F.col("mean_y") - centre)
                .selectExpr(*by, "policy_id", "n", "sum_y", "ssw", "n * _d as _s", "n * _d * _d as _ss"))
-    spread = spec.box_policies(boxes.select(*by, "box_id").distinct())
-    df = (spread.join(bounded(moments, spec.n_policies), by + ["policy_id"])
+    unfolded = spec.box_policies(boxes.select(*by, "box_id").distinct())
+    df = (unfolded.join(bounded(moments, spec.n_policies), by + ["policy_id"])
           .groupBy(*by, "box_id").agg(*[F.sum(c).alias(c) for c in ["n", "sum_y", "_s", "_ss", "ssw"]]))
     return _finish_boxes(df)
 
@@ -131,13 +136,14 @@ def partition_errors(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame,
                      keep: list[str] = ("h",)) -> DataFrame:
     """Squared error of each partition: the sum over its boxes (R9 without the penalty).
 
-    All boxes of a partition leave one task, so the map-side sum shrinks them
-    to one row before the shuffle.  Boxes without data add nothing.
+    Partitions are hashed before they unfold, so all boxes of one are summed
+    where they were written down; with a broadcast box table this is the only
+    shuffle.  Boxes without data add nothing.
     """
     by = list(by)
-    spread = spec.mask_boxes(partitions)
+    unfolded = spec.mask_boxes(spread(partitions, *by, "profile_id", "cut_mask"))
     side = bounded(boxes.select(*by, "box_id", "sse"), spec.n_boxes)
-    return (spread.join(side, by + ["box_id"], "left")
+    return (unfolded.join(side, by + ["box_id"], "left")
             .groupBy(*by, "profile_id", "cut_mask", *keep)
             .agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse")))
 

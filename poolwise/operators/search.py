@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions.running import running
 from poolwise.operators.partitions import box_moments, enumerate_partitions, score_partitions
-from poolwise.runtime import bounded, materialize, scalar
+from poolwise.runtime import bounded, materialize, scalar, spread
 from poolwise.spec import FactorSpec
 
-# The frontier's plan grows by one join per undecided cut; write it out this often.
+# Cuts decided per frontier round: fewer rounds against children that one cut would have pruned.
+BITS_PER_ROUND = 2
+# The frontier's plan grows by one join per round; write it out this often.
 ROUNDS_PER_CUT = 6
 
 
@@ -31,10 +33,12 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
     """The same set without scoring the whole space.
 
     A node fixes the cuts below some bit and leaves the others open.  Its bound
-    is the error with all open cuts made, plus the penalty with none made.  One
-    round decides one bit: "cut" keeps the error of its parent, so only the
-    "merge" child is looked up in the box table.  Both children come out of one
-    explode, hence the plan stays a chain and every node is made exactly once.
+    is the error with all open cuts made, plus the penalty with none made.  A
+    round decides the next few bits of a factor: the child that makes all cuts
+    keeps the error of its parent, only children that merge are looked up in the
+    box table.  All children come out of one explode, hence the plan stays a
+    chain and every node is made exactly once.
+    Children are hashed before they unfold: one shuffle of small rows a round.
     """
     spark = cells.sparkSession
     boxes = materialize(box_moments(spec, cells), "boxes")
@@ -51,20 +55,21 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
 
     penalty = f"{float(reg)!r}D * h"
     budget = "true" if max_pools is None else f"h <= {max_pools}"
-    positions = [(i, j) for i in range(spec.m) for j in range(spec.bits[i])]
-    for turn, (i, j) in enumerate(positions):
-        bit = 1 << (spec.offsets[i] + j)
-        decided = f"(cut_mask & {(bit << 1) - 1}L)"
-        children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array(false, true), array(false))) as _merge")
-                    .selectExpr("profile_id", f"if(_merge, cut_mask - {bit}L, cut_mask) as cut_mask", "theta", "sse", "_merge")
+    rounds = [(i, j, min(BITS_PER_ROUND, spec.bits[i] - j)) for i in range(spec.m) for j in range(0, spec.bits[i], BITS_PER_ROUND)]
+    for turn, (i, j, width) in enumerate(rounds):
+        first = spec.offsets[i] + j
+        decided = f"(cut_mask & {(1 << first + width) - 1}L)"
+        drops = ", ".join(f"{drop << first}L" for drop in range(1 << width))
+        children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array({drops}), array(0L))) as _drop")
+                    .selectExpr("profile_id", "cut_mask - _drop as cut_mask", "theta", "sse", "_drop > 0 as _merge")
                     .selectExpr("*", f"{spec.pool_count_sql(decided)} as h")
                     .where(f"{budget} and {penalty} <= theta"))
-        spread = spec.mask_boxes(children, only="_merge")
-        nodes = (spread.join(side, "box_id", "left")
+        unfolded = spec.mask_boxes(spread(children, "profile_id", "cut_mask"), only="_merge")
+        nodes = (unfolded.join(side, "box_id", "left")
                  .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", "sse").agg(F.sum("_box_sse").alias("_own"))
                  .selectExpr("profile_id", "cut_mask", "theta", "if(_merge, coalesce(_own, 0.0D), sse) as sse", "h")
                  .where(f"sse / {total} + {penalty} <= theta").drop("h"))
-        if (turn + 1) % ROUNDS_PER_CUT == 0 and turn + 1 < len(positions):
+        if (turn + 1) % ROUNDS_PER_CUT == 0 and turn + 1 < len(rounds):
             nodes = materialize(nodes, "frontier")
     return (nodes.selectExpr("*", f"{spec.pool_count_sql()} as h").where(budget)
             .selectExpr("profile_id", "cut_mask", "h", "sse", f"sse / {total} + {penalty} as q", "theta")

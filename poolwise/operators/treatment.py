@@ -9,8 +9,6 @@ and effects are written down from that mask; pools are never paired up.
 
 from __future__ import annotations
 
-from math import prod
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.runtime import bounded, materialize, scalar
@@ -24,9 +22,12 @@ def treatment_bit(spec: FactorSpec, treatment: str) -> int:
     return 1 << (spec.m - 1 - spec.names.index(treatment))
 
 
-def partition_pairs(spec: FactorSpec, members: DataFrame, treatment: str, weight: str | None = None) -> DataFrame:
+def partition_pairs(spec: FactorSpec, members: DataFrame, treatment: str, weight: str | None = None,
+                    per_model: bool = False) -> DataFrame:
     """Distinct (rest_profile, mask_t, mask_c) over the models (T6), with the summed weight if asked for.
 
+    ``per_model`` keeps one row per model instead.
+
     ``members`` is the long form (model_key, profile_id, cut_mask).  A profile
     without data leaves its mask null.
     """
@@ -37,6 +38,8 @@ def partition_pairs(spec: FactorSpec, members: DataFrame, treatment: str, weight
     wide = (members.groupBy("model_key", rest.alias("rest_profile"))
             .agg(F.max(F.when(treated, F.col("cut_mask"))).alias("mask_t"),
                  F.max(F.when(~treated, F.col("cut_mask"))).alias("mask_c"), w.alias("weight")))
+    if per_model:
+        return wide
     out = wide.groupBy("rest_profile", "mask_t", "mask_c").agg(F.sum("weight").alias("weight"))
     return out if weight else out.drop("weight")
 

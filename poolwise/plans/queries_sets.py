@@ -256,7 +256,7 @@ _BETWEEN = f"""{MODELS}, lowest as (select profile_id, min(q) mq from scored gro
 def near_used(spark, sf):
     cells = multi_cells(spark, sf)
     sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M), "sets")
-    found = M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M)
+    found = M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M, sets=sets)
     return M.used_partitions(sets, found).select("profile_id", "cut_mask", "h")
 
 
@@ -265,7 +265,7 @@ def near_used(spark, sf):
 def near_used_prefix(spark, sf):
     cells = multi_cells(spark, sf)
     sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M), "sets")
-    found = M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M)
+    found = M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M, sets=sets)
     return M.used_prefix(sets, found).select("profile_id", "cut_mask", "h")
 
 

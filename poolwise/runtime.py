@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is only hinted for broadcast when the design proves it has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +38,19 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all tasks by key, ahead of an expansion.
+
+    Tables of design size often sit in one small file or one coalesced
+    partition, while a row of theirs can unfold into thousands.  The number is
+    stated, so adaptive execution does not merge the small partitions again;
+    a grouping on these keys (and more) afterwards needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a table of at most ``rows`` rows, when that is small enough.
 
