@@ -167,8 +167,9 @@ def score_partitions(spec: FactorSpec, partitions: DataFrame, cells: DataFrame,
     return err.selectExpr(*by, "profile_id", "cut_mask", "h", "sse", f"sse / _total + {float(reg)!r}D * h as q")
 
 
-def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, factor: int, position: int, reg: float) -> DataFrame:
-    """Bound of a search node (R8): error of the maximal split plus the penalty of the fewest pools.
+def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, factor: int, position: int, reg: float,
+                boxes: DataFrame | None = None) -> DataFrame:
+    """Bound of a search node (R8, and L3 with boxes that hold lines): error of the maximal split plus the penalty of the fewest pools.
 
     The maximal split cuts ``factor`` from ``position`` on; the fewest pools
     merge it again after ``position``.
@@ -176,7 +177,7 @@ def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, facto
     split = maximal_split(spec, factor, position)
     few = minimal_split(spec, factor, position + 1, split)
     nodes = partitions.selectExpr("profile_id", "cut_mask as node_mask", f"{split} as cut_mask", f"{spec.pool_count_sql(few)} as h_min")
-    err = partition_errors(spec, nodes, box_moments(spec, cells), keep=["node_mask", "h_min"])
+    err = partition_errors(spec, nodes, boxes if boxes is not None else box_moments(spec, cells), keep=["node_mask", "h_min"])
     total = cells.agg(F.sum("n")).scalar()
     return (err.withColumn("_total", total)
             .select("profile_id", F.col("node_mask").alias("cut_mask"), "h_min",

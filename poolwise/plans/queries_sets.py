@@ -304,12 +304,12 @@ def near_describe(spark, sf):
 
 # ---- strata and batches ------------------------------------------------------------------------
 
-REG_S, EPS_S = 0.02, 1.0015
+REG_S, EPS_S = 0.02, 1.012
 _STRATA = S.scores(fx.ORDERS, "orders", REG_S, 7, by="segment", total_by_group=False)
 
 
 def _strata_theta(spark, sf, cells):
-    """1.0015 times the best stratified loss."""
+    """1.012 times the best stratified loss."""
     space = P.enumerate_partitions(spark, fx.ORDERS, 7).withColumn("segment", F.explode(F.array(*[F.lit(v) for v in fx.SEGMENTS])))
     own = P.score_partitions(fx.ORDERS, space, cells, 0.0, by=["segment"])
     total = cells.agg(F.sum("n")).scalar()
