@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from poolwise.operators.partitions import box_moments, enumerate_partitions, score_partitions
+from poolwise.operators.partitions import box_moments, score_space, space_errors
 from poolwise.operators.search import frontier_set
 from poolwise.runtime import materialize, scalar
 from poolwise.spec import FactorSpec
@@ -36,10 +36,7 @@ def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, m
         budget = max_pools - observed + 1
     if adaptive:
         return frontier_set(spec, cells, theta, reg, max_pools=budget, theta_by_profile=bounds)
-    space = enumerate_partitions(cells.sparkSession, spec).join(F.broadcast(bounds), "profile_id")
-    if budget is not None:
-        space = space.where(F.col("h") <= budget)
-    scored = score_partitions(spec, space.select("profile_id", "cut_mask", "h"), cells, reg)
+    scored = score_space(spec, cells, reg, max_pools=budget)
     return scored.join(F.broadcast(bounds), "profile_id").where(F.col("q") <= F.col("theta")).drop("theta")
 
 
@@ -147,10 +144,8 @@ def stratified_models(spec: FactorSpec, cells: DataFrame, stratum: str, values:
 
     N is the row count over all strata, so the strata losses add up.
     """
-    space = enumerate_partitions(cells.sparkSession, spec, profile_id)
-    space = space.withColumn(stratum, F.explode(F.array(*[F.lit(v) for v in values])))
     total = cells.agg(F.sum("n")).scalar()
-    own = score_partitions(spec, space, cells, 0.0, by=[stratum])
+    own = space_errors(spec, box_moments(spec, cells, [stratum]), [stratum], profile_id)
     order = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
     scored = (own.withColumn("_total", total)
               .withColumn("q", F.col("sse") / F.col("_total") + F.lit(float(reg)) * F.col("h"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from poolwise.runtime import bounded, spread
 from poolwise.spec import FactorSpec
 
+# Spaces with more box lookups than this are summed factor by factor instead.
+LOOKUPS = 2_000_000
 # Sum up the boxes found so far when the next expansion would exceed this many rows.
 STAGE_ROWS = 2_000_000
 
@@ -81,8 +83,7 @@ def box_moments(spec: FactorSpec, cells: DataFrame, by: list[str] = ()) -> DataF
     centre = cells.agg(F.sum("sum_y") / F.sum("n")).scalar()
     sums = ["n", "sum_y", "_s", "_ss", "ssw"]
     df = (cells.withColumn("_d", F.col("mean_y") - centre)
-          .selectExpr(*by, *[f"{x} as {n}" for x, n in zip(spec.levels_sql(), spec.names)], "n", "sum_y", "ssw",
-                      "n * _d as _s", "n * _d * _d as _ss"))
+          .selectExpr(*by, "policy_id", "n", "sum_y", "ssw", "n * _d as _s", "n * _d * _d as _ss"))
     return _finish_boxes(sum_over_boxes(spec, df, sums, by))
 
 
@@ -94,21 +95,22 @@ def sum_over_boxes(spec: FactorSpec, df: DataFrame, sums: list[str], by: list[st
     size of its result instead of cells times all interval products.
     """
     by = list(by)
-    df = spread(df, *by, *spec.names)
-    base, factors, rows = "0L", [], spec.n_policies
-    for i in range(spec.m):
-        n = spec.levels[i] - 1
-        factors.append(i)
-        rows = rows * max(1, (n + 1) * (n + 2) // 6)
-        m = spec.levels[i + 1] - 1 if i + 1 < spec.m else 0
-        if i + 1 == spec.m or rows * max(1, (m + 1) * (m + 2) // 6) > STAGE_ROWS:
-            rest = list(spec.names[i + 1:])
-            codes = spec.covering_sql(factors, [spec.names[j] for j in factors])
-            df = (df.selectExpr(*by, *rest, *sums, f"{base} as _base", f"explode({codes}) as _code")
-                  .groupBy(*by, *rest, (F.col("_base") + F.col("_code")).alias("box_id")).agg(*[F.sum(c).alias(c) for c in sums]))
-            base, factors = "box_id", []
+    df = spread(df, *by, "policy_id").selectExpr(*by, *sums, "policy_id as _rest", "0L as box_id")
+    rows = spec.n_policies
+    for i, w in enumerate(spec.strides):
+        df = (df.selectExpr(*by, *sums, f"_rest % {w}L as _rest", "box_id", f"explode({spec.covering_sql(i, f'_rest div {w}L')}) as _c")
+              .selectExpr(*by, *sums, "_rest", "box_id + _c as box_id"))
+        rows *= _mean_cover(spec, i)
+        if i + 1 == spec.m or rows * _mean_cover(spec, i + 1) > STAGE_ROWS:
+            df = df.groupBy(*by, "_rest", "box_id").agg(*[F.sum(c).alias(c) for c in sums])
             rows = prod(1 + (r - 1) * r // 2 for r in spec.levels[:i + 1]) * prod(spec.levels[i + 1:])
-    return df
+    return df.drop("_rest")
+
+
+def _mean_cover(spec: FactorSpec, i: int) -> int:
+    """Intervals that hold a level of the factor, on average."""
+    r = spec.levels[i]
+    return max(1, r * (r + 1) // 6)
 
 
 def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -148,6 +150,69 @@ def partition_errors(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame,
             .agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse")))
 
 
+def space_lookups(spec: FactorSpec, profile_id: int | None = None) -> int:
+    """Boxes of all partitions of a space, i.e. the cost of looking them all up."""
+    out = 1
+    for i, r in enumerate(spec.levels):
+        active = r * (1 << (r - 2)) // 2 if r > 2 else 1
+        if profile_id is None:
+            out *= 1 + active
+        elif i in spec.active_factors(profile_id):
+            out *= active
+    return out
+
+
+def space_errors(spec: FactorSpec, boxes: DataFrame, by: list[str] = (), profile_id: int | None = None,
+                 max_pools: int | None = None) -> DataFrame:
+    """Squared error of every partition of all observed profiles, or of one, without looking boxes up.
+
+    The error of a partition is a sum over the product of its factors'
+    segments, so factors can be summed out one after the other: an interval of
+    factor i adds its rows to every cut mask of that factor that has it as a
+    segment.  Each step is an expansion and a partial aggregation, there is no
+    join, and rows shrink towards one per partition.
+    """
+    by = list(by)
+    profile = " + ".join(f"if({spec.box_code_sql(i)} > 0, {spec.profile_bit(i)}, 0)" for i in range(spec.m))
+    df = spread(boxes, *by, "box_id").selectExpr(*by, f"cast({profile} as int) as profile_id", "box_id as _rest", "0L as cut_mask", "sse")
+    intervals, shapes = [1 + (r - 1) * r // 2 for r in spec.levels], [1 + (1 << r - 2) for r in spec.levels]
+    if profile_id is not None:
+        df = df.where(F.col("profile_id") == profile_id)
+        active = spec.active_factors(profile_id)
+        intervals = [k - 1 if i in active else 1 for i, k in enumerate(intervals)]
+        shapes = [k - 1 if i in active else 1 for i, k in enumerate(shapes)]
+    rows = prod(intervals)
+    for i, w in enumerate(spec.box_strides):
+        df = (df.selectExpr(*by, "profile_id", f"_rest % {w}L as _rest", "cut_mask", "sse", f"explode({spec.masks_with_segment_sql(i, f'(_rest div {w}L)')}) as _m")
+              .selectExpr(*by, "profile_id", "_rest", "cut_mask + _m as cut_mask", "sse"))
+        rows = rows * spec.levels[i] // 2
+        if i + 1 == spec.m or rows * spec.levels[i + 1] // 2 > STAGE_ROWS:
+            df = df.groupBy(*by, "profile_id", "_rest", "cut_mask").agg(F.sum("sse").alias("sse"))
+            if max_pools is not None:
+                df = df.where(f"{spec.pool_count_sql()} <= {max_pools}")
+            rows = prod(shapes[:i + 1]) * prod(intervals[i + 1:])
+    return df.selectExpr(*by, "profile_id", "cut_mask", f"{spec.pool_count_sql()} as h", "sse")
+
+
+def score_space(spec: FactorSpec, cells: DataFrame, reg: float, profile_id: int | None = None, max_pools: int | None = None,
+                boxes: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """Scores of the whole space of one profile, or of all observed ones (R2 with R9).
+
+    Small spaces write their partitions down and look the boxes up in one
+    shuffle; large ones are summed factor by factor.
+    """
+    by = list(by)
+    boxes = boxes if boxes is not None else box_moments(spec, cells, by)
+    if space_lookups(spec, profile_id) <= LOOKUPS and not by:
+        space = enumerate_partitions(cells.sparkSession, spec, profile_id)
+        if profile_id is None:
+            space = space.join(F.broadcast(cells.select("profile_id").distinct()), "profile_id", "left_semi")
+        if max_pools is not None:
+            space = space.where(F.col("h") <= max_pools)
+        return score_partitions(spec, space, cells, reg, boxes=boxes)
+    return with_loss(space_errors(spec, boxes, by, profile_id, max_pools), cells, reg, by)
+
+
 def score_partitions(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, reg: float,
                      by: list[str] = (), boxes: DataFrame | None = None) -> DataFrame:
     """Penalised loss q = sse / N + reg * h of the given partitions.
@@ -159,7 +224,12 @@ def score_partitions(spec: FactorSpec, partitions: DataFrame, cells: DataFrame,
     if "h" not in partitions.columns:
         partitions = partitions.withColumn("h", spec.pool_count())
     boxes = boxes if boxes is not None else box_moments(spec, cells, by)
-    err = partition_errors(spec, partitions, boxes, by)
+    return with_loss(partition_errors(spec, partitions, boxes, by), cells, reg, by)
+
+
+def with_loss(err: DataFrame, cells: DataFrame, reg: float, by: list[str] = ()) -> DataFrame:
+    """Add q to rows with sse and h."""
+    by = list(by)
     if by:
         err = err.join(cells.groupBy(*by).agg(F.sum("n").alias("_total")), by)
     else:

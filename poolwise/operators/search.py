@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions.running import running
-from poolwise.operators.partitions import box_moments, enumerate_partitions, score_partitions
+from poolwise.operators.partitions import box_moments, score_space
 from poolwise.runtime import bounded, materialize, scalar, spread
 from poolwise.spec import FactorSpec
 
@@ -21,10 +21,7 @@ def exhaustive_set(spec: FactorSpec, cells: DataFrame, theta: float, reg: float,
 
     The pool budget is applied before any box is looked up.
     """
-    space = enumerate_partitions(cells.sparkSession, spec, profile_id)
-    if max_pools is not None:
-        space = space.where(F.col("h") <= max_pools)
-    return score_partitions(spec, space, cells, reg).where(F.col("q") <= theta)
+    return score_space(spec, cells, reg, profile_id, max_pools).where(F.col("q") <= theta)
 
 
 def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg: float,
@@ -76,16 +73,12 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
             .where("q <= theta").drop("theta"))
 
 
-def batch_scores(spec: FactorSpec, cells: DataFrame, key: str, values: list, reg: float,
-                 profile_id: int | None = None) -> DataFrame:
-    """Scores for many outcomes, configurations or strata in one job.
+def batch_scores(spec: FactorSpec, cells: DataFrame, key: str, reg: float, profile_id: int | None = None) -> DataFrame:
+    """Scores for many outcomes, configurations or strata in one job.
 
-    ``cells`` carries ``key``; ``values`` is the configuration list.  N is the
-    row count of the respective value.
+    ``cells`` carries ``key``.  N is the row count of the respective value.
     """
-    space = enumerate_partitions(cells.sparkSession, spec, profile_id)
-    space = space.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
-    return score_partitions(spec, space, cells, reg, by=[key])
+    return score_space(spec, cells, reg, profile_id, by=[key])
 
 
 def unique_partitions(*sets: DataFrame) -> DataFrame:

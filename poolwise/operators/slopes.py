@@ -51,7 +51,7 @@ def slope_boxes(spec: FactorSpec, cells: DataFrame, p: int) -> DataFrame:
         sums[f"s0_{j + 1}"] = F.col(f"cxy{j}") + n * d[0] * d[j + 1]
     for a, b in _pairs(p):
         sums[f"s{a + 1}_{b + 1}"] = F.col(f"cxx{a}_{b}") + n * d[a + 1] * d[b + 1]
-    moments = df.select(*spec.level_columns(), *[c.cast("double").alias(k) for k, c in sums.items()])
+    moments = df.select("policy_id", *[c.cast("double").alias(k) for k, c in sums.items()])
     boxes = sum_over_boxes(spec, moments, list(sums)).withColumn("_c", centre)
     fit = _fit_udf(p)
     solved = boxes.withColumn("_f", fit(F.array(*[F.col(k) for k in _order(p)]), F.col("_c")))

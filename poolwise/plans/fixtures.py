@@ -22,6 +22,8 @@ ORDERS = FactorSpec(["priority", "ostatus", "quartile"], [6, 4, 5])
 SLOPES = FactorSpec(["disc", "tax", "flag"], [5, 4, 4])
 # wide: part size and type on top
 WIDE = FactorSpec(["qty", "disc", "tax", "flag", "size", "ptype"], [6, 5, 4, 4, 6, 7])
+# eight factors of three levels
+EIGHT = FactorSpec(["qty", "disc", "tax", "flag", "line", "season", "size", "ptype"], [4] * 8)
 # events: type and six-hour band
 EVENTS = FactorSpec(["etype", "daypart"], [6, 5])
 
@@ -105,6 +107,17 @@ def lineitem_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(parts, "l_partkey").drop("l_partkey"))
 
 
+def lineitem_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), band("p_size", [17, 34], [1, 2, 3]).alias("size"),
+        F.ceil(recode("p_type", PART_TYPES) / 2).cast("int").alias("ptype"))
+    return (read_table(spark, sf_dir, "lineitem")
+            .select("l_partkey", band("l_quantity", [16, 33], [1, 2, 3]).alias("qty"), band("l_discount", [0.035, 0.065], [1, 2, 3]).alias("disc"),
+                    tax_level().alias("tax"), flag_level().alias("flag"), band("l_linenumber", [2, 5], [1, 2, 3]).alias("line"),
+                    band(F.month("l_shipdate"), [4, 8], [1, 2, 3]).alias("season"), outcome().alias("y"))
+            .join(parts, "l_partkey").drop("l_partkey"))
+
+
 def events_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select(
         recode("event_type", EVENT_TYPES).alias("etype"),

@@ -15,7 +15,7 @@ from poolwise.runtime import materialize
 from poolwise.sources.tables import read_table
 
 _RES = """res as (select l_linenumber n_per_pol, cast(month(l_shipdate) as int) sim_num, cast(l_suppkey % 8 as int) model, round(var_pop(l_quantity) / 100, 6) mse, cast(count(distinct l_returnflag || l_linestatus) as bigint) num_pools,
-        round(avg(l_discount) * 10, 6) gap, round(avg(l_tax) * 10, 6) iou, case when avg(l_extendedprice) > 51500 then 1 else 0 end found, count(*) n_set from lineitem group by 1, 2, 3),
+        round(avg(l_discount) * 10, 9) gap, round(avg(l_tax) * 10, 9) iou, case when avg(l_extendedprice) > 51500 then 1 else 0 end found, count(*) n_set from lineitem group by 1, 2, 3),
     lossed as (select *, round(mse + 0.1 * num_pools, 6) loss from res)"""
 
 
@@ -24,18 +24,20 @@ def results(spark, sf):
         F.col("l_linenumber").alias("n_per_pol"), F.month("l_shipdate").alias("sim_num"), (F.col("l_suppkey") % 8).cast("int").alias("model"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("pool"))
     df = facts.groupBy("n_per_pol", "sim_num", "model").agg(
-        F.round(F.var_pop("l_quantity") / 100, 6).alias("mse"), F.size(F.collect_set("pool")).cast("long").alias("num_pools"), F.round(F.avg("l_discount") * 10, 6).alias("gap"),
-        F.round(F.avg("l_tax") * 10, 6).alias("iou"), F.when(F.avg("l_extendedprice") > 51500, 1).otherwise(0).alias("found"), F.count("*").alias("n_set"))
+        F.round(F.var_pop("l_quantity") / 100, 6).alias("mse"), F.size(F.collect_set("pool")).cast("long").alias("num_pools"), F.round(F.avg("l_discount") * 10, 9).alias("gap"),
+        F.round(F.avg("l_tax") * 10, 9).alias("iou"), F.when(F.avg("l_extendedprice") > 51500, 1).otherwise(0).alias("found"), F.count("*").alias("n_set"))
     return materialize(df.withColumn("loss", F.round(F.col("mse") + 0.1 * F.col("num_pools"), 6)), "results")
 
 
-def _four(c, digits=9):
-    return ", ".join(f"round({f}({c}), {digits}) {c}_{n}" for f, n in (("min", "min"), ("avg", "mean"), ("max", "max"), ("var_samp", "var")))
+def _four(c):
+    # means end after a few digits, so they are compared further out than variances
+    return ", ".join(f"round({f}({c}), {d}) {c}_{n}" for f, n, d in (("min", "min", 9), ("avg", "mean", 12), ("max", "max", 9), ("var_samp", "var", 9)))
 
 
 @query("res_summary", f"with {_RES} select n_per_pol, sim_num, {_four('mse')}, {_four('iou')} from lossed group by 1, 2")
 def res_summary(spark, sf):
-    return rounded(A.summarise(results(spark, sf), ["n_per_pol", "sim_num"], ["mse", "iou"]), 9)
+    df = A.summarise(results(spark, sf), ["n_per_pol", "sim_num"], ["mse", "iou"])
+    return rounded(rounded(df, 12, "mse_mean", "iou_mean"), 9, *[f"{c}_{k}" for c in ("mse", "iou") for k in ("min", "max", "var")])
 
 
 @query("res_broadcast", f"with {_RES} select n_per_pol, sim_num, model, mse, " + ", ".join(f"round({f}(mse) over (partition by n_per_pol), 6) mse_{n}" for f, n in (("min", "min"), ("avg", "mean"), ("max", "max"), ("var_samp", "var"))) + " from lossed")
@@ -59,11 +61,11 @@ def res_best_row(spark, sf):
     return A.best_row(df, ["n_per_pol"], "loss", "tie").drop("tie")
 
 
-@query("res_derived", f"with {_RES} select n_per_pol, sim_num, model, round(mse + 0.1 * num_pools, 6) loss, round(gap * gap, 12) gap_sq, round(n_set / sum(n_set) over (partition by n_per_pol), 9) fraction from lossed")
+@query("res_derived", f"with {_RES} select n_per_pol, sim_num, model, round(mse + 0.1 * num_pools, 6) loss, round(gap * gap, 10) gap_sq, round(n_set / sum(n_set) over (partition by n_per_pol), 9) fraction from lossed")
 def res_derived(spark, sf):
     from poolwise.functions.groups import attach
     df = attach(results(spark, sf), ["n_per_pol"], n_total=F.sum("n_set"))
-    return A.derived_columns(df, 0.1).select("n_per_pol", "sim_num", "model", F.round("loss", 6).alias("loss"), F.round("gap_sq", 12).alias("gap_sq"), F.round("fraction", 9).alias("fraction"))
+    return A.derived_columns(df, 0.1).select("n_per_pol", "sim_num", "model", F.round("loss", 6).alias("loss"), F.round("gap_sq", 10).alias("gap_sq"), F.round("fraction", 9).alias("fraction"))
 
 
 @query("res_found_so_far", f"""with {_RES} select n_per_pol, sim_num, model, row_number() over w model_number, max(found) over w found_by_now from lossed window w as (partition by n_per_pol, sim_num order by loss, model)""")

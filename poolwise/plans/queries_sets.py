@@ -118,6 +118,18 @@ def part_bound(spark, sf):
     return df.select("cut_mask", "h_min", F.round("bound", 9).alias("bound"))
 
 
+@query("part_loss_summed", f"with {SINGLE} select cut_mask, h, round(sse, 6) sse from scored")
+def part_loss_summed(spark, sf):
+    """The route for large spaces: factors summed out one after the other."""
+    boxes = P.box_moments(fx.SINGLE, single_cells(spark, sf))
+    return P.space_errors(fx.SINGLE, boxes).select("cut_mask", "h", F.round("sse", 6).alias("sse"))
+
+
+@query("part_loss_summed_profiles", f"with {MULTI} select profile_id, cut_mask, h, round(sse, 6) sse from scored")
+def part_loss_summed_profiles(spark, sf):
+    return P.space_errors(fx.MULTI, P.box_moments(fx.MULTI, multi_cells(spark, sf))).select("profile_id", "cut_mask", "h", F.round("sse", 6).alias("sse"))
+
+
 # ---- sets of one profile ----------------------------------------------------------------------
 
 
@@ -158,6 +170,14 @@ def near_frontier_wide(spark, sf):
     return df.select("cut_mask", "h", F.round("q", 9).alias("q"))
 
 
+@query("near_profile_wide")
+def near_profile_wide(spark, sf):
+    """Eight factors of three levels each: 65,536 partitions over 6,561 cells, all of them scored."""
+    cells = C.cell_table(fx.EIGHT, fx.lineitem_eight(spark, sf))
+    df = R.exhaustive_set(fx.EIGHT, cells, 0.012, 1e-5, fx.EIGHT.full_profile)
+    return df.select("cut_mask", "h", F.round("q", 9).alias("q"))
+
+
 @query("near_members", f"""with {KEPT}, other as (select * from scored where h <= 8)
     select cut_mask, h, cut_mask in (select cut_mask from other) in_both from (select cut_mask, h from kept union select cut_mask, h from other)
     where cut_mask in (select cut_mask from kept)""")
@@ -310,8 +330,7 @@ _STRATA = S.scores(fx.ORDERS, "orders", REG_S, 7, by="segment", total_by_group=F
 
 def _strata_theta(spark, sf, cells):
     """1.012 times the best stratified loss."""
-    space = P.enumerate_partitions(spark, fx.ORDERS, 7).withColumn("segment", F.explode(F.array(*[F.lit(v) for v in fx.SEGMENTS])))
-    own = P.score_partitions(fx.ORDERS, space, cells, 0.0, by=["segment"])
+    own = P.space_errors(fx.ORDERS, P.box_moments(fx.ORDERS, cells, ["segment"]), ["segment"], 7)
     total = cells.agg(F.sum("n")).scalar()
     best = (own.withColumn("_t", total).groupBy("segment").agg(F.min(F.col("sse") / F.col("_t") + REG_S * F.col("h")).alias("b")))
     return best.agg(F.sum("b")).first()[0] * EPS_S
@@ -354,5 +373,5 @@ def near_batch(spark, sf):
     """Three outcomes in one job."""
     obs = prep.melt_outcomes(fx.events_design(spark, sf), ["etype", "daypart"], _OUTCOMES)
     cells = C.cell_table(fx.EVENTS, obs, by=["outcome"])
-    scored = R.batch_scores(fx.EVENTS, cells, "outcome", _OUTCOMES, 0.01, 3)
+    scored = R.batch_scores(fx.EVENTS, cells, "outcome", 0.01, 3)
     return scored.select("outcome", "cut_mask", "h", F.round("q", 7).alias("q"))

@@ -21,6 +21,10 @@ from math import prod
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Per-factor lookup tables are written out up to this many cut positions.
+TABLE_BITS = 6
+
+
 @dataclass(frozen=True)
 class FactorSpec:
     names: tuple[str, ...]
@@ -133,30 +137,57 @@ class FactorSpec:
         return _weighted([self.segment_sql(i, c, mask) for i, c in enumerate(levels or self.names)], self.strides)
 
     def segments_sql(self, i: int, mask: str = "cut_mask", profile: str = "profile_id") -> str:
-        """ARRAY<BIGINT> of the interval codes, times their radix weight, that the mask makes of factor ``i``."""
+        """ARRAY<BIGINT> of the interval codes, times their radix weight, that the mask makes of factor ``i``.
+
+        Few masks are tabled as a literal, which the generated code indexes;
+        factors with many levels compute their segments instead.
+        """
         r, n, w = self.levels[i], self.levels[i] - 1, self.box_strides[i]
-        if n == 1:
-            codes = f"array({(r + 1) * w}L)"
+        fm = self.factor_mask_sql(i, mask)
+        if self.bits[i] <= TABLE_BITS:
+            rows = []
+            for m in range(1 << self.bits[i]):
+                ends = [l for l in range(1, n + 1) if l == n or m >> (l - 1) & 1]
+                rows.append([(lo * r + hi) * w for lo, hi in zip([1] + [e + 1 for e in ends], ends)])
+            codes = f"{_table(rows)}[cast({fm} as int)]"
         else:
-            fm, every = self.factor_mask_sql(i, mask), f"sequence(1, {n})"
+            every = f"sequence(1, {n})"
             starts = f"filter({every}, l -> l = 1 or (shiftright({fm}, greatest(l - 2, 0)) & 1L) = 1)"
             ends = f"filter({every}, l -> l = {n} or (shiftright({fm}, l - 1) & 1L) = 1)"
             codes = f"zip_with({starts}, {ends}, (a, b) -> (a * {r} + b) * {w}L)"
         return f"if({self.active_sql(i, profile)}, {codes}, array(0L))"
 
-    def boxes_sql(self, mask: str = "cut_mask", profile: str = "profile_id") -> str:
-        """ARRAY<BIGINT> of all boxes of the partition."""
-        return every_sum([self.segments_sql(i, mask, profile) for i in range(self.m)])
+    def masks_with_segment_sql(self, i: int, code: str) -> str:
+        """ARRAY<BIGINT> of the cut masks of factor ``i``, in place, under which the interval ``code`` is a segment.
 
-    def covering_sql(self, factors: list[int], level: list[str]) -> str:
-        """ARRAY<BIGINT> of the (partial) box ids over the given factors that hold the levels."""
-        parts = []
-        for i, c in zip(factors, level):
-            r, n, w = self.levels[i], self.levels[i] - 1, self.box_strides[i]
-            codes = (f"flatten(transform(sequence(1, greatest({c}, 1)), a -> "
-                     f"transform(sequence(greatest({c}, 1), {n}), b -> (a * {r} + b) * {w}L)))")
-            parts.append(f"if({c} > 0, {codes}, array(0L))")
-        return every_sum(parts)
+        Its two ends are cut, nothing inside it is, and all other positions are free.
+        """
+        r, n, off = self.levels[i], self.levels[i] - 1, self.offsets[i]
+        if n == 1:
+            return "array(0L)"
+        if self.bits[i] <= TABLE_BITS:
+            rows = [[0]] + [[] for _ in range(r * r - 1)]
+            for m in range(1 << self.bits[i]):
+                ends = [l for l in range(1, n + 1) if l == n or m >> (l - 1) & 1]
+                for lo, hi in zip([1] + [e + 1 for e in ends], ends):
+                    rows[lo * r + hi].append(m << off)
+            return f"{_table(rows)}[cast({code} as int)]"
+        lo, hi = f"cast({code} div {r} as int)", f"cast({code} % {r} as int)"
+        below, above = f"greatest({lo} - 2, 0)", f"greatest({n - 1} - {hi}, 0)"
+        ends = f"(if({lo} > 1, shiftleft(1L, {lo} - 2), 0L) | if({hi} < {n}, shiftleft(1L, {hi} - 1), 0L))"
+        free = f"(k & (shiftleft(1L, {below}) - 1)) | shiftleft(shiftright(k, {below}), {hi})"
+        masks = f"transform(sequence(0L, shiftleft(1L, {below} + {above}) - 1), k -> shiftleft({free} | {ends}, {off}))"
+        return f"if({code} > 0, {masks}, array(0L))"
+
+    def covering_sql(self, i: int, level: str) -> str:
+        """ARRAY<BIGINT> of the weighted codes of all intervals of factor ``i`` that hold the level."""
+        r, n, w = self.levels[i], self.levels[i] - 1, self.box_strides[i]
+        if self.bits[i] <= TABLE_BITS:
+            rows = [[0]] + [[(a * r + b) * w for a in range(1, l + 1) for b in range(l, n + 1)] for l in range(1, n + 1)]
+            return f"{_table(rows)}[cast({level} as int)]"
+        codes = (f"flatten(transform(sequence(1, greatest({level}, 1)), a -> "
+                 f"transform(sequence(greatest({level}, 1), {n}), b -> (a * {r} + b) * {w}L)))")
+        return f"if({level} > 0, {codes}, array(0L))"
 
     def containing_box_sql(self, levels: list[str], mask: str = "cut_mask") -> str:
         """Box of the partition that holds the cell with the given levels."""
@@ -192,10 +223,6 @@ class FactorSpec:
         """Number of cells in the box."""
         return " * ".join(self.box_width_sql(i, box) for i in range(self.m))
 
-    def box_policies_sql(self, box: str = "box_id") -> str:
-        """ARRAY<BIGINT> of the cells inside the box."""
-        return every_sum([f"transform({self.box_levels_sql(i, box)}, l -> l * {self.strides[i]}L)" for i in range(self.m)])
-
     # ---- columns and row expansions ---------------------------------------------------------
 
     def policy_id(self, levels: list[str] | None = None) -> Column:
@@ -221,14 +248,32 @@ class FactorSpec:
 
         ``only`` limits the expansion: other rows pass once with a null box.
         """
-        boxes = self.boxes_sql(mask, profile)
-        if only is not None:
-            boxes = f"if({only}, {boxes}, array(cast(null as bigint)))"
-        return df.selectExpr("*", f"explode({boxes}) as box_id")
+        def codes(i):
+            c = self.segments_sql(i, mask, profile)
+            return c if only is None else f"if({only}, {c}, array(cast(null as bigint)))"
+        return _unfold(df, [codes(i) for i in range(self.m)], "box_id")
 
     def box_policies(self, df: DataFrame, box: str = "box_id", out: str = "policy_id") -> DataFrame:
         """One row per (row, cell inside its box)."""
-        return df.selectExpr("*", f"explode({self.box_policies_sql(box)}) as {out}")
+        first = [f"{self.box_low_sql(i, box)} * {w}L" for i, w in enumerate(self.strides)]
+        last = [f"({self.box_code_sql(i, box)} % {r}L) * {w}L" for i, (r, w) in enumerate(zip(self.levels, self.strides))]
+        return _unfold(df, [f"sequence({a}, {b}, {w}L)" for a, b, w in zip(first, last, self.strides)], out)
+
+
+def _unfold(df: DataFrame, arrays: list[str], out: str) -> DataFrame:
+    """One row per choice of one element per array; ``out`` is their sum.
+
+    A chain of explodes over built-in arrays stays inside generated code.
+    """
+    keep = [c for c in df.columns if c != out]
+    for i, a in enumerate(arrays):
+        df = df.selectExpr("*", f"explode({a}) as _u{i}")
+    return df.selectExpr(*[f"`{c}`" for c in keep], " + ".join(f"_u{i}" for i in range(len(arrays))) + f" as {out}")
+
+
+def _table(rows: list[list[int]]) -> str:
+    cells = ["array(" + ", ".join(f"{x}L" for x in row) + ")" if row else "cast(array() as array<bigint>)" for row in rows]
+    return "array(" + ", ".join(cells) + ")"
 
 
 def _weighted(terms, weights) -> str:
