@@ -56,7 +56,7 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
     items = materialize(items.select("slot", "q", "h", "members"), "items")
     stats = items.groupBy("slot").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.min("h").alias("h")).collect()
     tolerance = 1e-12  # losses are summed in another order than theta; the last filter is exact
-    slack = theta - sum(s.q for s in stats)
+    slack = float(theta) - sum(s.q for s in stats)
     spare = None if max_pools is None else max_pools - sum(s.h for s in stats)
     if len(stats) < n_slots or slack < -tolerance or (spare is not None and spare < 0):
         return items.where(F.lit(False)).drop("slot")

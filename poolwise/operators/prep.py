@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions.groups import attach
+from poolwise.functions.running import running
+from poolwise.runtime import materialize
 
 
 def _col(c: str | Column) -> Column:
@@ -77,14 +79,28 @@ def cap(column: str | Column, top: int) -> Column:
 
 
 def quantile_edges(df: DataFrame, column: str, parts: int, by: list[str] = (), exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """Inner and outer quantile edges of a column as ``edges``.
+    """Outer and inner quantile edges of a column as the array ``edges``.
 
-    ``exact`` interpolates linearly and counts every distinct value; the
-    approximate form is a mergeable sketch of bounded size for large tables.
+    The exact form interpolates linearly between the two neighbouring ranks.
+    It counts each distinct value once, ranks the counts by ranges and picks
+    the few values needed, so no task holds the column.  The approximate form
+    is a mergeable sketch of bounded size.
     """
-    probs = F.array(*[F.lit(k / parts) for k in range(parts + 1)])
-    agg = F.percentile(column, probs) if exact else F.percentile_approx(column, [k / parts for k in range(parts + 1)], accuracy)
-    return df.groupBy(*by).agg(agg.alias("edges"))
+    by = list(by)
+    present = df.where(F.col(column).isNotNull())
+    if not exact:
+        probs = [k / parts for k in range(parts + 1)]
+        return present.groupBy(*by).agg(F.percentile_approx(column, probs, accuracy).alias("edges"))
+    counts = present.groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = running(counts, by, ["_v"], sums={"_upto": "_c"}, position=None)
+    ranked = attach(materialize(ranked, "ranked"), by, _n=F.max("_upto"))
+    picks = []
+    for k in range(parts + 1):
+        place = F.lit(k / parts) * (F.col("_n") - 1)
+        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
+        picks.append(low + F.max(place - F.floor(place)) * (high - low))
+    return ranked.groupBy(*by).agg(F.array(*picks).alias("edges"))
 
 
 def quantile_cut(df: DataFrame, column: str, parts: int, out: str, exact: bool = True) -> DataFrame:
@@ -93,7 +109,7 @@ def quantile_cut(df: DataFrame, column: str, parts: int, out: str, exact: bool =
     Equal edges are dropped, and the levels that remain are numbered without
     gaps.
     """
-    edges = quantile_edges(df.where(F.col(column).isNotNull()), column, parts, exact=exact).scalar()
+    edges = quantile_edges(df, column, parts, exact=exact).scalar()
     df = df.withColumn("_e", F.array_distinct(edges))
     level = F.aggregate(F.slice(F.col("_e"), 2, F.greatest(F.size("_e") - 2, F.lit(0))), F.lit(0),
                         lambda acc, e: acc + F.when(F.col(column) > e, 1).otherwise(0))

@@ -16,12 +16,12 @@ ROUNDS_PER_CUT = 6
 
 
 def exhaustive_set(spec: FactorSpec, cells: DataFrame, theta: float, reg: float,
-                   profile_id: int | None = None, max_pools: int | None = None) -> DataFrame:
+                   profile_id: int | None = None, max_pools: int | None = None, boxes: DataFrame | None = None) -> DataFrame:
     """Every partition with q <= theta, by scoring the whole space.
 
     The pool budget is applied before any box is looked up.
     """
-    return score_space(spec, cells, reg, profile_id, max_pools).where(F.col("q") <= theta)
+    return score_space(spec, cells, reg, profile_id, max_pools, boxes).where(F.col("q") <= theta)
 
 
 def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg: float,
@@ -104,7 +104,7 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def order_by_loss(scored: DataFrame, by: list[str] = ("profile_id",), digits: int = 12) -> DataFrame:
-    """Rank inside each profile by loss, ties by mask."""
+    """Rank inside each profile by loss, ties by mask (R14).  Hand in a written table: ranking reads it twice."""
     keyed = scored.withColumn("_key", F.round("q", digits))
     return running(keyed, list(by), ["_key", "cut_mask"], position="position").drop("_key")
 

@@ -236,18 +236,18 @@ _W = f"""{KEPT}, best as (select min(q) q0 from kept), weighted as (select k.*,
     beta as (select a.policy_id, sum(w * p.mean_y) / sum(w) beta from weighted join assigned a using (cut_mask) join pooled p using (cut_mask, pool_id) group by 1)"""
 
 
-def _weighted(spark, sf):
-    return materialize(B.weights(kept(spark, sf)), "weighted")
+def _weighted(spark, sf, cells=None):
+    return materialize(B.weights(kept(spark, sf, cells)), "weighted")
 
 
-def _boxes(spark, sf):
-    return materialize(P.box_moments(fx.SINGLE, single_cells(spark, sf)), "boxes")
+def _boxes(spark, sf, cells):
+    return materialize(P.box_moments(fx.SINGLE, cells), "boxes")
 
 
-def _beta(spark, sf):
-    cells = single_cells(spark, sf)
+def _beta(spark, sf, cells=None):
+    cells = cells if cells is not None else single_cells(spark, sf)
     boxes = P.box_moments(fx.SINGLE, cells)
-    effects = B.posterior_effects(fx.SINGLE, _weighted(spark, sf), boxes)
+    effects = B.posterior_effects(fx.SINGLE, _weighted(spark, sf, cells), boxes)
     return effects.join(cells.select("policy_id"), "policy_id", "left_semi")
 
 
@@ -300,9 +300,9 @@ def post_effect_error(spark, sf):
     boxes = materialize(P.box_moments(fx.SINGLE, cells), "boxes")
     everything = B.weights(materialize(P.score_partitions(fx.SINGLE, P.enumerate_partitions(spark, fx.SINGLE, FULL), cells, REG, boxes=boxes), "scored"))
     full = B.posterior_effects(fx.SINGLE, everything, boxes).join(cells.select("policy_id"), "policy_id", "left_semi")
-    beta = materialize(_beta(spark, sf), "beta")
+    beta = materialize(_beta(spark, sf, cells), "beta")
     truth = cells.select("policy_id", F.col("mean_y").alias("beta"))
-    sets = kept(spark, sf)
+    sets = kept(spark, sf, cells)
     return (B.effect_error(beta, full).select(F.round("l2_error", 7).alias("error_full"))
             .withColumn("error_cells", B.effect_error(beta, truth).select(F.round("l2_error", 7)).scalar())
             .withColumn("found", B.contains_partition(sets, FULL, 15).scalar()))
@@ -318,7 +318,8 @@ def post_split_frequency(spark, sf):
 
 @query("post_split_frequency_weighted", f"""with {_W} select factor, position, round(sum(w * ((cut_mask >> b) & 1)) / sum(w), 9) share from weighted, (values {_POSITIONS}) t(factor, position, b) group by factor, position""")
 def post_split_frequency_weighted(spark, sf):
-    return rounded(B.split_frequency(fx.SINGLE, _weighted(spark, sf), weight=F.col("weight")), 9)
+    cells = single_cells(spark, sf)
+    return rounded(B.split_frequency(fx.SINGLE, _weighted(spark, sf, cells), weight=F.col("weight")), 9)
 
 
 @query("post_factor_pooled", f"""with {KEPT} select factor, round(avg(case when ((cut_mask >> o) & f) <> f then 1.0 else 0.0 end), 9) share
@@ -335,7 +336,8 @@ _VS_BASE = f"""{_W}, fitted as (select k.cut_mask, k.w, c.qty, c.disc, c.tax, c.
 
 
 def _effects(spark, sf):
-    return materialize(B.effects_vs_base(fx.SINGLE, _weighted(spark, sf), _boxes(spark, sf), keep=["weight"]), "effects")
+    cells = single_cells(spark, sf)
+    return materialize(B.effects_vs_base(fx.SINGLE, _weighted(spark, sf, cells), _boxes(spark, sf, cells), keep=["weight"]), "effects")
 
 
 @query("post_effects_vs_base", f"""with {_VS_BASE} select cut_mask, factor, lev as level, count(*) n_cells, round(sum(effect), 6) + 0.0 total, round(max(effect), 9) + 0.0 top from vs group by cut_mask, factor, lev""")
@@ -441,8 +443,9 @@ _BETA_BEST = "beta_best as (select policy_id from beta where round(beta, 1) = (s
 @query("metric_iou", f"""with {_W}, {_TRUTH}, {_BETA_BEST} select round((select count(*) from true_best where policy_id in (select policy_id from beta_best)) * 1.0 /
     (select count(*) from (select policy_id from true_best union select policy_id from beta_best)), 9) iou""")
 def metric_iou(spark, sf):
-    truth = X.best_policies(_truth(single_cells(spark, sf)), "effect")
-    mine = X.best_policies(_beta(spark, sf), "beta", digits=1)
+    cells = single_cells(spark, sf)
+    truth = X.best_policies(_truth(cells), "effect")
+    mine = X.best_policies(_beta(spark, sf, cells), "beta", digits=1)
     return rounded(X.intersection_over_union(truth, mine), 9)
 
 
@@ -454,13 +457,15 @@ def metric_min_dosage(spark, sf):
 
 @query("metric_membership", f"with {_W}, {_TRUTH}, {_BETA_BEST} select count(*) > 0 shares_member from true_best join beta_best using (policy_id) where dosage = (select min(dosage) from true_best)")
 def metric_membership(spark, sf):
-    low = X.min_dosage(X.best_policies(_truth(single_cells(spark, sf)), "effect"), list(fx.SINGLE.names))
-    return X.shares_member(low, X.best_policies(_beta(spark, sf), "beta", digits=1))
+    cells = single_cells(spark, sf)
+    low = X.min_dosage(X.best_policies(_truth(cells), "effect"), list(fx.SINGLE.names))
+    return X.shares_member(low, X.best_policies(_beta(spark, sf, cells), "beta", digits=1))
 
 
 @query("metric_best_gap", f"with {_W} select round((select max(mean_y) from cells), 7) best_true, round((select max(beta) from beta), 7) best_estimate, round((select max(mean_y) from cells) - (select max(beta) from beta), 7) gap")
 def metric_best_gap(spark, sf):
-    return rounded(X.best_effect_gap(single_cells(spark, sf), materialize(_beta(spark, sf), "beta"), "mean_y", "beta"), 7)
+    cells = single_cells(spark, sf)
+    return rounded(X.best_effect_gap(cells, materialize(_beta(spark, sf, cells), "beta"), "mean_y", "beta"), 7)
 
 
 @query("metric_profile_indicator", f"""with {S.cells(fx.MULTI, 'multi')}, best as (select * from cells where round(mean_y, 1) = (select max(round(mean_y, 1)) from cells))
@@ -483,7 +488,7 @@ def metric_models(spark, sf):
     low = X.min_dosage(best, list(fx.SINGLE.names))
     boxes = P.box_moments(fx.SINGLE, cells)
     top = float(scalar(cells.agg(F.max("mean_y"))))
-    df = X.partition_metrics(fx.SINGLE, kept(spark, sf), boxes, cells, best, low, top)
+    df = X.partition_metrics(fx.SINGLE, kept(spark, sf, cells), boxes, cells, best, low, top)
     return df.select("cut_mask", "h", F.round("mse", 9).alias("mse"), F.round("iou", 9).alias("iou"), "min_dosage_hit", F.round("best_gap", 7).alias("best_gap"))
 
 

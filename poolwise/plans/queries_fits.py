@@ -98,7 +98,17 @@ def slope_sets(spark, sf):
     return L.slope_sets(fx.MULTI, cells, boxes, 0.0121, 0.001).select("profile_id", "cut_mask", "h", F.round("q", 7).alias("q"))
 
 
-@query("slope_two_regressors")
+def _two() -> str:
+    s = lambda a, b: f"(sum(n * {a} * {b} + c{a}{b}) - sum(n * {a}) * sum(n * {b}) / sum(n))"
+    return f"{s('x', 'x')} sxx, {s('d', 'd')} sdd, {s('x', 'd')} sxd, {s('x', 'y')} sxy, {s('d', 'y')} sdy, {s('y', 'y')} syy"
+
+
+_TWO = f"""{_SLOPE_CELLS}, {S.masks(SP, 7)}, c2 as (select disc, tax, flag, profile_id, n, x, y, disc * 1.0 d, cxx, cxy, cyy, 0.0 cdd, 0.0 cxd, 0.0 cdy from lcells),
+    p2 as (select p.cut_mask, p.h, {S.pool(SP, 'c', 'p.cut_mask')} pool_id, {_two()} from parts p join c2 c using (profile_id) group by 1, 2, 3),
+    e2 as (select cut_mask, h, case when sdd < 1e-6 then syy - sxy * sxy / sxx else syy - ((sdd * sxy - sxd * sdy) * sxy + (sxx * sdy - sxd * sxy) * sdy) / (sxx * sdd - sxd * sxd) end sse from p2)"""
+
+
+@query("slope_two_regressors", f"with {_TWO} select cut_mask, h, round(sum(sse) / (select sum(n) from lcells) + {REG_L} * h, 7) q from e2 group by 1, 2")
 def slope_two_regressors(spark, sf):
     """Two regressors, one of them constant in many pools: minimum-norm fits."""
     obs = fx.lineitem_slopes(spark, sf).withColumn("d", F.col("disc").cast("double"))
@@ -170,10 +180,13 @@ def lasso_puffer_scores(spark, sf):
     return df.select(F.round("mse", 8).alias("mse"), F.round("l1", 7).alias("l1"), F.round("loss", 8).alias("loss"))
 
 
-@query("lasso_puffer_objective")
+@query("lasso_puffer_objective", f"""with {S.cells(fx.SINGLE, 'single')}, {_moebius()}, al as (select z, sign(z) * greatest(abs(z) - 2e-7 * (select sum(n) from cells), 0) alpha from ols)
+    select round(sum((z - alpha) * (z - alpha)) / (select sum(n) from cells), 9) mse_puffer, round(sum(abs(alpha)), 7) l1,
+        round(sum((z - alpha) * (z - alpha)) / (select sum(n) from cells) + 2e-7 * sum(abs(alpha)), 9) loss from al""")
 def lasso_puffer_objective(spark, sf):
     cells = single_cells(spark, sf)
-    return rounded(Z.puffer_objective(fx.SINGLE, cells, Z.puffer_lasso(fx.SINGLE, cells, 2e-7), 2e-7), 9)
+    df = Z.puffer_objective(fx.SINGLE, cells, Z.puffer_lasso(fx.SINGLE, cells, 2e-7), 2e-7)
+    return df.select(F.round("mse_puffer", 9).alias("mse_puffer"), F.round("l1", 7).alias("l1"), F.round("loss", 9).alias("loss"))
 
 
 @query("lasso_scores")

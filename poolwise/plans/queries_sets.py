@@ -28,9 +28,10 @@ def multi_cells(spark, sf):
     return C.cell_table(fx.MULTI, fx.lineitem_multi(spark, sf))
 
 
-def kept(spark, sf):
+def kept(spark, sf, cells=None):
     """The near-optimal set that many queries look at, as a written table."""
-    return materialize(R.exhaustive_set(fx.SINGLE, single_cells(spark, sf), THETA, REG, FULL), "kept")
+    cells = cells if cells is not None else single_cells(spark, sf)
+    return materialize(R.exhaustive_set(fx.SINGLE, cells, THETA, REG, FULL), "kept")
 
 
 def multi_models(spark, sf, **options):
@@ -69,21 +70,24 @@ def part_by_size(spark, sf):
 
 @query("part_pools", f"""with {KEPT} select k.cut_mask, c.policy_id, {S.pool(fx.SINGLE, 'c', 'k.cut_mask')} pool_id from kept k, cells c""")
 def part_pools(spark, sf):
-    observed = single_cells(spark, sf).select("policy_id")
-    return P.assign_pools(fx.SINGLE, kept(spark, sf)).join(observed, "policy_id", "left_semi").select("cut_mask", "policy_id", "pool_id")
+    cells = single_cells(spark, sf)
+    observed = cells.select("policy_id")
+    return P.assign_pools(fx.SINGLE, kept(spark, sf, cells)).join(observed, "policy_id", "left_semi").select("cut_mask", "policy_id", "pool_id")
 
 
 @query("part_pool_means", f"""with {KEPT} select cut_mask, n, round(sum_y, 6) sum_y, round(mean_y, 6) mean_y from pooled
     where cut_mask in (select cut_mask from kept)""")
 def part_pool_means(spark, sf):
-    boxes = P.box_moments(fx.SINGLE, single_cells(spark, sf))
-    return rounded(P.pool_means(fx.SINGLE, kept(spark, sf), boxes).select("cut_mask", "n", "sum_y", "mean_y"))
+    cells = single_cells(spark, sf)
+    boxes = P.box_moments(fx.SINGLE, cells)
+    return rounded(P.pool_means(fx.SINGLE, kept(spark, sf, cells), boxes).select("cut_mask", "n", "sum_y", "mean_y"))
 
 
 @query("part_pool_means_wide", f"""with {KEPT} select cut_mask, n, round(mean_y, 6) mean_y from pooled where cut_mask in (select cut_mask from kept)""")
 def part_pool_means_wide(spark, sf):
     """The route for designs with too many boxes to list: only the boxes in use are summed."""
-    cells, sets = single_cells(spark, sf), kept(spark, sf)
+    cells = single_cells(spark, sf)
+    sets = kept(spark, sf, cells)
     boxes = P.needed_box_moments(fx.SINGLE, cells, fx.SINGLE.mask_boxes(sets))
     return rounded(P.pool_means(fx.SINGLE, sets, boxes).select("cut_mask", "n", "mean_y"))
 
@@ -93,9 +97,10 @@ def part_pool_means_wide(spark, sf):
     select cut_mask, pool_id, count(*) n, round(avg(fitted), 6) fitted, round(avg((y - fitted) * (y - fitted)), 9) mse
     from obs join cells using (qty, disc, tax, flag) join fit using (policy_id) group by all""".replace("round(avg((y", "round(avg((obs.y").replace("- fitted) * (y -", "- fitted) * (obs.y -"))
 def part_predict(spark, sf):
+    cells = single_cells(spark, sf)
     obs = fx.lineitem_single(spark, sf)
-    boxes = P.box_moments(fx.SINGLE, single_cells(spark, sf))
-    rows = P.predict(fx.SINGLE, obs, kept(spark, sf), boxes)
+    boxes = P.box_moments(fx.SINGLE, cells)
+    rows = P.predict(fx.SINGLE, obs, kept(spark, sf, cells), boxes)
     return (rows.groupBy("cut_mask", "pool_id")
             .agg(F.count("*").alias("n"), F.round(F.avg("fitted"), 6).alias("fitted"),
                  F.round(F.avg(F.pow(F.col("y") - F.col("fitted"), F.lit(2.0))), 9).alias("mse")))
@@ -105,8 +110,9 @@ def part_predict(spark, sf):
     select node cut_mask, s.cut_mask split_mask, h, round(q, 9) q from s join scored using (cut_mask)""")
 def part_maximal_split(spark, sf):
     """Factor ``disc`` cut from its second position on."""
-    nodes = kept(spark, sf).select("profile_id", F.col("cut_mask").alias("node"), F.expr(P.maximal_split(fx.SINGLE, 1, 1)).alias("cut_mask"))
-    scored = P.score_partitions(fx.SINGLE, nodes.select("profile_id", "cut_mask").distinct(), single_cells(spark, sf), REG)
+    cells = single_cells(spark, sf)
+    nodes = kept(spark, sf, cells).select("profile_id", F.col("cut_mask").alias("node"), F.expr(P.maximal_split(fx.SINGLE, 1, 1)).alias("cut_mask"))
+    scored = P.score_partitions(fx.SINGLE, nodes.select("profile_id", "cut_mask").distinct(), cells, REG)
     return nodes.join(scored, ["profile_id", "cut_mask"]).select(F.col("node").alias("cut_mask"), F.col("cut_mask").alias("split_mask"), "h", F.round("q", 9).alias("q"))
 
 
@@ -114,7 +120,8 @@ def part_maximal_split(spark, sf):
     select node cut_mask, f.h h_min, round(a.sse / (select sum(n) from cells) + {REG} * f.h, 9) bound
     from s join scored a on a.cut_mask = split join scored f on f.cut_mask = few""")
 def part_bound(spark, sf):
-    df = P.lower_bound(fx.SINGLE, kept(spark, sf), single_cells(spark, sf), 1, 1, REG)
+    cells = single_cells(spark, sf)
+    df = P.lower_bound(fx.SINGLE, kept(spark, sf, cells), cells, 1, 1, REG)
     return df.select("cut_mask", "h_min", F.round("bound", 9).alias("bound"))
 
 
@@ -193,7 +200,7 @@ def near_members(spark, sf):
 @query("near_order", f"""with {SINGLE} select cut_mask, round(q, 9) q, row_number() over (order by round(q, 12), cut_mask) position from scored""")
 def near_order(spark, sf):
     df = P.score_partitions(fx.SINGLE, P.enumerate_partitions(spark, fx.SINGLE, FULL), single_cells(spark, sf), REG)
-    return R.order_by_loss(df).select("cut_mask", F.round("q", 9).alias("q"), "position")
+    return R.order_by_loss(materialize(df, "scored")).select("cut_mask", F.round("q", 9).alias("q"), "position")
 
 
 _HALF = lambda status: f"select {S.QTY} qty, {S.DISC} disc, {S.TAX} tax, {S.FLAG} flag, {S.OUTCOME} y from lineitem where l_linestatus = '{status}'"
@@ -316,7 +323,8 @@ def near_global_pools(spark, sf):
 @query("near_describe", f"""with {KEPT} select a.cut_mask, a.pool_id, string_agg(a.policy_id, ',' order by a.policy_id) policies, p.n, round(p.mean_y, 6) mean_y
     from assigned a join pooled p using (cut_mask, pool_id) where a.cut_mask in (select cut_mask from kept) group by all""")
 def near_describe(spark, sf):
-    cells, sets = single_cells(spark, sf), kept(spark, sf)
+    cells = single_cells(spark, sf)
+    sets = kept(spark, sf, cells)
     boxes = P.box_moments(fx.SINGLE, cells).select("box_id", "n", "mean_y")
     assigned = P.assign_pools(fx.SINGLE, sets).join(boxes, "box_id").join(cells.select("policy_id"), "policy_id", "left_semi")
     return M.describe_pools(fx.SINGLE, assigned).select("cut_mask", "pool_id", F.array_join("policies", ",").alias("policies"), "n", F.round("mean_y", 6).alias("mean_y"))
