@@ -14,8 +14,8 @@ BANDS = 16
 # Copies of the right side that split one heavy band over several tasks, and the pair count from which they pay.
 SALTS = 16
 SALT_FROM = 1_000_000
-# Merge rounds planned as one job.
-ROUNDS_PER_CUT = 2
+# Merge rounds planned as one job; each round reads the rows of the one before from both sides.
+ROUNDS_PER_CUT = 3
 
 
 def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, max_pools: int | None = None,
@@ -52,7 +52,6 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
     band, and each kept row extends to a full model.  A heavy band is split by
     a salt.  Nothing but one line of minima per slot reaches the driver.
     """
-    spark = items.sparkSession
     items = materialize(items.select("slot", "q", "h", "members"), "items")
     stats = items.groupBy("slot").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.min("h").alias("h")).collect()
     tolerance = 1e-12  # losses are summed in another order than theta; the last filter is exact
@@ -64,13 +63,17 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
 
     open_slots = sorted((s for s in stats if s.n > 1), key=lambda s: (s.n, s.slot))
     fixed = [s for s in stats if s.n == 1]
-    places = [(s.slot, k, float(s.q), int(s.h)) for k, s in enumerate(open_slots)] + [(s.slot, -1, float(s.q), int(s.h)) for s in fixed]
-    placed = items.join(F.broadcast(spark.createDataFrame(places, "slot int, _place int, _low double, _few long")), "slot")
-    const = placed.where("_place < 0").agg(F.sum("q").alias("q"), F.sum("h").cast("long").alias("h"), F.flatten(F.collect_list("members")).alias("members"))
-    rows = placed.where("_place >= 0").selectExpr("_place as slot", "q", "h", "members", "q - _low as excess", "h - _few as extra")
-    rows = rows.where(F.col("excess") <= slack)
+    place = {s.slot: k for k, s in enumerate(open_slots)}
+    by_slot = {s.slot: s for s in stats}
+    look_up = lambda values: f"array({', '.join(values)})[slot]"
+    placed = items.selectExpr(
+        look_up([str(place.get(s, -1)) for s in range(n_slots)]) + " as slot", "q", "h", "members",
+        "q - " + look_up([f"{float(by_slot[s].q)!r}D" for s in range(n_slots)]) + " as excess",
+        "h - " + look_up([f"{int(by_slot[s].h)}L" for s in range(n_slots)]) + " as extra")
+    rows = placed.where((F.col("slot") >= 0) & (F.col("excess") <= slack))
     if spare is not None:
         rows = rows.where(F.col("extra") <= spare)
+    alone = placed.where("slot < 0").agg(F.flatten(F.collect_list("members")).alias("members"))
 
     pairs = 1
     for s in open_slots:
@@ -82,11 +85,12 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
         left_count, turn = (left_count + 1) // 2, turn + 1
         if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
             rows = materialize(rows, "merged")
+    fixed_q, fixed_h = F.lit(float(sum(s.q for s in fixed))), F.lit(int(sum(s.h for s in fixed))).cast("long")
     if not open_slots:
-        out = const
+        out = alone.select(fixed_q.alias("q"), fixed_h.alias("h"), "members")
     elif fixed:
-        out = rows.select("q", "h", "members").withColumns({"_q": const.select("q").scalar(), "_h": const.select("h").scalar(), "_m": const.select("members").scalar()})
-        out = out.select((F.col("q") + F.col("_q")).alias("q"), (F.col("h") + F.col("_h")).alias("h"), F.concat("members", "_m").alias("members"))
+        out = rows.withColumn("_alone", alone.scalar())
+        out = out.select((F.col("q") + fixed_q).alias("q"), (F.col("h") + fixed_h).alias("h"), F.concat("members", "_alone").alias("members"))
     else:
         out = rows.select("q", "h", "members")
     out = out.where(F.col("q") <= theta)

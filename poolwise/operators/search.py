@@ -9,8 +9,8 @@ from poolwise.operators.partitions import box_moments, score_space
 from poolwise.runtime import bounded, materialize, scalar, spread
 from poolwise.spec import FactorSpec
 
-# Cuts decided per frontier round: fewer rounds against children that one cut would have pruned.
-BITS_PER_ROUND = 2
+# Cuts decided per frontier round: many at first, few once there can be many nodes.
+FIRST_BITS, LATER_BITS, FEW_NODES = 4, 2, 2**9
 # The frontier's plan grows by one join per round; write it out this often.
 ROUNDS_PER_CUT = 6
 
@@ -52,7 +52,7 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
 
     penalty = f"{float(reg)!r}D * h"
     budget = "true" if max_pools is None else f"h <= {max_pools}"
-    rounds = [(i, j, min(BITS_PER_ROUND, spec.bits[i] - j)) for i in range(spec.m) for j in range(0, spec.bits[i], BITS_PER_ROUND)]
+    rounds = _rounds(spec)
     for turn, (i, j, width) in enumerate(rounds):
         first = spec.offsets[i] + j
         decided = f"(cut_mask & {(1 << first + width) - 1}L)"
@@ -73,6 +73,18 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
             .where("q <= theta").drop("theta"))
 
 
+def _rounds(spec: FactorSpec) -> list[tuple[int, int, int]]:
+    """(factor, first position, positions) per round; after b decided bits there are at most 2^b nodes per profile."""
+    out, decided = [], 0
+    for i in range(spec.m):
+        j = 0
+        while j < spec.bits[i]:
+            width = min(FIRST_BITS if 2**decided < FEW_NODES else LATER_BITS, spec.bits[i] - j)
+            out.append((i, j, width))
+            j, decided = j + width, decided + width
+    return out
+
+
 def batch_scores(spec: FactorSpec, cells: DataFrame, key: str, reg: float, profile_id: int | None = None) -> DataFrame:
     """Scores for many outcomes, configurations or strata in one job.
 
