@@ -85,12 +85,13 @@ def _rounds(spec: FactorSpec) -> list[tuple[int, int, int]]:
     return out
 
 
-def batch_scores(spec: FactorSpec, cells: DataFrame, key: str, reg: float, profile_id: int | None = None) -> DataFrame:
+def batch_scores(spec: FactorSpec, cells: DataFrame, keys: list[str], reg: float, profile_id: int | None = None) -> DataFrame:
     """Scores for many outcomes, configurations or strata in one job.
 
-    ``cells`` carries ``key``.  N is the row count of the respective value.
+    ``cells`` carries the key columns.  N is the row count of the respective
+    combination.
     """
-    return score_space(spec, cells, reg, profile_id, by=[key])
+    return score_space(spec, cells, reg, profile_id, by=keys)
 
 
 def unique_partitions(*sets: DataFrame) -> DataFrame:

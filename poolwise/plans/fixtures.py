@@ -122,4 +122,4 @@ def events_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select(
         recode("event_type", EVENT_TYPES).alias("etype"),
         (F.floor(F.hour("ts") / 6) + 1).cast("int").alias("daypart"),
-        F.col("value").alias("value"), F.sqrt("value").alias("root_value"), (F.col("user_id") % 7).cast("double").alias("user_score"))
+        F.col("value").alias("value"), F.sqrt("value").alias("root_value"), F.length("props").cast("double").alias("props_size"))

@@ -322,10 +322,12 @@ def design_surviving_edges(spark, sf):
     , assigned2 as (select b.cut_mask, {S.pool(fx.SINGLE, 'c', 'b.cut_mask')} pool_id, c.policy_id from best b, cells c)
     select cut_mask, policy_id, cast(min(policy_id) over (partition by cut_mask, pool_id) as bigint) component from assigned2""")
 def design_components(spark, sf):
+    from poolwise.operators.partitions import assign_pools
     from poolwise.operators.search import exhaustive_set
     cells = C.cell_table(fx.SINGLE, fx.lineitem_single(spark, sf))
     best = exhaustive_set(fx.SINGLE, cells, 0.0055, 1e-4, 15).select("profile_id", "cut_mask")
-    nodes = best.join(cells.select("profile_id", F.col("policy_id").alias("node")), "profile_id").drop("profile_id")
+    nodes = (assign_pools(fx.SINGLE, best).select("cut_mask", F.col("policy_id").alias("node"))
+             .join(cells.select(F.col("policy_id").alias("node")), "node", "left_semi"))
     found = D.connected_components(nodes, D.surviving_edges(fx.SINGLE, best), by=["cut_mask"])
     return found.select("cut_mask", F.col("node").alias("policy_id"), "component")
 

@@ -1,7 +1,7 @@
 """Queries: analytics over result tables.
 
 The result table is made from the facts: one setting per line number, one
-simulation per ship month, one model per supplier band, with an error, a size,
+simulation per ship month, one model per weekday, with an error, a size,
 an overlap and a flag each.
 """
 
@@ -14,14 +14,14 @@ from poolwise.plans.registry import query, rounded
 from poolwise.runtime import materialize
 from poolwise.sources.tables import read_table
 
-_RES = """res as (select l_linenumber n_per_pol, cast(month(l_shipdate) as int) sim_num, cast(l_suppkey % 8 as int) model, round(var_pop(l_quantity) / 100, 6) mse, cast(count(distinct l_returnflag || l_linestatus) as bigint) num_pools,
+_RES = """res as (select l_linenumber n_per_pol, cast(month(l_shipdate) as int) sim_num, cast(isodow(l_shipdate) - 1 as int) model, round(var_pop(l_quantity) / 100, 6) mse, cast(count(distinct l_returnflag || l_linestatus) as bigint) num_pools,
         round(avg(l_discount) * 10, 9) gap, round(avg(l_tax) * 10, 9) iou, case when avg(l_extendedprice) > 51500 then 1 else 0 end found, count(*) n_set from lineitem group by 1, 2, 3),
     lossed as (select *, round(mse + 0.1 * num_pools, 6) loss from res)"""
 
 
 def results(spark, sf):
     facts = read_table(spark, sf, "lineitem").select(
-        F.col("l_linenumber").alias("n_per_pol"), F.month("l_shipdate").alias("sim_num"), (F.col("l_suppkey") % 8).cast("int").alias("model"),
+        F.col("l_linenumber").alias("n_per_pol"), F.month("l_shipdate").alias("sim_num"), F.weekday("l_shipdate").alias("model"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("pool"))
     df = facts.groupBy("n_per_pol", "sim_num", "model").agg(
         F.round(F.var_pop("l_quantity") / 100, 6).alias("mse"), F.size(F.collect_set("pool")).cast("long").alias("num_pools"), F.round(F.avg("l_discount") * 10, 9).alias("gap"),

@@ -371,8 +371,8 @@ def near_collapse(spark, sf):
     return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)).select("model_key", "is_pooled", "n_pools")
 
 
-_OUTCOMES = ["value", "root_value", "user_score"]
-_BATCH_OBS = f"""select etype, daypart, outcome, y from (unpivot ({S.OBS['events']}) on value, root_value, user_score into name outcome value y)"""
+_OUTCOMES = ["value", "root_value", "props_size"]
+_BATCH_OBS = f"""select etype, daypart, outcome, y from (unpivot ({S.OBS['events']}) on value, root_value, props_size into name outcome value y)"""
 
 
 @query("near_batch", f"""with {S.scores(fx.EVENTS, _BATCH_OBS, 0.01, 3, by='outcome')}
@@ -381,5 +381,27 @@ def near_batch(spark, sf):
     """Three outcomes in one job."""
     obs = prep.melt_outcomes(fx.events_design(spark, sf), ["etype", "daypart"], _OUTCOMES)
     cells = C.cell_table(fx.EVENTS, obs, by=["outcome"])
-    scored = R.batch_scores(fx.EVENTS, cells, "outcome", 0.01, 3)
+    scored = R.batch_scores(fx.EVENTS, cells, ["outcome"], 0.01, 3)
     return scored.select("outcome", "cut_mask", "h", F.round("q", 7).alias("q"))
+
+
+_RUNS_OBS = f"""select {S.STATUS} status, l_returnflag config, disc, tax, outcome, y from (
+        select l_linestatus, l_returnflag, {S.DISC} disc, {S.TAX} tax, unnest(['quantity', 'price']) outcome, unnest([{S.OUTCOME}, l_extendedprice / 10000]) y from lineitem)"""
+_RUNS = f"""obs as ({_RUNS_OBS}), cells as (select outcome, config, status, disc, tax, cast({S.policy(fx.TREAT)} as bigint) policy_id, cast({S.profile(fx.TREAT)} as int) profile_id,
+        count(*) n, sum(y) sum_y, avg(y) mean_y, var_pop(y) * count(*) ssw from obs group by outcome, config, status, disc, tax), {S.masks(fx.TREAT)},
+    pooled as (select c.outcome, c.config, p.profile_id, p.cut_mask, p.h, {S.pool(fx.TREAT, 'c', 'p.cut_mask')} pool_id,
+        greatest(sum(n * mean_y * mean_y) - sum(sum_y) * sum(sum_y) / sum(n), 0) + sum(ssw) sse from parts p join cells c using (profile_id) group by 1, 2, 3, 4, 5, 6),
+    totals as (select outcome, config, sum(n) total from cells group by 1, 2)"""
+
+
+@query("near_batch_configs", f"""with {_RUNS} select outcome, config, profile_id, cut_mask, h, round(sum(sse) / any_value(total) + 0.001 * h, 7) q
+    from pooled join totals using (outcome, config) group by 1, 2, 3, 4, 5""")
+def near_batch_configs(spark, sf):
+    """Outcomes by configurations, all profiles, in one job."""
+    facts = read_table(spark, sf, "lineitem").select(
+        prep.recode("l_linestatus", {"F": 0, "O": 1}).alias("status"), F.col("l_returnflag").alias("config"), fx.disc_level().alias("disc"),
+        fx.tax_level().alias("tax"), fx.outcome().alias("quantity"), (F.col("l_extendedprice") / 10000).alias("price"))
+    obs = prep.melt_outcomes(facts, ["status", "disc", "tax", "config"], ["quantity", "price"])
+    cells = C.cell_table(fx.TREAT, obs, by=["outcome", "config"])
+    scored = R.batch_scores(fx.TREAT, cells, ["outcome", "config"], 1e-3)
+    return scored.select("outcome", "config", "profile_id", "cut_mask", "h", F.round("q", 7).alias("q"))

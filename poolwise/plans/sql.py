@@ -30,7 +30,7 @@ OBS = {
         from orders join customer on o_custkey = c_custkey""",
     "events": """select case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4
         when 'view' then 5 end etype, cast(floor(hour(ts) / 6) + 1 as int) daypart, value, sqrt(value) root_value,
-        cast(user_id % 7 as double) user_score from events""",
+        cast(length(props) as double) props_size from events""",
 }
 
 
