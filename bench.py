@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from poolwise.plans.catalog import QUERIES
 
 HEADLINE = ["near_profile", "near_frontier", "part_loss", "near_models", "near_models_frontier", "near_strata", "near_batch",
-            "near_frontier_wide", "post_effects", "post_effects_models", "post_effect_histogram", "te_sweep", "slope_loss",
+            "near_frontier_wide", "near_profile_wide", "post_effects", "post_effects_models", "post_effect_histogram", "te_sweep", "slope_loss",
             "metric_models", "ext_overlap", "cells_stratified", "cells_means"]
 
 

@@ -22,9 +22,9 @@ def running(df: DataFrame, by: list[str], order: list, sums: dict[str, Column |
     """
     sums = sums or {}
     keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumns({f"_v_{k}": (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}) if sums else df
-    ranged = materialize(ranged.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    # adaptive execution may merge neighbouring ranges, which keeps their order
+    ranged = materialize(ranged.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
 
     total = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_count"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     # one row per (group, range it touches): at most groups + ranges rows

@@ -42,13 +42,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all tasks by key, ahead of an expansion.
 
     Tables of design size often sit in one small file or one coalesced
-    partition, while a row of theirs can unfold into thousands.  The number is
-    stated, so adaptive execution does not merge the small partitions again;
-    a grouping on these keys (and more) afterwards needs no further shuffle.
+    partition, while a row of theirs can unfold into thousands.  The work is in
+    the unfolding, so the number of tasks follows the cores, not the bytes; it
+    is stated, so adaptive execution does not merge the partitions again.  A
+    grouping on these keys (and more) afterwards needs no further shuffle.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
