@@ -5,8 +5,8 @@ smaller doc_id.  Windows are judged on the input.  Three passes, each a plain Sp
 
 1. Every window names its rarest-looking ``gram`` (the sub-window with the smallest rolling hash, which the window's
    words alone decide).  Neighbouring windows share it, so this is one row per five words.  Windows whose gram
-   occurs in one document only cannot repeat across documents.
-2. All other windows are hashed and the smallest doc_id of each (hash, gram) is found; both together have 128 bits.
+   occurs in one document only cannot repeat across documents, and the first document with a gram loses none.
+2. All other windows are hashed and the smallest doc_id of each hash is found (64 bits, and 32 of the gram's).
 3. Windows with a smaller doc_id elsewhere are gathered by document and merge into maximal removal intervals.
 
 Null or empty texts have no words and keep an empty text; texts shorter than a window lose nothing; rows that
@@ -55,7 +55,7 @@ def _grams(size: int, gram: int):
 
 
 def _windows(size: int, gram: int):
-    """Rows (window, gram, doc_id, key, place) for the windows that the row's lists name."""
+    """Rows (window, gram, doc_id, key, place, late) for the windows that the row's lists name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in W.chunks(batch):
@@ -70,8 +70,9 @@ def _windows(size: int, gram: int):
                 doc = owner[index]
                 taken = rows.select(["doc_id", "key"]).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [W.signed(whole[place]), W.signed(grams[at[place]]), taken["doc_id"], taken["key"], pa.array((place - ranges[doc]).astype(np.int32))],
-                    names=["window", "gram", "doc_id", "key", "place"])
+                    [W.signed(whole[place]), pa.array(grams[at[place]].astype(np.uint32).view(np.int32)), taken["doc_id"], taken["key"],
+                     pa.array((place - ranges[doc]).astype(np.int32)), named.field("late").take(pa.array(index))],
+                    names=["window", "gram", "doc_id", "key", "place", "late"])
     return run
 
 
@@ -107,15 +108,15 @@ def repeated_windows(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFram
     rows = keyed(docs)
     with Scratch(docs.sparkSession) as scratch:
         grams = rows.mapInArrow(_grams(size, gram), "gram long, doc_id long, key long, low int, count int")
-        shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-        named = grams.select("gram", "key", "low", "count").join(shared, "gram").groupBy("key").agg(
-            F.collect_set(F.struct("low", "count")).alias("named"))
-        named = scratch.write(named, "named")
+        shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram", "a")
+        late = F.coalesce(F.col("doc_id") > F.col("a"), F.lit(False)).alias("late")
+        named = grams.join(shared, "gram").select("key", F.struct("low", "count", late).alias("one"))
+        named = scratch.write(named.groupBy("key").agg(F.collect_set("one").alias("named")), "named")
         windows = rows.join(named, "key").select("doc_id", "key", "text", "named").mapInArrow(
-            _windows(size, gram), "window long, gram long, doc_id long, key long, place int")
+            _windows(size, gram), "window long, gram int, doc_id long, key long, place int, late boolean")
         windows = scratch.write(windows, "windows")
-        first = windows.groupBy("window", "gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("window", "gram", "a")
-        again = windows.join(first, ["window", "gram"]).where("a < doc_id")
+        first = windows.groupBy("window", "gram").agg(F.min("doc_id").alias("a"))
+        again = windows.where("late").join(first, ["window", "gram"]).where("a < doc_id")
         places = scratch.write(again.groupBy("key").agg(F.collect_set("place").alias("places")), "places")
         cut = rows.join(places, "key", "left").select("doc_id", "text", "places").mapInArrow(
             _cut(size), "doc_id long, n_words long, starts array<int>, ends array<int>, kept string")
