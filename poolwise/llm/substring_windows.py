@@ -115,7 +115,8 @@ def repeated_windows(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFram
         windows = rows.join(named, "key").select("doc_id", "key", "text", "named").mapInArrow(
             _windows(size, gram), "window long, gram int, doc_id long, key long, place int, late boolean")
         windows = scratch.write(windows, "windows")
-        first = windows.groupBy("window", "gram").agg(F.min("doc_id").alias("a"))
+        first = windows.groupBy("window", "gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+        first = scratch.write(first.select("window", "gram", "a"), "first")  # so that a hot window's join can be split
         again = windows.where("late").join(first, ["window", "gram"]).where("a < doc_id")
         places = scratch.write(again.groupBy("key").agg(F.collect_set("place").alias("places")), "places")
         cut = rows.join(places, "key", "left").select("doc_id", "text", "places").mapInArrow(
