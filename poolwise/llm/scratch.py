@@ -18,6 +18,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.kept = spark, [], set()
+        self.of: dict[int, tuple[str, DataFrame]] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -40,14 +41,16 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of ``write`` before the end, once nothing reads it any more."""
-        for path in list(self.paths):
-            if any(f.startswith(path) or path in f for f in df.inputFiles()[:1]):
-                self.paths.remove(path)
-                self.delete(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.of[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of ``write`` before the end, once nothing reads them any more."""
+        for table in tables:
+            path = self.of.pop(id(table))[0]
+            self.paths.remove(path)
+            self.delete(path)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         out = self.write(df, label)

@@ -109,16 +109,19 @@ def repeated_windows(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFram
     with Scratch(docs.sparkSession) as scratch:
         grams = rows.mapInArrow(_grams(size, gram), "gram long, doc_id long, key long, low int, count int")
         shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram", "a")
+        shared = scratch.write(shared, "shared")
         late = F.coalesce(F.col("doc_id") > F.col("a"), F.lit(False)).alias("late")
         named = grams.join(shared, "gram").select("key", F.struct("low", "count", late).alias("one"))
         named = scratch.write(named.groupBy("key").agg(F.collect_set("one").alias("named")), "named")
         windows = rows.join(named, "key").select("doc_id", "key", "text", "named").mapInArrow(
             _windows(size, gram), "window long, gram int, doc_id long, key long, place int, late boolean")
         windows = scratch.write(windows, "windows")
+        scratch.drop(shared, named)
         first = windows.groupBy("window", "gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
         first = scratch.write(first.select("window", "gram", "a"), "first")  # so that a hot window's join can be split
         again = windows.where("late").join(first, ["window", "gram"]).where("a < doc_id")
         places = scratch.write(again.groupBy("key").agg(F.collect_set("place").alias("places")), "places")
+        scratch.drop(windows, first)
         cut = rows.join(places, "key", "left").select("doc_id", "text", "places").mapInArrow(
             _cut(size), "doc_id long, n_words long, starts array<int>, ends array<int>, kept string")
         return scratch.keep(cut, "repeated-windows")

@@ -135,7 +135,8 @@ def suffix_dedup(docs: DataFrame, size: int = 400, q: int = 200, width: int = 16
     long_enough = rows.where(F.octet_length("text") >= size)
     with Scratch(docs.sparkSession) as scratch:
         pointers = long_enough.select("key", "text").mapInArrow(_pointers(size, q), "gram long, key long, at int, least int, most int")
-        buckets = pointers.groupBy("gram").count().where("count > 1").select("gram")
+        # right sides are written, so that adaptive execution can split the join on a hot bucket
+        buckets = scratch.write(pointers.groupBy("gram").count().where("count > 1").select("gram"), "buckets")
         held = pointers.join(buckets, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "at", "least", "most")).alias("pointers"))
         texts = scratch.write(long_enough.join(held, "key").select("key", "text", "pointers"), "texts")
 
@@ -145,16 +146,18 @@ def suffix_dedup(docs: DataFrame, size: int = 400, q: int = 200, width: int = 16
         met_twice = kinds.where("n > 1").select("gram", "cell", "name")
         settled = scratch.write(cells.join(met_twice, ["gram", "cell", "name"]).select("key", "low", "high"), "settled")
 
-        several = kinds.groupBy("gram", "cell").count().where("count > 1").select("gram", "cell")
+        several = scratch.write(kinds.groupBy("gram", "cell").count().where("count > 1").select("gram", "cell"), "several")
         split = kinds.join(several, ["gram", "cell"]).groupBy(F.col("one.key").alias("key")).agg(
             F.collect_list(F.struct("gram", "cell", F.col("one.at").alias("at"), (F.col("n") > 1).alias("settled"))).alias("cells"))
         windows = texts.select("key", "text").join(split, "key").mapInArrow(
             _windows(size, width), "gram long, name long, key long, place int, settled boolean")
         windows = scratch.write(windows, "windows")
-        names = windows.groupBy("gram", "name").count().where("count > 1").select("gram", "name")
+        scratch.drop(buckets, texts, kinds, several)
+        names = scratch.write(windows.groupBy("gram", "name").count().where("count > 1").select("gram", "name"), "names")
         single = windows.where("NOT settled").join(names, ["gram", "name"]).select("key", F.col("place").alias("low"), F.col("place").alias("high"))
         ranges = settled.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
         ranges = scratch.write(ranges, "ranges")
+        scratch.drop(settled, windows, names)
         cut = rows.join(ranges, "key", "left").select("doc_id", "text", "ranges").mapInArrow(
             _cut(size), "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary")
         return scratch.keep(cut, "suffix-dedup")
