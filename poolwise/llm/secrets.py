@@ -1,0 +1,199 @@
+"""Secrets in texts: fixed patterns, and character-class strings whose sliding window has a high Shannon entropy.
+
+Built-in functions only.  Three base patterns are taken as they stand (leftmost, not overlapping, per kind).  The
+method adds strings of one character class: a window of ``width`` characters slides over each candidate, its
+symbol counts change by one character in and one out, and windows at or above the class's entropy merge into
+spans.  Candidates on the allow list are suppressed, and so are spans inside a base span; base spans stay.
+
+Entropy is compared in whole numbers: with f(c) = round(2**20 * c * log2(c)) kept for every count c, a window is
+hit when the sum of f over its counts is at most 2**20 * width * (log2(width) - bits).
+
+Positions are code points, ends exclusive.  Null and empty texts have no spans; rows are independent, so repeated
+rows, ties and extra columns change nothing, and nothing is shuffled.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: The base patterns, in the order that breaks ties of equal starts.
+ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+          r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+BASE = [("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{12,}"), ("hex", r"[0-9a-f]{32,}")]
+#: Letters of the group after the sign that make an assignment a secret.
+ASSIGNED = 8
+
+SCALE = 1 << 20
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    kind: str
+    alphabet: str
+    pattern: str
+    width: int
+    bits: float
+
+    @property
+    def f(self) -> list[int]:
+        return [round(SCALE * c * math.log2(c)) if c else 0 for c in range(self.width + 1)]
+
+    @property
+    def most(self) -> int:
+        """Largest sum of f of a window that is hit."""
+        return math.floor(SCALE * self.width * (math.log2(self.width) - self.bits))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CLASSES = [
+    CharacterClass("entropy_hex", "0123456789abcdefABCDEF", r"[0-9a-fA-F]{24,}", 24, 3.2),
+    CharacterClass("entropy_base64", _UPPER + _UPPER.lower() + "0123456789+/_=-", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.8),
+]
+
+#: Candidates that are no secrets: words, numbers, rules of one repeated sign, paths and compounds of words, documented samples.
+ALLOWED = [r"^[A-Za-z]+$", r"^[0-9]+$", r"^[+/_=-]+$", r"^/?([A-Za-z]*[/_=+-])+[A-Za-z]*$", r"EXAMPLE|example|0123456789|abcdefgh"]
+
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _placed(text: Column, pattern: str, found: Column) -> Column:
+    """(start, match) of every match: the pieces between matches give the positions."""
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+    pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,match:string>>)").alias("out"))
+    placed = F.aggregate(pairs, start, lambda done, p: F.struct(
+        (done["at"] + p["gap"] + F.length(p["match"])).alias("at"),
+        F.concat(done["out"], F.array(F.struct((done["at"] + p["gap"]).alias("start"), p["match"].alias("match")))).alias("out")), lambda done: done["out"])
+    return F.when(F.size(found) == 0, F.expr("CAST(array() AS array<struct<start:int,match:string>>)")).otherwise(placed)
+
+
+def _span(start: Column, rank: int, kind: str, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
+
+
+def _hits(match: Column, of: CharacterClass) -> Column:
+    """(start, end) inside a candidate of its merged windows of high entropy, by incremental counts."""
+    codes = F.transform(F.split(match, ""), lambda c: F.instr(F.lit(of.alphabet), c) - 1)
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), of.width), codes), 1, F.length(match))
+    steps = F.zip_with(codes, leaving, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    f = F.array(*map(F.lit, of.f))
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
+    start = F.struct(F.array_repeat(F.lit(0), len(of.alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("read"),
+                     F.lit(-1).alias("start"), F.lit(-1).alias("end"), none.alias("out"))
+
+    def step(done: Column, s: Column) -> Column:
+        same = s["new"] == s["old"]
+        counts = F.when(same, done["counts"]).otherwise(F.transform(
+            done["counts"], lambda c, k: c + F.when(k == s["new"], 1).when(k == s["old"], -1).otherwise(0)))
+        came, went = F.get(done["counts"], s["new"]), F.get(done["counts"], s["old"])
+        gained = F.get(f, came + 1) - F.get(f, came)
+        lost = F.when(s["old"] < 0, F.lit(0)).otherwise(F.get(f, went) - F.get(f, went - 1))
+        total = F.when(same, done["sum"]).otherwise(done["sum"] + gained - lost).cast("long")
+        read = done["read"] + 1
+        hit = (read >= of.width) & (total <= of.most)
+        begin = read - of.width
+        fresh = hit & (begin > done["end"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), read.alias("read"),
+                        F.when(fresh, begin).otherwise(done["start"]).alias("start"), F.when(hit, read).otherwise(done["end"]).alias("end"),
+                        F.when(fresh & (done["end"] >= 0), F.concat(done["out"], F.array(F.struct(done["start"].alias("start"), done["end"].alias("end")))))
+                        .otherwise(done["out"]).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda done: F.when(
+        done["end"] >= 0, F.concat(done["out"], F.array(F.struct(done["start"].alias("start"), done["end"].alias("end"))))).otherwise(done["out"]))
+
+
+def secret_spans(docs: DataFrame, column: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``base``, ``spans``: arrays of (start, rank, kind, end), sorted (of a clash, these win)."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    kinds = [kind for kind, _ in BASE] + [c.kind for c in CLASSES]
+    patterns = [p for _, p in BASE] + [c.pattern for c in CLASSES]
+    out = docs.select(F.struct("*").alias("row"), text.alias("scanned"))
+    allowed = [F.lit(p) for p in ALLOWED]
+
+    def candidates(found: Column) -> Column:
+        return F.exists(found, lambda m: ~_any_like(m))
+
+    def _any_like(m: Column) -> Column:
+        test = F.rlike(m, allowed[0])
+        for pattern in allowed[1:]:
+            test = test | F.rlike(m, pattern)
+        return test
+
+    for i, pattern in enumerate(patterns):
+        out = out.withColumn(f"found{i}", _found(F.col("scanned"), pattern))
+    none = F.expr(f"CAST(array() AS {_SPAN})")
+    def spans(rank: int) -> Column:
+        found, kind = F.col(f"found{rank}"), kinds[rank]
+        placed = _placed(F.col("scanned"), patterns[rank], found)
+        if rank < len(BASE):
+            if kind == "assign":
+                placed = F.filter(placed, lambda p: F.length(F.regexp_extract(p["match"], ASSIGN, 2)) >= ASSIGNED)
+            return F.when(F.size(found) > 0, F.transform(placed, lambda p: _span(p["start"], rank, kind, p["start"] + F.length(p["match"]))))
+        placed = F.filter(placed, lambda p: ~_any_like(p["match"]))
+        hits = F.transform(placed, lambda p: F.transform(
+            _hits(p["match"], CLASSES[rank - len(BASE)]), lambda h: _span(p["start"] + h["start"], rank, kind, p["start"] + h["end"])))
+        return F.when(candidates(found), F.flatten(hits))
+
+    for rank in range(len(kinds)):
+        out = out.withColumn(f"spans{rank}", spans(rank).cast(_SPAN))
+        out = out.withColumn(f"spans{rank}", F.coalesce(f"spans{rank}", none))
+    base = F.array_sort(F.concat(*(F.col(f"spans{i}") for i in range(len(BASE)))))
+    out = out.withColumn("base", base)
+    more = F.filter(F.concat(*(F.col(f"spans{i}") for i in range(len(BASE), len(kinds)))),
+                    lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+    out = out.withColumn("spans", F.array_sort(F.concat("base", more)))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("base", "spans")), "base", "spans")
+
+
+def listed(spans: Column | str) -> Column:
+    """Spans as one string, kind:start:end joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with every span, overlapping ones together, replaced by ``mark``."""
+    text = F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate(spans, start, lambda done, s: F.when(s["start"] < done["at"], F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out")))
+                      .otherwise(F.struct(s["end"].alias("at"), F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mark)).alias("out"))),
+                      lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(cut)
+
+
+def oracle() -> str:
+    """The same rows in the checking engine's SQL: every window counted anew, spans merged by window functions."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    parts, windows = [], []
+    for rank, (kind, pattern) in enumerate([*BASE, *((c.kind, c.pattern) for c in CLASSES)]):
+        parts.append(f"SELECT id, {rank} AS rank, {quoted(kind)} AS kind, regexp_extract_all(t, {quoted(pattern)}) AS m, string_split_regex(t, {quoted(pattern)}) AS g FROM docs")
+    for i, c in enumerate(CLASSES):
+        windows.append(f"""SELECT id, rank, kind, start, i, {c.width} AS width FROM (
+            SELECT id, rank, kind, start, i, string_split(substr(m, i + 1, {c.width}), '') AS w FROM (
+              SELECT id, rank, kind, start, m, unnest(range(length(m) - {c.width - 1})) AS i FROM placed WHERE rank = {len(BASE) + i}
+              AND NOT ({' OR '.join(f'regexp_matches(m, {quoted(p)})' for p in ALLOWED)})))
+            WHERE list_sum(list_transform(list_distinct(w), lambda x: list_extract({c.f}, 1 + len(list_filter(w, lambda y: y = x))))) <= {c.most}""")
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    raw AS ({' UNION ALL '.join(parts)}),
+    one AS (SELECT id, rank, kind, unnest(range(len(m))) AS k, m, list_transform(g, lambda x: length(x)) AS gaps, list_transform(m, lambda x: length(x)) AS lens FROM raw WHERE len(m) > 0),
+    placed AS (SELECT id, rank, kind, m[k + 1] AS m, (list_sum(gaps[1:k + 1]) + coalesce(list_sum(lens[1:k]), 0))::BIGINT AS start FROM one),
+    base AS (SELECT id, rank, kind, start, start + length(m) AS stop FROM placed WHERE rank < {len(BASE)}
+             AND (rank > 0 OR length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= {ASSIGNED})),
+    hits AS ({' UNION ALL '.join(windows)}),
+    edges AS (SELECT *, coalesce(i > lag(i) OVER p + width, true) AS fresh FROM hits WINDOW p AS (PARTITION BY id, rank, start ORDER BY i)),
+    islands AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id, rank, start ORDER BY i) AS island FROM edges),
+    added AS (SELECT id, rank, kind, start + min(i) AS start, start + max(i) + max(width) AS stop FROM islands GROUP BY id, rank, kind, start, island),
+    kept AS (SELECT a.* FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = a.id AND b.start <= a.start AND b.stop >= a.stop)),
+    both_kinds AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false AS is_base FROM kept),
+    per AS (SELECT id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (is_base) AS base,
+        count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h FROM both_kinds GROUP BY id)
+    SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN per USING (id)"""
