@@ -14,6 +14,7 @@ from poolwise.llm import secrets
 from poolwise.llm.substring_windows import repeated_windows
 from poolwise.llm.suffix_dedup import suffix_dedup
 from poolwise.llm.token_counts import token_counts
+from poolwise.llm.vector_dups import vector_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +78,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeated_windows(table(spark, sf_dir, "documents"))
