@@ -7,16 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolwise.llm.decontaminate import decontaminate
+from poolwise.llm.jaccard_join import jaccard_components
 from poolwise.llm.mixing import mix
-from poolwise.llm.scratch import Scratch
+from poolwise.llm.scratch import Scratch, keyed
+from poolwise.llm.secrets import redacted, secret_spans
+from poolwise.llm.toxicity import toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold.  Their labels teach where the rule of op5 allows it."""
+    scored = toxicity(docs.select("doc_id", "text", F.struct("*").alias("row")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select("row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies, the one with the smallest doc_id; all without words."""
+    found = jaccard_components(docs).where("keeper")
+    kept = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("n_shingles") == 0).alias("empty"))
+    rows = keyed(docs, F.struct("*").alias("row")).join(kept.hint("merge"), "key")
+    if kept.where("copies > 1 AND NOT empty").limit(1).count():  # rows alike in doc_id and text are one group too
+        rows = rows.where("NOT empty").dropDuplicates(["key"]).union(rows.where("empty"))
+    return rows.select("row.*")
+
+
 def unpolluted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
-    return found.where("NOT contaminated").select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    found = decontaminate(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
+    return found.where("NOT contaminated").select("row.*")
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by a mark; n_chars follows."""
+    found = secret_spans(docs.select("text", F.struct("*").alias("row")))
+    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    found = found.select("row", F.col("spans"), text.alias("clean"))
+    fresh = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("clean")).cast("long")}
+    return found.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +53,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", unpolluted), ("mixing", mixed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", civil), ("near duplicates", distinct), ("decontamination", unpolluted), ("secrets", redaction), ("mixing", mixed)]
 
 #: SQL cannot train the toxicity stage; tests run the stages against brute force.
 ORACLE_SQL = None
@@ -35,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
         for name, stage in STAGES[:-1]:
-            docs = scratch.write(stage(spark, docs, sf_dir), name)
+            docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

@@ -11,9 +11,11 @@ from poolwise.llm.decontaminate import decontaminate
 from poolwise.llm.jaccard_join import jaccard_components
 from poolwise.llm.mixing import mix
 from poolwise.llm import secrets
+from poolwise.llm.quality import quality
 from poolwise.llm.substring_windows import repeated_windows
 from poolwise.llm.suffix_dedup import suffix_dedup
 from poolwise.llm.token_counts import token_counts
+from poolwise.llm.toxicity import toxicity
 from poolwise.llm.vector_dups import vector_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +68,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_secrets"] = secrets.oracle()
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup(table(spark, sf_dir, "documents"))
