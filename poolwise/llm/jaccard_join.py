@@ -35,6 +35,8 @@ from poolwise.llm.scratch import Scratch, keyed
 
 #: Shingles that a task counts at a time, and those whose frequency class is broadcast (16 bytes each).
 COUNTED, FREQUENT = 2_000_000, 500_000
+#: Keys of documents to fetch that may be broadcast (8 bytes each); more meet their texts by a merge join.
+FETCHED = 1_000_000
 #: Bits of a shingle's name; the class of its frequency stands above them.
 NAME = 58
 
@@ -179,7 +181,8 @@ def _pivots(percent: int):
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot_rounds: int = 2, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, set_id (smallest key of the documents with this very set), component_id; one row per row."""
+    """doc_id, n_shingles, set_id (smallest key of the documents with this very set), component_id, key and keeper
+    (true for one key of each component, and for every empty set); one row per row."""
     spark = docs.sparkSession
     rows = keyed(docs)
     texts = rows.select("key", "doc_id", "text")
@@ -197,22 +200,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot
         scratch.drop(counts)
 
         sets = scratch.write(texts.mapInArrow(_sets(shared, words, percent, False), _SET), "sets")
-        alike = scratch.write(sets.groupBy("n", "one", "two").agg(F.min("key").alias("set_id")), "alike")
-        chosen = alike.where("n > 0").select(F.col("set_id").alias("key"))
-        entries = sets.join(chosen.distinct(), "key").dropDuplicates(["key", "n", "one", "two"]).select(
-            F.col("key").alias("id"), "n", F.posexplode("part").alias("pos", "shingle"))
+        ids = scratch.write(sets.select("doc_id", "key", "n", "one", "two"), "ids")
+        alike = scratch.write(ids.groupBy("n", "one", "two").agg(F.min("key").alias("set_id")), "alike")
+        # big tables meet smaller ones by merging at every size, so the plan that was measured is the plan that runs
+        chosen = alike.where("n > 0").select(F.col("set_id").alias("key")).distinct().hint("merge")
+        entries = sets.join(chosen, "key").select(F.col("key").alias("id"), "n", F.posexplode("part").alias("pos", "shingle"))
         lists = entries.repartition("shingle").sortWithinPartitions("shingle")
         lists = scratch.write(lists.select("shingle", "id", "n", "pos").mapInArrow(_lists, "shingle long, id long, n int, pos int"), "lists")
+        scratch.drop(sets)
 
         roots = None  # (id, root) of sets with links so far
         tried = None
         for turn in range(pivot_rounds + 1):
-            here = lists if roots is None else lists.join(roots, "id", "left")
+            used = []
+            here = lists if roots is None else lists.join(roots.hint("merge"), "id", "left")
             here = here.withColumn("root", F.coalesce("root", "id") if roots is not None else F.col("id"))
             if turn:
                 here = scratch.write(here, "here")
                 live = here.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
-                here = scratch.write(here.join(live, "shingle"), "live")
+                live = scratch.write(live, "live")
+                used += [here, live]
+                here = here.join(live.hint("merge"), "shingle")
             if turn < pivot_rounds:
                 # in turn 0 the entry with the fewest rarer shingles, later another of its kind at random
                 order = ["pos", "n", "id"] if not turn else [F.xxhash64("root", F.lit(turn)), F.col("pos"), F.col("id")]
@@ -225,17 +233,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = scratch.write(pairs, "pairs")
-            needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
-            full = texts.join(needed, "key").mapInArrow(_sets(shared, words, percent, True), _SET).dropDuplicates(["key", "n", "one", "two"])
-            full = full.join(alike.select("n", "one", "two", F.col("set_id").alias("key")), ["key", "n", "one", "two"])
-            full = scratch.write(full.select("key", "n", "part"), "full")
-            both = (pairs.join(full.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("part").alias("left")), "a")
-                    .join(full.select(F.col("key").alias("b"), "n", F.col("part").alias("right")), "b"))
+            needed = scratch.write(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct(), "needed")
+            few = needed.count() <= FETCHED
+            full = texts.join(F.broadcast(needed) if few else needed.hint("merge"), "key")
+            full = scratch.write(full.mapInArrow(_sets(shared, words, percent, True), _SET).select("key", "n", "part"), "full")
+            used += [needed, full]
+            both = (pairs.join(full.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("part").alias("left")).hint("merge"), "a")
+                    .join(full.select(F.col("key").alias("b"), "n", F.col("part").alias("right")).hint("merge"), "b"))
             overlap = F.size(F.array_intersect("left", "right"))
             links = both.select("a", "b", "m", "n", overlap.alias("i")).where((100 + percent) * F.col("i") >= percent * (F.col("m") + F.col("n")))
             links = scratch.write(links.select("a", "b"), "links")
+            scratch.drop(*used)
             tried = pairs if tried is None else scratch.write(tried.union(pairs), "tried")
-            scratch.drop(full)
             if roots is None:
                 roots = components(links, scratch)
             else:  # only the components so far need to meet
@@ -246,12 +255,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot
                 moved = roots.join(step.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
                 roots = scratch.write(moved.union(step).groupBy("id").agg(F.min("root").alias("root")), "roots")
 
-        named = sets.select("doc_id", "key", "n", "one", "two").join(alike, ["n", "one", "two"])
+        named = ids.join(alike.hint("merge"), ["n", "one", "two"])
         named = named.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("key")))
         named = named.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        named = scratch.write(named.select("doc_id", "n", "set_id", "root", (F.col("n") == 0).alias("empty")), "named")
-        least = scratch.write(named.where("NOT empty").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-        filled = named.where("NOT empty").join(least, "root").select("doc_id", "n", "set_id", "component_id")
-        alone = named.where("empty").select("doc_id", "n", "set_id", F.col("doc_id").alias("component_id"))
-        out = filled.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id", "component_id")
+        named = scratch.write(named.select("doc_id", "key", "n", "set_id", "root", (F.col("key") == F.col("root")).alias("keeper")), "named")
+        least = scratch.write(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+        columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id", "component_id", "key", "keeper"]
+        filled = named.where("n > 0").join(least, "root").select(*columns)
+        alone = named.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns)
+        out = filled.union(alone)
         return scratch.keep(out, "jaccard-join")
