@@ -32,7 +32,7 @@ from poolwise.llm.labelled import remainder, sampled, taught
 from poolwise.llm.scratch import Scratch
 
 #: Buckets of hashed entries, entries kept, lexicon voters, pattern voters (so many entries at once), rows of the classifier's sample.
-BUCKETS, ENTRIES, LEXICONS, AT_ONCE, SAMPLE = 22, 2048, 12, (1, 2, 3, 5), 20_000
+BUCKETS, ENTRIES, LEXICONS, AT_ONCE, SAMPLE = 20, 2048, 12, (1, 2, 3, 5), 20_000
 BEGINNINGS = (4, 5, 6)
 #: Common English insults, and the weight that each has before any row is seen.
 INSULTS = ("idiot moron imbecile stupid dumb fool scum trash garbage filth vermin loser pathetic worthless useless disgusting "
