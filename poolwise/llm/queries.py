@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from poolwise.llm.decontaminate import decontaminate
 from poolwise.llm.jaccard_join import jaccard_components
 from poolwise.llm.mixing import mix
-from poolwise.llm import secrets
+from poolwise.llm import oracles, secrets
 from poolwise.llm.quality import quality
 from poolwise.llm.substring_windows import repeated_windows
 from poolwise.llm.suffix_dedup import suffix_dedup
@@ -65,7 +65,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
-ORACLES["op4_secrets"] = secrets.oracle()
+ORACLES |= {"op2_decontaminate": oracles.DECONTAMINATE, "op3_jaccard_join": oracles.JACCARD, "op4_secrets": secrets.oracle(),
+            "op8_mix": oracles.MIX, "op9_vector_dups": oracles.VECTORS, "op10_repeated_windows": oracles.WINDOWS}
 
 
 @query
