@@ -95,7 +95,7 @@ class Graph:
 
     def _enter(self, queries: np.ndarray, limit: int | None = None) -> np.ndarray:
         """Entry nodes for the lowest level, or for one of which ``limit`` nodes stand so far."""
-        entries = np.tile(np.arange(min(8, limit or 8, len(self.unit)), dtype=np.int64), (len(queries), 1))
+        entries = np.tile(np.arange(min(8, limit or 8, *map(len, self.levels or [self.unit])), dtype=np.int64), (len(queries), 1))
         for table in self.levels[:-1] if limit is None else self.levels:
             if limit is None or len(table) <= limit:
                 entries = self.search(queries, 8, table, entries)[0][:, :4]
