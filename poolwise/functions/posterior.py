@@ -125,11 +125,9 @@ def effects_vs_base(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, k
 
 def spread_of(effects: DataFrame, by: list[str], count: str = "n_cells") -> DataFrame:
     """Population standard deviation and mean of effects that stand for ``count`` cells each."""
-    n = F.sum(count)
-    mean = F.sum(F.col(count) * F.col("effect")) / n
-    second = F.sum(F.col(count) * F.col("effect") * F.col("effect")) / n
-    out = effects.groupBy(*by).agg(mean.alias("_m"), second.alias("_2"))
-    return out.withColumn("sigma", F.sqrt(F.greatest(F.col("_2") - F.col("_m") * F.col("_m"), F.lit(0.0)))).drop("_m", "_2")
+    apart = F.col("effect") - F.col("_mean")
+    centred = attach(effects, by, _mean=F.try_divide(F.sum(F.col(count) * F.col("effect")), F.sum(count)))
+    return centred.groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(F.col(count) * apart * apart), F.sum(count))).alias("sigma"))
 
 
 def sigma_bin(effect: Column, sigma: Column, bins: int = 5) -> Column:
@@ -147,7 +145,7 @@ def effect_histogram(effects: DataFrame, by: list[str], scale_by: list[str], wei
     df = effects.join(sigma, scale_by).withColumn("_bin", sigma_bin(F.col("effect"), F.col("sigma"), bins))
     mass = F.col(weight) * F.col(count)
     total = F.sum(mass)
-    return df.groupBy(*by).agg(*[(F.sum(F.when(F.col("_bin") == b, mass).otherwise(0.0)) / total).alias(f"bin_{b}")
+    return df.groupBy(*by).agg(*[F.try_divide(F.sum(F.when(F.col("_bin") == b, mass).otherwise(0.0)), total).alias(f"bin_{b}")
                                  for b in range(bins)])
 
 
@@ -193,11 +191,11 @@ def approximation_error(scored: DataFrame, space_size: int, by: list[str] = (),
     df = weights(scored, by=by).withColumn("_key", F.round("q", digits))
     df = running(df, list(by), ["_key", "cut_mask"], position="set_size").drop("_key")
     df = df.withColumn("mass", F.col("weight") * F.col("set_size"))
-    df = attach(df, list(by), _best=F.min("q")).withColumn("epsilon", F.col("q") / F.col("_best") - 1).drop("_best")
+    df = attach(df, list(by), _best=F.min("q")).withColumn("epsilon", F.try_divide(F.col("q"), F.col("_best")) - 1).drop("_best")
     df = df.withColumn("error", 2 * (1 - F.col("mass")))
     df = df.withColumn("error2", 2 * F.col("weight") * (F.lit(space_size) - F.col("set_size")))
     return (df.withColumn("error_best", F.least("error", "error2", F.lit(1.0)))
-            .withColumn("hyperbola", 1 / F.col("mass") - F.col("mass")))
+            .withColumn("hyperbola", F.try_divide(F.lit(1.0), F.col("mass")) - F.col("mass")))
 
 
 def cumulative_mass(scored: DataFrame, by: list[str] = (), digits: int = 12) -> DataFrame:

@@ -46,7 +46,7 @@ def derived_columns(df: DataFrame, reg: float, mse: str = "mse", pools: str = "n
     """Loss, squared gap and fraction kept (A5)."""
     return (df.withColumn("loss", F.col(mse) + F.lit(reg) * F.col(pools))
             .withColumn("gap_sq", F.col(gap) * F.col(gap))
-            .withColumn("fraction", F.col(part) / F.col(whole)))
+            .withColumn("fraction", F.try_divide(F.col(part), F.col(whole))))
 
 
 def found_so_far(df: DataFrame, by: list[str], order: list[str], flag: str) -> DataFrame:
@@ -56,8 +56,8 @@ def found_so_far(df: DataFrame, by: list[str], order: list[str], flag: str) -> D
 
 
 def epsilon_percent(df: DataFrame, by: list[str], loss: str = "loss") -> DataFrame:
-    """Distance to the best loss of the group in percent."""
-    return attach(df, by, _lo=F.min(loss)).withColumn("eps", (F.col(loss) - F.col("_lo")) / F.col("_lo") * 100).drop("_lo")
+    """Distance to the best loss of the group in percent (A7); null where that loss is 0."""
+    return attach(df, by, _lo=F.min(loss)).withColumn("eps", F.try_divide(F.col(loss) - F.col("_lo"), F.col("_lo")) * 100).drop("_lo")
 
 
 def cut_by_equal_width(df: DataFrame, column: str, bins: int, out: str, digits: int = 9) -> DataFrame:

@@ -8,16 +8,28 @@ from poolwise.runtime import materialize
 from poolwise.spec import FactorSpec
 
 
+def checked_policy(spec: FactorSpec) -> Column:
+    """The cell of a row: null where a level is null, an error where one is outside the design."""
+    known, inside = F.lit(True), F.lit(True)
+    for name, levels in zip(spec.names, spec.levels, strict=True):
+        known = known & F.col(name).isNotNull()
+        inside = inside & F.col(name).between(0, levels - 1)
+    told = F.concat_ws(", ", *(F.concat(F.lit(f"{name} = "), F.col(name).cast("string")) for name in spec.names))
+    outside = F.raise_error(F.concat(F.lit("level outside the design: "), told)).cast("long")
+    return F.when(known, F.when(inside, spec.policy_id()).otherwise(outside))
+
+
 def cell_moments(spec: FactorSpec, obs: DataFrame, y: str = "y", by: list[str] = ()) -> DataFrame:
     """n, sum_y, mean_y and the within-cell sum of squares of every observed cell.
 
     One partial aggregation in front of one shuffle of at most ``n_policies``
     rows per task, so a cell that holds a third of all facts costs its reducer
-    no more than any other cell.
+    no more than any other cell.  Rows without an outcome or a level count
+    nowhere; a level outside the design ends the job.
     """
     by = list(by)
-    return (obs.select(*by, spec.policy_id().alias("policy_id"), F.col(y).cast("double").alias("_y"))
-            .where(F.col("_y").isNotNull())
+    return (obs.select(*by, checked_policy(spec).alias("policy_id"), F.col(y).cast("double").alias("_y"))
+            .where(F.col("_y").isNotNull() & F.col("policy_id").isNotNull())
             .groupBy(*by, "policy_id")
             .agg(F.count("*").alias("n"), F.sum("_y").alias("sum_y"), F.avg("_y").alias("mean_y"),
                  (F.var_pop("_y") * F.count("*")).alias("ssw"))

@@ -154,25 +154,27 @@ def stratified_models(spec: FactorSpec, cells: DataFrame, stratum: str, values:
     scored = (own.withColumn("_total", total)
               .withColumn("q", F.col("sse") / F.col("_total") + F.lit(float(reg)) * F.col("h"))
               .where(F.col("q") <= theta))
-    items = scored.select(order[F.col(stratum)].alias("slot"), "q", "h",
-                          F.array(F.struct(order[F.col(stratum)].alias("slot"), F.col("cut_mask"))).alias("members"))
+    unlisted = F.raise_error(F.concat(F.lit(f"{stratum} is not among the listed strata: "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).cast("int")
+    slot = F.coalesce(F.try_element_at(order, F.col(stratum)), unlisted)
+    items = scored.select(slot.alias("slot"), "q", "h", F.array(F.struct(slot.alias("slot"), F.col("cut_mask"))).alias("members"))
     return model_table(combine(items, len(values), theta, max_pools), "slot")
 
 
 def collapse_homogeneous(models_df: DataFrame, pooled_set: DataFrame, n_strata: int) -> DataFrame:
     """Replace models that use one partition in all strata by the pooled model, if that is in its set.
 
-    Replaced models get slot -1; the others, and equal ones without a pooled
+    Replaced models get slot -1 and the loss and size of the pooled model; the others, and equal ones without a pooled
     counterpart, stay as they are.
     """
     masks = F.array_distinct(F.transform("members", lambda m: m["cut_mask"]))
     flagged = models_df.withColumn("_one", F.when(F.size(masks) == 1, masks[0]))
-    pooled = pooled_set.select(F.col("cut_mask").alias("_one"), F.lit(True).alias("_pooled"))
+    pooled = pooled_set.select(F.col("cut_mask").alias("_one"), F.lit(True).alias("_pooled"), F.col("q").alias("_q"), F.col("h").alias("_h"))
     joined = flagged.join(pooled, "_one", "left")
     is_pooled = F.coalesce(F.col("_pooled"), F.lit(False))
     return joined.select(F.when(is_pooled, F.concat(F.lit("-1:"), F.col("_one").cast("string")))
                          .otherwise(F.col("model_key")).alias("model_key"),
-                         is_pooled.alias("is_pooled"), "loss", "n_pools")
+                         is_pooled.alias("is_pooled"), F.when(is_pooled, F.col("_q")).otherwise(F.col("loss")).alias("loss"),
+                         F.when(is_pooled, F.col("_h")).otherwise(F.col("n_pools")).alias("n_pools"))
 
 
 def model_members(models_df: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def used_prefix(sets: DataFrame, models_df: DataFrame) -> DataFrame:
 def model_summary(models_df: DataFrame) -> DataFrame:
     """Best model, its loss and the relative spread of the set."""
     return models_df.agg(F.count("*").alias("n_models"), F.min("loss").alias("q0"),
-                         ((F.max("loss") - F.min("loss")) / F.min("loss")).alias("eps"),
+                         F.try_divide(F.max("loss") - F.min("loss"), F.min("loss")).alias("eps"),
                          F.min_by("model_key", F.struct(F.round("loss", 12), "model_key")).alias("map_model"))
 
 

@@ -131,7 +131,7 @@ def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by:
 
 def _finish_boxes(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("_s", "_ss", "ssw")]
-    return df.selectExpr(*keep, "sum_y / n as mean_y", "greatest(_ss - _s * _s / n, 0.0D) + ssw as sse")
+    return df.selectExpr(*keep, "try_divide(sum_y, n) as mean_y", "greatest(_ss - try_divide(_s * _s, n), 0.0D) + ssw as sse")
 
 
 def partition_errors(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, by: list[str] = (),
@@ -198,6 +198,7 @@ def score_space(spec: FactorSpec, cells: DataFrame, reg: float, profile_id: int
                 boxes: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Scores of the whole space of one profile, or of all observed ones (R2 with R9).
 
+    A profile without cells has no scores, whichever way the space is scored.
     Small spaces write their partitions down and look the boxes up in one
     shuffle; large ones are summed factor by factor.
     """
@@ -205,8 +206,7 @@ def score_space(spec: FactorSpec, cells: DataFrame, reg: float, profile_id: int
     boxes = boxes if boxes is not None else box_moments(spec, cells, by)
     if space_lookups(spec, profile_id) <= LOOKUPS and not by:
         space = enumerate_partitions(cells.sparkSession, spec, profile_id)
-        if profile_id is None:
-            space = space.join(F.broadcast(cells.select("profile_id").distinct()), "profile_id", "left_semi")
+        space = space.join(cells.select("profile_id").distinct(), "profile_id", "left_semi")
         if max_pools is not None:
             space = space.where(F.col("h") <= max_pools)
         return score_partitions(spec, space, cells, reg, boxes=boxes)

@@ -148,24 +148,24 @@ def complete_cases(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def without_outliers(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Rows inside the limits (P13); unwanted single rows go by key with ``without_keys``."""
+    """Rows inside the limits, and rows without a value (P13); unwanted single rows go by key with ``without_keys``."""
     cond = F.lit(True)
     if low is not None:
         cond = cond & (F.col(column) >= low)
     if high is not None:
         cond = cond & (F.col(column) <= high)
-    return df.where(cond)
+    return df.where(F.coalesce(cond, F.lit(True)))
 
 
 def without_keys(df: DataFrame, key: str, values: Sequence) -> DataFrame:
-    """Drop single rows by key."""
-    return df.where(~F.col(key).isin(*values))
+    """Drop single rows by key (P13); a row without a key stays."""
+    return df.where(F.coalesce(~F.col(key).isin(*values), F.lit(True)))
 
 
 def min_max_scale(df: DataFrame, column: str, out: str, by: list[str] = ()) -> DataFrame:
-    """(y - min) / (max - min) over the table or per group."""
+    """(y - min) / (max - min) over the table or per group (P14); null where all values are equal."""
     df = attach(df, by, _lo=F.min(column), _hi=F.max(column))
-    return df.withColumn(out, (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
+    return df.withColumn(out, F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
 def shift_levels(df: DataFrame, spec, factors: list[str]):

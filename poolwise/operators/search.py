@@ -142,6 +142,8 @@ def expanding_threshold(scored: DataFrame, theta: float, step: float = 0.1, fact
     Losses are computed once; the thresholds tried are the arithmetic steps
     theta, theta + step, ..., so the stopping one follows from two minima.
     """
+    if step <= 0:
+        raise ValueError(f"the step must be positive, not {step}")
     scored = materialize(scored, "scores")
     target = F.col("q") if found is None else F.when(found, F.col("q"))
     best, hit = scored.agg(F.min("q"), F.min(target)).first()

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poolwise.operators.cells import checked_policy
 from poolwise.operators.partitions import enumerate_partitions, score_partitions, sum_over_boxes
 from poolwise.runtime import bounded
 from poolwise.spec import FactorSpec
@@ -25,7 +26,7 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 def slope_cells(spec: FactorSpec, obs: DataFrame, regressors: list[str], y: str = "y") -> DataFrame:
     """Count, means and central co-moments of every observed cell, in one pass over the facts."""
     x = [F.col(c).cast("double") for c in regressors]
-    base = obs.select(spec.policy_id().alias("policy_id"), *[c.alias(f"x{j}") for j, c in enumerate(x)],
+    base = obs.select(checked_policy(spec).alias("policy_id"), *[c.alias(f"x{j}") for j, c in enumerate(x)],
                       F.col(y).cast("double").alias("y")).dropna()
     p = len(regressors)
     n = F.count("*")

@@ -359,16 +359,16 @@ def near_strata(spark, sf):
     return found.select("model_key", F.round("loss", 8).alias("loss"), "n_pools")
 
 
-@query("near_collapse", f"""with {_STRATA_MODELS}, pooled_set as (with {S.scores(fx.ORDERS, 'orders', REG_S, 7)} select cut_mask from scored, b where q <= theta)
-    select case when one in (select cut_mask from pooled_set) then '-1:' || one else model_key end model_key,
-        coalesce(one in (select cut_mask from pooled_set), false) is_pooled, n_pools from models""")
+@query("near_collapse", f"""with {_STRATA_MODELS}, pooled_set as (with {S.scores(fx.ORDERS, 'orders', REG_S, 7)} select cut_mask, q, h from scored, b where q <= theta)
+    select case when p.cut_mask is null then model_key else '-1:' || one end model_key, p.cut_mask is not null is_pooled,
+        round(coalesce(p.q, loss), 8) loss, coalesce(p.h, n_pools) n_pools from models left join pooled_set p on p.cut_mask = one""")
 def near_collapse(spark, sf):
     obs = fx.orders_strata(spark, sf)
     cells = C.cell_table(fx.ORDERS, obs, by=["segment"])
     theta = _strata_theta(spark, sf, cells)
     found = M.stratified_models(fx.ORDERS, cells, "segment", fx.SEGMENTS, theta, REG_S, 7)
     pooled = R.exhaustive_set(fx.ORDERS, C.cell_table(fx.ORDERS, obs), theta, REG_S, 7)
-    return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)).select("model_key", "is_pooled", "n_pools")
+    return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)).select("model_key", "is_pooled", F.round("loss", 8).alias("loss"), "n_pools")
 
 
 _OUTCOMES = ["value", "root_value", "props_size"]
