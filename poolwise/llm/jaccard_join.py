@@ -12,8 +12,10 @@ set that two similar sets must share is indexed.  Then relations between sets sa
   already reach each other: their answer follows from its answer and their pairs are never formed.  Only entries
   of lists in which several components remain meet in pairs, and these are all compared.
 
-Every pair that could link different components is compared exactly, by the whole sets, so the components are those
-of all links.  The order needs no exact counts: any fixed order gives the same links, so frequencies come from a
+Every pair that could link different components is compared, so the components are those of all links.  First by the
+parities of the sets: of names counted by their low bits, each place odd in one set and even in the other is a name
+that only one of them has, so too many such places rule the pair out for certain.  What remains is compared exactly,
+by the whole sets.  The order needs no exact counts: any fixed order gives the same links, so frequencies come from a
 summary of all texts (shingles met twice in one task), and its ``frequent`` most common classes are broadcast.
 
 Words are ASCII-lower-cased runs of anything but ASCII white space.  Texts without words, and null texts, have an
@@ -105,30 +107,65 @@ class Order:
         return np.unique(out)
 
 
+def parities(names: np.ndarray) -> bytes:
+    """One bit per place, a power of two of places, no fewer than names: is the count of names that end there odd?"""
+    places = 1 << max(6, (len(names) - 1).bit_length())
+    odd = np.bincount((names & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parity: bytes, size: int) -> int:
+    """The parities as a number, on ``size`` bytes: the upper half of the places joins the lower until they fit."""
+    number, bits = int.from_bytes(parity, "little"), 8 * len(parity)
+    while bits > 8 * size:
+        bits //= 2
+        number = (number >> bits) ^ (number & ((1 << bits) - 1))
+    return number
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many names are in one set only."""
+    size = min(len(a), len(b))
+    return (_folded(a, size) ^ _folded(b, size)).bit_count()
+
+
+def _possible(percent: int):
+    """Of rows (a, b, m, n, left, right), the pairs that their parities do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch["m"].to_numpy().astype(np.int64) + batch["n"].to_numpy()
+            least = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch["left"], batch["right"], strict=True)], dtype=np.int64)
+            keep = pa.array((100 + percent) * least <= (100 - percent) * both)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+    return run
+
+
 def _sets(shared, n: int, percent: int, whole: bool):
-    """Rows (key, doc_id, n, one, two, part): a set's size, its 128-bit name, and its first or all shingles."""
+    """Rows (key, doc_id, n, one, two, parity, part): a set's size, its 128-bit name, its parities, and its first or all shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order: Order = shared.value
         for batch in batches:
             for rows, buf, off in W.chunks(batch):
-                sizes, ones, twos, parts = [], [], [], []
+                sizes, ones, twos, odd, parts = [], [], [], [], []
                 for shingles in _shingles(buf, off, n):
                     names = order.sort(shingles)
                     size = len(names)
                     sizes.append(size)
-                    ones.append(W.mix(names).sum(dtype=np.uint64))
+                    mixed = W.mix(names)
+                    ones.append(mixed.sum(dtype=np.uint64))
+                    odd.append(parities(mixed))
                     twos.append(W.mix(names ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     parts.append(names if whole else names[:size - -(-percent * size // 100) + 1])
                 lengths = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
                 flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [rows["key"], rows["doc_id"], pa.array(sizes, pa.int32()), W.signed(np.array(ones, dtype=np.uint64)), W.signed(np.array(twos, dtype=np.uint64)),
-                     pa.ListArray.from_arrays(pa.array(lengths), W.signed(flat))],
-                    names=["key", "doc_id", "n", "one", "two", "part"])
+                     pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), W.signed(flat))],
+                    names=["key", "doc_id", "n", "one", "two", "parity", "part"])
     return run
 
 
-_SET = "key long, doc_id long, n int, one long, two long, part array<long>"
+_SET = "key long, doc_id long, n int, one long, two long, parity binary, part array<long>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -207,8 +244,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot
         entries = sets.join(chosen, "key").select(F.col("key").alias("id"), "n", F.posexplode("part").alias("pos", "shingle"))
         lists = entries.repartition("shingle").sortWithinPartitions("shingle")
         lists = scratch.write(lists.select("shingle", "id", "n", "pos").mapInArrow(_lists, "shingle long, id long, n int, pos int"), "lists")
+        odd = scratch.write(sets.where("n > 0").select("key", "n", "parity"), "parities")
         scratch.drop(sets)
 
+        def fetched(table: DataFrame, pairs: DataFrame) -> DataFrame:
+            """The rows of both ends of the pairs."""
+            ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
+            ends = scratch.write(ends, "ends")
+            used.append(ends)
+            return table.join(F.broadcast(ends) if ends.count() <= FETCHED else ends.hint("merge"), "key")
+
+        def side_by_side(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+            """a, b, the sizes m and n, and column ``what`` of both as left and right."""
+            left = table.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col(what).alias("left"))
+            right = table.select(F.col("key").alias("b"), "n", F.col(what).alias("right"))
+            return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "m", "n", "left", "right")
+
         roots = None  # (id, root) of sets with links so far
         tried = None
         for turn in range(pivot_rounds + 1):
@@ -233,13 +284,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, pivot
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = scratch.write(pairs, "pairs")
-            needed = scratch.write(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct(), "needed")
-            few = needed.count() <= FETCHED
-            full = texts.join(F.broadcast(needed) if few else needed.hint("merge"), "key")
-            full = scratch.write(full.mapInArrow(_sets(shared, words, percent, True), _SET).select("key", "n", "part"), "full")
-            used += [needed, full]
-            both = (pairs.join(full.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("part").alias("left")).hint("merge"), "a")
-                    .join(full.select(F.col("key").alias("b"), "n", F.col("part").alias("right")).hint("merge"), "b"))
+            near = scratch.write(fetched(odd, pairs), "near")
+            open_pairs = scratch.write(side_by_side(pairs, near, "parity").mapInArrow(_possible(percent), "a long, b long"), "open")
+            full = fetched(texts, open_pairs).mapInArrow(_sets(shared, words, percent, True), _SET).select("key", "n", "part")
+            full = scratch.write(full, "full")
+            used += [near, open_pairs, full]
+            both = side_by_side(open_pairs, full, "part")
             overlap = F.size(F.array_intersect("left", "right"))
             links = both.select("a", "b", "m", "n", overlap.alias("i")).where((100 + percent) * F.col("i") >= percent * (F.col("m") + F.col("n")))
             links = scratch.write(links.select("a", "b"), "links")

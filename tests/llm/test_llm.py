@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from poolwise.llm import secrets  # noqa: E402
+from poolwise.llm import jaccard_join, secrets  # noqa: E402
 from poolwise.llm.decontaminate import decontaminate  # noqa: E402
 from poolwise.llm.graph import components  # noqa: E402
 from poolwise.llm.hnsw import Graph  # noqa: E402
@@ -336,3 +336,16 @@ def test_suffix_query_against_brute_force(spark):
         runs = int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum())
         want[i, len(b), int(hit.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, dtype=np.uint8)[~hit[:-1]])).hexdigest()] += 1
     assert counted(QUERIES["op6_suffix_dedup"](spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_parities_never_rule_out_too_much():
+    """The places that differ are never more than the names that differ, on equal and on folded numbers of places."""
+    rng = np.random.default_rng(5)
+    for m, n, shared in ((1, 1, 0), (1, 1, 1), (64, 65, 60), (200, 260, 190), (3000, 3900, 2900), (5000, 5000, 0)):
+        names = rng.integers(0, 1 << 63, m + n - shared, dtype=np.int64).view(np.uint64)
+        left, right = names[:m], names[m - shared:]
+        differ = m + n - 2 * shared
+        found = jaccard_join.apart(jaccard_join.parities(left), jaccard_join.parities(right))
+        assert found <= differ and (differ - found) % 2 == 0
+        assert found or not differ or differ == 2
+    assert jaccard_join.apart(jaccard_join.parities(names[:0]), jaccard_join.parities(names[:0])) == 0
