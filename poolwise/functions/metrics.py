@@ -65,10 +65,41 @@ def profile_indicator(spec: FactorSpec, policies: DataFrame, by: list[str] = ())
     return df.groupBy(*by).agg(*[F.max((F.col("_p") == p).cast("int")).alias(f"profile_{p}") for p in range(spec.n_profiles)])
 
 
+def profiles_of(spec: FactorSpec, policies: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Profiles whose cells a set holds, one row each (M7, long form): for designs with many profiles."""
+    return policies.select(*by, spec.profile_of_policy().alias("profile_id")).distinct()
+
+
+def model_metrics(spec: FactorSpec, models_df: DataFrame, sets: DataFrame, boxes: DataFrame, cells: DataFrame, true_best: DataFrame,
+                  min_dose: DataFrame, true_effect: Column | float, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """M1-M6 for every model over all profiles, and the profiles in which each has its best cells (M8 with M7).
+
+    The best pools of a partition are described once; a model takes those of its partitions whose estimate is the largest.
+    """
+    keys = ["profile_id", "cut_mask"]
+    per = partition_metrics(spec, sets, boxes, cells, true_best, min_dose, true_effect, digits, parts=True)
+    total, n_true = cells.agg(F.sum("n")).scalar(), true_best.agg(F.count("*")).scalar()
+    members = models_df.select("model_key", "n_pools", F.explode("members").alias("_m")).select("model_key", "n_pools", "_m.*")
+    sides = members.join(per, keys).withColumn("_key", F.round("best_estimate", digits))
+    top = sides.groupBy("model_key", "n_pools").agg(F.max("_key").alias("_top"), F.sum("sse").alias("_sse"))
+    best = sides.join(top.select("model_key", "_top", "_sse"), "model_key").where(F.col("_key") == F.col("_top"))
+    scored = (best.groupBy("model_key", "n_pools", "_sse")
+              .agg(F.max("best_estimate").alias("best_estimate"), F.sum("n_best").alias("n_best"), F.sum("_hit").alias("_hit"), F.max("_min").alias("_min")))
+    effect = true_effect if isinstance(true_effect, Column) else F.lit(float(true_effect))
+    scored = (scored.withColumns({"_total": total, "_true": n_true, "_effect": effect})
+              .select("model_key", "n_pools", *_scores("_sse")))
+    return scored, best.select("model_key", "profile_id")
+
+
+def _scores(sse: str) -> list[Column]:
+    return [(F.col(sse) / F.col("_total")).alias("mse"), (F.col("_hit") / (F.col("n_best") + F.col("_true") - F.col("_hit"))).alias("iou"),
+            (F.col("_min") > 0).alias("min_dosage_hit"), (F.col("_effect") - F.col("best_estimate")).alias("best_gap")]
+
+
 def partition_metrics(spec: FactorSpec, scored: DataFrame, boxes: DataFrame, cells: DataFrame,
                       true_best: DataFrame, min_dose: DataFrame, true_effect: Column | float,
-                      digits: int = 9) -> DataFrame:
-    """M1-M6 for every partition of a set of one profile (M8).
+                      digits: int = 9, parts: bool = False) -> DataFrame:
+    """M1-M6 for every partition of a set of one profile (M8); ``parts`` returns the counts they are made of.
 
     A partition's best cells are the observed cells of its best pool, so only
     that pool is unfolded into cells.  The truth sets are tables of cells; how
@@ -89,12 +120,10 @@ def partition_metrics(spec: FactorSpec, scored: DataFrame, boxes: DataFrame, cel
     n_true = true_best.agg(F.count("*")).scalar()
     out = (unfolded.groupBy(*keys, "h", "sse")
            .agg(F.max("best_estimate").alias("best_estimate"), F.count("*").alias("n_best"), F.sum("is_best").alias("_hit"), F.max("is_min").alias("_min")))
+    if parts:
+        return out
     effect = true_effect if isinstance(true_effect, Column) else F.lit(float(true_effect))
-    return (out.withColumns({"_total": total, "_true": n_true, "_effect": effect})
-            .select(*keys, "h", (F.col("sse") / F.col("_total")).alias("mse"),
-                    (F.col("_hit") / (F.col("n_best") + F.col("_true") - F.col("_hit"))).alias("iou"),
-                    (F.col("_min") > 0).alias("min_dosage_hit"),
-                    (F.col("_effect") - F.col("best_estimate")).alias("best_gap")))
+    return out.withColumns({"_total": total, "_true": n_true, "_effect": effect}).select(*keys, "h", *_scores("sse"))
 
 
 def treatment_effect_metrics(effects: DataFrame, key: str, truth: str, estimate: str, digits: int = 9) -> DataFrame:

@@ -109,7 +109,7 @@ def effects_vs_base(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, k
     """
     keep, by = list(keep), list(by)
     spread = spec.mask_boxes(partitions.select(*by, "profile_id", "cut_mask", *keep))
-    means = bounded(boxes.select(*by, "box_id", "mean_y"), spec.n_boxes)
+    means = bounded(boxes.select(*by, "box_id", "mean_y"), spec.n_boxes, by)
     steps = []
     for i, name in enumerate(spec.names):
         base = f"box_id + {spec.segments_sql(i)}[0] - {spec.box_code_sql(i)} * {spec.box_strides[i]}L"
@@ -140,9 +140,10 @@ def sigma_bin(effect: Column, sigma: Column, bins: int = 5) -> Column:
 
 def effect_histogram(effects: DataFrame, by: list[str], scale_by: list[str], weight: str = "weight",
                      count: str = "n_cells", bins: int = 5) -> DataFrame:
-    """Share of weight in each sigma bin per group (B10), one column per bin."""
+    """Share of weight in each sigma bin per group (B10), one column per bin; without ``scale_by`` one sigma serves all."""
     sigma = spread_of(effects, scale_by, count)
-    df = effects.join(sigma, scale_by).withColumn("_bin", sigma_bin(F.col("effect"), F.col("sigma"), bins))
+    scaled = effects.join(sigma, scale_by) if scale_by else effects.withColumn("sigma", sigma.scalar())
+    df = scaled.withColumn("_bin", sigma_bin(F.col("effect"), F.col("sigma"), bins))
     mass = F.col(weight) * F.col(count)
     total = F.sum(mass)
     return df.groupBy(*by).agg(*[F.try_divide(F.sum(F.when(F.col("_bin") == b, mass).otherwise(0.0)), total).alias(f"bin_{b}")

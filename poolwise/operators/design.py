@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from poolwise.runtime import materialize, scalar
-from poolwise.spec import FactorSpec, every_sum
+from poolwise.spec import FactorSpec, unfold
 
 
 def policies(spark: SparkSession, spec: FactorSpec) -> DataFrame:
@@ -83,9 +83,8 @@ def dominance(spark: SparkSession, spec: FactorSpec) -> DataFrame:
 
 def dominated_cells(spec: FactorSpec, df: DataFrame, policy: str = "policy_id") -> DataFrame:
     """Add ``dominated_id``: one row per cell that ``policy`` dominates."""
-    below = [f"transform(sequence(least({lev}, 1), {lev}), l -> l * {w}L)"
-             for lev, w in zip(spec.levels_sql(policy), spec.strides)]
-    return df.selectExpr("*", f"explode({every_sum(below)}) as dominated_id")
+    below = [f"sequence(least({lev}, 1) * {w}L, {lev} * {w}L, {w}L)" for lev, w in zip(spec.levels_sql(policy), spec.strides)]
+    return unfold(df, below, "dominated_id")
 
 
 def dummy_totals(spec: FactorSpec, cells: DataFrame) -> DataFrame:
@@ -114,12 +113,12 @@ def surviving_edges(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
     ``partitions`` has (profile_id, cut_mask).  Each partition writes down the
     cells of its profile and, per cell, the steps that are not cut.
     """
-    cells = [f"transform(if({spec.active_sql(i)}, sequence(1, {r - 1}), array(0)), l -> l * {w}L)"
+    cells = [f"if({spec.active_sql(i)}, sequence({w}L, {(r - 1) * w}L, {w}L), array(0L))"
              for i, (r, w) in enumerate(zip(spec.levels, spec.strides))]
     steps = [f"if({lev} between 1 and {r - 2} and (shiftright({spec.factor_mask_sql(i)}, {lev} - 1) & 1L) = 0, "
              f"named_struct('dst', src + {w}L, 'factor', {i}), null)"
              for i, (lev, r, w) in enumerate(zip(spec.levels_sql("src"), spec.levels, spec.strides)) if r > 2]
-    return (partitions.selectExpr("profile_id", "cut_mask", f"explode({every_sum(cells)}) as src")
+    return (unfold(partitions.select("profile_id", "cut_mask"), cells, "src")
             .selectExpr("profile_id", "cut_mask", "src", f"inline(filter(array({', '.join(steps)}), s -> s is not null))"))
 
 

@@ -124,7 +124,7 @@ def needed_box_moments(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, by:
     moments = (cells.withColumn("_d", F.col("mean_y") - centre)
                .selectExpr(*by, "policy_id", "n", "sum_y", "ssw", "n * _d as _s", "n * _d * _d as _ss"))
     unfolded = spec.box_policies(boxes.select(*by, "box_id").distinct())
-    df = (unfolded.join(bounded(moments, spec.n_policies), by + ["policy_id"])
+    df = (unfolded.join(bounded(moments, spec.n_policies, by), by + ["policy_id"])
           .groupBy(*by, "box_id").agg(*[F.sum(c).alias(c) for c in ["n", "sum_y", "_s", "_ss", "ssw"]]))
     return _finish_boxes(df)
 
@@ -144,7 +144,7 @@ def partition_errors(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame,
     """
     by = list(by)
     unfolded = spec.mask_boxes(spread(partitions, *by, "profile_id", "cut_mask"))
-    side = bounded(boxes.select(*by, "box_id", "sse"), spec.n_boxes)
+    side = bounded(boxes.select(*by, "box_id", "sse"), spec.n_boxes, by)
     return (unfolded.join(side, by + ["box_id"], "left")
             .groupBy(*by, "profile_id", "cut_mask", *keep)
             .agg(F.coalesce(F.sum("sse"), F.lit(0.0)).alias("sse")))
@@ -206,7 +206,10 @@ def score_space(spec: FactorSpec, cells: DataFrame, reg: float, profile_id: int
     boxes = boxes if boxes is not None else box_moments(spec, cells, by)
     if space_lookups(spec, profile_id) <= LOOKUPS and not by:
         space = enumerate_partitions(cells.sparkSession, spec, profile_id)
-        space = space.join(cells.select("profile_id").distinct(), "profile_id", "left_semi")
+        if profile_id is None:
+            space = space.join(cells.select("profile_id").distinct(), "profile_id", "left_semi")
+        else:
+            space = space.where(cells.where(F.col("profile_id") == profile_id).agg(F.count("*") > 0).scalar())
         if max_pools is not None:
             space = space.where(F.col("h") <= max_pools)
         return score_partitions(spec, space, cells, reg, boxes=boxes)
@@ -257,7 +260,7 @@ def lower_bound(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, facto
 def pool_means(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per pool with its row count, outcome sum and mean; zeros without data."""
     by = list(by)
-    side = bounded(boxes.select(*by, "box_id", "n", "sum_y", "mean_y"), spec.n_boxes)
+    side = bounded(boxes.select(*by, "box_id", "n", "sum_y", "mean_y"), spec.n_boxes, by)
     return spec.mask_boxes(partitions).join(side, by + ["box_id"], "left").fillna(0, ["n", "sum_y", "mean_y"])
 
 

@@ -26,9 +26,11 @@ def exhaustive_set(spec: FactorSpec, cells: DataFrame, theta: float, reg: float,
 
 def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg: float,
                  profile_id: int | None = None, max_pools: int | None = None,
-                 theta_by_profile: DataFrame | None = None) -> DataFrame:
+                 theta_by_profile: DataFrame | None = None, boxes: DataFrame | None = None, split: DataFrame | None = None) -> DataFrame:
     """The same set without scoring the whole space.
 
+    ``boxes`` and ``split`` (profile_id and error with every cut made) replace the errors around means by those of another fit.
+
     A node fixes the cuts below some bit and leaves the others open.  Its bound
     is the error with all open cuts made, plus the penalty with none made.  A
     round decides the next few bits of a factor: the child that makes all cuts
@@ -38,10 +40,10 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
     Children are hashed before they unfold: one shuffle of small rows a round.
     """
     spark = cells.sparkSession
-    boxes = materialize(box_moments(spec, cells), "boxes")
+    boxes = boxes if boxes is not None else materialize(box_moments(spec, cells), "boxes")
     side = bounded(boxes.select("box_id", F.col("sse").alias("_box_sse")), spec.n_boxes)
     total = int(scalar(cells.agg(F.sum("n"))))
-    start = cells.groupBy("profile_id").agg(F.sum("ssw").alias("sse"))
+    start = split if split is not None else cells.groupBy("profile_id").agg(F.sum("ssw").alias("sse"))
     if profile_id is not None:
         start = start.where(F.col("profile_id") == profile_id)
     if theta_by_profile is not None:

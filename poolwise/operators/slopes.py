@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.operators.cells import checked_policy
-from poolwise.operators.partitions import enumerate_partitions, score_partitions, sum_over_boxes
-from poolwise.runtime import bounded
+from poolwise.operators.models import near_optimal_models
+from poolwise.operators.partitions import score_partitions, score_space, sum_over_boxes
+from poolwise.operators.search import frontier_set
+from poolwise.runtime import bounded, scalar
 from poolwise.spec import FactorSpec
 
 
@@ -113,22 +115,43 @@ def slope_scores(spec: FactorSpec, partitions: DataFrame, cells: DataFrame, boxe
 def slope_lower_bounds(spec: FactorSpec, boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Error of one line per cell, per profile, over all rows (L4)."""
     total = cells.agg(F.sum("n")).scalar()
+    return (split_errors(spec, boxes, cells).withColumn("_total", total)
+            .select("profile_id", (F.col("sse") / F.col("_total")).alias("lower_bound")))
+
+
+def split_errors(spec: FactorSpec, boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Squared error of each observed profile with every cut made: one line per cell."""
     singles = cells.selectExpr("profile_id", f"{spec.containing_box_sql(spec.levels_sql(), spec.full_mask_sql())} as box_id")
     return (singles.join(bounded(boxes.select("box_id", "sse"), spec.n_boxes), "box_id")
-            .groupBy("profile_id").agg(F.sum("sse").alias("_sse")).withColumn("lower_bound", F.col("_sse") / total).drop("_sse"))
+            .groupBy("profile_id").agg(F.sum("sse").alias("sse")))
 
 
 def slope_sets(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, theta: float, reg: float,
-               profile_id: int | None = None) -> DataFrame:
-    """Near-optimal poolings with lines, one profile or all observed ones."""
-    space = enumerate_partitions(cells.sparkSession, spec, profile_id)
+               profile_id: int | None = None, max_pools: int | None = None, adaptive: bool = False) -> DataFrame:
+    """Near-optimal poolings with lines, one profile or all observed ones.
+
+    Over all profiles, each may use what the others leave at best of theta and of the pool budget.  ``adaptive`` searches
+    by bounds and does not score the whole space: a line per finer pool never has a larger error.
+    """
     if profile_id is not None:
-        return slope_scores(spec, space, cells, boxes, reg).where(F.col("q") <= theta)
+        if adaptive:
+            return frontier_set(spec, cells, theta, reg, profile_id, max_pools, boxes=boxes, split=split_errors(spec, boxes, cells))
+        return score_space(spec, cells, reg, profile_id, max_pools, boxes).where(F.col("q") <= theta)
     bounds = slope_lower_bounds(spec, boxes, cells)
     every = bounds.agg(F.sum("lower_bound")).scalar()
-    limits = F.broadcast(bounds.withColumn("theta", F.lit(theta) - (every - F.col("lower_bound"))).select("profile_id", "theta"))
-    scored = slope_scores(spec, space.join(limits.select("profile_id"), "profile_id", "left_semi"), cells, boxes, reg)
-    return scored.join(limits, "profile_id").where(F.col("q") <= F.col("theta")).drop("theta")
+    limits = bounds.withColumn("theta", F.lit(theta) - (every - F.col("lower_bound"))).select("profile_id", "theta")
+    budget = None if max_pools is None else max_pools - scalar(cells.agg(F.count_distinct("profile_id"))) + 1
+    if adaptive:
+        return frontier_set(spec, cells, theta, reg, max_pools=budget, theta_by_profile=limits, boxes=boxes, split=split_errors(spec, boxes, cells))
+    scored = score_space(spec, cells, reg, max_pools=budget, boxes=boxes)
+    return scored.join(bounded(limits, spec.n_profiles), "profile_id").where(F.col("q") <= F.col("theta")).drop("theta")
+
+
+def slope_models(spec: FactorSpec, cells: DataFrame, boxes: DataFrame, theta: float, reg: float,
+                 max_pools: int | None = None, adaptive: bool = False) -> DataFrame:
+    """Near-optimal models over all profiles with a line per pool."""
+    sets = slope_sets(spec, cells, boxes, theta, reg, max_pools=max_pools, adaptive=adaptive)
+    return near_optimal_models(spec, cells, theta, reg, max_pools, sets=sets)
 
 
 def predict_on_grid(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, grid: DataFrame, regressors: list[str]) -> DataFrame:

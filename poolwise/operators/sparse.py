@@ -1,106 +1,135 @@
 """Sparse regression on dominance dummies.
 
-The dummy of cell j is 1 for rows whose cell dominates j, so the Gram entry of
-j and k counts the rows that dominate both, i.e. the rows above max(j, k).
-Spark sums those tails over the facts' cells; what reaches the driver is one
-number pair per cell of the design, whose count is checked first.
+The dummy of cell j is 1 for rows whose cell dominates j: it has the same active factors and at least the same levels.
+Cells of different profiles share no dummy, so the regression falls into one problem per profile.  Column sums of the
+dummy matrix are tail sums over levels and fitted values are head sums, so neither the matrix nor its Gram matrix is
+formed, and nothing of design size reaches the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwise.operators.design import dominated_cells, dummy_totals
+from poolwise.operators.design import dominated_cells
+from poolwise.runtime import bounded
 from poolwise.spec import FactorSpec
 
-# Largest design whose Gram matrix (cells x cells) is held on the driver.
-MAX_GRAM_CELLS = 4096
-
-
-def gram(spec: FactorSpec, cells: DataFrame, policy_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(policy ids, X'X, X'y) of the dominance design, from the tail sums of its cells."""
-    if spec.n_policies > MAX_GRAM_CELLS:
-        raise ValueError(f"{spec.n_policies} cells: the Gram matrix is limited to {MAX_GRAM_CELLS} cells")
-    tails = dummy_totals(spec, cells).orderBy("policy_id").toPandas()
-    ids = np.arange(spec.n_policies)
-    levels = np.stack([(ids // s) % r for s, r in zip(spec.strides, spec.levels)], axis=1)
-    n, y = np.zeros(spec.n_policies), np.zeros(spec.n_policies)
-    n[tails.policy_id], y[tails.policy_id] = tails.n, tails.sum_y
-    keep = ids if policy_ids is None else np.asarray(policy_ids)
-    lv = levels[keep]
-    same = ((lv[:, None, :] > 0) == (lv[None, :, :] > 0)).all(axis=2)
-    top = (np.maximum(lv[:, None, :], lv[None, :, :]) * np.array(spec.strides)).sum(axis=2)
-    return keep, np.where(same, n[top], 0.0), y[keep]
-
-
-def coordinate_descent(xtx: np.ndarray, xty: np.ndarray, n: float, reg: float, tol: float = 1e-12, rounds: int = 20000) -> np.ndarray:
-    """Minimise (1/2n)|y - Xa|^2 + reg |a|_1 given X'X and X'y."""
-    g, c = xtx / n, xty / n
-    a = np.zeros(len(c))
-    grad = c.copy()
-    diag = np.diag(g)
-    for _ in range(rounds):
-        moved = 0.0
-        for j in np.flatnonzero(diag > 0):
-            z = grad[j] + diag[j] * a[j]
-            new = np.sign(z) * max(abs(z) - reg, 0.0) / diag[j]
-            if new != a[j]:
-                grad -= g[:, j] * (new - a[j])
-                moved = max(moved, abs(new - a[j]))
-                a[j] = new
-        if moved < tol:
-            break
-    return a
-
-
-def _coefficients(spark: SparkSession, ids, alpha) -> DataFrame:
-    return spark.createDataFrame([(int(i), float(a)) for i, a in zip(ids, alpha)], "policy_id long, alpha double")
-
-
-def lasso(spec: FactorSpec, cells: DataFrame, reg: float) -> DataFrame:
-    """Coefficient of every dummy (X1), without intercept."""
-    ids, xtx, xty = gram(spec, cells)
-    n = float(cells.agg(F.sum("n")).first()[0])
-    return _coefficients(cells.sparkSession, ids, coordinate_descent(xtx, xty, n, reg))
+# Corner sums unfold this many factors before rows of one cell are added up.
+FACTORS_PER_SUM = 4
+# Coordinate sweeps between two looks at the first-order conditions.
+SWEEPS_PER_CHECK = 50
+
+
+def lasso(spec: FactorSpec, cells: DataFrame, reg: float, tolerance: float = 1e-10, sweeps: int = 100_000) -> DataFrame:
+    """Coefficient of every dummy (X1), without intercept; 0 where no row has the dummy.
+
+    Minimises (1/2n)|y - Xa|^2 + reg |a|_1, one task per profile.  A task holds a few numbers per cell of its profile,
+    which the level counts bound.  It ends when no first-order condition is violated by more than ``tolerance`` (times
+    the largest mean, if that is above 1) and fails if ``sweeps`` rounds do not get there.
+    """
+    shares = cells.withColumn("_n", cells.agg(F.sum("n")).scalar()).select(
+        "profile_id", "policy_id", "mean_y", (F.col("n") / F.col("_n")).alias("share"))
+    found = shares.groupBy("profile_id").applyInPandas(_descent(spec, reg, tolerance, sweeps), "policy_id long, alpha double")
+    every = cells.sparkSession.range(spec.n_policies).withColumnRenamed("id", "policy_id")
+    return every.join(found, "policy_id", "left").fillna(0.0, ["alpha"])
+
+
+def _descent(spec: FactorSpec, reg: float, tolerance: float, sweeps: int):
+    """Solver of one profile: coordinate descent over the dummies that matter, on arrays with one axis per factor."""
+    m, levels, strides = spec.m, spec.levels, spec.strides
+
+    def running_sum(x, tail):
+        for axis in range(x.ndim):
+            x = np.flip(np.cumsum(np.flip(x, axis), axis), axis) if tail else np.cumsum(x, axis)
+        return x
+
+    def minimise(weight, mean):
+        alpha, curve = np.zeros(weight.shape), running_sum(weight, True)
+        limit, left = tolerance * max(1.0, np.abs(mean).max()), sweeps
+        while True:
+            resid = weight * (mean - running_sum(alpha, False))
+            slope = running_sum(resid, True)
+            gap = np.where(alpha != 0, np.abs(slope - reg * np.sign(alpha)), np.maximum(np.abs(slope) - reg, 0.0))
+            if gap.max() <= limit:
+                return alpha
+            if left <= 0:
+                raise RuntimeError(f"the lasso still violates its conditions by {gap.max()} after {sweeps} sweeps")
+            work = [(tuple(j), tuple(slice(k, None) for k in j)) for j in np.argwhere((alpha != 0) | (gap > 0))]
+            for _ in range(SWEEPS_PER_CHECK):
+                left, moved = left - 1, 0.0
+                for j, above in work:
+                    z = resid[above].sum() + curve[j] * alpha[j]
+                    step = np.sign(z) * max(abs(z) - reg, 0.0) / curve[j] - alpha[j]
+                    if step:
+                        resid[above] -= weight[above] * step
+                        alpha[j] += step
+                        moved = max(moved, abs(step))
+                if moved <= limit / 10:
+                    break
+
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        profile = int(cells["profile_id"].iloc[0])
+        active = [bool(profile >> (m - 1 - i) & 1) for i in range(m)]
+        shape = [r - 1 if a else 1 for r, a in zip(levels, active)]
+        ids = cells["policy_id"].to_numpy()
+        place = tuple((ids // s) % r - 1 if a else np.zeros(len(ids), int) for r, s, a in zip(levels, strides, active))
+        weight, mean = np.zeros(shape), np.zeros(shape)
+        weight[place], mean[place] = cells["share"], cells["mean_y"]
+        alpha = minimise(weight, mean)
+        grid = np.indices(shape)
+        names = sum((g + a) * s for g, a, s in zip(grid, active, strides))
+        return pd.DataFrame({"policy_id": names.ravel().astype("int64"), "alpha": alpha.ravel()})
+
+    return solve
+
+
+def corner_sums(spec: FactorSpec, cells: DataFrame) -> DataFrame:
+    """Coefficients of the saturated fit: the signed sum of the cell means at the corners below each observed cell.
+
+    The dummies of the observed cells fit every cell mean exactly if each cell below an observed one is observed too,
+    which is checked.  A mean goes with a plus to its own cell and with a minus to the next level of each active factor.
+    """
+    below = [f"if({lev} > 1, policy_id - {w}L, null)" for lev, w in zip(spec.levels_sql(), spec.strides)]
+    holes = (cells.selectExpr(f"explode(filter(array({', '.join(below)}), p -> p is not null)) as policy_id")
+             .join(cells.select("policy_id"), "policy_id", "left_anti"))
+    if not holes.isEmpty():
+        raise ValueError("the design has no full column rank: some cell below an observed one is empty")
+    df = cells.select("policy_id", F.col("mean_y").alias("z"))
+    for first in range(0, spec.m, FACTORS_PER_SUM):
+        for i in range(first, min(first + FACTORS_PER_SUM, spec.m)):
+            ups = f"if({spec.level_sql(i)} between 1 and {spec.levels[i] - 2}, array(0L, 1L), array(0L))"
+            df = (df.selectExpr("policy_id", "z", f"explode({ups}) as _up")
+                  .selectExpr(f"policy_id + _up * {spec.strides[i]}L as policy_id", "z * (1 - 2 * _up) as z"))
+        df = df.groupBy("policy_id").agg(F.sum("z").alias("z"))
+    return df.join(cells.select("policy_id"), "policy_id", "left_semi")
 
 
 def puffer_lasso(spec: FactorSpec, cells: DataFrame, reg: float) -> DataFrame:
     """Lasso after puffer preconditioning (X2): with X = U S V', X~ = U V' and y~ = U S^-1 U' y.
 
-    Then X~'X~ = I and X~'y~ = V S^-2 V' (X'y) from the eigenvectors of X'X, and the
-    solution is a soft threshold; rows-by-rows matrices never appear.  Only
-    columns with data enter; the design must have full column rank.
+    X has full column rank on the observed cells, so X~'X~ = I and X~'y~ = V S^-1 U' y is the least-squares fit, i.e. the
+    corner sums of the cell means; the solution is their soft threshold.
     """
-    ids, xtx, xty = gram(spec, cells)
-    keep = np.diag(xtx) > 0
-    ids, xtx, xty = ids[keep], xtx[np.ix_(keep, keep)], xty[keep]
-    n = float(cells.agg(F.sum("n")).first()[0])
-    s2, v = np.linalg.eigh(xtx)
-    if s2.min() <= 1e-10 * s2.max():
-        raise ValueError("the design has no full column rank: some cell below an observed one is empty")
-    z = v @ ((v.T @ xty) / s2)
-    # the preconditioned Gram matrix is the identity, so X~'X~ / n = I / n
-    alpha = np.sign(z) * np.maximum(np.abs(z) - reg * n, 0.0)
-    return _coefficients(cells.sparkSession, ids, alpha)
+    return (corner_sums(spec, cells).withColumn("_n", cells.agg(F.sum("n")).scalar())
+            .select("policy_id", _soft_threshold(F.col("z"), F.lit(float(reg)) * F.col("_n")).alias("alpha")))
+
+
+def _soft_threshold(z: Column, by: Column) -> Column:
+    return F.signum(z) * F.greatest(F.abs(z) - by, F.lit(0.0))
 
 
 def puffer_objective(spec: FactorSpec, cells: DataFrame, alpha: DataFrame, reg: float) -> DataFrame:
-    """Error in the preconditioned space plus penalty (X2, X3): only sums of design size are needed.
+    """Error in the preconditioned space plus penalty.
 
-    |y~ - X~ a|^2 = y~'y~ - 2 a'X~'y~ + a'a, where y~'y~ = (X'y)' (X'X)^-2 (X'y).
+    V is square and y~'y~ = |S^-1 U' y|^2 = z'z for the least-squares fit z, so |y~ - X~ a|^2 = |z - a|^2.
     """
-    ids, xtx, xty = gram(spec, cells)
-    keep = np.diag(xtx) > 0
-    s2, v = np.linalg.eigh(xtx[np.ix_(keep, keep)])
-    w = v.T @ xty[keep]
-    z = v @ (w / s2)
-    n = float(cells.agg(F.sum("n")).first()[0])
-    yy = float((w * w / s2 / s2).sum())
-    ref = _coefficients(cells.sparkSession, ids[keep], z).withColumnRenamed("alpha", "_z")
-    return (alpha.join(ref, "policy_id")
-            .agg(((F.lit(yy) - 2 * F.sum(F.col("alpha") * F.col("_z")) + F.sum(F.col("alpha") * F.col("alpha"))) / n).alias("mse_puffer"),
-                 F.sum(F.abs("alpha")).alias("l1"))
+    off = F.col("z") - F.coalesce("alpha", F.lit(0.0))
+    return (corner_sums(spec, cells).join(alpha, "policy_id", "left")
+            .agg(F.sum(off * off).alias("_sse"), F.sum(F.abs("alpha")).alias("l1"))
+            .withColumn("_n", cells.agg(F.sum("n")).scalar())
+            .select((F.col("_sse") / F.col("_n")).alias("mse_puffer"), "l1")
             .withColumn("loss", F.col("mse_puffer") + reg * F.col("l1")))
 
 
@@ -108,7 +137,8 @@ def fitted_cells(spec: FactorSpec, cells: DataFrame, alpha: DataFrame) -> DataFr
     """Prediction of each observed cell: the sum of the coefficients it dominates."""
     live = alpha.where(F.col("alpha") != 0).select(F.col("policy_id").alias("dominated_id"), "alpha")
     spread = dominated_cells(spec, cells.select("policy_id"))
-    fit = spread.join(F.broadcast(live), "dominated_id", "left").groupBy("policy_id").agg(F.coalesce(F.sum("alpha"), F.lit(0.0)).alias("fitted"))
+    fit = (spread.join(bounded(live, spec.n_policies), "dominated_id", "left").groupBy("policy_id")
+           .agg(F.coalesce(F.sum("alpha"), F.lit(0.0)).alias("fitted")))
     return cells.join(fit, "policy_id")
 
 

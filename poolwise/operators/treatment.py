@@ -185,6 +185,13 @@ def treatment_sets(spec: FactorSpec, members: DataFrame, sets: DataFrame, boxes:
     return found.unionByName(fixed.select(*found.columns))
 
 
+def entry_name() -> Column:
+    """Name of a treatment set's entry inside model keys: feature profile, both masks and the merges."""
+    merges = F.array_join(F.transform("merges", lambda m: F.concat_ws("~", m["box_t"].cast("string"), m["box_c"].cast("string"))), ",")
+    return F.concat_ws(":", F.col("rest_profile").cast("string"), F.coalesce(F.col("mask_t").cast("string"), F.lit("")),
+                       F.coalesce(F.col("mask_c").cast("string"), F.lit("")), merges)
+
+
 def combine_treatment_sets(spec: FactorSpec, te_sets: DataFrame, treatment: str, theta: float) -> DataFrame:
     """One merged pair per feature profile with total loss at most theta."""
     from poolwise.operators.models import combine
@@ -192,10 +199,7 @@ def combine_treatment_sets(spec: FactorSpec, te_sets: DataFrame, treatment: str,
     rest = [i for i in range(spec.m) if i != ti]
     # feature profiles are numbered without the treatment bit
     slot = F.expr(" + ".join(f"if({spec.active_sql(i, 'rest_profile')}, {1 << (len(rest) - 1 - k)}, 0)" for k, i in enumerate(rest)))
-    merges = F.array_join(F.transform("merges", lambda m: F.concat_ws("~", m["box_t"].cast("string"), m["box_c"].cast("string"))), ",")
-    name = F.concat_ws(":", F.col("rest_profile").cast("string"), F.coalesce(F.col("mask_t").cast("string"), F.lit("")),
-                       F.coalesce(F.col("mask_c").cast("string"), F.lit("")), merges)
-    items = te_sets.select(slot.cast("int").alias("slot"), "q", F.col("h").cast("long").alias("h"), F.array(name).alias("members"))
+    items = te_sets.select(slot.cast("int").alias("slot"), "q", F.col("h").cast("long").alias("h"), F.array(entry_name()).alias("members"))
     have = te_sets.select(slot.cast("int").alias("slot")).distinct()
     blank = (te_sets.sparkSession.range(2 ** (spec.m - 1)).select(F.col("id").cast("int").alias("slot"))
              .join(have, "slot", "left_anti")
@@ -242,6 +246,71 @@ def pair_effects(spec: FactorSpec, pairs: DataFrame, boxes: DataFrame, treatment
             .withColumn("effect", F.coalesce(m_t - m_c, F.lit(0.0))).drop("m_t", "m_c"))
 
 
+def merged_effects(spec: FactorSpec, te_sets: DataFrame, boxes: DataFrame, treatment: str) -> DataFrame:
+    """Effect per (entry, shared box) after the entry's merges (T9 on T2).
+
+    A merged pool has one mean for both sides: boxes inside it have effect 0, and elsewhere the mean of the union meets
+    that of the pool across.  The rules for missing data are those of ``pair_effects``.
+    """
+    def partner(own, other):
+        return F.get(F.filter("merges", lambda m: m[own] == F.col(own)), F.lit(0))[other]
+
+    df = refinement(spec, te_sets, treatment).withColumns({"_with_t": partner("box_t", "box_c"), "_with_c": partner("box_c", "box_t")})
+    for box in ("box_t", "box_c", "_with_t", "_with_c"):
+        part = boxes.select(F.col("box_id").alias(box), F.col("n").alias(f"_n_{box}"), F.col("sum_y").alias(f"_y_{box}"))
+        df = df.join(bounded(part, spec.n_boxes), box, "left").fillna(0, [f"_n_{box}", f"_y_{box}"])
+
+    def mean(mask, *parts):
+        rows, total = (sum((F.col(f"_{k}_{b}") for b in parts), F.lit(0)) for k in "ny")
+        return F.when(F.col(mask).isNotNull(), F.coalesce(F.try_divide(total, rows), F.lit(0.0)))
+
+    gap = F.coalesce(mean("mask_t", "box_t", "_with_t") - mean("mask_c", "box_c", "_with_c"), F.lit(0.0))
+    effect = F.when(F.col("_with_t") == F.col("box_c"), 0.0).otherwise(gap)
+    return (df.where(F.col("mask_t").isNotNull() | F.col("mask_c").isNotNull()).withColumn("effect", effect)
+            .drop("merges", *[c for c in df.columns if c.startswith("_")]))
+
+
+def model_entries(models: DataFrame) -> DataFrame:
+    """Models as (entries, weight): the names in their key, and exp(best loss - loss)."""
+    best = models.agg(F.min("loss")).scalar()
+    return models.withColumn("_best", best).select(F.split("model_key", "[|]").alias("entries"), F.exp(F.col("_best") - F.col("loss")).alias("weight"))
+
+
+def weighted_entries(te_sets: DataFrame, models: DataFrame) -> DataFrame:
+    """Entries that models use, with the number of these models and their mean weight.
+
+    Effects are then read once per entry, however many models share it.
+    """
+    used = (model_entries(models).select(F.explode("entries").alias("entry"), "weight")
+            .groupBy("entry").agg(F.count("*").alias("n_models"), F.avg("weight").alias("weight")))
+    return te_sets.withColumn("entry", entry_name()).join(used, "entry")
+
+
+def weighted_contrasts(spec: FactorSpec, te_sets: DataFrame, models: DataFrame, boxes: DataFrame, treatment: str, group: str,
+                       high: int = 1, low: int = 0) -> DataFrame:
+    """Difference of merged effects between two levels of ``group`` per cell (T10), with number and mean weight of the models.
+
+    Rows stand for pairs of entries that some model holds together, one for each level; ``rest_profile`` and
+    ``control_id`` are those of the low level.
+    """
+    i = spec.names.index(group)
+    bit = 1 << (spec.m - 1 - i)
+    rest = lambda e: f"cast(split_part({e}, ':', 1) as int)"
+    holds = lambda e, level: f"({rest(e)} & {bit}) {'!=' if level else '='} 0"
+    base = lambda e: f"({rest(e)} & {spec.full_profile ^ bit})"
+    beside = f"get(filter(entries, o -> {holds('o', low)} and {base('o')} = {base('e')}), 0)"
+    pairs = (model_entries(models)
+             .selectExpr(f"inline(transform(filter(entries, e -> {holds('e', high)}), e -> named_struct('entry_high', e, 'entry_low', {beside}, 'weight', weight)))")
+             .where("entry_low is not null").groupBy("entry_high", "entry_low").agg(F.count("*").alias("n_models"), F.avg("weight").alias("weight")))
+    cell = effects_by_cell(spec, merged_effects(spec, te_sets.withColumn("entry", entry_name()), boxes, treatment))
+    above = (cell.where(spec.level(i, "control_id") == high)
+             .select(F.col("entry").alias("entry_high"), (F.col("control_id") + (low - high) * spec.strides[i]).alias("control_id"), F.col("effect").alias("effect_high")))
+    under = (cell.where(spec.level(i, "control_id") == low)
+             .select(F.col("entry").alias("entry_low"), "rest_profile", "control_id", F.col("effect").alias("effect_low")))
+    return (pairs.join(above, "entry_high").join(under, ["entry_low", "control_id"])
+            .withColumn("contrast", F.col("effect_high") - F.col("effect_low")))
+
+
 def effects_by_cell(spec: FactorSpec, effects: DataFrame) -> DataFrame:
     """Unfold shared boxes into the control cells of the matched pairs."""
     return spec.box_policies(effects, "shared_box", "control_id")

@@ -215,6 +215,61 @@ def te_contrast(spark, sf):
     return found.select("model_key", "control_id", (F.round("contrast", 6) + 0.0).alias("contrast"))
 
 
+# each entry's cells with the mean of their pool after the merges
+_MERGED = f"""{_SWEEP}, te as (select *, row_number() over (order by rest_profile, mask_t, mask_c, merges) id from te_sets),
+    tcell as (select p.id, p.rest_profile, c.status, c.returned, c.disc, c.policy_id, c.n, c.sum_y,
+        (case when c.status = 1 then {_SEG.format(m='p.mask_t')} else {_SEG.format(m='p.mask_c')} end) seg from te p join cells c on c.profile_id in (p.rest_profile, p.rest_profile + 4)),
+    tlow as (select id, status, seg, cast(min(policy_id) as bigint) low, sum(n) n, sum(sum_y) s from tcell group by all),
+    tmix as (select id, cast(split_part(x, '~', 1) as bigint) low_t, cast(split_part(x, '~', 2) as bigint) low_c
+        from (select id, unnest(string_split(rtrim(merges, ','), ',')) x from te where merges <> '')),
+    tpool as (select l.id, l.status, l.seg, l.n, l.s, coalesce(m.low_c, l.low) pool from tlow l left join tmix m on m.id = l.id and l.status = 1 and m.low_t = l.low),
+    tmean as (select id, pool, sum(s) / sum(n) m from tpool group by all),
+    tfit as (select c.*, p.pool, e.m from tcell c join tpool p on p.id = c.id and p.status = c.status and p.seg = c.seg join tmean e on e.id = p.id and e.pool = p.pool),
+    teff as (select c.id, c.rest_profile, c.policy_id control_id, c.returned, c.disc, case when t.pool = c.pool then 0.0 else t.m - c.m end effect
+        from tfit t join tfit c on t.id = c.id and t.status = 1 and c.status = 0 and t.returned = c.returned and t.disc = c.disc)"""
+_COMBOS = f"""{_MERGED}, combos as (select a.id i0, b.id i1, c.id i2, d.id i3, exp(-(a.q + b.q + c.q + d.q)) w from te a, te b, te c, te d
+        where a.rest_profile = 0 and b.rest_profile = 1 and c.rest_profile = 2 and d.rest_profile = 3 and a.q + b.q + c.q + d.q <= {_THETA_C})"""
+
+
+def _bins(value: str) -> str:
+    """Shares of weight by multiples of the spread, from rows(rest_profile, w, k, value)."""
+    return f"""mid as (select sum(k * {value}) / sum(k) m from valued), sig as (select sqrt(sum(k * ({value} - m) * ({value} - m)) / sum(k)) s from valued, mid),
+    binned as (select rest_profile, w, case when {value} = 0 then 2 when {value} >= 2 * s then 0 when {value} > 0 then 1 when {value} >= -2 * s then 3 else 4 end bin from valued, sig)
+    select rest_profile, {', '.join(f'round(sum(case when bin = {b} then w else 0.0 end) / sum(w), 7) bin_{b}' for b in range(5))} from binned group by rest_profile"""
+
+
+@query("te_effects_merged", f"with recursive {_MERGED} select rest_profile, mask_t, mask_c, merges, control_id, round(effect, 6) + 0.0 effect from teff join te using (id, rest_profile)")
+def te_effects_merged(spark, sf):
+    """Effects after the merges that the search has chosen."""
+    found, _, boxes = _sweep(spark, sf)
+    named = found.withColumn("names", _merge_names(fx.TREAT2))
+    cells = T.effects_by_cell(fx.TREAT2, T.merged_effects(fx.TREAT2, named, boxes, "status"))
+    return cells.select("rest_profile", "mask_t", "mask_c", F.col("names").alias("merges"), "control_id", (F.round("effect", 6) + 0.0).alias("effect"))
+
+
+def _combined(found):
+    return materialize(T.combine_treatment_sets(fx.TREAT2, found, "status", _THETA_C), "te-models")
+
+
+@query("te_effect_histogram", f"""with recursive {_COMBOS}, used as (select id, sum(w) w, count(*) k from (select unnest([i0, i1, i2, i3]) id, w from combos) group by 1),
+    valued as (select rest_profile, effect, w, k from teff join used using (id)), {_bins('effect')}""")
+def te_effect_histogram(spark, sf):
+    """Merged effects of all models, by weight and feature profile."""
+    found, _, boxes = _sweep(spark, sf)
+    entries = T.weighted_entries(found, _combined(found))
+    effects = T.merged_effects(fx.TREAT2, entries, boxes, "status").withColumn("n", F.col("n_cells") * F.col("n_models"))
+    return rounded(B.effect_histogram(effects, ["rest_profile"], [], count="n"), 7)
+
+
+@query("te_contrast_histogram", f"""with recursive {_COMBOS}, used as (select lo, hi, sum(w) w, count(*) k from (select i0 lo, i2 hi, w from combos union all select i1, i3, w from combos) group by 1, 2),
+    valued as (select l.rest_profile, h.effect - l.effect contrast, w, k from used u join teff l on l.id = u.lo join teff h on h.id = u.hi and h.disc = l.disc), {_bins('contrast')}""")
+def te_contrast_histogram(spark, sf):
+    """Merged effect for returned lines against the others, over all models."""
+    found, _, boxes = _sweep(spark, sf)
+    apart = T.weighted_contrasts(fx.TREAT2, found, _combined(found), boxes, "status", "returned")
+    return rounded(B.effect_histogram(apart.withColumn("effect", F.col("contrast")), ["rest_profile"], [], count="n_models"), 7)
+
+
 @query("te_table", f"""with obs as (select {S.STATUS} status, {S.DISC} disc, {S.TAX} tax, {S.OUTCOME} quantity, l_extendedprice / 10000 price from lineitem),
     c as (select status, disc, tax, avg(quantity) q, avg(price) p from obs group by all)
     select cast(a.disc * 4 + a.tax as bigint) control_id, round(b.q - a.q, 6) quantity, round(b.p - a.p, 6) price from c a join c b
@@ -492,6 +547,49 @@ def metric_models(spark, sf):
     return df.select("cut_mask", "h", F.round("mse", 9).alias("mse"), F.round("iou", 9).alias("iou"), "min_dosage_hit", F.round("best_gap", 7).alias("best_gap"))
 
 
+# models over all profiles: cells of their best pools
+_MODEL_BEST = f"""{MODELS}, members as (select model_key, n_pools, cast(split_part(x, ':', 1) as int) profile_id, cast(split_part(x, ':', 2) as bigint) cut_mask
+        from (select model_key, n_pools, unnest(string_split(model_key, '|')) x from models)),
+    est as (select m.model_key, m.n_pools, a.profile_id, a.policy_id, p.mean_y m, round(p.mean_y, 9) r from members m join assigned a using (profile_id, cut_mask) join pooled p using (profile_id, cut_mask, pool_id)),
+    tops as (select model_key, max(r) r from est group by 1), best as (select e.* from est e join tops t on t.model_key = e.model_key and t.r = e.r),
+    true_best as (select policy_id, qty + disc + tax dosage from cells where round(mean_y, 1) = (select max(round(mean_y, 1)) from cells)),
+    errors as (select model_key, sum(sse) / (select sum(n) from cells) mse from members join scored using (profile_id, cut_mask) group by 1)"""
+
+
+def _model_metrics(spark, sf):
+    cells = multi_cells(spark, sf)
+    sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M), "sets")
+    models = materialize(M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M, sets=sets), "models")
+    truth = cells.select("policy_id", *fx.MULTI.level_columns(), F.round("mean_y", 1).alias("effect"))
+    best = materialize(X.best_policies(truth, "effect"), "best")
+    low = X.min_dosage(best, list(fx.MULTI.names))
+    return X.model_metrics(fx.MULTI, models, sets, P.box_moments(fx.MULTI, cells), cells, best, low, float(scalar(cells.agg(F.max("mean_y")))))
+
+
+@query("metric_models_profiles", f"""with {_MODEL_BEST} select b.model_key, any_value(b.n_pools) n_pools, round(any_value(e.mse), 9) mse,
+        round(count(t.policy_id) * 1.0 / (count(*) + (select count(*) from true_best) - count(t.policy_id)), 9) iou,
+        coalesce(bool_or(t.dosage = (select min(dosage) from true_best)), false) min_dosage_hit, round((select max(mean_y) from cells) - max(b.m), 7) best_gap
+    from best b join errors e using (model_key) left join true_best t using (policy_id) group by b.model_key""")
+def metric_models_profiles(spark, sf):
+    """All metrics of every model over all profiles."""
+    scored, _ = _model_metrics(spark, sf)
+    return scored.select("model_key", "n_pools", F.round("mse", 9).alias("mse"), F.round("iou", 9).alias("iou"), "min_dosage_hit", F.round("best_gap", 7).alias("best_gap"))
+
+
+@query("metric_model_profile_indicator", f"with {_MODEL_BEST} select distinct model_key, profile_id from best")
+def metric_model_profile_indicator(spark, sf):
+    """Profiles in which each model has its best cells."""
+    return _model_metrics(spark, sf)[1]
+
+
+@query("metric_profile_indicator_long", f"""with {S.cells(fx.MULTI, 'multi')}, tops as (select disc, max(round(mean_y, 1)) m from cells group by 1)
+    select distinct cast(disc as int) disc, profile_id from cells join tops using (disc) where round(mean_y, 1) = m""")
+def metric_profile_indicator_long(spark, sf):
+    """Profiles of the best cells of each discount band."""
+    cells = multi_cells(spark, sf).select("policy_id", fx.MULTI.level(1).alias("disc"), "mean_y")
+    return X.profiles_of(fx.MULTI, X.best_policies(cells, "mean_y", digits=1, by=["disc"]), ["disc"])
+
+
 _TE = f"""{_EFFECTS}, pick as (select mask_t, mask_c from pairs order by round(sse, 6) + {REG_T} * h * 60000, mask_t, mask_c limit 1),
     raw as (select c.policy_id control_id, t.mean_y - c.mean_y te_true from cells c join cells t on c.profile_id = 3 and t.profile_id = 7 and c.disc = t.disc and c.tax = t.tax),
     both_te as (select control_id, te_true, avg(effect) te_est from raw join effects using (control_id) group by all)"""

@@ -89,6 +89,17 @@ _LEVEL_MULTI = f"""{S.cells(fx.MULTI, 'multi')}, {S.masks(fx.MULTI)}, big as (se
     lb as (select profile_id, sum(ssw) / (select sum(n) from cells) lb from cells group by 1)"""
 
 
+THETA_J = 0.015
+
+
+def _joined(sets: str, profiles, theta: float) -> str:
+    """All choices of one partition per profile, by plain joins."""
+    first, *rest = profiles
+    return (f"select {' || \'|\' || '.join(f'\'{p}:\' || s{p}.cut_mask' for p in profiles)} model_key, {' + '.join(f's{p}.q' for p in profiles)} loss, "
+            f"{' + '.join(f's{p}.h' for p in profiles)} n_pools from (select * from {sets} where profile_id = {first}) s{first}"
+            + "".join(f" join (select * from {sets} where profile_id = {p}) s{p} on {' + '.join(f's{o}.q' for o in profiles if o <= p)} <= {theta}" for p in rest))
+
+
 @query("slope_sets", f"""with {_LEVEL_MULTI} select s.profile_id, s.cut_mask, s.h, round(q, 7) q from lscored s join lb using (profile_id) where q <= 0.0121 - (select sum(lb) from lb) + lb""")
 def slope_sets(spark, sf):
     """All profiles; the regressor is the quantity level, constant inside a cell and in narrow pools."""
@@ -98,6 +109,26 @@ def slope_sets(spark, sf):
     return L.slope_sets(fx.MULTI, cells, boxes, 0.0121, 0.001).select("profile_id", "cut_mask", "h", F.round("q", 7).alias("q"))
 
 
+@query("slope_models", f"""with {_LEVEL_MULTI}, sets as (select s.profile_id, s.cut_mask, s.h, q from lscored s join lb using (profile_id) where q <= {THETA_J} - (select sum(lb) from lb) + lb),
+    models as ({_joined('sets', range(8), THETA_J)})
+    select model_key, round(loss, 7) loss, cast(n_pools as bigint) n_pools from models where loss <= {THETA_J} and n_pools <= 11""")
+def slope_models(spark, sf):
+    """Models over all profiles with a line per pool, within a budget of pools."""
+    obs = fx.lineitem_multi(spark, sf).withColumn("x", F.col("qty").cast("double"))
+    cells = materialize(L.slope_cells(fx.MULTI, obs, ["x"]), "cells")
+    boxes = materialize(L.slope_boxes(fx.MULTI, cells, 1), "boxes")
+    found = L.slope_models(fx.MULTI, cells, boxes, THETA_J, 0.001, max_pools=11)
+    return found.select("model_key", F.round("loss", 7).alias("loss"), "n_pools")
+
+
+@query("slope_frontier", f"with {_SLOPES} select cut_mask, h, round(q, 7) q from lscored where q <= (select median(q) from lscored) and h <= 12")
+def slope_frontier(spark, sf):
+    """Half of the space and a budget of pools, found by bounds."""
+    scored, cells, boxes = _slope_scores(spark, sf)
+    theta = scored.agg(F.median("q")).first()[0]
+    return L.slope_sets(SP, cells, boxes, theta, REG_L, 7, max_pools=12, adaptive=True).select("cut_mask", "h", F.round("q", 7).alias("q"))
+
+
 def _two() -> str:
     s = lambda a, b: f"(sum(n * {a} * {b} + c{a}{b}) - sum(n * {a}) * sum(n * {b}) / sum(n))"
     return f"{s('x', 'x')} sxx, {s('d', 'd')} sdd, {s('x', 'd')} sxd, {s('x', 'y')} sxy, {s('d', 'y')} sdy, {s('y', 'y')} syy"
@@ -191,13 +222,15 @@ def lasso_puffer_objective(spark, sf):
 
 @query("lasso_scores")
 def lasso_scores(spark, sf):
-    """Error, loss and best-cell overlap of the lasso fit."""
+    """Error, loss, best-cell overlap and least-dosage hit of the lasso fit."""
     cells = multi(spark, sf)
     alpha = materialize(Z.lasso(fx.MULTI, cells, 1e-3), "alpha")
     fitted = materialize(Z.fitted_cells(fx.MULTI, cells, alpha), "fitted")
     truth = X.best_policies(cells, "mean_y", digits=1)
     mine = X.best_policies(fitted, "fitted", digits=1)
     df = Z.lasso_scores(fitted, alpha, 1e-3).withColumn("iou", F.lit(scalar(X.intersection_over_union(truth, mine))))
+    low = X.min_dosage(truth.select("policy_id", *fx.MULTI.level_columns()), list(fx.MULTI.names))
+    df = df.withColumn("min_dosage_hit", X.shares_member(low, mine).scalar())
     gap = X.best_effect_gap(cells, fitted, "mean_y", "fitted").first()["gap"]
     return rounded(df.withColumn("gap", F.lit(gap)))
 

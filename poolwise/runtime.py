@@ -50,12 +50,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
+def bounded(df: DataFrame, rows: int, by: list[str] = ()) -> DataFrame:
     """Broadcast hint for a table of at most ``rows`` rows, when that is small enough.
 
-    Beyond the bound the table is returned as it is and the join shuffles.
+    Beyond the bound the table is returned as it is and the join shuffles.  A
+    table that is also keyed by ``by`` has an unknown number of such parts, so
+    it gets no hint.
     """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and not by else df
 
 
 def scalar(df: DataFrame):

@@ -251,16 +251,16 @@ class FactorSpec:
         def codes(i):
             c = self.segments_sql(i, mask, profile)
             return c if only is None else f"if({only}, {c}, array(cast(null as bigint)))"
-        return _unfold(df, [codes(i) for i in range(self.m)], "box_id")
+        return unfold(df, [codes(i) for i in range(self.m)], "box_id")
 
     def box_policies(self, df: DataFrame, box: str = "box_id", out: str = "policy_id") -> DataFrame:
         """One row per (row, cell inside its box)."""
         first = [f"{self.box_low_sql(i, box)} * {w}L" for i, w in enumerate(self.strides)]
         last = [f"({self.box_code_sql(i, box)} % {r}L) * {w}L" for i, (r, w) in enumerate(zip(self.levels, self.strides))]
-        return _unfold(df, [f"sequence({a}, {b}, {w}L)" for a, b, w in zip(first, last, self.strides)], out)
+        return unfold(df, [f"sequence({a}, {b}, {w}L)" for a, b, w in zip(first, last, self.strides)], out)
 
 
-def _unfold(df: DataFrame, arrays: list[str], out: str) -> DataFrame:
+def unfold(df: DataFrame, arrays: list[str], out: str) -> DataFrame:
     """One row per choice of one element per array; ``out`` is their sum.
 
     A chain of explodes over built-in arrays stays inside generated code.
@@ -284,11 +284,3 @@ def _digit(value: str, stride: int, base: int) -> str:
     # integral division stays exact where a floating quotient would not
     quotient = value if stride == 1 else f"({value} div {stride}L)"
     return f"({quotient} % {base}L)"
-
-
-def every_sum(arrays: list[str]) -> str:
-    """Every sum of one element per array."""
-    out = arrays[0]
-    for k, x in enumerate(arrays[1:]):
-        out = f"flatten(transform({out}, s{k} -> transform({x}, t{k} -> s{k} + t{k})))"
-    return out

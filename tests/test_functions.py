@@ -156,6 +156,50 @@ def test_lasso_meets_its_conditions_on_rows(spark):
     assert np.allclose(grad[alpha != 0], 0.05 * np.sign(alpha[alpha != 0]), atol=1e-8)
 
 
+def test_sparse_fits_take_designs_of_any_size(spark):
+    spec = FactorSpec(["a", "b", "c", "d"], [10, 10, 10, 10])
+    rows = [(1, 1, 1.0), (1, 1, 3.0), (2, 1, 5.0), (1, 2, 4.0), (2, 2, 10.0)]
+    cells = C.cell_table(spec, spark.createDataFrame([(a, b, 1, 1, y) for a, b, y in rows], [*spec.names, "y"]))
+    z = {(1, 1): 2.0, (2, 1): 3.0, (1, 2): 2.0, (2, 2): 3.0}
+    got = {r.policy_id: r.alpha for r in Z.puffer_lasso(spec, cells, 0.1).collect()}
+    assert got == {brute.policy_id(spec, (*c, 1, 1)): pytest.approx(v - 0.5) for c, v in z.items()}
+    alpha = Z.lasso(spec, cells, 1e-3)
+    fitted = Z.fitted_cells(spec, cells, alpha)
+    assert alpha.count() == 10_000 and Z.optimality_gap(spec, cells, fitted, alpha, 1e-3).first()["gap"] < 1e-8
+    with pytest.raises(ValueError, match="rank"):
+        Z.puffer_lasso(spec, cells.where("policy_id != 1111"), 0.1)
+    with pytest.raises(Exception, match="violates"):
+        Z.lasso(spec, cells, 1e-3, tolerance=0.0, sweeps=1).count()
+
+
+def test_merged_effects_against_rows(spark):
+    spec = FactorSpec(["t", "a"], [2, 4])
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), rng.randrange(1, 4), rng.gauss(0, 1)) for _ in range(60)]
+    cells = C.cell_table(spec, spark.createDataFrame(rows, ["t", "a", "y"]))
+    boxes = P.box_moments(spec, cells)
+    pairs = spark.createDataFrame([(1, 1, 2)], "rest_profile int, mask_t long, mask_c long")
+    over = {(r.box_t, r.box_c) for r in T.overlap(spec, pairs, "t").collect()}
+    pools_t, pools_c = [{1}, {2, 3}], [{1, 2}, {3}]
+    mean = lambda *parts: np.mean([y for t, a, y in rows if any(t == k and a in pool for k, pool in parts)])
+    for merge in [[], *[[m] for m in sorted(over)]]:
+        entry = pairs.withColumn("merges", F.from_json(F.lit(str([{"box_t": t, "box_c": c} for t, c in merge]).replace("'", '"')),
+                                                       "array<struct<box_t:bigint,box_c:bigint>>"))
+        found = T.effects_by_cell(spec, T.merged_effects(spec, entry, boxes, "t")).collect()
+        joined = None
+        for r in found:  # the merged pools, told by their boxes
+            if (r.box_t, r.box_c) in merge:
+                a = r.control_id % 4
+                joined = (next(p for p in pools_t if a in p), next(p for p in pools_c if a in p))
+        for r in found:
+            a = r.control_id % 4
+            t, c = next(p for p in pools_t if a in p), next(p for p in pools_c if a in p)
+            both = [(1, joined[0]), (0, joined[1])] if joined else []
+            want = mean(*(both if joined and t == joined[0] else [(1, t)])) - mean(*(both if joined and c == joined[1] else [(0, c)]))
+            assert abs(r.effect - want) < 1e-9
+        assert len(found) == 3
+
+
 def _permissible(pools, spec):
     """All pools boxes, and each step inside a pool is inside a pool for all other settings."""
     where = {c: k for k, pool in enumerate(pools) for c in pool}
