@@ -51,6 +51,28 @@ def posterior_effects(spec: FactorSpec, weighted_partitions: DataFrame, boxes: D
             .agg((F.sum(F.col("_w") * F.col("mean_y")) / F.sum("_w")).alias("beta"), F.sum("_w").alias("mass")))
 
 
+def stratified_effects(spec: FactorSpec, models: DataFrame, values: list, stratum: str, own_boxes: DataFrame, pooled_boxes: DataFrame,
+                       profile_id: int) -> DataFrame:
+    """Weighted mean per stratum and cell over stratified models (B3), weights exp(best loss - loss).
+
+    Keys of ``models`` name the mask of each stratum by its place in ``values``, or once, as ``-1``, the mask of a model
+    that serves all strata; such a model speaks with the means of all strata together (``pooled_boxes``).
+    """
+    weighted = models.withColumn("_best", models.agg(F.min("loss")).scalar())
+    parts = (weighted.select(F.exp(F.col("_best") - F.col("loss")).alias("weight"), F.explode(F.split("model_key", "[|]")).alias("_p"))
+             .selectExpr("weight", "cast(split_part(_p, ':', 1) as int) as _slot", "cast(split_part(_p, ':', 2) as bigint) as cut_mask"))
+    strata = F.array(*[F.lit(v) for v in values])
+    named = F.when(F.col("_slot") < 0, strata).otherwise(F.array(F.get(strata, F.col("_slot"))))
+    per = (parts.groupBy("_slot", "cut_mask").agg(F.sum("weight").alias("weight"))
+           .select(F.explode(named).alias(stratum), (F.col("_slot") < 0).alias("_pooled"), "cut_mask", "weight", F.lit(profile_id).alias("profile_id")))
+    per_box = spec.mask_boxes(per).groupBy(stratum, "_pooled", "box_id").agg(F.sum("weight").alias("_w"))
+    shared = bounded(pooled_boxes.select("box_id", "mean_y"), spec.n_boxes)
+    means = (per_box.where("not _pooled").join(own_boxes.select(stratum, "box_id", "mean_y"), [stratum, "box_id"], "left")
+             .unionByName(per_box.where("_pooled").join(shared, "box_id", "left")).fillna(0.0, ["mean_y"]))
+    return (spec.box_policies(means).groupBy(stratum, "policy_id")
+            .agg((F.sum(F.col("_w") * F.col("mean_y")) / F.sum("_w")).alias("beta"), F.sum("_w").alias("mass")))
+
+
 def top_cells(effects: DataFrame, k: int, best: bool = True, column: str = "beta", digits: int = 9) -> DataFrame:
     """The k best or worst cells, ties by cell."""
     key = F.round(column, digits)

@@ -81,7 +81,7 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
     salts = SALTS if pairs >= SALT_FROM else 1
     left_count, turn = len(open_slots), 0
     while left_count > 1:
-        rows = _merge_pairs(rows, left_count, slack, spare, salts)
+        rows = _merge_pairs(rows, left_count, f"{slack!r}D", None if spare is None else str(spare), salts)
         left_count, turn = (left_count + 1) // 2, turn + 1
         if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
             rows = materialize(rows, "merged")
@@ -97,21 +97,26 @@ def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None
     return out if max_pools is None else out.where(F.col("h") <= max_pools)
 
 
-def _merge_pairs(rows: DataFrame, n_slots: int, slack: float, spare: int | None, salts: int) -> DataFrame:
-    """One round: slots 2k and 2k + 1 become slot k; an odd last slot passes through."""
-    width = slack / BANDS
-    sided = rows.selectExpr("*", "slot div 2 as _pair", f"least(floor(greatest(excess, 0.0D) / {width!r}D), {BANDS}) as _band")
+def _merge_pairs(rows: DataFrame, n_slots: int, slack: str, spare: str | None, salts: int, by: list[str] = (),
+                 limits: list[str] = ()) -> DataFrame:
+    """One round: slots 2k and 2k + 1 become slot k; an odd last slot passes through.
+
+    Rows meet within their ``by`` group only.  ``slack`` and ``spare`` are SQL: numbers, or the columns ``limits``.
+    """
+    by, limits = list(by), list(limits)
+    width = f"(({slack}) / {BANDS})"
+    sided = rows.selectExpr("*", "slot div 2 as _pair", f"least(floor(greatest(excess, 0.0D) / {width}), {BANDS}) as _band")
     # one spare band on the reach keeps pairs whose division rounded the other way
-    reach = f"least(floor(({slack!r}D - excess) / {width!r}D) + 1, {BANDS})"
+    reach = f"least(floor(({slack} - excess) / {width}) + 1, {BANDS})"
     paired = n_slots // 2 * 2
     left = (sided.where(f"slot % 2 = 0 and slot < {paired}")
-            .selectExpr("_pair", f"explode(sequence(0L, {reach})) as _band", f"pmod(xxhash64(members), {salts}) as _salt",
+            .selectExpr(*by, *limits, "_pair", f"explode(sequence(0L, {reach})) as _band", f"pmod(xxhash64(members), {salts}) as _salt",
                         "q as ql", "h as hl", "members as ml", "excess as el", "extra as xl"))
     right = (sided.where(f"slot % 2 = 1 and slot < {paired}")
-             .selectExpr("_pair", "_band", f"explode(sequence(0L, {salts - 1}L)) as _salt",
+             .selectExpr(*by, "_pair", "_band", f"explode(sequence(0L, {salts - 1}L)) as _salt",
                          "q as qr", "h as hr", "members as mr", "excess as er", "extra as xr"))
-    merged = (left.join(right, ["_pair", "_band", "_salt"]).where(f"el + er <= {slack!r}D")
-              .selectExpr("cast(_pair as int) as slot", "ql + qr as q", "hl + hr as h", "concat(ml, mr) as members",
+    merged = (left.join(right, [*by, "_pair", "_band", "_salt"]).where(f"el + er <= {slack}")
+              .selectExpr(*by, *limits, "cast(_pair as int) as slot", "ql + qr as q", "hl + hr as h", "concat(ml, mr) as members",
                           "el + er as excess", "xl + xr as extra"))
     if spare is not None:
         merged = merged.where(f"extra <= {spare}")
@@ -120,11 +125,57 @@ def _merge_pairs(rows: DataFrame, n_slots: int, slack: float, spare: int | None,
     return merged
 
 
-def model_table(combined: DataFrame, slot_field: str = "profile_id") -> DataFrame:
+def combine_by(items: DataFrame, by: list[str], n_slots: int, theta: DataFrame, max_pools: int | None = None) -> DataFrame:
+    """The same for many groups in one job: ``items`` and ``theta`` (by, theta) carry the group's keys.
+
+    Slack and spare pools differ by group and ride along as columns, so nothing reaches the driver.
+    """
+    items = materialize(items.select(*by, "slot", "q", "h", "members"), "items")
+    best = items.groupBy(*by, "slot").agg(F.min("q").alias("_q"), F.min("h").cast("long").alias("_h"))
+    limits = (best.groupBy(*by).agg(F.sum("_q").alias("_sum"), F.sum("_h").alias("_pools"), F.count("*").alias("_slots"))
+              .join(theta.select(*by, "theta"), by).where((F.col("_slots") == n_slots) & (F.col("theta") - F.col("_sum") >= -1e-12))
+              .select(*by, "theta", (F.greatest(F.col("theta") - F.col("_sum"), F.lit(0.0)) + 1e-12).alias("slack"),
+                      (F.lit(max_pools).cast("long") - F.col("_pools")).alias("spare")))
+    rows = (items.join(best, [*by, "slot"]).join(limits, by)
+            .select(*by, "theta", "slack", "spare", "slot", "q", "h", "members", (F.col("q") - F.col("_q")).alias("excess"), (F.col("h") - F.col("_h")).alias("extra"))
+            .where("excess <= slack and coalesce(extra <= spare, true)"))
+    left_count, turn = n_slots, 0
+    while left_count > 1:
+        rows = _merge_pairs(rows, left_count, "slack", None if max_pools is None else "spare", SALTS, by, ["theta", "slack", "spare"])
+        left_count, turn = (left_count + 1) // 2, turn + 1
+        if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
+            rows = materialize(rows, "merged")
+    out = rows.where("q <= theta").select(*by, "q", "h", "members")
+    return out if max_pools is None else out.where(F.col("h") <= max_pools)
+
+
+def near_optimal_models_by(spec: FactorSpec, cells: DataFrame, by: list[str], theta: DataFrame, reg: float,
+                           max_pools: int | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """Models over all profiles for every outcome, configuration or other group of ``by``, each under its own theta.
+
+    ``cells`` and ``theta`` carry the keys; ``scored`` may hand in the losses of the whole space.
+    """
+    scored = scored if scored is not None else score_space(spec, cells, reg, by=by)
+    per = cells.groupBy(*by, "profile_id").agg(F.sum("ssw").alias("_ssw"), F.sum("n").alias("_n"))
+    whole = per.groupBy(*by).agg(F.sum("_ssw").alias("_all"), F.sum("_n").alias("_total"), F.count("*").alias("_profiles"))
+    limits = (per.join(whole, by).join(theta.select(*by, "theta"), by)
+              .select(*by, "profile_id", (F.col("theta") - (F.col("_all") - F.col("_ssw")) / F.col("_total")).alias("_limit"),
+                      (F.lit(max_pools).cast("long") - F.col("_profiles") + 1).alias("_budget")))
+    sets = scored.join(limits, [*by, "profile_id"]).where("q <= _limit + 1e-12 and coalesce(h <= _budget, true)")
+    items = sets.select(*by, F.col("profile_id").alias("slot"), "q", F.col("h").cast("long").alias("h"),
+                        F.array(F.struct(F.col("profile_id"), F.col("cut_mask"))).alias("members"))
+    blank = (cells.select(*by).distinct().selectExpr(*by, f"explode(sequence(0, {spec.n_profiles - 1})) as profile_id")
+             .join(per.select(*by, "profile_id"), [*by, "profile_id"], "left_anti")
+             .select(*by, F.col("profile_id").alias("slot"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("h"),
+                     F.expr("cast(array() as array<struct<profile_id:int,cut_mask:bigint>>)").alias("members")))
+    return model_table(combine_by(items.unionByName(blank), by, spec.n_profiles, theta, max_pools), by=by)
+
+
+def model_table(combined: DataFrame, slot_field: str = "profile_id", by: list[str] = ()) -> DataFrame:
     """Name the combined rows: model_key, loss, n_pools, members."""
     ordered = F.array_sort("members")
     key = F.array_join(F.transform(ordered, lambda m: F.concat_ws(":", m[slot_field].cast("string"), m["cut_mask"].cast("string"))), "|")
-    return combined.select(key.alias("model_key"), F.col("q").alias("loss"), F.col("h").alias("n_pools"),
+    return combined.select(*by, key.alias("model_key"), F.col("q").alias("loss"), F.col("h").alias("n_pools"),
                            ordered.alias("members"))
 
 
@@ -196,9 +247,9 @@ def used_prefix(sets: DataFrame, models_df: DataFrame) -> DataFrame:
     return sets.join(last, "profile_id").where(F.round("q", 12) <= F.col("_last")).drop("_last")
 
 
-def model_summary(models_df: DataFrame) -> DataFrame:
-    """Best model, its loss and the relative spread of the set."""
-    return models_df.agg(F.count("*").alias("n_models"), F.min("loss").alias("q0"),
+def model_summary(models_df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Best model, its loss and the relative spread of the set (R23), of each group."""
+    return models_df.groupBy(*by).agg(F.count("*").alias("n_models"), F.min("loss").alias("q0"),
                          F.try_divide(F.max("loss") - F.min("loss"), F.min("loss")).alias("eps"),
                          F.min_by("model_key", F.struct(F.round("loss", 12), "model_key")).alias("map_model"))
 

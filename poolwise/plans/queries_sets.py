@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from poolwise.functions import posterior as B
 from poolwise.operators import cells as C, design as D, models as M, partitions as P, prep, search as R
 from poolwise.plans import fixtures as fx, sql as S
 from poolwise.plans.registry import query, rounded
-from poolwise.runtime import materialize
-from poolwise.sources.tables import read_table
+from poolwise.runtime import materialize, scratch_path
+from poolwise.sources.tables import load_model_set, read_table, save_model_set
 
 FULL = 15
 REG, THETA = 1e-4, 0.0055
@@ -302,6 +303,24 @@ def near_model_summary(spark, sf):
     return rounded(M.model_summary(multi_models(spark, sf)), 9)
 
 
+@query("source_model_set_members", f"""with {MODELS}, parts_of as (select model_key, loss, n_pools, unnest(string_split(model_key, '|')) x from models)
+    select 'quantity' outcome, 'base' config, 'line items' label, model_key, cast(split_part(x, ':', 1) as int) profile_id, cast(split_part(x, ':', 2) as bigint) cut_mask,
+        round(loss, 9) loss, n_pools, round((select min(loss) from models), 9) q0, (select count(*) from scored s semi join parts_of p on p.x = s.profile_id || ':' || s.cut_mask) n_partitions from parts_of""")
+def source_model_set_members(spark, sf):
+    """Partitions, models, members and parameters after saving and loading."""
+    cells = multi_cells(spark, sf)
+    sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M), "sets")
+    models = materialize(M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M, sets=sets), "models")
+    path = scratch_path(spark, "modelset")
+    best = models.agg(F.min("loss")).first()[0]
+    save_model_set(path, "quantity", "base", M.used_partitions(sets, models), models, {"label": "line items", "q0": best})
+    saved = load_model_set(spark, path, "quantity", "base")
+    members = saved["models"].select("outcome", "config", "model_key", "loss", "n_pools", F.explode("members").alias("_m"))
+    return (members.join(saved["parameters"], ["outcome", "config"])
+            .withColumn("n_partitions", saved["partitions"].agg(F.count("*")).scalar())
+            .select("outcome", "config", "label", "model_key", "_m.*", F.round("loss", 9).alias("loss"), "n_pools", F.round("q0", 9).alias("q0"), "n_partitions"))
+
+
 @query("near_pruned", f"with {MODELS} select model_key, round(loss, 9) loss from models where loss <= (select min(loss) from models) * 1.05")
 def near_pruned(spark, sf):
     return M.prune_by_epsilon(multi_models(spark, sf), 0.05).select("model_key", F.round("loss", 9).alias("loss"))
@@ -371,6 +390,29 @@ def near_collapse(spark, sf):
     return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)).select("model_key", "is_pooled", F.round("loss", 8).alias("loss"), "n_pools")
 
 
+@query("post_effects_strata", f"""with {_STRATA_MODELS}, pooled_set as (with {S.scores(fx.ORDERS, 'orders', REG_S, 7)} select cut_mask, q, h from scored, b where q <= theta),
+    fin as (select model_key, coalesce(p.q, loss) loss, p.cut_mask gmask from models left join pooled_set p on p.cut_mask = one),
+    wts as (select *, exp((select min(loss) from fin) - loss) w from fin),
+    own as (select w, cast(split_part(x, ':', 1) as int) slot, cast(split_part(x, ':', 2) as bigint) cut_mask from (select w, unnest(string_split(model_key, '|')) x from wts where gmask is null)),
+    seg as (select * from (values {', '.join(f"({i}, '{v}')" for i, v in enumerate(fx.SEGMENTS))}) t(slot, segment)),
+    gpool as (select g.cut_mask, {S.pool(fx.ORDERS, 'c', 'g.cut_mask')} pool_id, sum(c.sum_y) / sum(c.n) m from (select distinct gmask cut_mask from wts where gmask is not null) g, cells c group by 1, 2),
+    fits as (select s.segment, a.policy_id, o.w, p.mean_y m from own o join seg s using (slot) join assigned a on a.segment = s.segment and a.cut_mask = o.cut_mask
+            join pooled p on p.segment = a.segment and p.cut_mask = a.cut_mask and p.pool_id = a.pool_id
+        union all select c.segment, c.policy_id, t.w, g.m from wts t join gpool g on g.cut_mask = t.gmask join cells c on g.pool_id = {S.pool(fx.ORDERS, 'c', 'g.cut_mask')})
+    select segment, policy_id, round(sum(w * m) / sum(w), 7) beta from fits group by 1, 2""")
+def post_effects_strata(spark, sf):
+    """Posterior effects of each stratum; models alike in all strata speak with the pooled means."""
+    obs = fx.orders_strata(spark, sf)
+    cells = C.cell_table(fx.ORDERS, obs, by=["segment"])
+    theta = _strata_theta(spark, sf, cells)
+    found = M.stratified_models(fx.ORDERS, cells, "segment", fx.SEGMENTS, theta, REG_S, 7)
+    together = C.cell_table(fx.ORDERS, obs)
+    pooled = R.exhaustive_set(fx.ORDERS, together, theta, REG_S, 7)
+    models = materialize(M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)), "models")
+    beta = B.stratified_effects(fx.ORDERS, models, fx.SEGMENTS, "segment", P.box_moments(fx.ORDERS, cells, ["segment"]), P.box_moments(fx.ORDERS, together), 7)
+    return beta.join(cells.select("segment", "policy_id"), ["segment", "policy_id"], "left_semi").select("segment", "policy_id", F.round("beta", 7).alias("beta"))
+
+
 _OUTCOMES = ["value", "root_value", "props_size"]
 _BATCH_OBS = f"""select etype, daypart, outcome, y from (unpivot ({S.OBS['events']}) on value, root_value, props_size into name outcome value y)"""
 
@@ -394,14 +436,44 @@ _RUNS = f"""obs as ({_RUNS_OBS}), cells as (select outcome, config, status, disc
     totals as (select outcome, config, sum(n) total from cells group by 1, 2)"""
 
 
-@query("near_batch_configs", f"""with {_RUNS} select outcome, config, profile_id, cut_mask, h, round(sum(sse) / any_value(total) + 0.001 * h, 7) q
-    from pooled join totals using (outcome, config) group by 1, 2, 3, 4, 5""")
-def near_batch_configs(spark, sf):
-    """Outcomes by configurations, all profiles, in one job."""
+_RUN_MODELS = f"""{_RUNS}, scored as (select outcome, config, profile_id, cut_mask, h, sum(sse) / any_value(total) + 0.001 * h q from pooled join totals using (outcome, config) group by 1, 2, 3, 4, 5),
+    theta as (select outcome, config, sum(mq) * 1.02 theta from (select outcome, config, profile_id, min(q) mq from scored group by 1, 2, 3) group by 1, 2),
+    models as (select a.outcome, a.config, '3:' || a.cut_mask || '|7:' || b.cut_mask model_key, a.q + b.q loss, cast(a.h + b.h as bigint) n_pools from scored a join scored b using (outcome, config) join theta using (outcome, config)
+        where a.profile_id = 3 and b.profile_id = 7 and a.q + b.q <= theta and a.h + b.h <= 9)"""
+
+
+def _run_cells(spark, sf):
     facts = read_table(spark, sf, "lineitem").select(
         prep.recode("l_linestatus", {"F": 0, "O": 1}).alias("status"), F.col("l_returnflag").alias("config"), fx.disc_level().alias("disc"),
         fx.tax_level().alias("tax"), fx.outcome().alias("quantity"), (F.col("l_extendedprice") / 10000).alias("price"))
     obs = prep.melt_outcomes(facts, ["status", "disc", "tax", "config"], ["quantity", "price"])
-    cells = C.cell_table(fx.TREAT, obs, by=["outcome", "config"])
-    scored = R.batch_scores(fx.TREAT, cells, ["outcome", "config"], 1e-3)
+    return C.cell_table(fx.TREAT, obs, by=["outcome", "config"])
+
+
+def _run_models(spark, sf):
+    keys = ["outcome", "config"]
+    cells = _run_cells(spark, sf)
+    scored = materialize(R.batch_scores(fx.TREAT, cells, keys, 1e-3), "scores")
+    theta = (scored.groupBy(*keys, "profile_id").agg(F.min("q").alias("_q")).groupBy(*keys).agg((F.sum("_q") * 1.02).alias("theta")))
+    return M.near_optimal_models_by(fx.TREAT, cells, keys, materialize(theta, "theta"), 1e-3, max_pools=9, scored=scored)
+
+
+@query("near_batch_models", f"with {_RUN_MODELS} select outcome, config, model_key, round(loss, 8) loss, n_pools from models")
+def near_batch_models(spark, sf):
+    """Models of every outcome and configuration, each under its own threshold, in one job."""
+    return _run_models(spark, sf).select("outcome", "config", "model_key", F.round("loss", 8).alias("loss"), "n_pools")
+
+
+@query("near_batch_summary", f"""with {_RUN_MODELS} select outcome, config, count(*) n_models, round(min(loss), 8) q0, round((max(loss) - min(loss)) / min(loss), 6) eps,
+    arg_min(model_key, (round(loss, 12), model_key)) map_model from models group by 1, 2""")
+def near_batch_summary(spark, sf):
+    df = M.model_summary(materialize(_run_models(spark, sf), "models"), ["outcome", "config"])
+    return df.withColumns({"q0": F.round("q0", 8), "eps": F.round("eps", 6)})
+
+
+@query("near_batch_configs", f"""with {_RUNS} select outcome, config, profile_id, cut_mask, h, round(sum(sse) / any_value(total) + 0.001 * h, 7) q
+    from pooled join totals using (outcome, config) group by 1, 2, 3, 4, 5""")
+def near_batch_configs(spark, sf):
+    """Outcomes by configurations, all profiles, in one job."""
+    scored = R.batch_scores(fx.TREAT, _run_cells(spark, sf), ["outcome", "config"], 1e-3)
     return scored.select("outcome", "config", "profile_id", "cut_mask", "h", F.round("q", 7).alias("q"))

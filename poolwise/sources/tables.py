@@ -31,10 +31,13 @@ def write_csv(df: DataFrame, path: str, index_column: str | None = None, mode: s
 
 
 def save_model_set(path: str, outcome: str, config: str, sets: DataFrame, models: DataFrame, summary: dict) -> None:
-    """Partitions, models and run parameters under (outcome, config) (S4); a rerun replaces only its own."""
+    """Partitions, models with their members, and run parameters under (outcome, config) (S4); a rerun replaces only its own.
+
+    Parameters are numbers or strings.
+    """
     spark = sets.sparkSession
     tag = lambda df: df.withColumn("outcome", F.lit(outcome)).withColumn("config", F.lit(config))
-    params = spark.createDataFrame([{k: float(v) for k, v in summary.items()}])
+    params = spark.createDataFrame([{k: v if isinstance(v, str) else float(v) for k, v in summary.items()}])
     for name, df in (("partitions", sets), ("models", models), ("parameters", params)):
         (tag(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("outcome", "config").parquet(f"{path}/{name}"))
