@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. *Lexicons.*  Words and word beginnings (4 to 6 bytes) of all teaching rows are counted by class in Spark; those
-   that speak for toxicity far beyond chance are kept, strongest first.
-   Entries that only came along in long or copied toxic texts are set aside: of the others each explains toxic texts
-   of the sample that those before it left open.
+1. *Lexicons.*  Entries are words, and word beginnings (4 to 8 characters) with the number of different words of the
+   text that start so: one entry each for 1, 2 and 3 or more.  They are counted by class in Spark over all teaching
+   rows; those that speak for toxicity far beyond chance are kept, strongest first.
+   Entries that only came along in long or copied toxic texts are set aside: of the others each stands far above
+   chance by the toxic texts of the sample that those before it left open.
 2. *Voters.*  Each voter is a lexicon of its own share of words or beginnings, or a pattern (that many different
    entries at once).  A voter fires or abstains; the human label is one more voter that may err.
 3. *Label model.*  Firing patterns of all teaching rows (at most 2**voters) are counted, and expectation
@@ -32,8 +33,9 @@ from poolwise.llm.labelled import remainder, sampled, taught
 from poolwise.llm.scratch import Scratch
 
 #: Buckets of hashed entries, entries kept, lexicon voters, pattern voters (so many entries at once), rows of the classifier's sample.
-BUCKETS, ENTRIES, LEXICONS, AT_ONCE, SAMPLE = 20, 2048, 12, (1, 2, 3, 5), 20_000
-BEGINNINGS = (4, 5, 6)
+BUCKETS, ENTRIES, LEXICONS, AT_ONCE, SAMPLE = 21, 2048, 12, (1, 2, 3, 5), 20_000
+#: Characters of a word beginning, most different words that are told apart, and deviations above chance asked of an entry.
+BEGINNINGS, DIFFERENT, FAR = (4, 5, 6, 7, 8), 3, 4.0
 #: Common English insults, and the weight that each has before any row is seen.
 INSULTS = ("idiot moron imbecile stupid dumb fool scum trash garbage filth vermin loser pathetic worthless useless disgusting "
            "repulsive clown jerk bastard degenerate subhuman retard coward liar pig").split()
@@ -41,19 +43,34 @@ INSULT_WEIGHT = 2.5
 
 
 def entries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, entry): the distinct hashed words and word beginnings of each text."""
+    """(text, entry): the distinct hashed words of each text, and its word beginnings by number of different words."""
     buf = W.LOWER[buf]
     starts, ends, ranges = W.spans(buf, off, W.ALNUM)
     sums = W.prefix_sums(buf)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(ranges))
-    owner, found = [doc], [W.range_hash(sums, starts, ends)]
+    some = np.diff(ranges) > 0
+    text = np.flatnonzero(some)
+    rank = np.repeat(np.arange(len(text), dtype=np.uint64), np.diff(ranges)[some])  # below 2**20, as a chunk has no more words
+    words = W.range_hash(sums, starts, ends)
+    _, first = np.unique((rank << np.uint64(44)) | (words >> np.uint64(20)), return_index=True)
+    starts, ends, rank, words = starts[first], ends[first], rank[first], words[first]
+    heads = np.flatnonzero((buf & 0xC0) != 0x80)  # first bytes of characters
+    place = np.searchsorted(heads, starts)
+    heads = np.append(heads, np.full(max(BEGINNINGS) + 1, len(buf) + 1))
+    heads[len(heads) - max(BEGINNINGS) - 1] = len(buf)
+    owner, found = [rank], [words]
     for n in BEGINNINGS:
-        long = ends - starts > n
-        owner.append(doc[long])
-        found.append(W.mix(W.range_hash(sums, starts[long], starts[long] + n) + np.uint64(n)))
-    both = (np.concatenate(owner).astype(np.int64) << BUCKETS) | (np.concatenate(found) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        stop = heads[place + n]
+        long = stop <= ends
+        begins = W.mix(W.range_hash(sums, starts[long], stop[long]) + np.uint64(n))
+        both = np.sort((rank[long] << np.uint64(44)) | (begins >> np.uint64(20)))
+        at, count = W.runs(both, both)
+        for different in range(1, DIFFERENT + 1):
+            one = both[at[count >= different]]
+            owner.append(one >> np.uint64(44))
+            found.append(W.mix((one << np.uint64(20)) + np.uint64(different)))
+    both = (np.concatenate(owner) << np.uint64(BUCKETS)) | (np.concatenate(found) >> np.uint64(64 - BUCKETS))
     both = np.unique(both)
-    return both >> BUCKETS, both & ((1 << BUCKETS) - 1)
+    return text[(both >> np.uint64(BUCKETS)).astype(np.int64)], (both & np.uint64((1 << BUCKETS) - 1)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +141,21 @@ def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, rounds:
 
 def explaining(places: list[np.ndarray], label: np.ndarray, width: int, least: float) -> np.ndarray:
     """Entries, best first, each with ``least`` more to explain: a toxic text counts fully until an entry of it is
-    chosen and a quarter until the next; a text that is not toxic counts three against."""
+    chosen and a quarter until the next.  The best is the one whose count stands most deviations above chance; what
+    an entry that clean texts hold too is worth is left to the label model and the classifier."""
     row = np.repeat(np.arange(len(places)), [len(p) for p in places])
     column = np.concatenate(places) if len(places) else np.zeros(0, dtype=int)
-    against = 3.0 * np.bincount(column, weights=(label == 0)[row], minlength=width)
+    n, base = np.bincount(column, minlength=width), label.mean() if len(label) else 0.0
+    chance, spread = base * n, np.sqrt(np.maximum(1, n) * max(1e-12, base * (1 - base)))
     keep = label[row] == 1
     row, column = row[keep], column[keep]
     value, out = np.ones(len(places)), []
     while True:
-        gain = np.bincount(column, weights=value[row], minlength=width) - against
-        gain[out] = 0
-        best = int(gain.argmax())
-        if gain[best] < least:
+        gain = np.bincount(column, weights=value[row], minlength=width)
+        far = np.where(gain >= least, (gain - chance) / spread, 0.0)
+        far[out] = 0
+        best = int(far.argmax())
+        if far[best] < FAR:
             return np.array(out, dtype=int)
         out.append(best)
         hit = np.unique(row[column == best])
@@ -199,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
         base = toxic / total
         # how many deviations the toxic count stands above chance, of entries most of whose texts are toxic
         far = (F.col("toxic") - F.lit(base) * F.col("n")) / F.sqrt(F.col("n") * F.lit(base * (1 - base)))
-        strong = counted.withColumn("far", far).where((F.col("toxic") >= 2) & (F.col("toxic") > 0.5 * F.col("n")) & (F.col("far") > 4))
+        strong = counted.withColumn("far", far).where((F.col("toxic") >= 2) & (F.col("toxic") > 0.5 * F.col("n")) & (F.col("far") > FAR))
         strong = strong.orderBy(F.desc("far"), "entry").limit(ENTRIES).toPandas()
         fixed = insults()
         kept = np.concatenate((fixed, np.setdiff1d(strong["entry"].to_numpy(), fixed)))

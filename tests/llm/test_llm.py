@@ -282,6 +282,18 @@ def test_toxicity_and_quality_on_held_out_labels(spark, sf_dir, docs, empty):
         assert operator(empty, labels).count() == 0
 
 
+def test_toxicity_finds_markers_of_every_language(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = toxicity(table, labels).where("held_out").join(labels, "doc_id").groupBy("lang", "toxic").agg(F.sum("predicted").alias("hit"), F.count(F.lit(1)).alias("n")).collect()
+    found = {(r["lang"], r["toxic"]): (r["hit"], r["n"]) for r in rows}
+    for lang in ("en", "de", "fr", "es"):
+        hit, n = found[lang, 1]
+        assert hit >= 0.85 * n, (lang, hit, n)
+        hit, n = found[lang, 0]
+        assert hit <= 0.05 * n, (lang, hit, n)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
