@@ -176,12 +176,24 @@ class Graph:
             waiting, beam = (np.concatenate(again), 4 * beam) if again else (rows[:0], beam)
         return np.concatenate(out_query), np.concatenate(out_node)
 
-    def audit(self, least: float, sample: int, wanted: float) -> float:
-        """Widen the beam until enough of the sample's true pairs are met; return the recall reached."""
-        queries = self.unit[:sample]
-        true = sum(int((queries[i:i + BATCH] @ self.unit.T >= least).sum()) for i in range(0, len(queries), BATCH))
-        while True:
-            reached = len(self.similar(queries, least)[0]) / max(1, true)
+    def audit(self, least: float, sample: int, wanted: float, others: np.ndarray | None = None) -> float:
+        """Widen the beam until enough true pairs are met; return the recall reached (1 where there are no pairs).
+
+        Queries are ``sample`` nodes drawn from all levels, without the pair of a node and itself, and ``others``:
+        vectors that stand in no node.
+        """
+        drawn = np.random.default_rng(11).permutation(len(self.unit))[:sample]
+        queries, own = self.unit[drawn], drawn
+        if others is not None and len(others):
+            queries, own = np.concatenate((queries, others)), np.concatenate((drawn, np.full(len(others), -1)))
+        true = 0
+        for i in range(0, len(queries), BATCH):
+            query, node = np.nonzero(queries[i:i + BATCH] @ self.unit.T >= least)
+            true += int((own[i:i + BATCH][query] != node).sum())
+        while true:
+            query, node = self.similar(queries, least)
+            reached = int((own[query] != node).sum()) / true
             if reached >= wanted or not self.beam:
                 return reached
             self.beam = 2 * self.beam if 8 * self.beam < len(self.unit) else 0
+        return 1.0

@@ -2,8 +2,9 @@
 
 Equal vectors are one from the start, with the number of their copies, so a group of copies of any size costs one
 node.  The others are dealt to shards by hash; each shard's graph is built in one task, which bounds a shard, and
-audits itself: a sample of its vectors is compared to all of the shard, and the beam doubles until the sample's
-true pairs are met (beyond a quarter of the shard everything is compared).  Vectors then query every shard in
+audits itself: a sample of its vectors and one of the other shards' vectors are compared to all of the shard, and the
+beam doubles until the samples' true pairs, none of them a vector with itself, are met (beyond a quarter of the shard
+everything is compared).  Vectors then query every shard in
 blocks.  Pairs found are verified by cosine in double precision, and their components are united.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
@@ -24,7 +25,7 @@ from poolwise.llm.scratch import Scratch
 
 #: Vectors that one shard may hold (in expectation), the fewest shards, and the queries of one block.
 SHARD, SHARDS, BLOCK = 100_000, 4, 8192
-#: Vectors of a shard that its audit queries, and the share of their true pairs that has to be met.
+#: Vectors of a shard that its audit queries, as many of other shards (in expectation), and the share of their true pairs that has to be met.
 AUDIT, RECALL = 1024, 0.97
 #: What single-precision search may be off by.
 SLACK = 1e-4
@@ -42,11 +43,16 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def _build(least: float, audit: int, recall: float):
     def build(table: pa.Table) -> pa.Table:
+        inside = table["inside"].to_numpy(zero_copy_only=False)
+        asking, table = table.filter(pa.array(~inside)), table.filter(pa.array(inside))
+        if not len(table):
+            return pa.table({"dim": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "recall": pa.array([], pa.float64()),
+                             "beam": pa.array([], pa.int32()), "graph": pa.array([], pa.binary())})
         keys = table["rep"].to_numpy()
         order = np.argsort(keys * np.int64(0x5851F42D4C957F2D) ^ (keys >> 17), kind="stable")  # fixed, and unlike the ids
         raw = _matrix(table["vector"])[order]
         graph = Graph(_unit(raw))
-        reached = graph.audit(least - SLACK, audit, recall)
+        reached = graph.audit(least - SLACK, audit, recall, _unit(_matrix(asking["vector"])) if len(asking) else None)
         blob = pickle.dumps((keys[order], raw, graph.levels, graph.beam))
         return pa.table({"dim": pa.array([raw.shape[1]], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
                          "recall": pa.array([reached]), "beam": pa.array([graph.beam], pa.int32()), "graph": pa.array([blob], pa.large_binary()).cast(pa.binary())})
@@ -95,7 +101,11 @@ def vector_components(vectors: DataFrame, least: float = 0.95, shard: int = SHAR
         parts, blocks = max(shards, -(-total // shard)), max(1, -(-total // BLOCK))
         nodes = reps.select("rep", "vector", F.size("vector").alias("dim"))
         dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
-        graphs = dealt.groupBy("dim", "shard").applyInArrow(_build(least, audit, recall), "dim int, shard int, recall double, beam int, graph binary")
+        share = min(1.0, audit / max(1, total))
+        asking = dealt.where(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        asking = asking.withColumn("home", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where("shard <> home").drop("home")
+        grouped = dealt.withColumn("inside", F.lit(True)).unionByName(asking.withColumn("inside", F.lit(False)))
+        graphs = grouped.groupBy("dim", "shard").applyInArrow(_build(least, audit, recall), "dim int, shard int, recall double, beam int, graph binary")
         graphs = scratch.write(graphs, "graphs")
         asked = nodes.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         answers = graphs.select("dim", "shard", "graph").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -243,6 +243,26 @@ def test_graph_widens_until_the_audit_passes():
     assert len(graph.similar(unit, 0.95)[0]) >= 0.95 * true
 
 
+def test_audit_counts_no_self_pairs_and_asks_from_everywhere():
+    draw = np.random.default_rng(4)
+    data = draw.normal(size=(2000, 16))
+    data[-10:] = data[100:110] + 0.02 * draw.normal(size=(10, 16))  # pairs, of which the second is linked by nobody
+    unit = (data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.float32)
+
+    def unlinked():
+        graph = Graph(unit)
+        graph.levels[-1][graph.levels[-1] >= 1990] = -1
+        return graph
+
+    own = unlinked()
+    assert own.audit(0.95, 1000, 0.97) >= 0.97
+    query, node = own.similar(unit, 0.95)
+    assert own.beam != 48 and (query != node).sum() == (unit @ unit.T >= 0.95).sum() - 2000
+    asked = unlinked()
+    assert asked.audit(0.95, 0, 0.97, unit[100:110]) >= 0.97 and asked.beam != 48
+    assert Graph(unit[:1990]).audit(0.999, 1000, 0.97) == 1.0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 200), (200, 7), (9, 9)] + [(1000, 1001 + i) for i in range(300)]
     with Scratch(spark) as scratch:
