@@ -28,7 +28,10 @@ def taught(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     return rows.where(remainder(F.col("doc_id"), modulus) != held).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label")
 
 
-def sampled(rows: DataFrame, total: int, most: int) -> DataFrame:
-    """About ``most`` of the rows by a hash of their doc_id: the same ones on every run, a uniform share of all."""
+def sampled(rows: DataFrame, total: int, most: int, salt: int = 7) -> DataFrame:
+    """About ``most`` of the rows by a hash of their doc_id: the same ones on every run, a uniform share of all.
+
+    A sample of a sample needs a ``salt`` of its own, or it takes again what the first one took.
+    """
     share = min(1.0, most / max(1, total))
-    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sam
         unseen = np.ones(1 << BUCKETS, dtype=bool)
         unseen[counted["gram"]] = False
         ratio[unseen] = 0
-        shown = sampled(rows, total, sample).select("text", "label").mapInArrow(_grams, "label int, grams array<int>").toPandas()
+        shown = sampled(rows, total, sample, 17).select("text", "label").mapInArrow(_grams, "label int, grams array<int>").toPandas()
     grams, label = [np.asarray(g) for g in shown["grams"]], shown["label"].to_numpy()
     cut = len(grams) - len(grams) // 5
     if len(np.unique(label[:cut])) < 2 or len(np.unique(label[cut:])) < 2:

@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
         known = np.where(np.arange(len(kept)) < len(fixed), INSULT_WEIGHT, 0.0)
         shown = rows.mapInArrow(_present(kept), "doc_id long, label int, places array<int>")
         shown = scratch.write(shown, "shown")
-        some = sampled(shown, total, sample).select("label", "places").toPandas()
+        some = sampled(shown, total, sample, 11).select("label", "places").toPandas()
         chosen = explaining([np.asarray(p, dtype=int) for p in some["places"]], some["label"].to_numpy(), len(kept), max(2.0, 0.003 * some["label"].sum()))
         chosen = np.concatenate((np.arange(len(fixed)), chosen[chosen >= len(fixed)]))
         lookup = np.full(len(kept), -1)
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
         votes = (table["pattern"].to_numpy()[:, None] >> np.arange(LEXICONS + len(AT_ONCE))) & 1
         posterior, _, _ = label_model(votes, table["label"].to_numpy(), table["count"].to_numpy().astype(float))
         belief = dict(zip(zip(table["pattern"], table["label"], strict=True), posterior, strict=True))
-        rows_of = sampled(shown, total, sample).select("pattern", "label", "places").toPandas()
+        rows_of = sampled(shown, total, sample, 13).select("pattern", "label", "places").toPandas()
         target = np.array([belief[p, y] for p, y in zip(rows_of["pattern"], rows_of["label"], strict=True)])
         weight = logistic([np.asarray(p, dtype=int) for p in rows_of["places"]], target, known)
     return kept, weight[:-1], float(weight[-1])

@@ -19,6 +19,7 @@ from poolwise.llm.decontaminate import decontaminate  # noqa: E402
 from poolwise.llm.graph import components  # noqa: E402
 from poolwise.llm.hnsw import Graph  # noqa: E402
 from poolwise.llm.jaccard_join import jaccard_components  # noqa: E402
+from poolwise.llm.labelled import sampled  # noqa: E402
 from poolwise.llm.mixing import mix, targets  # noqa: E402
 from poolwise.llm.quality import quality  # noqa: E402
 from poolwise.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -281,6 +282,15 @@ def test_label_model_discounts_copies_of_a_voter():
     assert correlation[2, 3] > 0.9 > 0.5 > abs(correlation[0, 1]) and rate[1, 0] > 0.6 > rate[0, 0]
 
 
+def test_a_sample_of_a_sample_is_bounded(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    first = sampled(rows, 100_000, 10_000)
+    total = first.count()
+    assert 9_500 < total < 10_500
+    for salt in (11, 13, 17):
+        assert 4_500 < sampled(first, total, 5_000, salt).count() < 5_500
+
+
 def held(scored, labels, column):
     joined = scored.where("held_out").join(labels, "doc_id").select("predicted", column).collect()
     return np.array([r[0] for r in joined]), np.array([r[1] for r in joined])
