@@ -5,8 +5,7 @@ sets are one set from the start.  Sets are ordered by shingle frequency, rare on
 set that two similar sets must share is indexed.  Then relations between sets save work twice:
 
 * *Skipping in the index.*  Entries stand in their list by position.  An entry meets another only where their
-  sizes and positions still allow the overlap that the threshold asks for; entries of equal position and size
-  form a block that is passed over as a whole.
+  sizes and positions still allow the overlap that the threshold asks for, tested entry by entry.
 * *Skipping by answers.*  The entry that stands first in a list has the fewest rarer shingles, so in a group of
   near copies it is the one closest to all others.  Others are compared to it first.  Sets that are linked with it
   already reach each other: their answer follows from its answer and their pairs are never formed.  Only entries
