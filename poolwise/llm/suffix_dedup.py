@@ -1,4 +1,4 @@
-"""Repeated substrings by bucket refinement: q-gram buckets, split again by the buckets of later offsets.
+"""Repeated substrings by content fingerprints: q-gram buckets, then hashes of byte ranges, counted in Spark.
 
 A byte is removed when a string of ``size`` bytes that also starts anywhere else covers it.  That needs the suffix
 order only to depth ``size``, and only inside buckets that hold more than one suffix, so buckets are refined to
@@ -11,7 +11,7 @@ that depth and no further, and a bucket of one is dropped at once:
    the first window's start to the last one's end.  A cell met twice repeats in all its windows; that settles
    copies and the inside of common passages, counted map-side.
 3. *Windows.*  Where several cells share q-gram and offset, one of each kind is split into single windows, named by
-   the bucket of their first half and that of the later half, so every bucket found before is used again.
+   the hashes of the bytes of their first half and of the later half.
 
 Texts are UTF-8 bytes; null and empty ones have none; matches never cross texts; repeated rows are places of their
 own.  Names are hashes of 64 bits under a q-gram of 64 more.
