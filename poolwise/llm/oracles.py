@@ -60,3 +60,68 @@ hit AS (SELECT DISTINCT id, unnest(range(i, i + 13)) AS i FROM windows JOIN firs
 words AS (SELECT id, i, w[i] AS word, hit.i IS NOT NULL AS gone FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM docs) LEFT JOIN hit USING (id, i)),
 per AS (SELECT id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM words GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN per USING (id)"""
+
+_SCALED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+
+SCORES = f"""
+WITH rows AS (SELECT vec_id, {_SCALED} AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM rows q JOIN rows c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scores WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
+
+FILTERS = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+flags AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+marked AS (SELECT part, coalesce(good, false) AS good, coalesce(f.toxic, false) AS toxic,
+  (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(split.doc_id > min(split.doc_id) OVER (PARTITION BY text), false)::INT AS failed FROM split LEFT JOIN flags f ON f.doc_id = split.doc_id),
+counts AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM marked GROUP BY ALL),
+orders AS (SELECT '' AS o UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+steps AS (SELECT o, s, (1 << (ord(o[s]) - 65))::INT AS own, coalesce(list_sum([(1 << (ord(x) - 65))::INT for x in string_split(o[1:s - 1], '') if x <> '']), 0)::INT AS gone
+  FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders WHERE len(o) = 5)),
+per AS (SELECT part, o, s, own, sum(n) FILTER (failed & (gone | own) = 0) AS kept, sum(n) FILTER (failed & gone = 0 AND failed & own > 0) AS removed,
+  sum(n) FILTER (failed & gone > 0 AND failed & own > 0) AS redundant, sum(n) FILTER (failed = own) AS sole, sum(g) FILTER (failed & gone = 0 AND failed & own > 0) AS good,
+  sum(t) FILTER (failed & gone = 0 AND failed & own > 0) AS toxic FROM counts, steps GROUP BY ALL)
+SELECT part, o AS filter_order, s::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(sole, 0)::BIGINT AS unique_fails, coalesce(good, 0)::BIGINT AS good_lost, coalesce(toxic, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM per"""
+
+
+def _edits(state: int, wanted: str, after: int, kept: str, to: str) -> str:
+    """The cheapest edit of a row in one state of the grammar, by cost, then audit."""
+    new = "CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE {{'c': {}, 'a': {}, 'r': {}}} END"
+    options = [f"{{'c': f{state}.c + 2, 'a': 'D' || f{state}.a, 'r': f{state}.r}}",
+               new.format(f"f{after}.c + extra + 1", f"'R' || f{after}.a", f"chr(10) || '{wanted}:' || text || f{after}.r")]
+    for initial, target in zip(kept, to, strict=True):
+        options.append(f"CASE WHEN role[1] = '{initial}' THEN " + new.format(f"f{target}.c + extra", f"'K' || f{target}.a", f"chr(10) || role || ':' || text || f{target}.r") + " END")
+    return f"list_min([x for x in [{', '.join(options)}] if x IS NOT NULL])"
+
+
+def _inserts(state: int, wanted: str, source: str) -> str:
+    return f"least(b{state}, {{'c': {source}.c + 5, 'a': 'I' || {source}.a, 'r': chr(10) || '{wanted}:' || {source}.r}}) AS f{state}"
+
+
+REPAIR = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS key FROM conversations),
+kinds AS (SELECT named.*, xor(list_reduce(list_concat([4294967295], key), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind FROM named, crc),
+rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM rows),
+faults AS (SELECT *, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN body = '' THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(body, '[.!?]$') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+walk AS (SELECT conv_id, n AS left_rows, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS f0, {{'c': 10::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS f1,
+    {{'c': 5::BIGINT, 'a': 'I', 'r': chr(10) || 'assistant:'}} AS f2, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS f3 FROM facts
+  UNION ALL SELECT conv_id, left_rows - 1, {_inserts(0, "user", "f2")}, {_inserts(1, "user", "f2")}, f2, f3 FROM (
+    SELECT conv_id, left_rows, b0, b1, {_inserts(2, "assistant", "b3")}, {_inserts(3, "user", "b2")} FROM (
+      SELECT walk.conv_id, left_rows, {_edits(0, "user", 2, "su", "12")} AS b0, {_edits(1, "user", 2, "u", "2")} AS b1, {_edits(2, "assistant", 3, "a", "3")} AS b2, {_edits(3, "user", 2, "u", "2")} AS b3
+      FROM (SELECT *, 1 AS one FROM walk) walk JOIN (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM faults) f ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.i = left_rows)))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(f0.c, 0)::BIGINT AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(f0.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM c.conv_id AND left_rows = 0"""

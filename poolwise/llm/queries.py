@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from poolwise.llm.conversation_repair import conversation_repair
 from poolwise.llm.decontaminate import decontaminate
+from poolwise.llm.filter_audit import filter_audit
 from poolwise.llm.jaccard_join import jaccard_components
 from poolwise.llm.mixing import mix
 from poolwise.llm import oracles, secrets
@@ -15,6 +17,7 @@ from poolwise.llm.quality import quality
 from poolwise.llm.substring_windows import repeated_windows
 from poolwise.llm.suffix_dedup import suffix_dedup
 from poolwise.llm.token_counts import token_counts
+from poolwise.llm.top_scores import top_scores
 from poolwise.llm.toxicity import toxicity
 from poolwise.llm.vector_dups import vector_components
 
@@ -66,7 +69,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op2_decontaminate": oracles.DECONTAMINATE, "op3_jaccard_join": oracles.JACCARD, "op4_secrets": secrets.oracle(),
-            "op8_mix": oracles.MIX, "op9_vector_dups": oracles.VECTORS, "op10_repeated_windows": oracles.WINDOWS}
+            "op8_mix": oracles.MIX, "op9_vector_dups": oracles.VECTORS, "op10_repeated_windows": oracles.WINDOWS,
+            "op11_top_scores": oracles.SCORES, "op12_conversation_repair": oracles.REPAIR, "op13_filter_audit": oracles.FILTERS}
 
 
 @query
@@ -102,3 +106,18 @@ def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeated_windows(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -356,7 +356,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, sf_dir, name):
     base = duckdb.connect()
-    for table in ("documents", "benchmark", "labels", "embeddings"):
+    for table in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     want = base.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()
