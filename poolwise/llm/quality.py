@@ -3,8 +3,8 @@ loss fitted by dual coordinate descent.
 
 The grams are runs of one to three word forms.  A form keeps what a word looks like, not what it says: its case, its
 outer signs, digits, whether it repeats the word before.  Beside them stand indicators of the whole text: its length,
-its share of different words, of signs, of capitals, in steps.  Class counts come from the rows that teach (at
-most about ``LABELLED`` labels), by a grouping over hashed grams; the hinge loss is fitted on a bounded sample (``sample`` rows, one fifth of which turns
+its share of different words, of signs, of capitals, in steps.  Class counts come from all rows that teach,
+by a grouping over hashed grams; the hinge loss is fitted on a bounded sample (``sample`` rows, one fifth of which turns
 margins into scores).
 
 labels, lang, source and doc_id are never inputs of a score.  Null and empty texts hold the indicators of an empty
@@ -45,7 +45,7 @@ def forms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(off) - 1), np.diff(ranges))
     owner, found = [], []
     shares = np.zeros((len(off) - 1, 4))
-    different = np.ones(len(off) - 1)
+    different = np.zeros(len(off) - 1)
     if len(starts):
         inside = [np.concatenate(([0], np.cumsum(kinds == k))) for k in range(4)]
         sign, upper, lower, digit = (c[ends] - c[starts] for c in inside)

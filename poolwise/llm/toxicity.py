@@ -1,13 +1,13 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. *Lexicons.*  Entries are words, and word beginnings (4 to 8 characters) with the number of different words of the
-   text that start so: one entry each for 1, 2 and 3 or more.  They are counted by class in Spark over the rows
-   that teach (at most about ``LABELLED`` labels); those that speak for toxicity far beyond chance are kept, strongest first.
+   text that start so: one entry each for 1, 2 and 3 or more.  They are counted by class in Spark over all rows
+   that teach; those that speak for toxicity far beyond chance are kept, strongest first.
    Entries that only came along in long or copied toxic texts are set aside: of the others each stands far above
    chance by the toxic texts of the sample that those before it left open.
 2. *Voters.*  Each voter is a lexicon of its own share of words or beginnings, or a pattern (that many different
    entries at once).  A voter fires or abstains; the human label is one more voter that may err.
-3. *Label model.*  Firing patterns of the rows that teach (at most 2**voters) are counted, and expectation
+3. *Label model.*  Firing patterns of all rows that teach (at most 2**voters patterns) are counted, and expectation
    maximization finds the class share, every voter's firing rate by class and, from the covariance left inside the
    classes, which voters repeat each other; a voter's weight shrinks by its correlations.
 4. *Classifier.*  Logistic regression of the lexicon entries on the posterior labels of a bounded sample
