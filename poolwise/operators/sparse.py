@@ -13,29 +13,107 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.operators.design import dominated_cells
-from poolwise.runtime import bounded
+from poolwise.runtime import bounded, materialize
 from poolwise.spec import FactorSpec
 
 # Corner sums unfold this many factors before rows of one cell are added up.
 FACTORS_PER_SUM = 4
 # Coordinate sweeps between two looks at the first-order conditions.
 SWEEPS_PER_CHECK = 50
+# Cells of a profile that one task solves; power steps, and proximal steps planned as one job, of the way for larger ones.
+TASK_CELLS, POWER_STEPS, STEPS_PER_JOB = 20_000, 6, 8
 
 
-def lasso(spec: FactorSpec, cells: DataFrame, reg: float, tolerance: float = 1e-10, sweeps: int = 100_000) -> DataFrame:
+def lasso(spec: FactorSpec, cells: DataFrame, reg: float, tolerance: float = 1e-10, sweeps: int = 100_000, task_cells: int = TASK_CELLS) -> DataFrame:
     """Coefficient of every dummy (X1), without intercept; 0 where no row has the dummy.
 
-    Minimises (1/2n)|y - Xa|^2 + reg |a|_1, one task per profile.  A task holds a few numbers per cell of its profile,
-    which the level counts bound.  It ends when no first-order condition is violated by more than ``tolerance`` (times
-    the largest mean, if that is above 1) and fails if ``sweeps`` rounds do not get there.
+    Minimises (1/2n)|y - Xa|^2 + reg |a|_1, profile by profile.  A profile of at most ``task_cells`` cells, which the level
+    counts tell, is solved in one task; larger ones together in rounds of Spark jobs (``proximal_rounds``).  Either way
+    no first-order condition is violated by more than ``tolerance`` (times the largest mean, if that is above 1) in the
+    end, and the job fails if ``sweeps`` rounds do not get there.
     """
     shares = cells.withColumn("_n", cells.agg(F.sum("n")).scalar()).select(
         "profile_id", "policy_id", "mean_y", (F.col("n") / F.col("_n")).alias("share"))
-    found = shares.groupBy("profile_id").applyInPandas(_descent(spec, reg, tolerance, sweeps), "policy_id long, alpha double")
+    size = F.lit(1).cast("double")
+    for i, r in enumerate(spec.levels):
+        size = size * F.when(F.expr(spec.active_sql(i)), F.lit(float(r - 1))).otherwise(F.lit(1.0))
+    found = shares.where(size <= task_cells).groupBy("profile_id").applyInPandas(_descent(spec, reg, tolerance, sweeps), "policy_id long, alpha double")
+    if spec.n_policies > task_cells:
+        large = materialize(shares.where(size > task_cells), "shares")
+        if not large.isEmpty():
+            found = found.unionByName(proximal_rounds(spec, large, reg, tolerance, sweeps))
     every = cells.sparkSession.range(spec.n_policies).withColumnRenamed("id", "policy_id")
     return every.join(found, "policy_id", "left").fillna(0.0, ["alpha"])
 
 
+def _summed(spec: FactorSpec, rows: DataFrame, value: str, keep: list[str], upwards: bool) -> DataFrame:
+    """``keep`` of each cell of ``rows`` and ``value`` summed over the cells below it (or above, not ``upwards``), itself included.
+
+    Values unfold along a few factors at a time and are added up in between; the other columns stay at their cell, so
+    nothing is joined.  Cells that are not in ``rows`` drop out in the end.
+    """
+    none = [f"if(_own, {c}, null) as {c}" for c in keep]
+    df = rows.withColumn("_own", F.lit(True))
+    for i in range(spec.m):
+        r, w, level = spec.levels[i], spec.strides[i], spec.level_sql(i)
+        steps = f"sequence(0, {r - 1} - {level})" if upwards else f"sequence(0, -({level} - 1), -1)"
+        df = (df.selectExpr("*", f"explode(if({level} = 0, array(0), {steps})) as _to")
+              .selectExpr(f"policy_id + _to * {w}L as policy_id", f"_own and _to = 0 as _own", value, *keep)
+              .selectExpr("policy_id", "_own", value, *none))
+        if (i + 1) % FACTORS_PER_SUM == 0 or i + 1 == spec.m:
+            df = df.groupBy("policy_id").agg(F.sum(value).alias(value), F.max("_own").alias("_own"), *[F.max(c).alias(c) for c in keep])
+    return df.where("_own").drop("_own")
+
+
+def _slope(spec: FactorSpec, state: DataFrame, at: str, keep: list[str], target: bool = True) -> DataFrame:
+    """``keep`` and, as ``_g``, the gradient's share of each dummy: X'W(Xa - y), or X'WXa without ``target``."""
+    fitted = _summed(spec, state.withColumn("_v", F.col(at)), "_v", ["share", "mean_y", *keep], True)
+    off = F.col("_v") - F.col("mean_y") if target else F.col("_v")
+    return _summed(spec, fitted.withColumn("_fit", F.col("_v")).withColumn("_g", F.col("share") * off), "_g", ["share", "mean_y", "_fit", *keep], False)
+
+
+def proximal_rounds(spec: FactorSpec, shares: DataFrame, reg: float, tolerance: float = 1e-10, rounds: int = 100_000) -> DataFrame:
+    """The same coefficients by proximal gradient steps with momentum, for profiles of any size.
+
+    ``shares``: policy_id, share of all rows, mean_y.  Fitted values are head sums and gradients tail sums along the factors,
+    so a round is two unfoldings with map-side sums; no group is larger than one cell.  Only scalars reach the driver:
+    the bound of the curvature (the largest quotient of a power step, which is never too small), the objective, which
+    restarts the momentum when it rises, and the largest violation.
+    """
+    below = shares.select("policy_id")
+    for i in range(spec.m):
+        level = spec.level_sql(i)
+        below = below.selectExpr(f"explode(if({level} = 0, array(policy_id), sequence(policy_id, policy_id - ({level} - 1) * {spec.strides[i]}L, -{spec.strides[i]}L))) as policy_id").distinct()
+    state = below.join(shares.select("policy_id", "share", "mean_y"), "policy_id", "left").fillna(0.0, ["share", "mean_y"])
+    state = materialize(state.selectExpr("policy_id", "share", "mean_y", "1.0D as alpha", "0.0D as ahead"), "lasso")
+    top = state.agg(F.max(F.abs("mean_y"))).first()[0]
+    for _ in range(POWER_STEPS):
+        power = materialize(_slope(spec, state, "alpha", ["alpha", "ahead"], target=False), "power")
+        curve, size = power.agg(F.max(F.try_divide(F.col("_g"), F.col("alpha"))), F.max("_g")).first()
+        state = power.selectExpr("policy_id", "share", "mean_y", f"greatest(_g / {size!r}D, 1e-9D) as alpha", "ahead")
+    state = state.withColumn("alpha", F.lit(0.0))
+    step, before, t, done = 1 / curve, None, 1.0, 0
+    while True:
+        for _ in range(STEPS_PER_JOB):
+            t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+            fresh = _soft_threshold(F.col("ahead") - F.col("_g") * step, F.lit(reg * step))
+            state = _slope(spec, state, "ahead", ["alpha", "ahead"]).withColumn("_a", fresh)
+            state = state.selectExpr("policy_id", "share", "mean_y", "_a as alpha", f"_a + {(old - 1) / t!r}D * (_a - alpha) as ahead")
+        seen = materialize(_slope(spec, materialize(state, "lasso"), "alpha", ["alpha", "ahead"]), "lasso")
+        off = F.col("mean_y") - F.col("_fit")
+        gap = F.when(F.col("alpha") != 0, F.abs(F.col("_g") + reg * F.signum("alpha"))).otherwise(F.greatest(F.abs("_g") - reg, F.lit(0.0)))
+        gap, loss = seen.agg(F.max(gap), F.sum(F.col("share") * off * off / 2 + reg * F.abs("alpha"))).first()
+        done += STEPS_PER_JOB
+        if gap <= tolerance * max(1.0, top):
+            return seen.select("policy_id", "alpha")
+        if done >= rounds:
+            raise RuntimeError(f"the lasso still violates its conditions by {gap} after {rounds} rounds")
+        state = seen.select("policy_id", "share", "mean_y", "alpha", "ahead")
+        if before is not None and loss > before:
+            state, t = state.withColumn("ahead", F.col("alpha")), 1.0
+        before = loss
+
+
 def _descent(spec: FactorSpec, reg: float, tolerance: float, sweeps: int):
     """Solver of one profile: coordinate descent over the dummies that matter, on arrays with one axis per factor."""
     m, levels, strides = spec.m, spec.levels, spec.strides

@@ -164,22 +164,47 @@ def slope_predict(spark, sf):
 # ---- sparse regression -----------------------------------------------------------------------------
 
 
-@query("lasso_coefficients")
+def _lasso_sql(reg: float, sweeps: int) -> str:
+    """CTEs cells, solved(profile_id, ids, alpha): coordinate descent over all dummies of a profile, a sweep per step."""
+    spec, names = fx.MULTI, fx.MULTI.names
+    above = lambda c, j: " and ".join(f"{c}.{n} >= {j}.{n}" for n in names)
+    both = " and ".join(f"c.{n} >= greatest(j.{n}, k.{n})" for n in names)
+    z = "(right_side[j[1]::int] - list_dot_product(gram[j[1]::int], s) + gram[j[1]::int][j[1]::int] * s[j[1]::int])"
+    fresh = f"sign({z}) * greatest(abs({z}) - {reg}, 0) / gram[j[1]::int][j[1]::int]"
+    return f"""{S.cells(spec, 'multi')}, weighed as (select *, n / sum(n) over () as share from cells),
+    dummies as (select distinct j.* from (select policy_id, {S.decode(spec)} from (select unnest(range({spec.n_policies})) policy_id)) j join cells c on {above('c', 'j')} and {S.profile(spec, ['j.' + n for n in names])} = c.profile_id),
+    sided as (select j.*, c.profile_id, sum(c.share * c.mean_y) side from dummies j join weighed c on {above('c', 'j')} and {S.profile(spec, ['j.' + n for n in names])} = c.profile_id group by all),
+    pairs as (select j.profile_id, j.policy_id j, k.policy_id k, coalesce((select sum(c.share) from weighed c where c.profile_id = j.profile_id and {both}), 0) g from sided j join sided k using (profile_id)),
+    per_row as (select profile_id, j, list(g order by k) row from pairs group by all),
+    systems as (select per_row.profile_id, list(j order by j) ids, list(row order by j) gram, list(side order by j) right_side from per_row join sided on j = policy_id group by 1),
+    sweep as (select profile_id, 0 turn, list_transform(ids, lambda x: 0.0::double) alpha from systems union all
+        select profile_id, turn + 1, list_reduce(list_concat([alpha], list_transform(range(1, len(ids) + 1), lambda j: [j::double])),
+            lambda s, j: list_transform(s, lambda x, i: case when i = j[1]::int then {fresh} else x end)) from sweep join systems using (profile_id) where turn < {sweeps}),
+    solved as (select profile_id, unnest(ids) policy_id, unnest(alpha) alpha from sweep join systems using (profile_id) where turn = {sweeps})"""
+
+
+@query("lasso_coefficients", f"""with recursive {_lasso_sql(1e-3, 1000)}
+    select policy_id, round(coalesce(alpha, 0), 6) + 0.0 alpha from (select unnest(range({fx.MULTI.n_policies})) policy_id) left join solved using (policy_id)""")
 def lasso_coefficients(spark, sf):
-    return Z.lasso(fx.MULTI, multi(spark, sf), 1e-3).select("policy_id", F.round("alpha", 6).alias("alpha"))
+    return Z.lasso(fx.MULTI, multi(spark, sf), 1e-3).select("policy_id", (F.round("alpha", 6) + 0.0).alias("alpha"))
 
 
 def multi(spark, sf):
     return C.cell_table(fx.MULTI, fx.lineitem_multi(spark, sf))
 
 
-@query("lasso_conditions", f"""with obs as ({S.OBS['multi']}) select count(distinct qty * 100 + disc * 10 + tax) n_dummies, true is_optimal from obs""")
+@query("lasso_conditions", f"""with recursive {_lasso_sql(1e-3, 1000)},
+    slopes as (select sided.profile_id, sided.policy_id, solved.alpha, side - list_dot_product(gram[list_position(ids, sided.policy_id)], sweep.alpha) slope from sided join systems using (profile_id)
+        join sweep using (profile_id) join solved on solved.policy_id = sided.policy_id where turn = 1000)
+    select (select count(*) from cells) n_dummies, max(case when alpha = 0 then greatest(abs(slope) - 1e-3, 0) else abs(slope - 1e-3 * sign(alpha)) end) < 1e-8 is_optimal,
+        count(*) filter (alpha <> 0) n_active, round(sum(abs(alpha)), 6) l1 from slopes""")
 def lasso_conditions(spark, sf):
     """The first-order conditions of the lasso, recomputed from the cells."""
     cells = multi(spark, sf)
     alpha = Z.lasso(fx.MULTI, cells, 1e-3)
     gap = Z.optimality_gap(fx.MULTI, cells, Z.fitted_cells(fx.MULTI, cells, alpha), alpha, 1e-3)
-    return cells.agg(F.count("*").alias("n_dummies")).withColumn("is_optimal", gap.select(F.col("gap") < 1e-8).scalar())
+    return cells.agg(F.count("*").alias("n_dummies")).withColumn("is_optimal", gap.select(F.col("gap") < 1e-8).scalar()).withColumn(
+        "n_active", alpha.agg(F.count_if(F.col("alpha") != 0)).scalar()).withColumn("l1", alpha.agg(F.round(F.sum(F.abs("alpha")), 6)).scalar())
 
 
 def _moebius() -> str:
@@ -220,7 +245,15 @@ def lasso_puffer_objective(spark, sf):
     return df.select(F.round("mse_puffer", 9).alias("mse_puffer"), F.round("l1", 7).alias("l1"), F.round("loss", 9).alias("loss"))
 
 
-@query("lasso_scores")
+@query("lasso_scores", f"""with recursive {_lasso_sql(1e-3, 1000)},
+    fit as (select c.policy_id, sum(s.alpha) f from cells c join dummies d on {" and ".join(f"c.{n} >= d.{n} and (c.{n} > 0) = (d.{n} > 0)" for n in fx.MULTI.names)} join solved s on s.policy_id = d.policy_id group by 1),
+    truth as (select policy_id, {" + ".join(fx.MULTI.names)} dosage from cells where round(mean_y, 1) = (select max(round(mean_y, 1)) from cells)),
+    mine as (select policy_id from fit where round(f, 1) = (select max(round(f, 1)) from fit)),
+    scored as (select sum(ssw + n * (mean_y - f) * (mean_y - f)) / sum(n) mse, (select sum(abs(alpha)) from solved) l1 from cells join fit using (policy_id))
+    select round(mse, 6) mse, round(l1, 6) l1, round(mse + 1e-3 * l1, 6) loss,
+        round((select count(*) from truth semi join mine using (policy_id)) * 1.0 / (select count(*) from (select policy_id from truth union select policy_id from mine)), 6) iou,
+        (select count(*) > 0 from truth semi join mine using (policy_id) where dosage = (select min(dosage) from truth)) min_dosage_hit,
+        round((select max(mean_y) from cells) - (select max(f) from fit), 6) gap from scored""")
 def lasso_scores(spark, sf):
     """Error, loss, best-cell overlap and least-dosage hit of the lasso fit."""
     cells = multi(spark, sf)

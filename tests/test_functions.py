@@ -156,6 +156,22 @@ def test_lasso_meets_its_conditions_on_rows(spark):
     assert np.allclose(grad[alpha != 0], 0.05 * np.sign(alpha[alpha != 0]), atol=1e-8)
 
 
+def test_lasso_in_rounds_equals_lasso_in_a_task(spark):
+    spec = FactorSpec(["a", "b"], [4, 3])
+    rng = random.Random(12)
+    rows = [r for r in ((rng.randrange(4), rng.randrange(3), rng.gauss(1, 1)) for _ in range(150)) if r[:2] not in {(2, 1), (1, 2)}]
+    cells = C.cell_table(spec, spark.createDataFrame(rows, ["a", "b", "y"]))
+    for reg in (0.05,):  # columns over empty cells are alike, so fits are compared, not coefficients
+        rounds, task = (Z.lasso(spec, cells, reg, 1e-5, 2000, n).cache() for n in (0, 10**6))
+        fits = [{r.policy_id: r.fitted for r in Z.fitted_cells(spec, cells, a).collect()} for a in (rounds, task)]
+        assert rounds.count() == task.count() == 12 and all(abs(fits[0][k] - fits[1][k]) < 1e-3 for k in fits[1])
+        sizes = [a.agg(F.sum(F.abs("alpha"))).first()[0] for a in (rounds, task)]
+        assert abs(sizes[0] - sizes[1]) < 1e-3
+        assert Z.optimality_gap(spec, cells, Z.fitted_cells(spec, cells, rounds), rounds, reg).first()["gap"] < 1e-4
+    with pytest.raises(Exception, match="violates"):
+        Z.lasso(spec, cells, 1e-3, tolerance=0.0, sweeps=1, task_cells=0).count()
+
+
 def test_sparse_fits_take_designs_of_any_size(spark):
     spec = FactorSpec(["a", "b", "c", "d"], [10, 10, 10, 10])
     rows = [(1, 1, 1.0), (1, 1, 3.0), (2, 1, 5.0), (1, 2, 4.0), (2, 2, 10.0)]
