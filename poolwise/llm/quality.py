@@ -26,6 +26,8 @@ from poolwise.llm.scratch import Scratch
 
 #: Buckets of hashed grams, and rows of the sample.
 BUCKETS, SAMPLE = 18, 10_000
+#: Bytes of text whose forms are held at a time, at some 140 bytes each.
+CHUNK = 1 << 18
 
 
 def _kinds() -> np.ndarray:
@@ -84,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, good, n): texts of the task that hold the gram."""
     n, good = np.zeros(1 << BUCKETS, dtype=np.int64), np.zeros(1 << BUCKETS, dtype=np.int64)
     for batch in batches:
-        for rows, buf, off in W.chunks(batch):
+        for rows, buf, off in W.chunks(batch, size=CHUNK):
             label = rows["label"].to_numpy()
             doc, gram = forms(buf, off)
             np.add.at(n, gram, 1)
@@ -96,7 +98,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, buf, off in W.chunks(batch):
+        for rows, buf, off in W.chunks(batch, size=CHUNK):
             doc, gram = forms(buf, off)
             lengths = np.searchsorted(doc, np.arange(len(rows) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows["label"], pa.ListArray.from_arrays(pa.array(lengths), pa.array(gram.astype(np.int32)))], names=["label", "grams"])
@@ -192,7 +194,7 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2,
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
             out = [np.zeros(0)]
-            for rows, buf, off in W.chunks(batch):
+            for rows, buf, off in W.chunks(batch, size=CHUNK):
                 doc, gram = forms(buf, off)
                 length = np.sqrt(np.bincount(doc, weights=ratios[gram] ** 2, minlength=len(rows)))
                 margin = np.bincount(doc, weights=products[gram], minlength=len(rows)) / np.maximum(1e-12, length) + bias

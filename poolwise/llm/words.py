@@ -67,15 +67,15 @@ class Powers:
 BYTES, WORDS = Powers(_BASE), Powers(_WORD_BASE)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of consecutive rows with about ``CHUNK`` bytes of text; a null text is empty."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of consecutive rows with about ``size`` bytes of text; a null text is empty."""
     data = batch.column(batch.schema.get_field_index(column)).fill_null("").cast(pa.large_binary())
     off = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset:data.offset + len(data) + 1]
     raw = data.buffers()[2]
     buf = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     start = 0
     while start < len(data):
-        end = max(start + 1, int(np.searchsorted(off, off[start] + CHUNK, side="right")) - 1)
+        end = max(start + 1, int(np.searchsorted(off, off[start] + size, side="right")) - 1)
         yield batch.slice(start, end - start), buf[off[start]:off[end]], off[start:end + 1] - off[start]
         start = end
 
