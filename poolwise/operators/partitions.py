@@ -87,6 +87,23 @@ def box_moments(spec: FactorSpec, cells: DataFrame, by: list[str] = ()) -> DataF
     return _finish_boxes(sum_over_boxes(spec, df, sums, by))
 
 
+def centred(cells: DataFrame) -> DataFrame:
+    """Additive moments of each cell around the mean of all rows."""
+    centre = cells.agg(F.sum("sum_y") / F.sum("n")).scalar()
+    return (cells.withColumn("_d", F.col("mean_y") - centre)
+            .selectExpr("profile_id", "policy_id", "n", "ssw", "n * _d as _s", "n * _d * _d as _ss"))
+
+
+def deeper_boxes(spec: FactorSpec, moments: DataFrame, i: int) -> DataFrame:
+    """Moments of partial boxes with intervals of the factors up to ``i``, from those with intervals of the factors before.
+
+    ``box_id`` names the intervals, ``_rest`` the levels of the factors that are still open.
+    """
+    w, sums = spec.strides[i], ["n", "_s", "_ss", "ssw"]
+    spread_out = moments.selectExpr("profile_id", *sums, f"_rest % {w}L as _rest", "box_id", f"explode({spec.covering_sql(i, f'_rest div {w}L')}) as _c")
+    return spread_out.groupBy("profile_id", (F.col("box_id") + F.col("_c")).alias("box_id"), "_rest").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def sum_over_boxes(spec: FactorSpec, df: DataFrame, sums: list[str], by: list[str] = ()) -> DataFrame:
     """Sum additive cell columns over every box that holds data.
 
@@ -203,7 +220,8 @@ def score_space(spec: FactorSpec, cells: DataFrame, reg: float, profile_id: int
     shuffle; large ones are summed factor by factor.
     """
     by = list(by)
-    boxes = boxes if boxes is not None else box_moments(spec, cells, by)
+    if boxes is None:
+        boxes = box_moments(spec, cells if profile_id is None else cells.where(F.col("profile_id") == profile_id), by)
     if space_lookups(spec, profile_id) <= LOOKUPS and not by:
         space = enumerate_partitions(cells.sparkSession, spec, profile_id)
         if profile_id is None:

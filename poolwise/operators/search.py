@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions.running import running
-from poolwise.operators.partitions import box_moments, score_space
+from poolwise.operators.partitions import centred, deeper_boxes, score_space
 from poolwise.runtime import bounded, materialize, scalar, spread
 from poolwise.spec import FactorSpec
 
@@ -34,14 +34,15 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
     A node fixes the cuts below some bit and leaves the others open.  Its bound
     is the error with all open cuts made, plus the penalty with none made.  A
     round decides the next few bits of a factor: the child that makes all cuts
-    keeps the error of its parent, only children that merge are looked up in the
-    box table.  All children come out of one explode, hence the plan stays a
-    chain and every node is made exactly once.
-    Children are hashed before they unfold: one shuffle of small rows a round.
+    keeps the error of its parent, only children that merge are looked up in a
+    table of box errors.  Children are hashed before they unfold: one shuffle of
+    small rows a round.
+
+    Boxes are made on demand, a factor deeper each time: a partial box is an
+    interval per decided factor, its moments are kept per level of the open ones,
+    and only partial boxes that a live node has are taken to the next factor.  With
+    ``boxes`` handed in, whole boxes are looked up instead.
     """
-    spark = cells.sparkSession
-    boxes = boxes if boxes is not None else materialize(box_moments(spec, cells), "boxes")
-    side = bounded(boxes.select("box_id", F.col("sse").alias("_box_sse")), spec.n_boxes)
     total = int(scalar(cells.agg(F.sum("n"))))
     start = split if split is not None else cells.groupBy("profile_id").agg(F.sum("ssw").alias("sse"))
     if profile_id is not None:
@@ -51,30 +52,55 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
     else:
         start = start.withColumn("theta", F.lit(theta) if not isinstance(theta, Column) else theta)
     nodes = start.selectExpr("profile_id", f"{spec.full_mask_sql()} as cut_mask", "cast(theta as double) as theta", "sse")
-
     penalty = f"{float(reg)!r}D * h"
     budget = "true" if max_pools is None else f"h <= {max_pools}"
-    rounds = _rounds(spec)
-    for turn, (i, j, width) in enumerate(rounds):
-        first = spec.offsets[i] + j
-        decided = f"(cut_mask & {(1 << first + width) - 1}L)"
-        drops = ", ".join(f"{drop << first}L" for drop in range(1 << width))
-        children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array({drops}), array(0L))) as _drop")
-                    .selectExpr("profile_id", "cut_mask - _drop as cut_mask", "theta", "sse", "_drop > 0 as _merge")
-                    .selectExpr("*", f"{spec.pool_count_sql(decided)} as h")
-                    .where(f"{budget} and {penalty} <= theta"))
-        unfolded = spec.mask_boxes(spread(children, "profile_id", "cut_mask"), only="_merge")
-        nodes = (unfolded.join(side, "box_id", "left")
-                 .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", "sse").agg(F.sum("_box_sse").alias("_own"))
-                 .selectExpr("profile_id", "cut_mask", "theta", "if(_merge, coalesce(_own, 0.0D), sse) as sse", "h")
-                 .where(f"sse / {total} + {penalty} <= theta").drop("h"))
-        if (turn + 1) % ROUNDS_PER_CUT == 0 and turn + 1 < len(rounds):
+    if boxes is None:
+        nodes = materialize(nodes.where(f"sse / {total} <= theta"), "frontier")
+        moments = centred(cells).join(nodes.select("profile_id"), "profile_id", "left_semi").withColumnRenamed("policy_id", "_rest").withColumn("box_id", F.lit(0).cast("long"))
+        for i in range(spec.m):
+            moments = deeper_boxes(spec, moments, i)
+            if not spec.bits[i]:
+                continue
+            moments = materialize(moments, "moments")
+            errors = moments.groupBy("profile_id", "box_id").agg(F.sum(F.expr("greatest(_ss - try_divide(_s * _s, n), 0.0D) + ssw")).alias("_box_sse"))
+            for j, width in [(j, width) for k, j, width in _rounds(spec) if k == i]:
+                nodes = _decided(spec, nodes, errors, ["profile_id", "box_id"], i, j, width, total, penalty, budget, i + 1)
             nodes = materialize(nodes, "frontier")
+            if i + 1 < spec.m:
+                live = spec.mask_boxes(nodes.select("profile_id", "cut_mask"), factors=i + 1).select("profile_id", "box_id").distinct()
+                moments = moments.join(live, ["profile_id", "box_id"], "left_semi")
+    else:
+        side = bounded(boxes.select("box_id", F.col("sse").alias("_box_sse")), spec.n_boxes)
+        rounds = _rounds(spec)
+        for turn, (i, j, width) in enumerate(rounds):
+            nodes = _decided(spec, nodes, side, ["box_id"], i, j, width, total, penalty, budget, spec.m)
+            if (turn + 1) % ROUNDS_PER_CUT == 0 and turn + 1 < len(rounds):
+                nodes = materialize(nodes, "frontier")
     return (nodes.selectExpr("*", f"{spec.pool_count_sql()} as h").where(budget)
             .selectExpr("profile_id", "cut_mask", "h", "sse", f"sse / {total} + {penalty} as q", "theta")
             .where("q <= theta").drop("theta"))
 
 
+def _decided(spec: FactorSpec, nodes: DataFrame, errors: DataFrame, key: list[str], i: int, j: int, width: int, total: int,
+             penalty: str, budget: str, factors: int) -> DataFrame:
+    """The children of the nodes that decide ``width`` cuts of factor ``i`` from ``j`` on and stay within the threshold.
+
+    ``errors`` has _box_sse by ``key`` for boxes of the first ``factors`` factors.
+    """
+    first = spec.offsets[i] + j
+    decided = f"(cut_mask & {(1 << first + width) - 1}L)"
+    drops = ", ".join(f"{drop << first}L" for drop in range(1 << width))
+    children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array({drops}), array(0L))) as _drop")
+                .selectExpr("profile_id", "cut_mask - _drop as cut_mask", "theta", "sse", "_drop > 0 as _merge")
+                .selectExpr("*", f"{spec.pool_count_sql(decided)} as h")
+                .where(f"{budget} and {penalty} <= theta"))
+    unfolded = spec.mask_boxes(spread(children, "profile_id", "cut_mask"), only="_merge", factors=factors)
+    return (unfolded.join(errors, key, "left")
+            .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", "sse").agg(F.sum("_box_sse").alias("_own"))
+            .selectExpr("profile_id", "cut_mask", "theta", "if(_merge, coalesce(_own, 0.0D), sse) as sse", "h")
+            .where(f"sse / {total} + {penalty} <= theta").drop("h"))
+
+
 def _rounds(spec: FactorSpec) -> list[tuple[int, int, int]]:
     """(factor, first position, positions) per round; after b decided bits there are at most 2^b nodes per profile."""
     out, decided = [], 0

@@ -170,7 +170,7 @@ def near_frontier_budget(spark, sf):
 WIDE_THETA, WIDE_REG = 0.0056, 1e-4
 
 
-@query("near_frontier_wide")
+@query("near_frontier_wide", f"with {S.wide_scores(fx.WIDE, 'wide', WIDE_REG)} select cast(cut_mask as bigint) cut_mask, h, round(q, 9) q from scored where q <= {WIDE_THETA}")
 def near_frontier_wide(spark, sf):
     """Six factors, 2^20 partitions over 5400 cells: only the bound makes the search small."""
     cells = C.cell_table(fx.WIDE, fx.lineitem_wide(spark, sf))
@@ -178,7 +178,7 @@ def near_frontier_wide(spark, sf):
     return df.select("cut_mask", "h", F.round("q", 9).alias("q"))
 
 
-@query("near_profile_wide")
+@query("near_profile_wide", f"with {S.wide_scores(fx.EIGHT, 'eight', 1e-5)} select cast(cut_mask as bigint) cut_mask, h, round(q, 9) q from scored where q <= 0.012")
 def near_profile_wide(spark, sf):
     """Eight factors of three levels each: 65,536 partitions over 6,561 cells, all of them scored."""
     cells = C.cell_table(fx.EIGHT, fx.lineitem_eight(spark, sf))

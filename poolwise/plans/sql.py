@@ -16,6 +16,8 @@ DISC0 = "case when l_discount <= 0.0 then 0 when l_discount <= 0.035 then 1 when
 OUTCOME = "l_quantity * (1 - l_discount) * (1 + l_tax) / 50"
 STATUS = "case l_linestatus when 'F' then 0 when 'O' then 1 end"
 
+PTYPE = "case p_type " + " ".join(f"when '{t}' then {i + 1}" for i, t in enumerate(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])) + " end"
+
 OBS = {
     "single": f"select {QTY} qty, {DISC} disc, {TAX} tax, {FLAG} flag, {OUTCOME} y from lineitem",
     "multi": f"""select case when l_quantity <= 5 then 0 else {QTY} end qty, {DISC0} disc,
@@ -28,6 +30,11 @@ OBS = {
         case o_orderstatus when 'F' then 1 when 'O' then 2 when 'P' then 3 end ostatus,
         cast(quarter(o_orderdate) as int) quartile, c_mktsegment segment, o_totalprice / 100000 y
         from orders join customer on o_custkey = c_custkey""",
+    "wide": f"""select {QTY} qty, {DISC} disc, {TAX} tax, {FLAG} flag, cast(ceil(p_size / 10) as int) size, {PTYPE} ptype, {OUTCOME} y
+        from lineitem join part on p_partkey = l_partkey""",
+    "eight": f"""select case when l_quantity <= 16 then 1 when l_quantity <= 33 then 2 else 3 end qty, case when l_discount <= 0.035 then 1 when l_discount <= 0.065 then 2 else 3 end disc,
+        {TAX} tax, {FLAG} flag, case when l_linenumber <= 2 then 1 when l_linenumber <= 5 then 2 else 3 end line, case when month(l_shipdate) <= 4 then 1 when month(l_shipdate) <= 8 then 2 else 3 end season,
+        case when p_size <= 17 then 1 when p_size <= 34 then 2 else 3 end size, cast(ceil({PTYPE} / 2) as int) ptype, {OUTCOME} y from lineitem join part on p_partkey = l_partkey""",
     "events": """select case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4
         when 'view' then 5 end etype, cast(floor(hour(ts) / 6) + 1 as int) daypart, value, sqrt(value) root_value,
         cast(length(props) as double) props_size from events""",
@@ -96,6 +103,31 @@ def scores(spec: FactorSpec, obs: str, reg: float, profile_id: int | None = None
         from pooled group by {g}profile_id, cut_mask, h)"""
 
 
+def wide_scores(spec: FactorSpec, obs: str, reg: float) -> str:
+    """CTEs up to scored(cut_mask, h, q) of the full profile, for spaces too large to pair partitions with cells.
+
+    Sums over all interval products of the cells first, then over the segments of each factor's cuts, one factor at a time.
+    """
+    parts = [cells(spec, obs), """around as (select policy_id rest, cast(0 as bigint) box, n, n * (mean_y - (select sum(sum_y) / sum(n) from cells)) s,
+        n * pow(mean_y - (select sum(sum_y) / sum(n) from cells), 2) ss, ssw from cells where profile_id = """ + f"{spec.full_profile})"]
+    last = "around"
+    for i, r in enumerate(spec.levels):
+        w, b = spec.strides[i], spec.box_strides[i]
+        parts.append(f"""box{i} as (select box + (lo * {r} + hi) * {b} box, rest % {w} rest, sum(n) n, sum(s) s, sum(ss) ss, sum(ssw) ssw from {last}
+            join (select l, lo, hi from range(1, {r}) x(l), range(1, {r}) y(lo), range(1, {r}) z(hi) where lo <= l and l <= hi) on l = rest // {w} group by 1, 2)""")
+        last = f"box{i}"
+    parts.append(f"errors as (select box, cast(0 as bigint) cut_mask, greatest(ss - s * s / n, 0) + ssw sse from {last})")
+    last = "errors"
+    for i, r in enumerate(spec.levels):
+        b = spec.box_strides[i]
+        parts.append(f"""cut{i} as (select box % {b} box, cut_mask + (m << {spec.offsets[i]}) cut_mask, sum(sse) sse from {last}
+            join (select lo * {r} + hi code, m from range(1, {r}) y(lo), range(1, {r}) z(hi), range({1 << spec.bits[i]}) t(m) where lo <= hi and (lo = 1 or (m >> greatest(lo - 2, 0)) & 1 = 1)
+                and (hi = {r - 1} or (m >> (hi - 1)) & 1 = 1) and (m >> (lo - 1)) & ((1 << (hi - lo)) - 1) = 0) on code = box // {b} group by 1, 2)""")
+        last = f"cut{i}"
+    h = " * ".join(f"(1 + cast(bit_count((cut_mask >> {spec.offsets[i]}) & {spec.full_mask(i)}) as bigint))" for i in range(spec.m))
+    return ", ".join(parts) + f", scored as (select cut_mask, {h} h, sse / (select sum(n) from cells) + {reg!r} * {h} q from {last})"
+
+
 def models(spec: FactorSpec, obs: str, reg: float, theta: float, max_pools: int | None = None) -> str:
     """CTEs up to models(model_key, loss, n_pools) over the observed profiles, by one join per profile."""
     sql = scores(spec, obs, reg)

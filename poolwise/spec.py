@@ -243,15 +243,16 @@ class FactorSpec:
     def pool_count(self, mask: str = "cut_mask") -> Column:
         return F.expr(self.pool_count_sql(mask))
 
-    def mask_boxes(self, df: DataFrame, mask: str = "cut_mask", profile: str = "profile_id", only: str | None = None) -> DataFrame:
+    def mask_boxes(self, df: DataFrame, mask: str = "cut_mask", profile: str = "profile_id", only: str | None = None, factors: int | None = None) -> DataFrame:
         """One row per (row, box of its partition), in column ``box_id``.
 
-        ``only`` limits the expansion: other rows pass once with a null box.
+        ``only`` limits the expansion: other rows pass once with a null box.  With ``factors``, boxes have intervals of
+        that many leading factors only.
         """
         def codes(i):
             c = self.segments_sql(i, mask, profile)
             return c if only is None else f"if({only}, {c}, array(cast(null as bigint)))"
-        return unfold(df, [codes(i) for i in range(self.m)], "box_id")
+        return unfold(df, [codes(i) for i in range(self.m if factors is None else factors)], "box_id")
 
     def box_policies(self, df: DataFrame, box: str = "box_id", out: str = "policy_id") -> DataFrame:
         """One row per (row, cell inside its box)."""

@@ -89,6 +89,27 @@ def test_frontier_equals_exhaustive(spark, seed):
         assert R.set_difference(a, b).count() == 0
 
 
+def test_frontier_makes_few_boxes(spark, monkeypatch):
+    """Of all boxes only those that live nodes have, and the same set as from all boxes, for one profile and for all."""
+    spec = FactorSpec(["a", "b", "c", "d"], [6, 5, 5, 4])
+    rng = random.Random(3)
+    rows = [(a, b, c, d, float(a > 2) + 2 * float(b > 1) + rng.gauss(0, 0.05)) for a in range(6) for b in range(5) for c in range(5) for d in range(4) if rng.random() < 0.8]
+    cells = C.cell_table(spec, spark.createDataFrame(rows, ["a", "b", "c", "d", "y"]))
+    made = []
+    plain = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label="table": made.append(plain(df, label)) or made[-1])
+    boxes = P.box_moments(spec, cells)
+    for profile, theta in ((15, 0.012), (None, 0.004)):
+        made.clear()
+        found = R.frontier_set(spec, cells, theta, 1e-3, profile)
+        tables = [t for t in made if "_rest" in t.columns]
+        deepest = tables[-1].count()
+        want = R.exhaustive_set(spec, cells, theta, 1e-3, profile)
+        assert R.set_difference(found, want).count() == 0 and 0 < want.count()
+        assert R.set_difference(found, R.frontier_set(spec, cells, theta, 1e-3, profile, boxes=boxes)).count() == 0
+        assert deepest < 0.2 * boxes.count()
+
+
 def test_pools_are_connected_components(spark):
     spec = FactorSpec(["a", "b"], [5, 4])
     parts = P.enumerate_partitions(spark, spec, 3).where("cut_mask % 5 = 1")
