@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.operators.partitions import box_moments, score_space, space_errors
-from poolwise.operators.search import frontier_set
-from poolwise.runtime import materialize, scalar
+from poolwise.functions.running import running
+from poolwise.operators.search import TOLERANCE, frontier_set
+from poolwise.runtime import bounded, discard, materialize, scalar
 from poolwise.spec import FactorSpec
 
-# Excess losses are cut into this many bands for the band join.
+# Bands of excess loss with about as many rows each, for the band join of a merge round.
 BANDS = 16
-# Copies of the right side that split one heavy band over several tasks, and the pair count from which they pay.
-SALTS = 16
-SALT_FROM = 1_000_000
-# Merge rounds planned as one job; each round reads the rows of the one before from both sides.
-ROUNDS_PER_CUT = 3
+# Pairs of a merge that one salt may hold before the right side is copied, and most copies.
+PAIRS_PER_SALT, MOST_SALTS = 4_000_000, 256
 
 
 def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, max_pools: int | None = None,
@@ -29,7 +27,7 @@ def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, m
     bounds = (cells.groupBy("profile_id").agg(F.sum("ssw").alias("_ssw"))
               .withColumn("_lb", F.col("_ssw") / total))
     every = cells.agg(F.sum("ssw") / F.sum("n")).scalar()
-    bounds = bounds.withColumn("theta", F.lit(theta) - (every - F.col("_lb"))).select("profile_id", "theta")
+    bounds = bounds.withColumn("theta", F.lit(theta) + TOLERANCE - (every - F.col("_lb"))).select("profile_id", "theta")
     budget = None
     if max_pools is not None:
         observed = scalar(cells.agg(F.count_distinct("profile_id")))
@@ -37,114 +35,77 @@ def profile_sets(spec: FactorSpec, cells: DataFrame, theta: float, reg: float, m
     if adaptive:
         return frontier_set(spec, cells, theta, reg, max_pools=budget, theta_by_profile=bounds)
     scored = score_space(spec, cells, reg, max_pools=budget)
-    return scored.join(F.broadcast(bounds), "profile_id").where(F.col("q") <= F.col("theta")).drop("theta")
+    return scored.join(bounded(bounds, spec.n_profiles), "profile_id").where(F.col("q") <= F.col("theta")).drop("theta")
 
 
 def combine(items: DataFrame, n_slots: int, theta: float, max_pools: int | None = None) -> DataFrame:
-    """All choices of one item per slot whose losses sum to at most theta.
-
-    ``items`` has slot, q, h and members (an array).  Slots with a single item
-    add a constant.  The others are merged in pairs, so there are log2 rounds.
-    Measured from the best item of its slot, every item has an excess, and a
-    combination is feasible when the excesses sum to at most the slack.  Each
-    round is an equi-join on (pair, band of excess): the left row lists the
-    bands it can still afford, so rows that meet are feasible but for the last
-    band, and each kept row extends to a full model.  A heavy band is split by
-    a salt.  Nothing but one line of minima per slot reaches the driver.
+    """All choices of one item per slot whose losses sum to at most theta (R18, R19): one group of ``combine_by``.
+
+    ``items`` has slot, q, h and members (an array).
     """
-    items = materialize(items.select("slot", "q", "h", "members"), "items")
-    stats = items.groupBy("slot").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.min("h").alias("h")).collect()
-    tolerance = 1e-12  # losses are summed in another order than theta; the last filter is exact
-    slack = float(theta) - sum(s.q for s in stats)
-    spare = None if max_pools is None else max_pools - sum(s.h for s in stats)
-    if len(stats) < n_slots or slack < -tolerance or (spare is not None and spare < 0):
-        return items.where(F.lit(False)).drop("slot")
-    slack = max(slack, 0.0) + tolerance
-
-    open_slots = sorted((s for s in stats if s.n > 1), key=lambda s: (s.n, s.slot))
-    fixed = [s for s in stats if s.n == 1]
-    place = {s.slot: k for k, s in enumerate(open_slots)}
-    by_slot = {s.slot: s for s in stats}
-    look_up = lambda values: f"array({', '.join(values)})[slot]"
-    placed = items.selectExpr(
-        look_up([str(place.get(s, -1)) for s in range(n_slots)]) + " as slot", "q", "h", "members",
-        "q - " + look_up([f"{float(by_slot[s].q)!r}D" for s in range(n_slots)]) + " as excess",
-        "h - " + look_up([f"{int(by_slot[s].h)}L" for s in range(n_slots)]) + " as extra")
-    rows = placed.where((F.col("slot") >= 0) & (F.col("excess") <= slack))
-    if spare is not None:
-        rows = rows.where(F.col("extra") <= spare)
-    alone = placed.where("slot < 0").agg(F.flatten(F.collect_list("members")).alias("members"))
-
-    pairs = 1
-    for s in open_slots:
-        pairs *= s.n
-    salts = SALTS if pairs >= SALT_FROM else 1
-    left_count, turn = len(open_slots), 0
-    while left_count > 1:
-        rows = _merge_pairs(rows, left_count, f"{slack!r}D", None if spare is None else str(spare), salts)
-        left_count, turn = (left_count + 1) // 2, turn + 1
-        if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
-            rows = materialize(rows, "merged")
-    fixed_q, fixed_h = F.lit(float(sum(s.q for s in fixed))), F.lit(int(sum(s.h for s in fixed))).cast("long")
-    if not open_slots:
-        out = alone.select(fixed_q.alias("q"), fixed_h.alias("h"), "members")
-    elif fixed:
-        out = rows.withColumn("_alone", alone.scalar())
-        out = out.select((F.col("q") + fixed_q).alias("q"), (F.col("h") + fixed_h).alias("h"), F.concat("members", "_alone").alias("members"))
-    else:
-        out = rows.select("q", "h", "members")
-    out = out.where(F.col("q") <= theta)
-    return out if max_pools is None else out.where(F.col("h") <= max_pools)
+    limit = items.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(float(theta)).alias("theta"))
+    return combine_by(items.withColumn("_all", F.lit(0)), ["_all"], n_slots, limit, max_pools).drop("_all")
 
 
-def _merge_pairs(rows: DataFrame, n_slots: int, slack: str, spare: str | None, salts: int, by: list[str] = (),
-                 limits: list[str] = ()) -> DataFrame:
+def _merge_pairs(rows: DataFrame, n_slots: int, budget: bool, by: list[str], limits: list[str]) -> DataFrame:
     """One round: slots 2k and 2k + 1 become slot k; an odd last slot passes through.
 
-    Rows meet within their ``by`` group only.  ``slack`` and ``spare`` are SQL: numbers, or the columns ``limits``.
+    Rows meet within their ``by`` group only.  The excess losses of a pair's right side are cut into bands of about
+    equal mass; a left row lists the bands it can still afford, so rows that meet are feasible but for the last band.
+    Where a pair has many rows on both sides, its right rows are copied over salts, as many as the counts call for.
     """
-    by, limits = list(by), list(limits)
-    width = f"(({slack}) / {BANDS})"
-    sided = rows.selectExpr("*", "slot div 2 as _pair", f"least(floor(greatest(excess, 0.0D) / {width}), {BANDS}) as _band")
-    # one spare band on the reach keeps pairs whose division rounded the other way
-    reach = f"least(floor(({slack} - excess) / {width}) + 1, {BANDS})"
     paired = n_slots // 2 * 2
-    left = (sided.where(f"slot % 2 = 0 and slot < {paired}")
-            .selectExpr(*by, *limits, "_pair", f"explode(sequence(0L, {reach})) as _band", f"pmod(xxhash64(members), {salts}) as _salt",
+    sided = rows.where(f"slot < {paired}").selectExpr("*", "slot div 2 as _pair", "slot % 2 = 1 as _right")
+    shares = [k / BANDS for k in range(1, BANDS)]
+    measured = sided.groupBy(*by, "_pair").agg(
+        F.percentile_approx(F.when(F.col("_right"), F.col("excess")), shares, 1000).alias("_edges"),
+        F.ceil(F.count_if("_right") * F.count_if(~F.col("_right")) / F.lit(PAIRS_PER_SALT)).alias("_heavy"))
+    measured = measured.where("_edges is not null").selectExpr(*by, "_pair", "array_distinct(_edges) as _edges", f"cast(greatest(1, least(_heavy, {MOST_SALTS})) as int) as _salts")
+    sided = sided.join(measured, [*by, "_pair"])
+    left = (sided.where("not _right")
+            .selectExpr(*by, *limits, "_pair", "explode(sequence(0, size(filter(_edges, e -> e < slack - excess)))) as _band", "cast(pmod(xxhash64(members), _salts) as int) as _salt",
                         "q as ql", "h as hl", "members as ml", "excess as el", "extra as xl"))
-    right = (sided.where(f"slot % 2 = 1 and slot < {paired}")
-             .selectExpr(*by, "_pair", "_band", f"explode(sequence(0L, {salts - 1}L)) as _salt",
+    right = (sided.where("_right")
+             .selectExpr(*by, "_pair", "size(filter(_edges, e -> e < excess)) as _band", "explode(sequence(0, _salts - 1)) as _salt",
                          "q as qr", "h as hr", "members as mr", "excess as er", "extra as xr"))
-    merged = (left.join(right, [*by, "_pair", "_band", "_salt"]).where(f"el + er <= {slack}")
+    merged = (left.join(right, [*by, "_pair", "_band", "_salt"]).where("el + er <= slack")
               .selectExpr(*by, *limits, "cast(_pair as int) as slot", "ql + qr as q", "hl + hr as h", "concat(ml, mr) as members",
                           "el + er as excess", "xl + xr as extra"))
-    if spare is not None:
-        merged = merged.where(f"extra <= {spare}")
+    if budget:
+        merged = merged.where("extra <= spare")
     if paired < n_slots:
         merged = merged.unionByName(rows.where(f"slot = {paired}").withColumn("slot", F.lit(paired // 2)))
     return merged
 
 
 def combine_by(items: DataFrame, by: list[str], n_slots: int, theta: DataFrame, max_pools: int | None = None) -> DataFrame:
-    """The same for many groups in one job: ``items`` and ``theta`` (by, theta) carry the group's keys.
+    """All choices of one item per slot and group whose losses sum to at most the group's theta, and pools to ``max_pools``.
 
-    Slack and spare pools differ by group and ride along as columns, so nothing reaches the driver.
+    ``items`` and ``theta`` (by, theta) carry the group's keys.  Measured from the best item of its slot, every item has
+    an excess, and a combination is feasible when the excesses sum to at most the slack.  Slots are merged in pairs, so
+    there are log2 rounds, and every kept row extends to a full model unless pools are limited.  Minima, slack and
+    spare pools ride along as columns; nothing reaches the driver, however many slots there are.
     """
     items = materialize(items.select(*by, "slot", "q", "h", "members"), "items")
     best = items.groupBy(*by, "slot").agg(F.min("q").alias("_q"), F.min("h").cast("long").alias("_h"))
     limits = (best.groupBy(*by).agg(F.sum("_q").alias("_sum"), F.sum("_h").alias("_pools"), F.count("*").alias("_slots"))
-              .join(theta.select(*by, "theta"), by).where((F.col("_slots") == n_slots) & (F.col("theta") - F.col("_sum") >= -1e-12))
-              .select(*by, "theta", (F.greatest(F.col("theta") - F.col("_sum"), F.lit(0.0)) + 1e-12).alias("slack"),
+              .join(theta.select(*by, "theta"), by).where((F.col("_slots") == n_slots) & (F.col("theta") - F.col("_sum") >= -TOLERANCE))
+              .select(*by, "theta", (F.greatest(F.col("theta") - F.col("_sum"), F.lit(0.0)) + TOLERANCE).alias("slack"),
                       (F.lit(max_pools).cast("long") - F.col("_pools")).alias("spare")))
     rows = (items.join(best, [*by, "slot"]).join(limits, by)
             .select(*by, "theta", "slack", "spare", "slot", "q", "h", "members", (F.col("q") - F.col("_q")).alias("excess"), (F.col("h") - F.col("_h")).alias("extra"))
             .where("excess <= slack and coalesce(extra <= spare, true)"))
-    left_count, turn = n_slots, 0
+    rows = materialize(rows, "merged")
+    discard(items)
+    left_count = n_slots
     while left_count > 1:
-        rows = _merge_pairs(rows, left_count, "slack", None if max_pools is None else "spare", SALTS, by, ["theta", "slack", "spare"])
-        left_count, turn = (left_count + 1) // 2, turn + 1
-        if turn % ROUNDS_PER_CUT == 0 and left_count > 1:
-            rows = materialize(rows, "merged")
+        merged = _merge_pairs(rows, left_count, max_pools is not None, by, ["theta", "slack", "spare"])
+        left_count = (left_count + 1) // 2
+        if left_count > 1:
+            merged = materialize(merged, "merged")
+            discard(rows)
+        rows = merged
+    # losses were summed in another order than theta; this filter has no tolerance
     out = rows.where("q <= theta").select(*by, "q", "h", "members")
     return out if max_pools is None else out.where(F.col("h") <= max_pools)
 
@@ -161,7 +122,7 @@ def near_optimal_models_by(spec: FactorSpec, cells: DataFrame, by: list[str], th
     limits = (per.join(whole, by).join(theta.select(*by, "theta"), by)
               .select(*by, "profile_id", (F.col("theta") - (F.col("_all") - F.col("_ssw")) / F.col("_total")).alias("_limit"),
                       (F.lit(max_pools).cast("long") - F.col("_profiles") + 1).alias("_budget")))
-    sets = scored.join(limits, [*by, "profile_id"]).where("q <= _limit + 1e-12 and coalesce(h <= _budget, true)")
+    sets = scored.join(limits, [*by, "profile_id"]).where(f"q <= _limit + {TOLERANCE!r}D and coalesce(h <= _budget, true)")
     items = sets.select(*by, F.col("profile_id").alias("slot"), "q", F.col("h").cast("long").alias("h"),
                         F.array(F.struct(F.col("profile_id"), F.col("cut_mask"))).alias("members"))
     blank = (cells.select(*by).distinct().selectExpr(*by, f"explode(sequence(0, {spec.n_profiles - 1})) as profile_id")
@@ -193,21 +154,25 @@ def near_optimal_models(spec: FactorSpec, cells: DataFrame, theta: float, reg: f
     return model_table(combine(items.unionByName(blank), spec.n_profiles, theta, max_pools))
 
 
-def stratified_models(spec: FactorSpec, cells: DataFrame, stratum: str, values: list, theta: float, reg: float,
-                      profile_id: int, max_pools: int | None = None) -> DataFrame:
-    """One partition per stratum under one threshold.
-
-    N is the row count over all strata, so the strata losses add up.
-    """
+def stratified_scores(spec: FactorSpec, cells: DataFrame, stratum: str, reg: float, profile_id: int) -> DataFrame:
+    """Losses of every partition in every stratum (R27), written once.  N is the row count over all strata, so they add up."""
     total = cells.agg(F.sum("n")).scalar()
     own = space_errors(spec, box_moments(spec, cells, [stratum]), [stratum], profile_id)
+    return materialize(own.withColumn("_total", total).withColumn("q", F.col("sse") / F.col("_total") + F.lit(float(reg)) * F.col("h")).drop("_total"), "strata")
+
+
+def stratified_models(spec: FactorSpec, scored: DataFrame, stratum: str, values: list, theta: float, max_pools: int | None = None) -> DataFrame:
+    """One partition per stratum under one threshold (R27), from ``stratified_scores``.
+
+    A stratum may use what the best of the others leave of theta, so most partitions go before they are combined.
+    """
+    best = scored.groupBy(stratum).agg(F.min("q").alias("_q"))
+    kept = (scored.join(best, stratum).withColumn("_sum", best.agg(F.sum("_q")).scalar())
+            .where(F.col("q") <= theta + TOLERANCE - (F.col("_sum") - F.col("_q"))))
     order = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-    scored = (own.withColumn("_total", total)
-              .withColumn("q", F.col("sse") / F.col("_total") + F.lit(float(reg)) * F.col("h"))
-              .where(F.col("q") <= theta))
     unlisted = F.raise_error(F.concat(F.lit(f"{stratum} is not among the listed strata: "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).cast("int")
     slot = F.coalesce(F.try_element_at(order, F.col(stratum)), unlisted)
-    items = scored.select(slot.alias("slot"), "q", "h", F.array(F.struct(slot.alias("slot"), F.col("cut_mask"))).alias("members"))
+    items = kept.select(slot.alias("slot"), "q", "h", F.array(F.struct(slot.alias("slot"), F.col("cut_mask"))).alias("members"))
     return model_table(combine(items, len(values), theta, max_pools), "slot")
 
 
@@ -239,6 +204,49 @@ def used_partitions(sets: DataFrame, models_df: DataFrame) -> DataFrame:
     return sets.join(used, ["profile_id", "cut_mask"], "left_semi")
 
 
+def usable_items(items: DataFrame, n_slots: int, theta: float, max_pools: int | None = None, slot: str = "profile_id") -> DataFrame:
+    """Items (slot, q, h) that some model within theta and ``max_pools`` uses (R20), without making any model.
+
+    Without a budget an item is usable if its excess over the best of its slot fits the slack.  With one, each slot has a
+    front, the least loss of every pool count; fronts of slots are added up in pairs to the root, and what the
+    others leave to each node comes down again, so 2 log2 rounds of joins on the pair see fronts only.
+    """
+    spark = items.sparkSession
+    best = items.groupBy(slot).agg(F.min("q").alias("_q"))
+    if max_pools is None:
+        whole = best.agg(F.sum("_q").alias("_sum"), F.count("*").alias("_slots")).where((F.col("_slots") == n_slots) & (F.col("_sum") <= theta + TOLERANCE))
+        return (items.join(best, slot).withColumn("_sum", whole.select("_sum").scalar())
+                .where(F.col("q") - F.col("_q") <= theta + TOLERANCE - F.col("_sum")).drop("_q", "_sum"))
+    places = running(best.select(slot), [], [slot], position="_place").withColumn("node", F.col("_place") - 1).drop("_place")
+    placed = materialize(items.join(places, slot).withColumn("h", F.col("h").cast("long")), "placed")
+    if placed.select("node").distinct().count() < n_slots:
+        return items.where(F.lit(False))
+
+    def front(rows: DataFrame) -> DataFrame:
+        """The least loss per node and pool count; counts that fewer pools beat are dropped by the next sum's minimum."""
+        return materialize(rows.where((F.col("h") <= max_pools) & (F.col("q") <= theta + TOLERANCE)).groupBy("node", "h").agg(F.min("q").alias("q")), "front")
+
+    def added(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), on).select("a.node", (F.col("a.h") + F.col("b.h")).alias("h"), (F.col("a.q") + F.col("b.q")).alias("q"))
+
+    levels, count = [front(placed.select("node", "h", "q"))], n_slots
+    while count > 1:
+        below = levels[-1]
+        pair = added(below.where("node % 2 = 0"), below.where("node % 2 = 1"), F.expr("b.node = a.node + 1"))
+        alone = below.where(f"node = {count - 1}") if count % 2 else below.limit(0)
+        levels.append(front(pair.unionByName(alone).withColumn("node", F.expr("node div 2"))))
+        count = (count + 1) // 2
+    others = spark.range(1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("q"))
+    for level, below in enumerate(reversed(levels[:-1])):
+        top = -(-n_slots // 2 ** (len(levels) - 2 - level))
+        children = others.selectExpr("explode(array(node * 2, node * 2 + 1)) as node", "h", "q").where(f"node < {top}")
+        alone = children.where(f"node = {top - 1}") if top % 2 else children.limit(0)
+        beside = added(children.where(f"node < {top - top % 2}"), below, F.expr("b.node = a.node + 1 - 2 * (a.node % 2)"))
+        others = front(beside.unionByName(alone))
+    fits = F.expr(f"a.node = b.node and a.h + b.h <= {max_pools} and a.q + b.q <= {theta + TOLERANCE!r}D")
+    return placed.alias("a").join(others.alias("b"), fits, "left_semi").select(*[F.col(f"a.{c}") for c in items.columns])
+
+
 def used_prefix(sets: DataFrame, models_df: DataFrame) -> DataFrame:
     """Per profile, the loss-ordered prefix up to the last used partition (R20, prefix form)."""
     used = model_members(models_df).select("profile_id", "cut_mask").distinct()
@@ -261,18 +269,10 @@ def prune_by_epsilon(models_df: DataFrame, eps: float, loss: str = "loss") -> Da
 
 
 def global_pool_ids(pools: DataFrame) -> DataFrame:
-    """Pools over all profiles with one integer id.
-
-    Rank inside a profile plus the pool counts of the profiles before it; the
-    running count is over one row per profile.
-    """
-    inside = Window.partitionBy("profile_id").orderBy("pool_id")
-    counts = pools.groupBy("profile_id").agg(F.count_distinct("pool_id").alias("_n"))
-    before = Window.orderBy("profile_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (pools.withColumn("_rank", F.dense_rank().over(inside))
-            .join(F.broadcast(offsets), "profile_id")
-            .withColumn("global_pool", F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset"))
+    """Pools over all profiles with one integer id (R17): the place of (profile, pool) in their order, found by ranges."""
+    names = pools.select("profile_id", "pool_id").distinct()
+    placed = running(names, [], ["profile_id", "pool_id"], position="_place")
+    return pools.join(placed, ["profile_id", "pool_id"]).withColumn("global_pool", (F.col("_place") - 1).cast("int")).drop("_place")
 
 
 def describe_pools(spec: FactorSpec, assignment: DataFrame) -> DataFrame:

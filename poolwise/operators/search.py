@@ -9,6 +9,8 @@ from poolwise.operators.partitions import centred, deeper_boxes, score_space
 from poolwise.runtime import bounded, materialize, scalar, spread
 from poolwise.spec import FactorSpec
 
+# Losses are summed in another order than thresholds; whatever prunes before the last filter allows for this much.
+TOLERANCE = 1e-12
 # Cuts decided per frontier round: many at first, few once there can be many nodes.
 FIRST_BITS, LATER_BITS, FEW_NODES = 4, 2, 2**9
 # The frontier's plan grows by one join per round; write it out this often.
@@ -55,7 +57,7 @@ def frontier_set(spec: FactorSpec, cells: DataFrame, theta: float | Column, reg:
     penalty = f"{float(reg)!r}D * h"
     budget = "true" if max_pools is None else f"h <= {max_pools}"
     if boxes is None:
-        nodes = materialize(nodes.where(f"sse / {total} <= theta"), "frontier")
+        nodes = materialize(nodes.where(f"sse / {total} <= theta + {TOLERANCE!r}D"), "frontier")
         moments = centred(cells).join(nodes.select("profile_id"), "profile_id", "left_semi").withColumnRenamed("policy_id", "_rest").withColumn("box_id", F.lit(0).cast("long"))
         for i in range(spec.m):
             moments = deeper_boxes(spec, moments, i)
@@ -93,12 +95,12 @@ def _decided(spec: FactorSpec, nodes: DataFrame, errors: DataFrame, key: list[st
     children = (nodes.selectExpr("*", f"explode(if({spec.active_sql(i)}, array({drops}), array(0L))) as _drop")
                 .selectExpr("profile_id", "cut_mask - _drop as cut_mask", "theta", "sse", "_drop > 0 as _merge")
                 .selectExpr("*", f"{spec.pool_count_sql(decided)} as h")
-                .where(f"{budget} and {penalty} <= theta"))
+                .where(f"{budget} and {penalty} <= theta + {TOLERANCE!r}D"))
     unfolded = spec.mask_boxes(spread(children, "profile_id", "cut_mask"), only="_merge", factors=factors)
     return (unfolded.join(errors, key, "left")
             .groupBy("profile_id", "cut_mask", "theta", "h", "_merge", "sse").agg(F.sum("_box_sse").alias("_own"))
             .selectExpr("profile_id", "cut_mask", "theta", "if(_merge, coalesce(_own, 0.0D), sse) as sse", "h")
-            .where(f"sse / {total} + {penalty} <= theta").drop("h"))
+            .where(f"sse / {total} + {penalty} <= theta + {TOLERANCE!r}D").drop("h"))
 
 
 def _rounds(spec: FactorSpec) -> list[tuple[int, int, int]]:

@@ -14,6 +14,7 @@ from poolwise.sources.tables import load_model_set, read_table, save_model_set
 FULL = 15
 REG, THETA = 1e-4, 0.0055
 REG_M, THETA_M = 1e-3, 0.0206
+USED_POOLS = 13
 
 SINGLE = S.scores(fx.SINGLE, "single", REG, FULL)
 MULTI = S.scores(fx.MULTI, "multi", REG_M)
@@ -284,8 +285,20 @@ _BETWEEN = f"""{MODELS}, lowest as (select profile_id, min(q) mq from scored gro
 def near_used(spark, sf):
     cells = multi_cells(spark, sf)
     sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M), "sets")
-    found = M.near_optimal_models(fx.MULTI, cells, THETA_M, REG_M, sets=sets)
-    return M.used_partitions(sets, found).select("profile_id", "cut_mask", "h")
+    return M.usable_items(sets, _observed(cells), THETA_M).select("profile_id", "cut_mask", "h")
+
+
+def _observed(cells):
+    return cells.select("profile_id").distinct().count()
+
+
+@query("near_used_budget", f"""with {S.models(fx.MULTI, "multi", REG_M, THETA_M, USED_POOLS)}, used as (select distinct unnest(string_split(model_key, '|')) x from models)
+    select cast(split_part(x, ':', 1) as int) profile_id, cast(split_part(x, ':', 2) as bigint) cut_mask from used""")
+def near_used_budget(spark, sf):
+    """Partitions of models within a pool budget, from fronts of loss and pools; no model is made."""
+    cells = multi_cells(spark, sf)
+    sets = materialize(M.profile_sets(fx.MULTI, cells, THETA_M, REG_M, USED_POOLS), "sets")
+    return M.usable_items(sets, _observed(cells), THETA_M, USED_POOLS).select("profile_id", "cut_mask")
 
 
 @query("near_used_prefix", f"""with {_BETWEEN}, last as (select profile_id, max(round(q, 12)) top from scored semi join fits using (profile_id, cut_mask) group by 1)
@@ -355,12 +368,21 @@ REG_S, EPS_S = 0.02, 1.012
 _STRATA = S.scores(fx.ORDERS, "orders", REG_S, 7, by="segment", total_by_group=False)
 
 
-def _strata_theta(spark, sf, cells):
-    """1.012 times the best stratified loss."""
-    own = P.space_errors(fx.ORDERS, P.box_moments(fx.ORDERS, cells, ["segment"]), ["segment"], 7)
-    total = cells.agg(F.sum("n")).scalar()
-    best = (own.withColumn("_t", total).groupBy("segment").agg(F.min(F.col("sse") / F.col("_t") + REG_S * F.col("h")).alias("b")))
-    return best.agg(F.sum("b")).first()[0] * EPS_S
+def _strata(spark, sf):
+    """Cells by segment and over all segments, losses by segment, and 1.012 times the best stratified loss."""
+    both = materialize(C.stratified_cells(fx.ORDERS, fx.orders_strata(spark, sf), "segment").withColumn("profile_id", fx.ORDERS.profile_of_policy()), "cells")
+    cells, together = both.where("segment is not null"), both.where("segment is null").drop("segment")
+    scored = M.stratified_scores(fx.ORDERS, cells, "segment", REG_S, 7)
+    theta = scored.groupBy("segment").agg(F.min("q").alias("b")).agg(F.sum("b")).first()[0] * EPS_S
+    return cells, together, scored, theta
+
+
+def strata_collapsed(spark, sf):
+    """Stratified models, those alike in all strata replaced by the pooled one, and both cell tables."""
+    cells, together, scored, theta = _strata(spark, sf)
+    found = M.stratified_models(fx.ORDERS, scored, "segment", fx.SEGMENTS, theta)
+    pooled = R.exhaustive_set(fx.ORDERS, together, theta, REG_S, 7)
+    return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)), cells, together
 
 
 _STRATA_MODELS = f"""{_STRATA}, b as (select sum(mq) * {EPS_S} theta from (select min(q) mq from scored group by segment)),
@@ -373,8 +395,8 @@ _STRATA_MODELS = f"""{_STRATA}, b as (select sum(mq) * {EPS_S} theta from (selec
 
 @query("near_strata", f"with {_STRATA_MODELS} select model_key, round(loss, 8) loss, n_pools from models")
 def near_strata(spark, sf):
-    cells = C.cell_table(fx.ORDERS, fx.orders_strata(spark, sf), by=["segment"])
-    found = M.stratified_models(fx.ORDERS, cells, "segment", fx.SEGMENTS, _strata_theta(spark, sf, cells), REG_S, 7)
+    _, _, scored, theta = _strata(spark, sf)
+    found = M.stratified_models(fx.ORDERS, scored, "segment", fx.SEGMENTS, theta)
     return found.select("model_key", F.round("loss", 8).alias("loss"), "n_pools")
 
 
@@ -382,12 +404,7 @@ def near_strata(spark, sf):
     select case when p.cut_mask is null then model_key else '-1:' || one end model_key, p.cut_mask is not null is_pooled,
         round(coalesce(p.q, loss), 8) loss, coalesce(p.h, n_pools) n_pools from models left join pooled_set p on p.cut_mask = one""")
 def near_collapse(spark, sf):
-    obs = fx.orders_strata(spark, sf)
-    cells = C.cell_table(fx.ORDERS, obs, by=["segment"])
-    theta = _strata_theta(spark, sf, cells)
-    found = M.stratified_models(fx.ORDERS, cells, "segment", fx.SEGMENTS, theta, REG_S, 7)
-    pooled = R.exhaustive_set(fx.ORDERS, C.cell_table(fx.ORDERS, obs), theta, REG_S, 7)
-    return M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)).select("model_key", "is_pooled", F.round("loss", 8).alias("loss"), "n_pools")
+    return strata_collapsed(spark, sf)[0].select("model_key", "is_pooled", F.round("loss", 8).alias("loss"), "n_pools")
 
 
 @query("post_effects_strata", f"""with {_STRATA_MODELS}, pooled_set as (with {S.scores(fx.ORDERS, 'orders', REG_S, 7)} select cut_mask, q, h from scored, b where q <= theta),
@@ -402,13 +419,8 @@ def near_collapse(spark, sf):
     select segment, policy_id, round(sum(w * m) / sum(w), 7) beta from fits group by 1, 2""")
 def post_effects_strata(spark, sf):
     """Posterior effects of each stratum; models alike in all strata speak with the pooled means."""
-    obs = fx.orders_strata(spark, sf)
-    cells = C.cell_table(fx.ORDERS, obs, by=["segment"])
-    theta = _strata_theta(spark, sf, cells)
-    found = M.stratified_models(fx.ORDERS, cells, "segment", fx.SEGMENTS, theta, REG_S, 7)
-    together = C.cell_table(fx.ORDERS, obs)
-    pooled = R.exhaustive_set(fx.ORDERS, together, theta, REG_S, 7)
-    models = materialize(M.collapse_homogeneous(found, pooled, len(fx.SEGMENTS)), "models")
+    models, cells, together = strata_collapsed(spark, sf)
+    models = materialize(models, "models")
     beta = B.stratified_effects(fx.ORDERS, models, fx.SEGMENTS, "segment", P.box_moments(fx.ORDERS, cells, ["segment"]), P.box_moments(fx.ORDERS, together), 7)
     return beta.join(cells.select("segment", "policy_id"), ["segment", "policy_id"], "left_semi").select("segment", "policy_id", F.round("beta", 7).alias("beta"))
 

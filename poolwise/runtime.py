@@ -24,18 +24,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/poolwise/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write the rows once to the shared folder and go on from there.
 
     Unlike a cached table it survives lost executors, and the plan above it
-    starts again from a plain scan with known size.
+    starts again from a plain scan with known size.  The table belongs to the
+    session's application: ``discard`` removes it, ``clear`` all that are left.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            _remove(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all written tables of this application, results that were not saved elsewhere included."""
+    _remove(spark, _own_dir(spark))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/poolwise/{spark.sparkContext.applicationId}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_an_unlisted_stratum_is_named(spark):
     rows = spark.createDataFrame([(1, 1, 2.0, "x"), (2, 1, 3.0, "y"), (1, 2, 1.0, "z")], "a int, b int, y double, s string")
     cells = C.cell_table(SPEC, rows, by=["s"])
     with pytest.raises(PySparkException, match="not among the listed strata: z"):
-        M.stratified_models(SPEC, cells, "s", ["x", "y"], 5.0, 0.1, SPEC.full_profile).collect()
+        M.stratified_models(SPEC, M.stratified_scores(SPEC, cells, "s", 0.1, SPEC.full_profile), "s", ["x", "y"], 25.0).collect()
 
 
 def test_collapsed_models_take_loss_and_size_of_the_pooled_one(spark):

@@ -180,14 +180,39 @@ def test_combine_with_a_heavy_band(spark):
     right = [(1, 0.5 if k % 3 == 0 else k / 1200, 1, [f"b{k}"]) for k in range(1200)]
     items = spark.createDataFrame(left + right, "slot int, q double, h long, members array<string>")
     want = sum(1 for a in left for b in right if a[1] + b[1] <= 0.9)
-    old = M.SALT_FROM
-    M.SALT_FROM = 1
+    old = M.PAIRS_PER_SALT
     try:
-        got = M.combine(items, 2, 0.9)
-        assert got.count() == want
-        assert got.select(F.concat_ws("|", F.array_sort("members"))).distinct().count() == want
+        for M.PAIRS_PER_SALT in (10, 100_000, old):
+            got = M.combine(items, 2, 0.9)
+            assert got.count() == want
+            assert got.select(F.concat_ws("|", F.array_sort("members"))).distinct().count() == want
     finally:
-        M.SALT_FROM = old
+        M.PAIRS_PER_SALT = old
+
+
+def test_combine_many_slots(spark):
+    """2^14 slots, most of them with one item: nothing of their number reaches the driver or the plan."""
+    n = 1 << 14
+    open_slots = {5: [0.1, 0.2, 0.4], 77: [0.0, 0.3], 9000: [0.2, 0.25], n - 1: [0.5, 0.6, 0.7]}
+    choices = F.expr("case id " + " ".join(f"when {k} then array({', '.join(f'{q}D' for q in v)})" for k, v in open_slots.items()) + " else array(0.0D) end")
+    items = spark.range(n).select(F.col("id").cast("int").alias("slot"), F.posexplode(choices).alias("k", "q"))
+    items = items.select("slot", "q", F.lit(1).cast("long").alias("h"), F.expr("if(q > 0 or slot in (5, 77, 9000, 16383), array(concat(slot, ':', k)), cast(array() as array<string>))").alias("members"))
+    got = Counter(tuple(sorted(r.members)) for r in M.combine(items, n, 1.21).select("members").collect())
+    want = Counter(tuple(sorted(f"{s}:{k}" for s, k in zip(open_slots, combo))) for combo in product(*[range(len(v)) for v in open_slots.values()])
+                   if sum(open_slots[s][k] for s, k in zip(open_slots, combo)) <= 1.21)
+    assert got == want and len(want) > 10
+
+
+@pytest.mark.parametrize("n_slots,sizes", [(1, [5]), (2, [4, 3]), (5, [6, 3, 1, 4, 5]), (7, [3, 2, 4, 1, 2, 3, 2])])
+def test_usable_items_against_product(spark, n_slots, sizes):
+    rng = random.Random(40 + n_slots)
+    sets = {s: [(round(rng.random(), 3), rng.randint(0, 4), f"{s}:{k}") for k in range(n)] for s, n in enumerate(sizes)}
+    items = spark.createDataFrame([(3 * s + 1, q, h, name) for s, v in sets.items() for q, h, name in v], "profile_id int, q double, h long, name string")
+    floor = sum(min(q for q, _, _ in v) for v in sets.values())
+    for theta, budget in ((floor + 0.3, None), (floor + 0.6, 2 * n_slots), (floor + 0.6, n_slots), (floor - 0.01, 50), (floor + 0.2, None)):
+        used = {name for combo in _brute_models(sets, theta, budget) for name in combo}
+        assert {r["name"] for r in M.usable_items(items, n_slots, theta, budget).collect()} == used
+    assert M.usable_items(items, n_slots + 1, floor + 9, None).count() == M.usable_items(items, n_slots + 1, floor + 9, 99).count() == 0
 
 
 def test_models_without_data_in_some_profiles(spark):
