@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwise.functions.groups import attach
 from poolwise.functions.running import running
+from poolwise.operators.prep import quantiles
 from poolwise.runtime import bounded, materialize
 from poolwise.spec import FactorSpec
 
@@ -58,13 +61,7 @@ def stratified_effects(spec: FactorSpec, models: DataFrame, values: list, stratu
     Keys of ``models`` name the mask of each stratum by its place in ``values``, or once, as ``-1``, the mask of a model
     that serves all strata; such a model speaks with the means of all strata together (``pooled_boxes``).
     """
-    weighted = models.withColumn("_best", models.agg(F.min("loss")).scalar())
-    parts = (weighted.select(F.exp(F.col("_best") - F.col("loss")).alias("weight"), F.explode(F.split("model_key", "[|]")).alias("_p"))
-             .selectExpr("weight", "cast(split_part(_p, ':', 1) as int) as _slot", "cast(split_part(_p, ':', 2) as bigint) as cut_mask"))
-    strata = F.array(*[F.lit(v) for v in values])
-    named = F.when(F.col("_slot") < 0, strata).otherwise(F.array(F.get(strata, F.col("_slot"))))
-    per = (parts.groupBy("_slot", "cut_mask").agg(F.sum("weight").alias("weight"))
-           .select(F.explode(named).alias(stratum), (F.col("_slot") < 0).alias("_pooled"), "cut_mask", "weight", F.lit(profile_id).alias("profile_id")))
+    per = _stratum_masks(models, values, stratum, profile_id)
     per_box = spec.mask_boxes(per).groupBy(stratum, "_pooled", "box_id").agg(F.sum("weight").alias("_w"))
     shared = bounded(pooled_boxes.select("box_id", "mean_y"), spec.n_boxes)
     means = (per_box.where("not _pooled").join(own_boxes.select(stratum, "box_id", "mean_y"), [stratum, "box_id"], "left")
@@ -80,9 +77,10 @@ def top_cells(effects: DataFrame, k: int, best: bool = True, column: str = "beta
 
 
 def effect_error(estimate: DataFrame, truth: DataFrame) -> DataFrame:
-    """L2 distance between two cell-effect tables."""
-    return (estimate.select("policy_id", F.col("beta").alias("_a")).join(truth.select("policy_id", F.col("beta").alias("_b")), "policy_id")
-            .agg(F.sqrt(F.sum(F.pow(F.col("_a") - F.col("_b"), F.lit(2.0)))).alias("l2_error")))
+    """L2 distance between two cell-effect tables (B5).  A cell that one table lacks has effect 0 there, as a pool without data has."""
+    both = estimate.select("policy_id", F.col("beta").alias("_a")).join(truth.select("policy_id", F.col("beta").alias("_b")), "policy_id", "full")
+    apart = F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))
+    return both.agg(F.sqrt(F.coalesce(F.sum(apart * apart), F.lit(0.0))).alias("l2_error"))
 
 
 def contains_partition(scored: DataFrame, profile_id: int, cut_mask: int) -> DataFrame:
@@ -145,6 +143,31 @@ def effects_vs_base(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, k
             .drop("mean_y", "_base"))
 
 
+def stratified_effects_vs_base(spec: FactorSpec, models: DataFrame, values: list, stratum: str, own_boxes: DataFrame, pooled_boxes: DataFrame,
+                               profile_id: int) -> DataFrame:
+    """Effect of each level against level 1 per stratum (B8), over stratified models, collapsed ones included.
+
+    Rows are those of ``effects_vs_base`` with the stratum, whether the mask is that of a model for all strata (``pooled``), and
+    the ``weight`` of the models that use it; a pooled mask speaks in every stratum, with the means of all together.
+    """
+    parts = _stratum_masks(models, values, stratum, profile_id)
+    own = effects_vs_base(spec, parts.where("not _pooled"), own_boxes, keep=["weight"], by=[stratum]).withColumn("pooled", F.lit(False))
+    masks = parts.where("_pooled").select("profile_id", "cut_mask", "weight").distinct()
+    shared = effects_vs_base(spec, masks, pooled_boxes, keep=["weight"]).select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(stratum), F.lit(True).alias("pooled"))
+    return own.unionByName(shared)
+
+
+def _stratum_masks(models: DataFrame, values: list, stratum: str, profile_id: int) -> DataFrame:
+    """(stratum, _pooled, cut_mask, weight, profile_id): the masks that models name for each stratum, weights exp(best loss - loss)."""
+    weighted = models.withColumn("_best", models.agg(F.min("loss")).scalar())
+    parts = (weighted.select(F.exp(F.col("_best") - F.col("loss")).alias("weight"), F.explode(F.split("model_key", "[|]")).alias("_p"))
+             .selectExpr("weight", "cast(split_part(_p, ':', 1) as int) as _slot", "cast(split_part(_p, ':', 2) as bigint) as cut_mask"))
+    strata = F.array(*[F.lit(v) for v in values])
+    named = F.when(F.col("_slot") < 0, strata).otherwise(F.array(F.get(strata, F.col("_slot"))))
+    return (parts.groupBy("_slot", "cut_mask").agg(F.sum("weight").alias("weight"))
+            .select(F.explode(named).alias(stratum), (F.col("_slot") < 0).alias("_pooled"), "cut_mask", "weight", F.lit(profile_id).alias("profile_id")))
+
+
 def spread_of(effects: DataFrame, by: list[str], count: str = "n_cells") -> DataFrame:
     """Population standard deviation and mean of effects that stand for ``count`` cells each."""
     apart = F.col("effect") - F.col("_mean")
@@ -232,9 +255,16 @@ def cumulative_mass(scored: DataFrame, by: list[str] = (), digits: int = 12) ->
             .withColumn("ratio_step", F.col("ratio") - F.col("_prior")).drop("_prior", "_key"))
 
 
-def category_summary(effects: DataFrame, category: Column, by: list[str] = (), column: str = "beta") -> DataFrame:
-    """Distribution of cell effects per coarser category."""
-    return (effects.withColumn("category", category).groupBy("category", *by)
-            .agg(F.count("*").alias("n_cells"), F.avg(column).alias("mean_effect"),
-                 F.min(column).alias("min_effect"), F.percentile(column, F.lit(0.5)).alias("median_effect"),
-                 F.max(column).alias("max_effect")))
+def category_summary(effects: DataFrame, category: Column, by: list[str] = (), column: str = "beta", shares: Sequence[float] = (0.5,)) -> DataFrame:
+    """Distribution of cell effects per coarser category.
+
+    ``quantiles`` has the exact quantiles at ``shares``, found by ranges, so a heavy category is spread over tasks; the
+    median stands alone too where it is among them.
+    """
+    by = ["category", *by]
+    rows = materialize(effects.withColumn("category", category), "categories")
+    found = quantiles(rows, column, shares, by)
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n_cells"), F.avg(column).alias("mean_effect"), F.min(column).alias("min_effect"), F.max(column).alias("max_effect"))
+    same = [F.col(f"w.{b}").eqNullSafe(F.col(f"q.{b}")) for b in by]
+    joined = whole.alias("w").join(found.alias("q"), same, "left").select("w.*", "q.quantiles")
+    return joined.withColumn("median_effect", F.get("quantiles", F.lit(list(shares).index(0.5)))) if 0.5 in shares else joined

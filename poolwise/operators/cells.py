@@ -81,9 +81,10 @@ def stratified_cells(spec: FactorSpec, obs: DataFrame, stratum: str, y: str = "y
     """Cell moments per stratum and, with a null stratum, over all strata.
 
     The facts are reduced to (stratum, cell) first and only these moments are
-    doubled for the total, so the facts are shuffled once for both groupings.
+    doubled for the total.  They are written before their centre is taken, so the
+    facts are read and shuffled once.
     """
-    per = cell_moments(spec, obs, y, [stratum])
+    per = cell_table(spec, obs, y, [stratum])
     centre = per.agg(F.sum("sum_y") / F.sum("n")).scalar()
     d = F.col("mean_y") - F.col("_centre")
     both = (per.withColumn("_centre", centre)

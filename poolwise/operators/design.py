@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from poolwise.runtime import materialize, scalar
+from poolwise.runtime import discard, materialize
 from poolwise.spec import FactorSpec, unfold
 
 
@@ -122,35 +122,47 @@ def surviving_edges(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
             .selectExpr("profile_id", "cut_mask", "src", f"inline(filter(array({', '.join(steps)}), s -> s is not null))"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] = (), every: int = 4) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Smallest node id reachable over undirected edges (D14), for edges given by the user.
 
-    Each round takes the smallest label among the neighbours and then jumps
-    to the label of that label, so chains shrink geometrically.  The lineage
-    is cut through the shared folder every round, which also makes the stop
-    test a scan of two small columns.
+    Large and small stars in turn: every node links its larger neighbours, then its smaller ones, to the smallest node it
+    knows.  Depths shrink geometrically and edges never grow in number, so a chain of n takes about log n rounds.  Minima
+    combine map-side and are written before the edges meet them, so a node with most of the edges is split like any
+    skewed join.  Each round is written, the one before removed.
     """
     by = list(by)
-    both = edges.select(*by, "src", "dst").union(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.distinct(), "edges")
-    labels = materialize(nodes.select(*by, F.col("node"), F.col("node").alias("component")), "labels")
-    while True:
-        near = (both.join(labels.withColumnRenamed("node", "src"), by + ["src"])
-                .groupBy(*by, F.col("dst").alias("node")).agg(F.min("component").alias("_near")))
-        step = (labels.join(near, by + ["node"], "left")
-                .withColumn("_low", F.least("component", "_near")))
-        jump = step.select(*by, F.col("node").alias("_low"), F.col("_low").alias("_far"))
-        new = (step.join(jump, by + ["_low"], "left")
-               .select(*by, "node", F.least("_low", "_far").alias("component"),
-                       (F.least("_low", "_far") < F.col("component")).alias("moved")))
-        new = materialize(new, "labels")
-        labels = new.drop("moved")
-        if not scalar(new.agg(F.max("moved"))):
-            return labels
+    keyed = edges.select(*by, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct()
+    keyed = materialize(keyed, "edges")
+    marks = (F.count(F.lit(1)), F.bit_xor(F.xxhash64(*by, "a", "b")), F.sum(F.pmod(F.xxhash64("b", "a", *by), F.lit(1 << 31))))
+    before = keyed.agg(*marks).first()
+    while before[0]:
+        both = keyed.union(keyed.select(*by, "b", "a"))
+        low = materialize(both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, "a", F.least("a", "m").alias("m")), "low")
+        large = both.where("b > a").join(low, by + ["a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large")
+        least = materialize(large.groupBy(*by, "a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least, by + ["a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least).distinct()
+        small = materialize(small, "edges")
+        discard(keyed, low, large, least)
+        keyed, after = small, small.agg(*marks).first()
+        if after == before:
+            break
+        before = after
+    roots = keyed.groupBy(*by, F.col("a").alias("node")).agg(F.min("b").alias("_root"))
+    return nodes.select(*by, "node").join(roots, by + ["node"], "left").select(*by, "node", F.coalesce("_root", "node").alias("component"))
 
 
 def sorted_check(df: DataFrame, by: str, position: str, key: Column) -> DataFrame:
-    """Whether the key ascends along ``position`` inside each group."""
-    w = Window.partitionBy(by).orderBy(position)
-    ok = df.select(by, (key >= F.coalesce(F.lag(key).over(w), key)).alias("_ok"))
-    return ok.groupBy(by).agg(F.bool_and("_ok").alias("is_sorted"))
+    """Whether the key ascends along ``position`` inside each group.
+
+    Rows are dealt out by ranges of (group, position), so a group of any size is spread over tasks: each range checks its
+    own rows, and of each range only its first and last key meet those of the next.
+    """
+    ranged = df.select(F.col(by), F.col(position).alias("_at"), key.alias("_key")).repartitionByRange(by, "_at")
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(by, "_range").orderBy("_at")
+    own = (ranged.select(by, "_range", "_at", "_key", (F.col("_key") >= F.lag("_key").over(inside)).alias("_ok"))
+           .groupBy(by, "_range").agg(F.bool_and(F.coalesce("_ok", F.lit(True))).alias("_ok"), F.min_by("_key", "_at").alias("_first"), F.max_by("_key", "_at").alias("_last")))
+    across = Window.partitionBy(by).orderBy("_range")
+    joined = own.select(by, (F.col("_ok") & F.coalesce(F.col("_first") >= F.lag("_last").over(across), F.lit(True))).alias("_ok"))
+    return joined.groupBy(by).agg(F.bool_and("_ok").alias("is_sorted"))

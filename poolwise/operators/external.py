@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from poolwise.operators.design import lattice_edges
-from poolwise.runtime import bounded
+from poolwise.runtime import bounded, materialize
 from poolwise.spec import FactorSpec
 
 
@@ -44,32 +44,37 @@ def permissible(spec: FactorSpec, assign: DataFrame) -> DataFrame:
             .select("partition_id", "all_boxes", (F.col("all_boxes") & F.coalesce("_even", F.lit(True))).alias("is_permissible")))
 
 
-def external_keys(spec: FactorSpec, assign: DataFrame) -> DataFrame:
-    """Order-free key of each external partition: its sorted boxes; null if a pool is no box."""
+def external_boxes(spec: FactorSpec, assign: DataFrame) -> DataFrame:
+    """(partition_id, box_id) of the pools of external partitions; null for a pool that is no box."""
     volume, code = F.lit(1), F.lit(0).cast("long")
     for i in range(spec.m):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         volume = volume * (hi - lo + 1)
         inner = F.when(hi > 0, lo * spec.levels[i] + hi).otherwise(F.lit(0)).cast("long")
         code = code + inner * F.lit(spec.box_strides[i]).cast("long")
-    pools = _extent(spec, assign).select("partition_id", F.when(volume == F.col("n_cells"), code).alias("box_id"))
-    return (pools.groupBy("partition_id")
-            .agg(F.bool_and(F.col("box_id").isNotNull()).alias("_ok"),
-                 F.array_join(F.array_sort(F.collect_list("box_id")), ",").alias("pool_key"))
-            .select("partition_id", F.when(F.col("_ok"), F.col("pool_key")).alias("pool_key")))
+    return _extent(spec, assign).select("partition_id", F.when(volume == F.col("n_cells"), code).alias("box_id"))
 
 
-def partition_keys(spec: FactorSpec, partitions: DataFrame) -> DataFrame:
-    """The same key for partitions given by cut masks."""
-    pools = spec.mask_boxes(partitions.select("profile_id", "cut_mask"))
-    return (pools.groupBy("profile_id", "cut_mask")
-            .agg(F.array_join(F.array_sort(F.collect_list("box_id")), ",").alias("pool_key")))
+def _prints(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Number of boxes of each partition and 128 bits that do not depend on their order."""
+    second = F.xxhash64("box_id", F.lit("second"))
+    return boxes.groupBy(*by).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("box_id")).alias("_one"), F.bit_xor(second).alias("_two"), F.count("box_id").alias("_boxes"))
 
 
 def overlap_with_set(spec: FactorSpec, assign: DataFrame, partitions: DataFrame) -> DataFrame:
-    """External partitions that equal some partition of the set."""
-    known = partition_keys(spec, partitions).select("pool_key")
-    return external_keys(spec, assign).join(known, "pool_key", "left_semi").select("partition_id")
+    """External partitions that equal some partition of the set.
+
+    Partitions are paired by the fingerprints of their boxes, which add up map-side, so no row holds all boxes of a
+    partition; then the boxes of each pair are compared one by one, so no fingerprint decides.
+    """
+    theirs = materialize(external_boxes(spec, assign), "boxes")
+    ours = spec.mask_boxes(partitions.select("profile_id", "cut_mask").distinct())
+    print_of = ["_n", "_one", "_two"]
+    pairs = _prints(theirs, ["partition_id"]).where("_n = _boxes").join(_prints(ours, ["profile_id", "cut_mask"]), print_of)
+    pairs = materialize(pairs.select("partition_id", "profile_id", "cut_mask", "_n"), "pairs")
+    chosen = spec.mask_boxes(pairs)
+    same = chosen.join(theirs, ["partition_id", "box_id"]).groupBy("partition_id", "profile_id", "cut_mask", "_n").agg(F.count("*").alias("_same"))
+    return same.where("_same = _n").select("partition_id").distinct()
 
 
 def replicate_means(results: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

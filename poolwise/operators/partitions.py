@@ -9,7 +9,7 @@ has.  Nothing of size partitions x cells is formed.
 
 from __future__ import annotations
 
-from math import prod
+from math import comb, prod
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +18,8 @@ from poolwise.spec import FactorSpec
 
 # Spaces with more box lookups than this are summed factor by factor instead.
 LOOKUPS = 2_000_000
+# Fitted cells, some 30 bytes each, that are sent to all facts.
+SENT_ROWS = 500_000
 # Sum up the boxes found so far when the next expansion would exceed this many rows.
 STAGE_ROWS = 2_000_000
 
@@ -282,19 +284,40 @@ def pool_means(spec: FactorSpec, partitions: DataFrame, boxes: DataFrame, by: li
     return spec.mask_boxes(partitions).join(side, by + ["box_id"], "left").fillna(0, ["n", "sum_y", "mean_y"])
 
 
-def predict(spec: FactorSpec, rows: DataFrame, partitions: DataFrame, boxes: DataFrame) -> DataFrame:
+def predict(spec: FactorSpec, rows: DataFrame, partitions: DataFrame, boxes: DataFrame, salts: int = 16) -> DataFrame:
     """Fitted pool mean for each row under each chosen partition of its profile.
 
-    Chosen partitions become a (cell, fitted) table first, of design size; the
-    facts meet it by cell and are never expanded by pools.
+    Chosen partitions become a (cell, fitted) table first, of design size; the facts meet it by cell and are never
+    expanded by pools.  Where its bound, cells times partitions, is small it is sent to the facts; beyond, facts are
+    dealt over ``salts`` copies of it, so a cell that holds a third of them is split.
     """
     fitted = (assign_pools(spec, partitions)
               .join(bounded(boxes.select("box_id", F.col("mean_y").alias("fitted")), spec.n_boxes), "box_id", "left")
               .fillna(0.0, ["fitted"])
               .select("policy_id", "cut_mask", "pool_id", "fitted"))
-    return rows.withColumn("policy_id", spec.policy_id()).join(fitted, "policy_id")
+    facts = rows.withColumn("policy_id", spec.policy_id())
+    if spec.n_policies * partitions.count() <= SENT_ROWS:
+        return facts.join(F.broadcast(fitted), "policy_id")
+    facts = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return facts.join(fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["policy_id", "_salt"]).drop("_salt")
 
 
 def count_by_size(scored: DataFrame) -> DataFrame:
-    """Number of partitions with each pool count."""
+    """Number of partitions with each pool count (R12), of a scored space."""
     return scored.groupBy("profile_id", "h").agg(F.count("*").alias("n_partitions"))
+
+
+def partition_sizes(spec: FactorSpec, profiles: DataFrame) -> DataFrame:
+    """The same for whole spaces of any size, without listing a partition: profile_id, h and n_partitions.
+
+    A factor with b cut positions has C(b, k) ways to make k + 1 segments, and pool counts multiply, so the counts of
+    the factors are convolved one after the other.  Rows are pool counts, not partitions.
+    """
+    df = profiles.select("profile_id").distinct().selectExpr("profile_id", "1L as h", "cast(1 as decimal(38, 0)) as n_partitions")
+    for i in range(spec.m):
+        if spec.bits[i]:
+            ways = ", ".join(f"named_struct('_k', {k + 1}L, '_ways', cast({comb(spec.bits[i], k)} as decimal(19, 0)))" for k in range(spec.bits[i] + 1))
+            df = (df.selectExpr("*", f"inline(if({spec.active_sql(i)}, array({ways}), array(named_struct('_k', 1L, '_ways', cast(1 as decimal(19, 0))))))")
+                  .selectExpr("profile_id", "h * _k as h", "cast(n_partitions * _ways as decimal(38, 0)) as n_partitions")
+                  .groupBy("profile_id", "h").agg(F.sum("n_partitions").cast("decimal(38, 0)").alias("n_partitions")))
+    return df.withColumn("n_partitions", F.col("n_partitions").cast("long"))

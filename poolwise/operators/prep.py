@@ -91,16 +91,31 @@ def quantile_edges(df: DataFrame, column: str, parts: int, by: list[str] = (), e
     if not exact:
         probs = [k / parts for k in range(parts + 1)]
         return present.groupBy(*by).agg(F.percentile_approx(column, probs, accuracy).alias("edges"))
-    counts = present.groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    ranked = running(counts, by, ["_v"], sums={"_upto": "_c"}, position=None)
-    ranked = attach(materialize(ranked, "ranked"), by, _n=F.max("_upto"))
+    return quantiles(present, column, [k / parts for k in range(parts + 1)], by).withColumnRenamed("quantiles", "edges")
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: list[str] = ()) -> DataFrame:
+    """Exact quantiles at ``shares`` of 0 to 1, as the array ``quantiles``, of each group or of the whole column.
+
+    Linear between the two neighbouring ranks, nulls left out.  Each distinct value is counted once, the counts are
+    ranked by ranges, and the few values needed are picked by aggregation, so no task holds a group.
+    """
+    by = list(by)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = materialize(running(counts, by, ["_v"], sums={"_upto": "_c"}, position=None), "ranked")
+    totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_n"))
+    if by:
+        same = [F.col(f"r.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by]
+        ranked = ranked.alias("r").join(totals.alias("t"), same).select(*[F.col(f"r.{b}").alias(b) for b in by], "_v", "_upto", "_n")
+    else:
+        ranked = ranked.withColumn("_n", totals.scalar())
     picks = []
-    for k in range(parts + 1):
-        place = F.lit(k / parts) * (F.col("_n") - 1)
+    for share in shares:
+        place = F.lit(float(share)) * (F.col("_n") - 1)
         low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
         high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
         picks.append(low + F.max(place - F.floor(place)) * (high - low))
-    return ranked.groupBy(*by).agg(F.array(*picks).alias("edges"))
+    return ranked.groupBy(*by).agg(F.array(*picks).alias("quantiles"))
 
 
 def quantile_cut(df: DataFrame, column: str, parts: int, out: str, exact: bool = True) -> DataFrame:

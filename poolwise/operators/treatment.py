@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poolwise.functions.groups import attach
+from poolwise.functions.running import running
 from poolwise.runtime import bounded, materialize, scalar
 from poolwise.spec import FactorSpec
 
-# Spread the growing matchings over tasks again after this many treated pools.
+# Deal out the growing matchings in each of the first rounds, then after this many treated pools.
 ROUNDS_PER_SHUFFLE = 4
 
 
@@ -111,48 +113,42 @@ def search_merges(spec: FactorSpec, base: DataFrame, costs: DataFrame, n_total:
 
     ``base`` has (rest_profile, mask_t, mask_c, sse, h).  Treated pools are
     taken one after the other; a row either leaves the pool alone or unites it
-    with a control pool it has not used.  Costs add up, so a row is dropped as
-    soon as its loss plus the best that the open pools can still give exceeds
-    theta.  Growing rows are reshuffled every few pools, so one pair with many
-    matchings does not stay in one task.  ``merge_reg`` replaces the penalty
-    of merged rows.
+    with a control pool it has not used.  The choices of a round stand in a table
+    of their own, with the best that the pools after it can still give, and meet
+    the rows by pair; costs add up, so a row is dropped as soon as its loss plus
+    that best exceeds theta.  Rows carry their merges only.  They are dealt out by
+    pair and merges from the first round on, so one pair with many matchings
+    spreads as it grows.  ``merge_reg`` replaces the penalty of merged rows.
     """
     keys = ["rest_profile", "mask_t", "mask_c"]
-    option = F.struct(F.col("box_c").alias("box_c"), F.col("d_sse").alias("d_sse"))
-    per_pool = costs.groupBy(*keys, "box_t").agg(F.array_sort(F.collect_list(option)).alias("options"))
-    per_pair = per_pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("box_t", "options"))).alias("pools"))
-    df = base.join(per_pair, keys, "left")
-    gain = lambda o: F.least(F.lit(0.0), o["d_sse"] / F.lit(float(n_total)) - F.lit(float(reg)))
-    none = F.expr("cast(array() as array<struct<box_t:bigint,box_c:bigint>>)")
-    df = (df.withColumn("pools", F.coalesce("pools", F.expr("cast(array() as array<struct<box_t:bigint,options:array<struct<box_c:bigint,d_sse:double>>>>)")))
-          .withColumn("_best", F.transform("pools", lambda p: F.array_min(F.transform(p["options"], gain))))
-          .withColumn("_open", F.aggregate("_best", F.lit(0.0), lambda a, b: a + b))
-          .withColumn("merges", none))
-    df = materialize(df, "matchings")
-    rounds = scalar(df.agg(F.max(F.size("pools")))) or 0
-    loss = F.col("sse") / F.lit(float(n_total)) + F.lit(float(reg)) * F.col("h")
-    for r in range(rounds):
-        has = F.size("pools") > r
-        pool = F.get("pools", F.lit(r))
-        free = F.filter(pool["options"], lambda o: ~F.exists("merges", lambda m: m["box_c"] == o["box_c"]))
+    n, lam = F.lit(float(n_total)), F.lit(float(reg))
+    costs = materialize(costs.select(*keys, "box_t", "box_c", "d_sse"), "costs")
+    pools = costs.groupBy(*keys, "box_t").agg(F.least(F.lit(0.0), F.min(F.col("d_sse") / n - lam)).alias("_gain"))
+    pools = materialize(running(pools, keys, ["box_t"], sums={"_upto": "_gain"}, position="_round"), "pools")
+    pools = attach(pools, keys, _all=F.sum("_gain")).withColumn("_left", F.col("_all") - F.col("_upto"))
+    none = F.struct(F.lit(None).cast("long").alias("box_c"), F.lit(0.0).alias("d_sse"))
+    choices = pools.join(costs, keys + ["box_t"]).select(*keys, "_round", "_left", "box_t", "box_c", "d_sse")
+    choices = materialize(choices.unionByName(pools.select(*keys, "_round", "_left", "box_t", none.alias("_o")).select(*keys, "_round", "_left", "box_t", "_o.*")), "choices")
+    df = materialize(base.select(*keys, "sse", "h").withColumn("merges", F.expr("cast(array() as array<struct<box_t:bigint,box_c:bigint>>)")), "matchings")
+    rounds = scalar(choices.agg(F.max("_round"))) or 0
+    loss = F.col("sse") / n + lam * F.col("h")
+    for r in range(1, rounds + 1):
+        free = F.expr("box_c is null or not exists(merges, m -> m.box_c = box_c)")
         if max_merges is not None:
-            free = F.when(F.size("merges") < max_merges, free).otherwise(F.filter(free, lambda o: F.lit(False)))
-        skip = F.array(F.struct(F.lit(None).cast("long").alias("box_c"), F.lit(0.0).alias("d_sse")))
-        df = (df.withColumn("_o", F.explode(F.when(has, F.concat(skip, free)).otherwise(skip)))
-              .withColumn("merges", F.when(F.col("_o.box_c").isNotNull(),
-                                           F.concat("merges", F.array(F.struct(pool["box_t"].alias("box_t"), F.col("_o.box_c").alias("box_c")))))
-                          .otherwise(F.col("merges")))
-              .withColumn("sse", F.col("sse") + F.col("_o.d_sse"))
-              .withColumn("h", F.when(F.col("_o.box_c").isNotNull(), F.col("h") - 1).otherwise(F.col("h")))
-              .withColumn("_open", F.col("_open") - F.coalesce(F.get("_best", F.lit(r)), F.lit(0.0)))
-              .drop("_o"))
+            free = free & (F.col("box_c").isNull() | (F.size("merges") < max_merges))
+        merged = F.col("box_c").isNotNull()
+        df = (df.join(choices.where(F.col("_round") == r).drop("_round"), keys, "left").where(free)
+              .select(*keys, (F.col("sse") + F.coalesce("d_sse", F.lit(0.0))).alias("sse"), F.when(merged, F.col("h") - 1).otherwise(F.col("h")).alias("h"),
+                      F.when(merged, F.concat("merges", F.array(F.struct("box_t", "box_c")))).otherwise(F.col("merges")).alias("merges"),
+                      F.coalesce("_left", F.lit(0.0)).alias("_left")))
         if merge_reg is None:
             # a hair of slack: the open gains are summed in another order than the losses
-            df = df.where(loss + F.col("_open") <= theta + 1e-12)
-        if (r + 1) % ROUNDS_PER_SHUFFLE == 0 and r + 1 < rounds:
+            df = df.where(loss + F.col("_left") <= theta + 1e-12)
+        df = df.drop("_left")
+        if r < rounds and (r < ROUNDS_PER_SHUFFLE or r % ROUNDS_PER_SHUFFLE == 0):
             df = materialize(df.repartition(*keys, "merges"), "matchings")
     final = loss if merge_reg is None else \
-        F.col("sse") / F.lit(float(n_total)) + F.col("h") * F.when(F.size("merges") > 0, F.lit(float(merge_reg))).otherwise(F.lit(float(reg)))
+        F.col("sse") / n + F.col("h") * F.when(F.size("merges") > 0, F.lit(float(merge_reg))).otherwise(lam)
     return df.withColumn("q", final).where(F.col("q") <= theta).select(*keys, "merges", "sse", "h", "q")
 
 

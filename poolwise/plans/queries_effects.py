@@ -469,7 +469,17 @@ def post_cumulative_mass(spark, sf):
     round(min(beta), 7) min_effect, round(quantile_cont(beta, 0.5), 7) median_effect, round(max(beta), 7) max_effect from beta join cells c using (policy_id) group by 1, 2""")
 def post_category_summary(spark, sf):
     effects = _beta(spark, sf).select("policy_id", "beta", fx.SINGLE.level(0).alias("qty"), fx.SINGLE.level(3).alias("flag"))
-    return rounded(B.category_summary(effects, F.when(F.col("qty") <= 2, "small").otherwise("large"), ["flag"]), 7)
+    return rounded(B.category_summary(effects, F.when(F.col("qty") <= 2, "small").otherwise("large"), ["flag"]).drop("quantiles"), 7)
+
+
+@query("post_category_quantiles", f"""with {_W} select case when c.qty <= 2 then 'small' else 'large' end category, {', '.join(f'round(quantile_cont(beta, {p}), 7) q{int(p * 100)}' for p in (0.05, 0.25, 0.75, 0.95))}
+    from beta join cells c using (policy_id) group by 1""")
+def post_category_quantiles(spark, sf):
+    """Outer and inner quantiles of the effects per category."""
+    effects = _beta(spark, sf).select("policy_id", "beta", fx.SINGLE.level(0).alias("qty"))
+    shares = (0.05, 0.25, 0.75, 0.95)
+    df = B.category_summary(effects, F.when(F.col("qty") <= 2, "small").otherwise("large"), shares=shares)
+    return df.select("category", *[F.round(F.get("quantiles", F.lit(i)), 7).alias(f"q{int(p * 100)}") for i, p in enumerate(shares)])
 
 
 # ---- metrics -----------------------------------------------------------------------------------

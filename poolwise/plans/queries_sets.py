@@ -70,6 +70,12 @@ def part_by_size(spark, sf):
     return P.count_by_size(scored).join(best, ["profile_id", "h"])
 
 
+@query("part_size_counts", f"""with {MULTI} select profile_id, h, count(*) n_partitions from scored group by 1, 2""")
+def part_size_counts(spark, sf):
+    """Partitions of every observed profile by their number of pools, by convolution: none is listed."""
+    return P.partition_sizes(fx.MULTI, multi_cells(spark, sf))
+
+
 @query("part_pools", f"""with {KEPT} select k.cut_mask, c.policy_id, {S.pool(fx.SINGLE, 'c', 'k.cut_mask')} pool_id from kept k, cells c""")
 def part_pools(spark, sf):
     cells = single_cells(spark, sf)
@@ -425,6 +431,35 @@ def post_effects_strata(spark, sf):
     return beta.join(cells.select("segment", "policy_id"), ["segment", "policy_id"], "left_semi").select("segment", "policy_id", F.round("beta", 7).alias("beta"))
 
 
+_STRATA_MEANS = f"""{_STRATA_MODELS}, pooled_set as (with {S.scores(fx.ORDERS, 'orders', REG_S, 7)} select cut_mask, q, h from scored, b where q <= theta),
+    fin as (select model_key, coalesce(p.q, loss) loss, p.cut_mask gmask from models left join pooled_set p on p.cut_mask = one),
+    wts as (select *, exp((select min(loss) from fin) - loss) w from fin),
+    seg as (select * from (values {', '.join(f"({i}, '{v}')" for i, v in enumerate(fx.SEGMENTS))}) t(slot, segment)),
+    masks as (select segment, false shared, cut_mask, sum(w) w from (select w, cast(split_part(x, ':', 1) as int) slot, cast(split_part(x, ':', 2) as bigint) cut_mask
+            from (select w, unnest(string_split(model_key, '|')) x from wts where gmask is null)) join seg using (slot) group by all
+        union all select segment, true, gmask, sum(w) from wts, seg where gmask is not null group by all),
+    allc as (select *  from (select policy_id, {S.decode(fx.ORDERS)} from (select unnest(range({fx.ORDERS.n_policies})) policy_id)) where {' and '.join(f'{n} > 0' for n in fx.ORDERS.names)}),
+    placed as (select m.*, c.*, {S.pool(fx.ORDERS, 'c', 'm.cut_mask')} pool_id from masks m, allc c),
+    pmeans as (select segment, shared, cut_mask, pool_id, sum(sum_y) / sum(n) mean_y from placed p join (select segment seg, policy_id, sum_y, n from cells) c on c.policy_id = p.policy_id and (shared or c.seg = p.segment) group by all),
+    fitted as (select placed.*, coalesce(mean_y, 0) mean_y from placed left join pmeans using (segment, shared, cut_mask, pool_id)),
+    vs as ({' union all '.join(f"select a.segment, a.w, '{n}' factor, a.{n} lev, case when a.pool_id = b.pool_id then 0.0 else a.mean_y - b.mean_y end effect from fitted a join fitted b on a.segment = b.segment and a.shared = b.shared and a.cut_mask = b.cut_mask and b.{n} = 1 and a.{n} > 1 and " + ' and '.join(f'a.{o} = b.{o}' for o in fx.ORDERS.names if o != n) for n in fx.ORDERS.names)}),
+    sig as (select segment, factor, stddev_pop(effect) sigma from vs group by 1, 2),
+    binned as (select vs.*, case when effect = 0 then 2 when effect >= 2 * sigma then 0 when effect > 0 then 1 when effect >= -2 * sigma then 3 else 4 end bin from vs join sig using (segment, factor))"""
+
+
+@query("post_effects_vs_base_strata", f"""with {_STRATA_MEANS} select segment, factor, lev as level, round(sum(w * effect) / sum(w), 7) + 0.0 mean_effect,
+    {', '.join(f'round(sum(case when bin = {b} then w else 0.0 end) / sum(w), 7) bin_{b}' for b in range(5))} from binned group by 1, 2, 3""")
+def post_effects_vs_base_strata(spark, sf):
+    """Effects of levels per stratum over stratified models, those alike in all strata collapsed, and their sigma bins."""
+    models, cells, together = strata_collapsed(spark, sf)
+    effects = materialize(B.stratified_effects_vs_base(fx.ORDERS, materialize(models, "models"), fx.SEGMENTS, "segment", P.box_moments(fx.ORDERS, cells, ["segment"]),
+                                                       P.box_moments(fx.ORDERS, together), 7), "effects")
+    by = ["segment", "factor", "level"]
+    mass = F.col("weight") * F.col("n_cells")
+    means = effects.groupBy(*by).agg((F.round(F.sum(mass * F.col("effect")) / F.sum(mass), 7) + 0.0).alias("mean_effect"))
+    return means.join(rounded(B.effect_histogram(effects, by, by[:2]), 7), by)
+
+
 _OUTCOMES = ["value", "root_value", "props_size"]
 _BATCH_OBS = f"""select etype, daypart, outcome, y from (unpivot ({S.OBS['events']}) on value, root_value, props_size into name outcome value y)"""
 

@@ -297,3 +297,40 @@ def test_pad_and_densify(spark):
     assert padded == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)]
     dense = sorted(tuple(r) for r in A.densify(runs, ["sim"], "k", [1, 2, 3], "v").collect())
     assert dense == [(1, 1, 0), (1, 2, 1), (1, 3, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)]
+
+
+def test_effect_error_counts_cells_of_one_side(spark):
+    a = spark.createDataFrame([(1, 3.0), (2, 1.0)], "policy_id long, beta double")
+    b = spark.createDataFrame([(2, 1.0), (3, 4.0)], "policy_id long, beta double")
+    assert B.effect_error(a, b).first()[0] == 5.0 and B.effect_error(a.limit(0), b.limit(0)).first()[0] == 0.0
+
+
+def test_quantiles_of_a_heavy_group(spark):
+    """Most rows in one group, many of them alike, a null group, and shares at both ends."""
+    rng = np.random.default_rng(7)
+    groups = {"heavy": rng.normal(size=4000).round(2), "light": rng.normal(size=7), None: np.array([5.0, 1.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("light", None), ("empty", None)]
+    shares = (0.0, 0.1, 0.5, 0.975, 1.0)
+    got = {r["g"]: r["quantiles"] for r in prep.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(6), "v", shares, ["g"]).collect()}
+    assert got.keys() == groups.keys()
+    assert all(np.allclose(got[g], np.quantile(values, shares)) for g, values in groups.items())
+    summary = {r["category"]: r for r in B.category_summary(spark.createDataFrame(rows, "g string, beta double"), F.col("g"), shares=(0.25, 0.5)).collect()}
+    assert summary[None]["median_effect"] == 3.0 and summary["heavy"]["n_cells"] == 4000 and summary["empty"]["quantiles"] is None
+
+
+def test_overlap_compares_boxes(spark):
+    spec = FactorSpec(["a", "b"], [4, 3])
+    parts = P.enumerate_partitions(spark, spec, 3)
+    assign = P.assign_pools(spec, parts).selectExpr("cut_mask as partition_id", "pool_id + 100 * cut_mask as pool_id", "policy_id")
+    extra = spark.createDataFrame([(90, 1, 4), (90, 1, 8), (90, 2, 5), (91, 1, 4)], "partition_id long, pool_id long, policy_id long")  # no box; part of a partition
+    found = {r[0] for r in E.overlap_with_set(spec, assign.unionByName(extra), parts.where("cut_mask <> 2")).collect()}
+    assert found == {r["cut_mask"] for r in parts.collect()} - {2}
+
+
+def test_written_tables_have_an_owner(spark):
+    import os
+    table = runtime.materialize(spark.range(3), "owned")
+    path = table._written_to.removeprefix("file:")
+    assert os.path.isdir(path)
+    runtime.discard(table, spark.range(1))
+    assert not os.path.exists(path)

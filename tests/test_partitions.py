@@ -120,6 +120,45 @@ def test_pools_are_connected_components(spark):
     assert per.where("n <> 1 or low <> c").count() == 0
 
 
+def test_components_of_a_star_and_of_groups(spark):
+    """A node with most of the edges, groups that share node names, and an edge from a node to itself."""
+    star = [(1, 0, k) for k in range(1, 4000)] + [(1, 5000 + k, 4999 + k) for k in range(1, 60)]
+    other = [(2, 3999, 3998), (2, 7, 7), (2, 12, 3999)]
+    edges = spark.createDataFrame(star + other, "g int, src long, dst long").repartition(5)
+    nodes = spark.createDataFrame([(1, k) for k in (0, 3999, 5059, 6000)] + [(2, k) for k in (3999, 3998, 7, 12, 0)], "g int, node long")
+    found = {(r.g, r.node): r.component for r in D.connected_components(nodes, edges, by=["g"]).collect()}
+    assert found == {(1, 0): 0, (1, 3999): 0, (1, 5059): 5000, (1, 6000): 6000, (2, 3999): 12, (2, 3998): 12, (2, 7): 7, (2, 12): 12, (2, 0): 0}
+
+
+def test_sorted_check_over_ranges(spark):
+    rows = [("up", i, i // 3) for i in range(3000)] + [("late", i, i if i < 2999 else 5) for i in range(3000)] + [("one", 4, 4)] + [("down", 1, 2), ("down", 2, 1)] + [("early", i, 9 if i == 0 else i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, at int, v int").repartition(9)
+    got = {r["g"]: r["is_sorted"] for r in D.sorted_check(df, "g", "at", F.col("v")).collect()}
+    assert got == {"up": True, "late": False, "one": True, "down": False, "early": False}
+
+
+def test_partition_sizes_without_listing(spark):
+    spec = FactorSpec(["a", "b"], [5, 5])
+    profiles = spark.createDataFrame([(p,) for p in range(4)], "profile_id int")
+    got = {(r.profile_id, r.h): r.n_partitions for r in P.partition_sizes(spec, profiles).collect()}
+    listed = {(r.profile_id, r.h): r.n_partitions for r in P.count_by_size(P.enumerate_partitions(spark, spec)).collect()}
+    assert got == listed and {h: n for (p, h), n in got.items() if p == 3} == {1: 1, 2: 6, 3: 6, 4: 11, 6: 18, 8: 6, 9: 9, 12: 6, 16: 1}
+    wide = FactorSpec([f"f{i}" for i in range(8)], [7] * 8)  # 40 cut positions
+    counts = P.partition_sizes(wide, spark.range(1).select(F.lit(wide.full_profile).alias("profile_id")))
+    assert counts.agg(F.sum("n_partitions")).first()[0] == 2**40
+
+
+def test_predict_splits_a_heavy_cell(spark, monkeypatch):
+    spec = FactorSpec(["a", "b"], [4, 3])
+    rows = [(1, 1, float(i % 7), i) for i in range(900)] + [(a, b, float(a * b), 1000 + 10 * a + b) for a in range(1, 4) for b in range(1, 3)]
+    obs = spark.createDataFrame(rows, "a int, b int, y double, id int").repartition(5)
+    cells = C.cell_table(spec, obs)
+    args = spec, obs, P.enumerate_partitions(spark, spec, 3), P.box_moments(spec, cells)
+    sent = Counter((r.id, r.cut_mask, round(r.fitted, 9)) for r in P.predict(*args).collect())
+    monkeypatch.setattr(P, "SENT_ROWS", 0)
+    assert Counter((r.id, r.cut_mask, round(r.fitted, 9)) for r in P.predict(*args).collect()) == sent and len(sent) == 8 * len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = list(range(n))
