@@ -13,6 +13,8 @@ LEVEL = 16
 BATCH = 256
 #: Nodes of a beam whose neighbours are read in one step.
 STRIDE = 4
+#: Share of nearest neighbours that a search has to meet where an audit draws no pair.
+NEIGHBOURS = 0.9
 
 
 def choose(near: np.ndarray, among: np.ndarray, valid: np.ndarray, most: int) -> np.ndarray:
@@ -176,24 +178,42 @@ class Graph:
             waiting, beam = (np.concatenate(again), 4 * beam) if again else (rows[:0], beam)
         return np.concatenate(out_query), np.concatenate(out_node)
 
-    def audit(self, least: float, sample: int, wanted: float, others: np.ndarray | None = None) -> float:
-        """Widen the beam until enough true pairs are met; return the recall reached (1 where there are no pairs).
+    def audit(self, least: float, sample: int, wanted: float, others: np.ndarray | None = None, neighbours: float = NEIGHBOURS) -> float:
+        """Widen the beam until enough true pairs are met; return the recall reached.
 
         Queries are ``sample`` nodes drawn from all levels, without the pair of a node and itself, and ``others``:
-        vectors that stand in no node.
+        vectors that stand in no node.  Where they have no pair, the share of them whose nearest neighbour is met
+        is the recall, and ``neighbours`` of it is enough.  A graph without a second node has nothing to miss.
         """
         drawn = np.random.default_rng(11).permutation(len(self.unit))[:sample]
         queries, own = self.unit[drawn], drawn
         if others is not None and len(others):
             queries, own = np.concatenate((queries, others)), np.concatenate((drawn, np.full(len(others), -1)))
-        true = 0
+        true, best = 0, []
         for i in range(0, len(queries), BATCH):
-            query, node = np.nonzero(queries[i:i + BATCH] @ self.unit.T >= least)
-            true += int((own[i:i + BATCH][query] != node).sum())
-        while true:
-            query, node = self.similar(queries, least)
-            reached = int((own[query] != node).sum()) / true
-            if reached >= wanted or not self.beam:
+            near = queries[i:i + BATCH] @ self.unit.T
+            mine = own[i:i + BATCH]
+            near[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2
+            true += int((near >= least).sum())
+            best.append(near.max(axis=1, initial=-2))
+        nearest = np.concatenate(best) if best else np.zeros(0)
+        while True:
+            if true:
+                query, node = self.similar(queries, least)
+                reached = int((own[query] != node).sum()) / true
+            else:
+                reached = self._neighbours_met(queries, own, nearest)
+            if reached >= (wanted if true else min(wanted, neighbours)) or not self.beam:
                 return reached
             self.beam = 2 * self.beam if 8 * self.beam < len(self.unit) else 0
-        return 1.0
+
+    def _neighbours_met(self, queries: np.ndarray, own: np.ndarray, nearest: np.ndarray) -> float:
+        """Share of the queries for which a search meets a node as near as the nearest one, itself left out."""
+        if not self.beam or not (nearest > -2).any():
+            return 1.0
+        met = 0
+        for i in range(0, len(queries), BATCH):
+            nodes, near, *_ = self.search(queries[i:i + BATCH], self.beam, self.levels[-1], self._enter(queries[i:i + BATCH]))
+            near = np.where((nodes < 0) | (nodes == own[i:i + BATCH, None]), -2, near)
+            met += int((near.max(axis=1) >= nearest[i:i + BATCH] - 1e-6).sum())
+        return met / len(queries)

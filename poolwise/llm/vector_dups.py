@@ -4,8 +4,8 @@ Equal vectors are one from the start, with the number of their copies, so a grou
 node.  The others are dealt to shards by hash; each shard's graph is built in one task, which bounds a shard, and
 audits itself: a sample of its vectors and one of the other shards' vectors are compared to all of the shard, and the
 beam doubles until the samples' true pairs, none of them a vector with itself, are met (beyond a quarter of the shard
-everything is compared).  Vectors then query every shard in
-blocks.  Pairs found are verified by cosine in double precision, and their components are united.
+everything is compared).  Where the samples hold no pair, their nearest neighbours, which always exist, have to be met
+instead.  Vectors then query every shard in blocks, whose bytes are about those of a graph.  Pairs found are verified by cosine in double precision, and their components are united.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
 never meet.  Repeated vec_ids are rows of their own.
@@ -23,8 +23,10 @@ from poolwise.llm.graph import components
 from poolwise.llm.hnsw import Graph
 from poolwise.llm.scratch import Scratch
 
-#: Vectors that one shard may hold (in expectation), the fewest shards, and the queries of one block.
-SHARD, SHARDS, BLOCK = 100_000, 4, 8192
+#: Vectors and bytes that one shard may hold (in expectation), and the fewest shards.
+SHARD, SHARD_BYTES, SHARDS = 100_000, 256 << 20, 4
+#: Bytes of the queries of one block: as a block meets each shard's graph once, graphs sent stay in proportion to queries sent.
+BLOCK_BYTES = 64 << 20
 #: Vectors of a shard that its audit queries, as many of other shards (in expectation), and the share of their true pairs that has to be met.
 AUDIT, RECALL = 1024, 0.97
 #: What single-precision search may be off by.
@@ -87,7 +89,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def vector_components(vectors: DataFrame, least: float = 0.95, shard: int = SHARD, shards: int = SHARDS, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
+def vector_components(vectors: DataFrame, least: float = 0.95, shard: int = SHARD, shards: int = SHARDS, audit: int = AUDIT, recall: float = RECALL,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row; the pairs behind them are all verified."""
     spark = vectors.sparkSession
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -98,7 +101,8 @@ def vector_components(vectors: DataFrame, least: float = 0.95, shard: int = SHAR
         whole = ids.where(good).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # one zero
         reps = scratch.write(whole.groupBy("vector").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "reps")
         total = reps.count()
-        parts, blocks = max(shards, -(-total // shard)), max(1, -(-total // BLOCK))
+        width = 8 * (reps.agg(F.max(F.size("vector"))).first()[0] or 1)
+        parts, blocks = max(shards, -(-total // min(shard, SHARD_BYTES // (width + 256) + 1))), max(1, -(-total * width // block_bytes))
         nodes = reps.select("rep", "vector", F.size("vector").alias("dim"))
         dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
         share = min(1.0, audit / max(1, total))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, their tokenizer's own library, SQL and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -261,7 +262,49 @@ def test_audit_counts_no_self_pairs_and_asks_from_everywhere():
     assert own.beam != 48 and (query != node).sum() == (unit @ unit.T >= 0.95).sum() - 2000
     asked = unlinked()
     assert asked.audit(0.95, 0, 0.97, unit[100:110]) >= 0.97 and asked.beam != 48
-    assert Graph(unit[:1990]).audit(0.999, 1000, 0.97) == 1.0
+
+
+def test_audit_without_pairs_asks_for_nearest_neighbours():
+    draw = np.random.default_rng(6)
+    data = draw.normal(size=(3000, 12))
+    unit = (data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.float32)
+    graph = Graph(unit)
+    assert 0.9 <= graph.audit(0.9999, 500, 0.97) <= 1.0
+    poor = Graph(unit, beam=2)
+    poor.levels[-1][:, 3:] = -1  # few links: a narrow beam misses most neighbours
+    assert poor._neighbours_met(unit[:500], np.arange(500), np.sort(unit[:500] @ unit.T, axis=1)[:, -2]) < 0.9
+    assert poor.audit(0.9999, 500, 0.97) >= 0.9 and poor.beam != 2
+    assert Graph(unit[:1]).audit(0.9, 10, 0.97) == 1.0
+
+
+def test_vector_components_are_those_of_all_links(spark):
+    draw = np.random.default_rng(8)
+    chain = [[math.cos(0.2 * i), math.sin(0.2 * i)] for i in range(12)]  # neighbours link, ends do not
+    far = draw.normal(size=(60, 9))
+    rows = [(50 + i, v) for i, v in enumerate(chain)] + [(100 + i, v.tolist()) for i, v in enumerate(far)] + [(None, chain[3]), (None, None), (None, [0.0, 0.0]), (7, chain[11]), (7, chain[11])]
+    table = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<double>, n_links int, kept string")
+    units = [np.array(v) / np.linalg.norm(v) if v is not None and np.linalg.norm(v) else None for _, v in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = Counter()
+    for i, u in enumerate(units):
+        for j, w in enumerate(units):
+            if i != j and u is not None and w is not None and len(u) == len(w) and u @ w >= 0.95:
+                links[i] += 1
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[root(i)] = min(name, least.get(root(i), name))
+    want = Counter((r[0], links[i], least.get(root(i))) for i, r in enumerate(rows))
+    for options in ({}, {"block_bytes": 200, "shards": 3}):
+        got = vector_components(table, **options)
+        assert counted(got, "vec_id", "n_links", "component_id") == want
 
 
 def test_components(spark):
