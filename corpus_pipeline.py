@@ -17,13 +17,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold.  Their labels teach where the rule of op5 allows it."""
+    """Documents whose toxicity score is below the threshold.  Their labels teach where the rule of op5 allows it.
+
+    Null and empty texts hold no marker and stay; repeated rows score alike and stay or go together.
+    """
     scored = toxicity(docs.select("doc_id", "text", F.struct("*").alias("row")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 0").select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, the one with the smallest doc_id; all without words."""
+    """One document of every group of near copies, the one with the smallest doc_id; all without words.
+
+    Rows alike in doc_id and text are one group, of which one stays; null and empty texts have no words.  In a table with
+    repeated or null doc_ids the row that stays is named by a hash of doc_id and text.
+    """
     found = jaccard_components(docs).where("keeper")
     kept = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("n_shingles") == 0).alias("empty"))
     rows = keyed(docs, F.struct("*").alias("row")).join(kept.hint("merge"), "key")
@@ -33,14 +40,14 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unpolluted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; null and empty texts hold none, repeated rows go together."""
     packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
     found = decontaminate(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
     return found.where("NOT contaminated").select("row.*")
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by a mark; n_chars follows."""
+    """All documents, every secret replaced by a mark; n_chars follows.  Null texts stay null; texts without a secret stay as they are."""
     found = secret_spans(docs.select("text", F.struct("*").alias("row")))
     text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans")))
     found = found.select("row", F.col("spans"), text.alias("clean"))
@@ -49,7 +56,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document; null texts have size 0, repeated rows are mixed each on its own."""
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 

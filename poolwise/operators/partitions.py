@@ -114,8 +114,8 @@ def sum_over_boxes(spec: FactorSpec, df: DataFrame, sums: list[str], by: list[st
     size of its result instead of cells times all interval products.
     """
     by = list(by)
-    df = spread(df, *by, "policy_id").selectExpr(*by, *sums, "policy_id as _rest", "0L as box_id")
     rows = spec.n_policies
+    df = spread(df, *by, "policy_id", rows=rows * _mean_cover(spec, 0)).selectExpr(*by, *sums, "policy_id as _rest", "0L as box_id")
     for i, w in enumerate(spec.strides):
         df = (df.selectExpr(*by, *sums, f"_rest % {w}L as _rest", "box_id", f"explode({spec.covering_sql(i, f'_rest div {w}L')}) as _c")
               .selectExpr(*by, *sums, "_rest", "box_id + _c as box_id"))
@@ -193,7 +193,7 @@ def space_errors(spec: FactorSpec, boxes: DataFrame, by: list[str] = (), profile
     """
     by = list(by)
     profile = " + ".join(f"if({spec.box_code_sql(i)} > 0, {spec.profile_bit(i)}, 0)" for i in range(spec.m))
-    df = spread(boxes, *by, "box_id").selectExpr(*by, f"cast({profile} as int) as profile_id", "box_id as _rest", "0L as cut_mask", "sse")
+    df = spread(boxes, *by, "box_id", rows=spec.n_boxes).selectExpr(*by, f"cast({profile} as int) as profile_id", "box_id as _rest", "0L as cut_mask", "sse")
     intervals, shapes = [1 + (r - 1) * r // 2 for r in spec.levels], [1 + (1 << r - 2) for r in spec.levels]
     if profile_id is not None:
         df = df.where(F.col("profile_id") == profile_id)

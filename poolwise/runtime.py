@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is only hinted for broadcast when the design proves it has at most this many rows.
 BROADCAST_ROWS = 4_000_000
+# Rows that one task should unfold, and most tasks that a spread asks for.
+ROWS_PER_TASK, MOST_TASKS = 2_000_000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,16 +64,18 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/poolwise/{spark.sparkContext.applicationId}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """Hash rows over all tasks by key, ahead of an expansion.
 
     Tables of design size often sit in one small file or one coalesced
     partition, while a row of theirs can unfold into thousands.  The work is in
-    the unfolding, so the number of tasks follows the cores, not the bytes; it
-    is stated, so adaptive execution does not merge the partitions again.  A
-    grouping on these keys (and more) afterwards needs no further shuffle.
+    the unfolding, so the number of tasks follows the ``rows`` that the design
+    says will come of it, whatever executors are there at the moment, and is no
+    less than twice their cores.  It is stated, so adaptive execution does not merge
+    the partitions again.  A grouping on these keys (and more) afterwards needs no
+    further shuffle.
     """
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(rows // ROWS_PER_TASK, MOST_TASKS)), *keys)
 
 
 def bounded(df: DataFrame, rows: int, by: list[str] = ()) -> DataFrame:

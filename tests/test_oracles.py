@@ -2,7 +2,7 @@
 
 import pytest
 
-from poolwise.plans import check
+import check
 from poolwise.plans.catalog import ORACLES, QUERIES
 
 

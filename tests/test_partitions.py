@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from poolwise import FactorSpec
+from poolwise import FactorSpec, runtime
 from poolwise.operators import cells as C, design as D, models as M, partitions as P, search as R
 
 
@@ -274,3 +274,24 @@ def test_expanding_threshold_steps(spark):
     assert abs(theta - 1.25) < 1e-9 and df.count() == 2
     theta, _ = R.expanding_threshold(scored, 0.5, 0.1, found=F.col("h") == 2)
     assert abs(theta - 1.2) < 1e-9
+
+
+def test_both_sides_of_the_plan_switches(spark, monkeypatch):
+    """Hints and routes that depend on sizes change plans, never rows."""
+    spec = FactorSpec(["a", "b", "c"], [4, 3, 3])
+    obs, _ = random_obs(spark, spec, 300, seed=11)
+    cells = C.cell_table(spec, obs)
+
+    def results():
+        scored = P.score_space(spec, cells, 0.01)
+        front = R.frontier_set(spec, cells, 0.5, 0.01, spec.full_profile, boxes=P.box_moments(spec, cells))
+        means = P.pool_means(spec, P.enumerate_partitions(spark, spec, 7).where("h <= 2"), P.box_moments(spec, cells))
+        return (sorted((r.profile_id, r.cut_mask, r.h, round(r.q, 10)) for r in scored.collect()), sorted((r.cut_mask, round(r.q, 10)) for r in front.collect()),
+                sorted((r.cut_mask, r.box_id, r.n, round(r.mean_y, 10)) for r in means.collect()))
+
+    usual = results()
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    assert results() == usual
+    monkeypatch.setattr(P, "LOOKUPS", 0)
+    monkeypatch.setattr(P, "STAGE_ROWS", 10)
+    assert results() == usual and all(usual)
