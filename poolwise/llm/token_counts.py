@@ -133,8 +133,9 @@ _made: dict[int, Merges] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, column: str = "text") -> DataFrame:
-    """All columns of ``docs`` and n_bytes, n_tokens, over_limit (of a clash, these three win).
+    """All columns of ``docs`` and n_bytes, n_tokens, over_limit; columns of these names in ``docs`` are replaced, others stay as they are.
 
+    A null text counts as empty.  Rows are counted one by one, so repeated rows come back as often; no rows give none.
     ``vocabulary_path`` is read on the driver (a vocabulary has a few MB) and broadcast.
     """
     with open(vocabulary_path, encoding="utf-8") as file:

@@ -139,6 +139,13 @@ def test_jaccard_components(docs, rows, empty, options):
         assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_plan_switches_change_no_row(docs, rows, monkeypatch):
+    want, _ = brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "FETCHED", 0)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 40)
+    assert counted(jaccard_components(docs, frequent=30), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_secrets_match_sql(spark, docs, empty):
     more = [(1000 + i, t, None, None, None, None, None, None, None) for i, t in enumerate([
         "key Xk9Qw2Lp8Zt4Rv7Bn1Mc6Yd3Hf5Jg0Ss end", "A1B2C3D4E5F60718293A4B5C6D7E", "AKIAABCDEFGHIJKL12 AKIAxx AKIA", "ééé passwd : 'zzzzzzzzzz' é",
