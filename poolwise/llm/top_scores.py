@@ -74,7 +74,7 @@ class Block:
             for rows, _, scores, own in self.scores(batch):
                 bucket = (scores - self.low[rows, None]) >> self.shift[rows, None]
                 hit = (bucket >= 0) & (bucket < self.count[rows, None]) & ~own & self.open[rows, None]
-                counts += np.bincount((rows[:, None] * BUCKETS + bucket)[hit], minlength=counts.size).reshape(counts.shape)
+                np.add.at(counts.ravel(), (rows[:, None] * BUCKETS + bucket)[hit], 1)
         above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
         query, bucket = np.nonzero((counts > 0) & (above < self.need[:, None]))
         yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(self.need[query]), pa.array(counts[query, bucket])],
